@@ -1,6 +1,7 @@
 """The corpus queries and their SQL, for the driver's registry."""
 
+from massloom.llm import op03_neardup as op3
 from massloom.llm import op09_decontaminate as op9
 
-QUERIES = {"op9_decontaminate": op9.op9_decontaminate}
-ORACLE_SQL = {"op9_decontaminate": op9.ORACLE_SQL}
+QUERIES = {"op3_neardup": op3.op3_neardup, "op9_decontaminate": op9.op9_decontaminate}
+ORACLE_SQL = {"op3_neardup": op3.ORACLE_SQL, "op9_decontaminate": op9.ORACLE_SQL}
