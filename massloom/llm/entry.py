@@ -1,7 +1,8 @@
 """The corpus queries and their SQL, for the driver's registry."""
 
 from massloom.llm import op03_neardup as op3
+from massloom.llm import op08_substrings as op8
 from massloom.llm import op09_decontaminate as op9
 
-QUERIES = {"op3_neardup": op3.op3_neardup, "op9_decontaminate": op9.op9_decontaminate}
-ORACLE_SQL = {"op3_neardup": op3.ORACLE_SQL, "op9_decontaminate": op9.ORACLE_SQL}
+QUERIES = {"op3_neardup": op3.op3_neardup, "op8_substrings": op8.op8_substrings, "op9_decontaminate": op9.op9_decontaminate}
+ORACLE_SQL = {"op3_neardup": op3.ORACLE_SQL, "op8_substrings": op8.ORACLE_SQL, "op9_decontaminate": op9.ORACLE_SQL}
