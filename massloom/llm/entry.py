@@ -1,8 +1,23 @@
 """The corpus queries and their SQL, for the driver's registry."""
 
+from massloom.llm import op01_sharding as op1
 from massloom.llm import op03_neardup as op3
+from massloom.llm import op05_rules as op5
+from massloom.llm import op06_urls as op6
 from massloom.llm import op08_substrings as op8
 from massloom.llm import op09_decontaminate as op9
 
-QUERIES = {"op3_neardup": op3.op3_neardup, "op8_substrings": op8.op8_substrings, "op9_decontaminate": op9.op9_decontaminate}
-ORACLE_SQL = {"op3_neardup": op3.ORACLE_SQL, "op8_substrings": op8.ORACLE_SQL, "op9_decontaminate": op9.ORACLE_SQL}
+QUERIES = {
+    "op1_sharding": op1.op1_sharding,
+    "op3_neardup": op3.op3_neardup,
+    "op5_rules": op5.op5_rules,
+    "op6_urls": op6.op6_urls,
+    "op8_substrings": op8.op8_substrings,
+    "op9_decontaminate": op9.op9_decontaminate,
+}
+ORACLE_SQL = {
+    "op3_neardup": op3.ORACLE_SQL,
+    "op6_urls": op6.ORACLE_SQL,
+    "op8_substrings": op8.ORACLE_SQL,
+    "op9_decontaminate": op9.ORACLE_SQL,
+}
