@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
@@ -28,11 +30,17 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it.
 
     A lost executor costs no more than the tasks that were running: what is
-    written stays readable by all others.
+    written stays readable by all others. The shuffle files of the write are
+    dropped when it has ended, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
