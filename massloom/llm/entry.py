@@ -6,6 +6,7 @@ from massloom.llm import op05_rules as op5
 from massloom.llm import op06_urls as op6
 from massloom.llm import op08_substrings as op8
 from massloom.llm import op09_decontaminate as op9
+from massloom.llm import op10_secrets as op10
 
 QUERIES = {
     "op1_sharding": op1.op1_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_urls": op6.op6_urls,
     "op8_substrings": op8.op8_substrings,
     "op9_decontaminate": op9.op9_decontaminate,
+    "op10_secrets": op10.op10_secrets,
 }
 ORACLE_SQL = {
     "op3_neardup": op3.ORACLE_SQL,
