@@ -2,6 +2,7 @@
 
 from massloom.llm import op01_sharding as op1
 from massloom.llm import op03_neardup as op3
+from massloom.llm import op04_pieces as op4
 from massloom.llm import op05_rules as op5
 from massloom.llm import op06_urls as op6
 from massloom.llm import op08_substrings as op8
@@ -11,6 +12,7 @@ from massloom.llm import op10_secrets as op10
 QUERIES = {
     "op1_sharding": op1.op1_sharding,
     "op3_neardup": op3.op3_neardup,
+    "op4_pieces": op4.op4_pieces,
     "op5_rules": op5.op5_rules,
     "op6_urls": op6.op6_urls,
     "op8_substrings": op8.op8_substrings,
