@@ -1,20 +1,24 @@
 """The corpus queries and their SQL, for the driver's registry."""
 
 from massloom.llm import op01_sharding as op1
+from massloom.llm import op02_quality as op2
 from massloom.llm import op03_neardup as op3
 from massloom.llm import op04_pieces as op4
 from massloom.llm import op05_rules as op5
 from massloom.llm import op06_urls as op6
+from massloom.llm import op07_toxicity as op7
 from massloom.llm import op08_substrings as op8
 from massloom.llm import op09_decontaminate as op9
 from massloom.llm import op10_secrets as op10
 
 QUERIES = {
     "op1_sharding": op1.op1_sharding,
+    "op2_quality": op2.op2_quality,
     "op3_neardup": op3.op3_neardup,
     "op4_pieces": op4.op4_pieces,
     "op5_rules": op5.op5_rules,
     "op6_urls": op6.op6_urls,
+    "op7_toxicity": op7.op7_toxicity,
     "op8_substrings": op8.op8_substrings,
     "op9_decontaminate": op9.op9_decontaminate,
     "op10_secrets": op10.op10_secrets,
