@@ -17,7 +17,9 @@ What keeps this bounded on real corpora:
   from a sample of documents into a table of bounded size.
 * An inverted list does not produce all its pairs. First each member meets
   the list's smallest id. Lists whose members are then still in several
-  components pair the members outside the largest component with the others.
+  components pair the members outside the largest component with the others,
+  where enough of both sets lies behind the list's value in the common order:
+  in the list of the first value that two similar sets share it always does.
   Pairs inside a component can add nothing to the result.
 * A fixed-size union sketch (the 64 smallest values) estimates the similarity
   of a candidate pair; pairs more than eight standard deviations below the
@@ -90,17 +92,48 @@ def sketches(docs: DataFrame, size: int, num: int, den: int, frequent: Broadcast
     return docs.select("doc_id", "text").mapInArrow(kernel, SKETCHES)
 
 
+def named_bits(pairs: DataFrame) -> Broadcast:
+    """A bitmap of fixed size over the hashed ids that pairs name.
+
+    It tells a scan which documents may be needed, so that the others are not
+    shuffled. Where it fills up it passes more documents, and the joins that
+    follow drop them.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit.alias("bit")).selectExpr("int(bit div 64) AS w", "shiftleft(1L, int(bit % 64)) AS m")
+    words = ids.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most BITMAP_BITS / 64 rows
+    bits = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
+    return pairs.sparkSession.sparkContext.broadcast(bits)
+
+
+def hashed(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("bit"), "doc_id", *columns)
+
+
+def named(batch: pa.RecordBatch, bits: np.ndarray) -> pa.Array:
+    at = batch.column(0).to_numpy()
+    return pa.array(np.flatnonzero(bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1)))
+
+
 def similar_enough(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Drop the pairs whose union sketch puts them far below the threshold.
 
     The UNION_SKETCH smallest values of the union of two sets are a uniform
     sample of it, and those in both sketches' overlap estimate the similarity.
     """
-    a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("union_sketch").alias("ka"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("union_sketch").alias("kb"))
-    both = pairs.join(b, "b").join(a, "a")
+    if pairs.isEmpty():
+        return pairs
+    sent = named_bits(pairs)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(b.take(named(b, sent.value)).columns[1:], names=["doc_id", "n", "k"])
+
+    sketch = materialize(hashed(sets, "n", "union_sketch").mapInArrow(kernel, "doc_id long, n long, k array<long>"), "neardup-unions")
+    both = pairs.join(sketch.toDF("b", "nb", "kb"), "b").join(sketch.toDF("a", "na", "ka"), "a")
     k = F.least(F.lit(UNION_SKETCH), F.size(F.array_union("ka", "kb")))
-    # the k-th smallest unsigned value of the union: flipping the top bit orders as unsigned
+    # the k smallest unsigned values of the union: flipping the top bit orders as unsigned
     flip = lambda c: F.transform(c, lambda v: v.bitwiseXOR(F.lit(NO_ID)))
     union = F.sort_array(flip(F.array_union("ka", "kb")))
     shared = F.size(F.array_intersect(F.slice(union, 1, k), flip(F.array_intersect("ka", "kb"))))
@@ -111,30 +144,17 @@ def similar_enough(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
 
 
 def sets_of(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, s): the full shingle sets of the documents that pairs name, and of few others.
-
-    A bitmap of fixed size over hashed ids tells the scan which documents may
-    be needed, so that the other texts are not shuffled. Where it fills up it
-    passes more documents and the joins that follow drop them.
-    """
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP_BITS))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bit.alias("bit")).selectExpr("int(bit div 64) AS w", "shiftleft(1L, int(bit % 64)) AS m")
-    words = ids.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most BITMAP_BITS / 64 rows
-    bits = np.zeros(BITMAP_BITS // 64, dtype=np.uint64)
-    bits[words.column(0).to_numpy()] = words.column(1).to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    """(doc_id, s): the full shingle sets of the documents that pairs name, and of few others."""
+    sent = named_bits(pairs)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pows, bits = Powers(), sent.value
+        pows = Powers()
         for b in batches:
-            at = b.column(2).to_numpy()
-            wanted = np.flatnonzero(bits[at // 64] >> (at % 64).astype(np.uint64) & np.uint64(1))
-            rows = pa.array(wanted)
-            sets = [s.view(np.int64) for _, s in shingle_sets(b.column(1).take(rows), size, pows=pows)]
-            yield pa.record_batch([b.column(0).take(rows), list_column(sets, np.int64, pa.int64())], ["doc_id", "s"])
+            rows = named(b, sent.value)
+            sets = [s.view(np.int64) for _, s in shingle_sets(b.column(2).take(rows), size, pows=pows)]
+            yield pa.record_batch([b.column(1).take(rows), list_column(sets, np.int64, pa.int64())], ["doc_id", "s"])
 
-    hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("bit"))
-    return materialize(hashed.mapInArrow(kernel, "doc_id long, s array<long>"), "neardup-sets")
+    return materialize(hashed(docs, "text").mapInArrow(kernel, "doc_id long, s array<long>"), "neardup-sets")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -169,33 +189,34 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, size))
     every = materialize(sketches(docs, size, num, den, frequent), "neardup-sketches")
     key = ["n", "fp1", "fp2"]
-    classes = every.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    several = classes.filter("copies > 1")
-    members = every.filter("n > 0").select("doc_id", *key).join(several, key).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    same = materialize(members.distinct(), "neardup-copies")
-    # ids of copies, of any class: a repeated id with two texts stays searchable through each class's own representative
-    alone = every.filter("n > 0").join(several.select(*key, F.col("rep").alias("doc_id"), F.lit(True).alias("is_rep")), [*key, "doc_id"], "left").join(several.select(*key, F.lit(True).alias("is_copy")), key, "left")
-    reps = materialize(alone.filter("is_rep or is_copy is null").select("doc_id", "n", "kept", "union_sketch").dropDuplicates(["doc_id", "n", "kept"]), "neardup-reps")
-
-    rows = reps.select("doc_id", "n", F.explode("kept").alias("v"))
-    lists = rows.groupBy("v").agg(F.count("*").alias("len"), F.min("doc_id").alias("pivot")).filter("len > 1")
-    live = materialize(rows.join(lists, "v").select("v", "doc_id", "n", "pivot"), "neardup-lists")
-    texts = docs
+    wordy = every.filter("n > 0").select("doc_id", *key)
+    several = wordy.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    classed = materialize(wordy.join(several, key, "left").select("doc_id", "rep"), "neardup-classes")
+    same = classed.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    # ids that stand for nothing but copies; a repeated id with a text of its own stays searchable
+    copies = classed.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") != F.col("rep"), F.lit(False))).alias("c")).filter("c").select("doc_id")
+
+    rows = every.select("doc_id", F.explode("kept").alias("v"))
+    lists = rows.groupBy("v").agg(F.count("*").alias("len"), F.min("doc_id").alias("pivot")).filter("len > 1").drop("len")
+    live = materialize(rows.join(lists, "v").select("v", "doc_id", "pivot"), "neardup-lists")
     stars = live.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    checked = materialize(similar_enough(stars, reps, num, den), "neardup-stars")
-    links = verify(checked, texts, size, num, den)
+    stars = materialize(stars.join(copies.withColumnRenamed("doc_id", "b"), "b", "left_anti"), "neardup-stars")
+    checked = materialize(similar_enough(stars, every, num, den), "neardup-checked")
+    links = verify(checked, docs, size, num, den)
     first = connected_components(links, "a", "b")
 
     # lists that still hold several components: members outside the largest meet all others
-    placed = live.select("v", "doc_id", "n").join(first, live.doc_id == first.id, "left").select("v", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
+    searched = live.select("v", "doc_id").join(copies, "doc_id", "left_anti")
+    placed = searched.join(first, searched.doc_id == first.id, "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     split = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
-    open_lists = materialize(placed.join(split, "v"), "neardup-open")
+    open_lists = materialize(placed.join(split, "v").join(every.select("doc_id", "n"), "doc_id").select("v", "doc_id", "n", "c"), "neardup-open")
     sizes = open_lists.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "c"))["c"].alias("largest"))
     few = open_lists.join(sizes, "v").filter("c <> largest").select("v", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
     fits = (F.col("c") != F.col("cx")) & (F.col("nx") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("nx") * den)
     cross = few.join(open_lists, "v").filter(fits).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    more = similar_enough(cross.join(checked, ["a", "b"], "left_anti"), reps, num, den)
-    found = verify(materialize(more, "neardup-cross"), texts, size, num, den)
+    cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "neardup-cross")
+    more = materialize(similar_enough(cross, every, num, den), "neardup-checked")
+    found = verify(more, docs, size, num, den)
 
     groups = connected_components(links.unionByName(found).unionByName(same), "a", "b")
     out = every.select("doc_id", "n").join(groups, every.doc_id == groups.id, "left")
