@@ -28,16 +28,17 @@ MAX_LABELLED = 20_000
 PRECISION, SUPPORT, MAX_RULES, MAX_CONDITIONS = 0.9, 8, 12, 3
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+#: Rule features by name, as SQL over the statistics.
 FEATURES = {
-    "words": F.col("n_words").cast("double"),
-    "word_length": F.col("word_chars") / F.greatest("n_words", F.lit(1)),
-    "symbols_per_word": F.col("n_symbols") / F.greatest("n_words", F.lit(1)),
-    "duplicate_lines": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-    "repeated_words": F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
-    "capitals": F.col("n_upper") / F.greatest("word_chars", F.lit(1)),
-    "digits": F.col("n_digits") / F.greatest("word_chars", F.lit(1)),
-    "stops_per_word": F.col("n_stops") / F.greatest("n_words", F.lit(1)),
-    "distinct_words": F.col("n_distinct") / F.greatest("n_words", F.lit(1)),
+    "words": "double(n_words)",
+    "word_length": "word_chars / greatest(n_words, 1)",
+    "symbols_per_word": "n_symbols / greatest(n_words, 1)",
+    "duplicate_lines": "n_dup_lines / greatest(n_lines, 1)",
+    "repeated_words": "n_repeat_words / greatest(n_words, 1)",
+    "capitals": "n_upper / greatest(word_chars, 1)",
+    "digits": "n_digits / greatest(word_chars, 1)",
+    "stops_per_word": "n_stops / greatest(n_words, 1)",
+    "distinct_words": "n_distinct / greatest(n_words, 1)",
 }
 
 
@@ -101,7 +102,8 @@ class Rule:
     def column(self) -> Column:
         out = None
         for name, above, t in self.conditions:
-            c = FEATURES[name] > F.lit(t) if above else FEATURES[name] <= F.lit(t)
+            value = F.expr(FEATURES[name])
+            c = value > F.lit(t) if above else value <= F.lit(t)
             out = c if out is None else out & c
         return out
 
@@ -182,7 +184,7 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, most: int = MAX_LAB
     names = list(FEATURES)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    rows = stats.select("doc_id", *[c.alias(n) for n, c in FEATURES.items()]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *names).collect()
+    rows = stats.select("doc_id", *[F.expr(c).alias(n) for n, c in FEATURES.items()]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *names).collect()
     return np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, len(names)), np.array([r.quality == 0 for r in rows], dtype=bool), names
 
 
