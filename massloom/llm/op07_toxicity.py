@@ -138,7 +138,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swaps: list[tuple[np.ndarray, np.
     w, b, vw, vb = np.zeros(m), 0.0, np.zeros(m), 0.0
     scale = 1 / np.sqrt(np.bincount(col, minlength=m) + 10.0)  # rare features move as far as common ones
     rate = 4.0
-    for step in range(STEPS):
+    if len(lost):  # and no feature further than the penalty's curvature allows
+        wide = max(1, int(np.bincount(swap_row, minlength=len(lost)).max()))
+        scale = 1 / (1 / scale + rate * fair * wide * np.bincount(swap_col, minlength=m) / len(lost))
+    for _ in range(STEPS):
         lw, lb = w + 0.9 * vw, b + 0.9 * vb
         d = (sigmoid(np.bincount(doc, weights=lw[col], minlength=len(y)) + lb) - y) * weight
         g = np.bincount(col, weights=d[doc], minlength=m) + RIDGE / len(y) * lw * 10
