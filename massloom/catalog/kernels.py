@@ -1,0 +1,84 @@
+"""Operators that run per-group Arrow kernels; these have no SQL twin."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from massloom.catalog import query
+from massloom.functions.mass import neutral_mass
+from massloom.operators import isotopes, spectra
+from massloom.plans.views import view
+
+
+@query()
+def deconvolute_graph(spark, d):
+    """Deisotoped, charge-resolved peaks of every scan."""
+    p = view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr")
+    return spectra.deconvolute(p, tolerance=1e-4)
+
+
+@query()
+def isotopic_cluster(spark, d):
+    """Averagine patterns at each target's m/z and charge."""
+    t = view(spark, d, "v_target").filter("target_id % 10 = 0").select("target_id", "target_mass", F.explode(F.expr("sequence(1, 3)")).alias("charge"))
+
+    def kernel(batches):
+        unit = isotopes.AVERAGINES["peptide"]
+        for b in batches:
+            x, y = [], []
+            for mz, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                m, p = isotopes.isotopic_cluster(unit, mz, z)
+                x.append(m.tolist())
+                y.append(p.tolist())
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64()))], ["target_id", "charge", "mz", "intensity"])
+
+    return t.mapInArrow(kernel, "target_id long, charge int, mz array<double>, intensity array<double>")
+
+
+@query()
+def pick_peaks(spark, d):
+    """Centroids of the embeddings read as profiles."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("y"))
+
+    def kernel(batches):
+        for b in batches:
+            rows = []
+            for i, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows += [(i, *p) for p in spectra.pick_peaks(np.arange(len(y), dtype=float), np.asarray(y), 0.0)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["vec_id", "mz", "intensity", "fwhm"])
+
+    return e.mapInArrow(kernel, "vec_id long, mz double, intensity double, fwhm double")
+
+
+@query()
+def average_scans(spark, d):
+    """The mean profile of each label's embeddings on a half-step grid."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("long").alias("label"), F.pmod("vec_id", F.lit(16)).alias("part"), F.col("embedding").cast("array<double>").alias("y"))
+
+    def kernel(key, table):
+        profiles = [(np.arange(len(y), dtype=float), np.asarray(y)) for y in table.column("y").to_pylist()]
+        x, y = spectra.average_profiles(profiles, 0.5)
+        return pa.table({"label": [key[0].as_py()] * len(x), "mz": x, "total": y * len(profiles), "n": np.full(len(x), len(profiles))})
+
+    # sums of bounded parts, then one mean for each grid point
+    parts = e.groupBy("label", "part").applyInArrow(kernel, "label long, mz double, total double, n long")
+    return parts.groupBy("label", "mz").agg((F.sum("total") / F.sum("n")).alias("intensity"))
+
+
+@query()
+def trace_features(spark, d):
+    """Features of each channel's signal over time."""
+    p = view(spark, d, "v_signal").select("channel", F.col("event_id").alias("id"), "mz", F.unix_micros("ts").alias("time"), "intensity")
+    return spectra.trace_features(p, 2e-5, ("channel",))
+
+
+@query()
+def cluster_scans(spark, d):
+    """Scans clustered by precursor mass and binned cosine."""
+    s = view(spark, d, "v_peak_scan").select("scan_id", neutral_mass(F.col("precursor_mz"), F.col("charge")).alias("mass"))
+    b = view(spark, d, "v_peak").groupBy("scan_id", F.floor("mz").alias("bin")).agg(F.sum("intensity").alias("i"))
+    v = b.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("bin", "i"))).alias("x"), F.sum("i").alias("tic"))
+    return spectra.cluster_scans(s.join(v, "scan_id").select("scan_id", "mass", "tic", F.col("x.bin").alias("bins"), F.col("x.i").alias("values")), 2e-3)
