@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from massloom.catalog import query
 from massloom.functions.mass import PROTON, neutral_mass
 from massloom.operators.joins import range_join
-from massloom.operators.ordered import coalesce_spans
+from massloom.operators.ordered import coalesce_spans, group_scans, previous_where
+from massloom.plans.store import materialize
 from massloom.plans.views import view
 
 MASS = f"precursor_mz * charge - charge * {PROTON}"
@@ -18,8 +18,7 @@ MASS = f"precursor_mz * charge - charge * {PROTON}"
 SELECT scan_id, precursor_id, charge, round(precursor_mz, 6) AS mz, round({MASS}, 5) AS neutral_mass, precursor_id IS NULL AS orphan FROM g WHERE ms_level = 2""")
 def index_build(spark, d):
     """A record for each product scan: precursor, charge, mass, whether it has none."""
-    w = W.orderBy("scan_time", "scan_id").rowsBetween(W.unboundedPreceding, 0)
-    g = view(spark, d, "v_scan").withColumn("precursor_id", F.last(F.when(F.col("ms_level") == 1, F.col("scan_id")), ignorenulls=True).over(w)).filter("ms_level = 2")
+    g = previous_where(view(spark, d, "v_scan"), ["scan_time", "scan_id"], F.col("ms_level") == 1, "scan_id", "precursor_id").filter("ms_level = 2")
     return g.select("scan_id", "precursor_id", "charge", F.round("precursor_mz", 6).alias("mz"), F.round(neutral_mass(F.col("precursor_mz"), F.col("charge")), 5).alias("neutral_mass"), F.col("precursor_id").isNull().alias("orphan"))
 
 
@@ -42,11 +41,13 @@ a AS (SELECT g, min(scan_time) FILTER (ms_level = 1) AS t, max(scan_time) AS las
 SELECT CAST(g AS BIGINT) AS group_id, round(coalesce(lead(t) OVER (ORDER BY g), last_t) - t, 6) AS duty_cycle, round(tic, 4) AS tic, n_products FROM a""")
 def ms1_diagnostics(spark, d):
     """Duty cycle, signal and products of each MS1; the last one's cycle ends with its last product."""
-    w = W.orderBy("scan_time", "scan_id").rowsBetween(W.unboundedPreceding, 0)
-    g = view(spark, d, "v_scan").withColumn("group_id", F.sum((F.col("ms_level") == 1).cast("int")).over(w)).filter("group_id > 0")
+    g = group_scans(view(spark, d, "v_scan"), ["scan_time", "scan_id"]).filter("group_id > 0")
     one = F.col("ms_level") == 1
     a = g.groupBy("group_id").agg(F.min(F.when(one, F.col("scan_time"))).alias("t"), F.max("scan_time").alias("last_t"), F.sum(F.when(one, F.col("tic"))).alias("tic"), F.count(F.when(~one, 1)).alias("n_products"))
-    cycle = F.coalesce(F.lead("t").over(W.orderBy("group_id")), F.col("last_t")) - F.col("t")
+    # the next group's time by its number: an equality, where a window would order all groups in one task
+    a = materialize(a, "ms1-groups")
+    a = a.join(a.select((F.col("group_id") - 1).alias("group_id"), F.col("t").alias("next_t")), "group_id", "left")
+    cycle = F.coalesce("next_t", "last_t") - F.col("t")
     return a.select("group_id", F.round(cycle, 6).alias("duty_cycle"), F.round("tic", 4).alias("tic"), "n_products")
 
 

@@ -14,7 +14,7 @@ from massloom.plans.views import view
 
 @query()
 def deconvolute_graph(spark, d):
-    """Deisotoped, charge-resolved peaks of every scan."""
+    """Monoisotopic masses with their charges, for every scan."""
     p = view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr")
     return spectra.deconvolute(p, tolerance=1e-4)
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from massloom.catalog import query
 from massloom.operators.ordered import group_scans as open_groups
-from massloom.operators.ordered import next_where, previous_where, sliding_windows
+from massloom.operators.ordered import next_where, previous_where, row_numbers, sliding_windows
 from massloom.plans.views import view
 
 ORDER = ["scan_time", "scan_id"]
@@ -68,7 +68,7 @@ w AS (SELECT tic, n, unnest(range(greatest(0, CAST(floor((n - 10) / 5.0) AS BIGI
 SELECT window_id, count(*) AS n_scans, round(avg(tic) * 10, 3) AS intensity FROM w GROUP BY window_id""")
 def merge_ms1_windows(spark, d):
     """Count windows of ten MS1 scans that slide by five; the mean times the width."""
-    m = view(spark, d, "v_scan").filter("ms_level = 1").withColumn("n", F.row_number().over(W.orderBy(*ORDER)) - 1)
+    m = row_numbers(view(spark, d, "v_scan").filter("ms_level = 1"), ORDER, "n").withColumn("n", F.col("n") - 1)
     return sliding_windows(m, "n", 10, 5).groupBy("window_id").agg(F.count("*").alias("n_scans"), F.round(F.avg("tic") * 10, 3).alias("intensity"))
 
 
@@ -77,7 +77,7 @@ SELECT scan_id, run, row_number() OVER (ORDER BY scan_time, scan_id) AS position
 def kway_merge(spark, d):
     v = view(spark, d, "v_scan").select("scan_id", "scan_time", "polarity")
     u = v.filter("polarity = 1").withColumn("run", F.lit("a")).unionByName(v.filter("polarity = -1").withColumn("run", F.lit("b")))
-    return u.select("scan_id", "run", F.row_number().over(W.orderBy(*ORDER)).cast("long").alias("position"))
+    return row_numbers(u, ORDER, "position").select("scan_id", "run", "position")
 
 
 @query("""WITH c AS (SELECT channel, event_id, row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) AS n FROM v_signal)

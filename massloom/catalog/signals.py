@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from massloom.catalog import query
+from massloom.operators.ordered import row_numbers
 from massloom.plans.views import view
 
 W_SQL = "OVER (PARTITION BY run ORDER BY ts, event_id)"
@@ -58,8 +59,10 @@ def base_peak(spark, d):
 @query("""WITH m AS (SELECT scan_id, scan_time, tic FROM v_scan WHERE ms_level = 1)
 SELECT scan_id, round(avg(tic) OVER (ORDER BY scan_time, scan_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 4) AS average FROM m""")
 def adjacent_average(spark, d):
-    w = W.orderBy("scan_time", "scan_id").rowsBetween(-2, 2)
-    return view(spark, d, "v_scan").filter("ms_level = 1").select("scan_id", F.round(F.avg("tic").over(w), 4).alias("average"))
+    m = row_numbers(view(spark, d, "v_scan").filter("ms_level = 1"), ["scan_time", "scan_id"], "n")
+    near = m.select("tic", F.explode(F.sequence(F.col("n") - 2, F.col("n") + 2)).alias("n"))
+    average = near.groupBy("n").agg(F.avg("tic").alias("a"))
+    return m.select("n", "scan_id").join(average, "n").select("scan_id", F.round("a", 4).alias("average"))
 
 
 @query("""WITH m AS (SELECT scan_id, scan_time, tic FROM v_scan WHERE ms_level = 1 AND scan_id % 7 < 3), p AS (SELECT a.scan_id, exp(-pow(a.scan_time - b.scan_time, 2) / (2 * 0.025 * 0.025)) AS w, b.tic FROM m a JOIN m b ON abs(a.scan_time - b.scan_time) <= 0.1)

@@ -1,4 +1,11 @@
-"""Order-dependent operators: ranks, gaps, sessions, groups of scans, sliding windows."""
+"""Order-dependent operators: ranks, gaps, sessions, groups of scans, sliding windows.
+
+Where rows are ordered inside keys, plain windows do. Where a whole table is in
+one order, a window would bring all rows to one task. Those operators cut the
+table into ranges of the order first (:func:`ordered_blocks`), work inside each
+block, and carry totals or last values from block to block through a table of
+one row for each block.
+"""
 
 from __future__ import annotations
 
@@ -6,36 +13,92 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from massloom.plans.store import materialize
+
 
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
     return rows.withColumn("_rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def sessionize(rows: DataFrame, by: list[str], order: list[Column], breaks: Column, name: str = "session") -> DataFrame:
-    """Number the runs of rows from 0: a new one starts where ``breaks`` is true. Within it ``_prev`` is the row before."""
-    w = W.partitionBy(*by).orderBy(*order)
-    prev = F.lag(F.struct(*rows.columns)).over(w)
-    marked = rows.withColumn("_prev", prev).withColumn("_new", F.coalesce(breaks, F.lit(False)).cast("int"))
-    return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_prev", "_new")
+def ordered_blocks(rows: DataFrame, order: list, blocks: int | None = None) -> DataFrame:
+    """The rows with ``_block``, the number of their range in the order, and ``_n``, their place in the block.
 
+    The table is written once, so that the ranges stay what they are however
+    often it is read.
+    """
+    n = blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(rows.repartitionByRange(n, *order).withColumn("_block", F.spark_partition_id()), "blocks")
+    return cut.withColumn("_n", F.row_number().over(W.partitionBy("_block").orderBy(*order)))
+
+
+def inside(order: list | None = None) -> W:
+    return W.partitionBy("_block").orderBy(*(order or ["_n"])).rowsBetween(W.unboundedPreceding, 0)
 
-def previous_where(rows: DataFrame, order: list[Column], when: Column, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """The value of the last row, this one included, for which ``when`` holds: an as-of lookup."""
-    w = W.partitionBy(*(by or [])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(F.when(when, F.col(value)), ignorenulls=True).over(w))
 
+def add_before(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Running total over blocks and inside them, this row included."""
+    sums = rows.groupBy("_block").agg(F.sum(value).alias("_s"))
+    before = sums.select("_block", (F.sum("_s").over(W.orderBy("_block")) - F.col("_s")).alias("_before"))
+    own = rows.withColumn("_own", F.sum(value).over(inside())).join(F.broadcast(before), "_block")
+    return own.withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before")
 
-def next_where(rows: DataFrame, order: list[Column], when: Column, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """The value of the first later row for which ``when`` holds."""
-    w = W.partitionBy(*(by or [])).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    return rows.withColumn(name, F.first(F.when(when, F.col(value)), ignorenulls=True).over(w))
 
+def running_total(rows: DataFrame, order: list, value: Column, name: str) -> DataFrame:
+    """The total of ``value`` up to each row of the whole table."""
+    return add_before(ordered_blocks(rows, order), value, name).drop("_block", "_n")
 
-def group_scans(scans: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
+
+def row_numbers(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """The place of each row in the whole table, from 1."""
+    return add_before(ordered_blocks(rows, order), F.lit(1), name).drop("_block", "_n")
+
+
+def previous_where(rows: DataFrame, order: list, when: Column, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """The value of the last row, this one included, for which ``when`` holds: an as-of lookup."""
+    held = F.when(when, F.col(value))
+    if by:
+        return rows.withColumn(name, F.last(held, ignorenulls=True).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    b = ordered_blocks(rows, order)
+    last = b.groupBy("_block").agg(F.max_by(held, F.when(held.isNotNull(), F.col("_n"))).alias("_l"))
+    carry = last.select("_block", F.last("_l", ignorenulls=True).over(W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)).alias("_c"))
+    own = b.withColumn("_own", F.last(held, ignorenulls=True).over(inside())).join(F.broadcast(carry), "_block")
+    return own.withColumn(name, F.coalesce("_own", "_c")).drop("_own", "_c", "_block", "_n")
+
+
+def next_where(rows: DataFrame, order: list, when: Column, value: str, name: str) -> DataFrame:
+    """The value of the first later row of the whole table for which ``when`` holds."""
+    held = F.when(when, F.col(value))
+    b = ordered_blocks(rows, order)
+    first = b.groupBy("_block").agg(F.min_by(held, F.when(held.isNotNull(), F.col("_n"))).alias("_f"))
+    carry = first.select("_block", F.first("_f", ignorenulls=True).over(W.orderBy("_block").rowsBetween(1, W.unboundedFollowing)).alias("_c"))
+    ahead = W.partitionBy("_block").orderBy("_n").rowsBetween(1, W.unboundedFollowing)
+    own = b.withColumn("_own", F.first(held, ignorenulls=True).over(ahead)).join(F.broadcast(carry), "_block")
+    return own.withColumn(name, F.coalesce("_own", "_c")).drop("_own", "_c", "_block", "_n")
+
+
+def sessionize(rows: DataFrame, by: list[str], order: list, breaks: Column, name: str = "session") -> DataFrame:
+    """Number the runs of rows from 0: a new one starts where ``breaks`` is true. In it ``_prev`` is the row before."""
+    row = F.struct(*rows.columns)
+    new = F.coalesce(breaks, F.lit(False)).cast("int")
+    if by:
+        w = W.partitionBy(*by).orderBy(*order)
+        marked = rows.withColumn("_prev", F.lag(row).over(w)).withColumn("_new", new)
+        return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_prev", "_new")
+    b = ordered_blocks(rows, order)
+    last = b.groupBy("_block").agg(F.max_by(row, "_n").alias("_l"))
+    carry = last.select("_block", F.lag("_l").over(W.orderBy("_block")).alias("_c"))
+    own = b.withColumn("_lag", F.lag(row).over(W.partitionBy("_block").orderBy("_n"))).join(F.broadcast(carry), "_block")
+    marked = own.withColumn("_prev", F.coalesce("_lag", "_c")).withColumn("_new", new).drop("_lag", "_c", "_prev")
+    return add_before(marked, F.col("_new"), name).drop("_new", "_block", "_n")
+
+
+def group_scans(scans: DataFrame, order: list, by: list[str] | None = None) -> DataFrame:
     """Number the groups that each MS1 opens for the product scans that follow; products before the first get 0."""
-    w = W.partitionBy(*(by or [])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return scans.withColumn("group_id", F.sum((F.col("ms_level") == 1).cast("int")).over(w))
+    opens = (F.col("ms_level") == 1).cast("int")
+    if by:
+        return scans.withColumn("group_id", F.sum(opens).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    return running_total(scans, order, opens, "group_id")
 
 
 def sliding_windows(rows: DataFrame, ordinal: str, width: int, slide: int) -> DataFrame:
