@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from massloom.llm.textkit import Powers, byte_codes, is_gap, list_column, mix, runs, slices, span_hashes
 
 #: Labelled and unlabelled documents that the classifiers are fitted on, at most (those of the smallest hashed ids).
-MAX_LABELLED, MAX_UNLABELLED = 10_000, 10_000
+MAX_LABELLED, MAX_UNLABELLED = 6_000, 6_000
 ROUNDS, SHARE, SURE = 4, 0.05, 0.95
 RIDGE = 1e-3
 META = ["lang", "source", "n_chars"]
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, unlabell
     seen = rows.join(named, "doc_id").select("doc_id", "y", "text", "slots").mapInArrow(kernel, "doc_id long, y int, x array<float>, slots array<int>").toArrow()
     if not seen.num_rows:
         return CoTrained(None, None, 0.0)
-    x = np.array(seen.column("x").to_pylist(), dtype=float)
+    x = seen.column("x").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, TEXT_SIZE)
     meta = meta_view(seen.column("slots").to_pylist())
     ids, y = seen.column("doc_id").to_numpy(), seen.column("y").to_numpy().astype(float)
     order = np.lexsort((*x[:, -3:].T, y, ids))  # the order of arrival does not matter

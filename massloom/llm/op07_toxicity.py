@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import Powers, ascii_lower, byte_codes, list_column, mix, runs, slices, span_hashes, texts_of
+from massloom.llm.textkit import Powers, ascii_lower, byte_codes, list_column, mix, parts, runs, slices, span_hashes, texts_of
+from massloom.plans.store import materialize
 
 #: Labelled documents that the model is fitted on, at most (those of the smallest hashed ids).
 MAX_LABELLED = 10_000
@@ -90,6 +91,14 @@ class Model:
         return float(sigmoid(np.array(self.slope * self.raw(held) + self.offset)))
 
 
+def span_hash(word: str, pows: Powers) -> int:
+    return int(next(hashed_features(pa.array([word]), pows))[2][0])
+
+
+def term_hashes(pows: Powers) -> np.ndarray:
+    return np.sort(np.array([span_hash(t, pows) for terms in IDENTITIES.values() for t in terms], dtype=np.uint64))
+
+
 def swap_pairs(rows: list[np.ndarray], words: list[np.ndarray], pows: Powers) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features lost, features won) for every swap of a group term in a labelled row."""
     out = []
@@ -104,27 +113,22 @@ def swap_pairs(rows: list[np.ndarray], words: list[np.ndarray], pows: Powers) ->
     return out
 
 
-def span_hash(word: str, pows: Powers) -> int:
-    return int(next(hashed_features(pa.array([word]), pows))[2][0])
+def present(names: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The values of ``held`` that are among the sorted ``names``."""
+    if not len(names) or not len(held):
+        return held[:0]
+    return held[names[np.minimum(np.searchsorted(names, held), len(names) - 1)] == held]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], fair: float = FAIR) -> Model:
-    """Ridge logistic regression by accelerated gradient steps, with the counterfactual penalty."""
-    if not len(rows) or y.min() == y.max():
+def fit(names: np.ndarray, rows: list[np.ndarray], y: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], fair: float = FAIR) -> Model:
+    """Ridge logistic regression over the sorted features ``names`` by accelerated gradient steps, with the counterfactual penalty."""
+    if not len(rows) or y.min() == y.max() or not len(names):
         rate = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    every = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    names, col, df = np.unique(every, return_inverse=True, return_counts=True)
-    pos = np.bincount(col, weights=y[doc], minlength=len(names))
     p, n = y.sum(), len(y) - y.sum()
-    odds = np.log((pos + 0.5) / (p + 1)) - np.log((df - pos + 0.5) / (n + 1))
-    worth = np.where(df >= LEAST_DOCUMENTS, np.abs(odds) * np.sqrt(df), -1)
-    keep = np.sort(np.argsort(-worth, kind="stable")[: min(MOST_FEATURES, int((worth > 0).sum()))])
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    good = place[col] >= 0
-    doc, col, names = doc[good], place[col[good]], names[keep]
+    rows = [present(names, r) for r in rows]
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    col = np.searchsorted(names, np.concatenate(rows))
     m = len(names)
     lost, won = [], []  # rows of the swap matrix, by column
     for a, b in swaps:
@@ -138,14 +142,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, swaps: list[tuple[np.ndarray, np.
     w, b, vw, vb = np.zeros(m), 0.0, np.zeros(m), 0.0
     scale = 1 / np.sqrt(np.bincount(col, minlength=m) + 10.0)  # rare features move as far as common ones
     rate = 4.0
-    if len(lost):  # and no feature further than the penalty's curvature allows
+    if len(swap_col):  # and no feature further than the penalty's curvature allows
         wide = max(1, int(np.bincount(swap_row, minlength=len(lost)).max()))
         scale = 1 / (1 / scale + rate * fair * wide * np.bincount(swap_col, minlength=m) / len(lost))
     for _ in range(STEPS):
         lw, lb = w + 0.9 * vw, b + 0.9 * vb
         d = (sigmoid(np.bincount(doc, weights=lw[col], minlength=len(y)) + lb) - y) * weight
         g = np.bincount(col, weights=d[doc], minlength=m) + RIDGE / len(y) * lw * 10
-        if len(lost):
+        if len(swap_col):
             change = np.bincount(swap_row, weights=swap_sign * lw[swap_col], minlength=len(lost))
             g += fair / len(lost) * np.bincount(swap_col, weights=swap_sign * change[swap_row], minlength=m)
         vw, vb = 0.9 * vw - rate * scale * g, 0.9 * vb - 0.2 * rate * d.sum()
@@ -170,6 +174,46 @@ def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray) -> None:
     model.slope, model.offset = float(max(a, 1e-3)), float(b)
 
 
+def select_features(labelled: DataFrame, positives: int, negatives: int) -> np.ndarray:
+    """The features that tell the labels of (toxic, text) apart best: sorted, at most MOST_FEATURES.
+
+    Each batch counts its own documents first; the counts meet in a combinable sum.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pows = Powers()
+        for b in parts(batches):
+            for first in range(0, b.num_rows, 256):
+                part = b.slice(first, 256)
+                held = [h for _, h, _ in hashed_features(part.column(1), pows)]
+                names, at, df = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+                label = np.repeat(part.column(0).to_numpy().astype(float), [len(h) for h in held])
+                pos = np.bincount(at, weights=label, minlength=len(names)).astype(np.int64)
+                yield pa.record_batch([pa.array(names.view(np.int64)), pa.array(df.astype(np.int64)), pa.array(pos)], ["v", "df", "pos"])
+
+    counts = labelled.select("toxic", "text").mapInArrow(kernel, "v long, df long, pos long").groupBy("v").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    odds = F.log((F.col("pos") + 0.5) / (positives + 1)) - F.log((F.col("df") - F.col("pos") + 0.5) / (negatives + 1))
+    best = counts.filter(F.col("df") >= LEAST_DOCUMENTS).withColumn("worth", F.round(F.abs(odds) * F.sqrt("df"), 9)).filter("worth > 0").orderBy(F.desc("worth"), "v").limit(MOST_FEATURES)
+    return np.sort(np.array([r.v for r in best.select("v").collect()], dtype=np.int64).view(np.uint64))
+
+
+def encode(labelled: DataFrame, names: np.ndarray) -> pa.Table:
+    """(part, toxic, held, terms) for each labelled row: the selected features and group terms in it."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pows = Powers()
+        terms = term_hashes(pows)
+        for b in parts(batches):
+            held, seen = [], []
+            for _, h, w in hashed_features(b.column(2), pows):
+                held.append(present(names, h).view(np.int64))
+                seen.append(np.unique(present(terms, w)).view(np.int64))
+            yield pa.record_batch([b.column(0), b.column(1), list_column(held, np.int64, pa.int64()), list_column(seen, np.int64, pa.int64())], ["part", "toxic", "held", "terms"])
+
+    out = labelled.select("part", "toxic", "text", "doc_id", F.xxhash64("text").alias("h")).orderBy("doc_id", "toxic", "h")  # the order of arrival does not matter
+    return out.select("part", "toxic", "text").mapInArrow(kernel, "part int, toxic int, held array<long>, terms array<long>").toArrow()
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, fair: float = FAIR) -> Model:
     """A calibrated model from at most ``most`` labelled documents; three quarters fit, the rest calibrates.
 
@@ -178,28 +222,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, fair: fl
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropna()
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pows = Powers()
-        for b in batches:
-            held, words = [], []
-            for _, h, w in hashed_features(b.column(2), pows):
-                held.append(h.view(np.int64))
-                words.append(w.view(np.int64))
-            yield pa.record_batch([b.column(0), b.column(1), list_column(held, np.int64, pa.int64()), list_column(words, np.int64, pa.int64())], ["doc_id", "toxic", "held", "words"])
-
-    rows = texts_of(docs).join(known, "doc_id").select("doc_id", "toxic", "text").mapInArrow(kernel, "doc_id long, toxic int, held array<long>, words array<long>").toArrow()
-    if not rows.num_rows:
+    labelled = texts_of(docs).join(known, "doc_id").select("doc_id", "toxic", "text", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("part"))
+    labelled = materialize(labelled, "toxicity-labelled")
+    inside = labelled.filter("part <> 0")
+    n = {r.toxic: r["count"] for r in inside.groupBy("toxic").count().collect()}
+    names = select_features(inside, n.get(1, 0), n.get(0, 0)) if len(n) == 2 else np.zeros(0, np.uint64)
+    rows = encode(labelled, names)
+    part, y = rows.column("part").to_numpy(), rows.column("toxic").to_numpy().astype(float)
+    if not len(y):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    held = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in rows.column("held").to_numpy()]
-    words = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in rows.column("words").to_numpy()]
-    ids, y = rows.column("doc_id").to_numpy(), rows.column("toxic").to_numpy().astype(float)
-    order = np.lexsort((y, [len(h) for h in held], ids))  # the order of arrival does not matter
-    part = mix(ids[order].astype(np.int64).view(np.uint64)) % np.uint64(4)
-    inside, outside = order[part != 0], order[part == 0]
-    swaps = swap_pairs([held[i] for i in inside], [words[i] for i in inside], Powers())
-    model = fit([held[i] for i in inside], y[inside], swaps, fair)
-    calibrate(model, [held[i] for i in outside], y[outside])
+    held, terms = ([np.asarray(x, dtype=np.int64).view(np.uint64) for x in rows.column(c).to_numpy()] for c in ("held", "terms"))
+    own, rest = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
+    swaps = swap_pairs([held[i] for i in own], [terms[i] for i in own], Powers())
+    model = fit(names, [held[i] for i in own], y[own], swaps, fair) if len(own) else Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    calibrate(model, [held[i] for i in rest], y[rest])
     return model
 
 
@@ -213,7 +249,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
-        for b in batches:
+        for b in parts(batches):
             scores = np.array([sent.value.score(h) for _, h, _ in hashed_features(b.column(1), pows)], dtype=float)
             yield pa.record_batch([b.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -227,7 +263,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
-        for b in batches:
+        for b in parts(batches):
             keep = [row for row, h, _ in hashed_features(b.column(where), pows) if model.value.score(h) < 0.5]
             yield b.take(pa.array(keep, pa.int64()))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import Powers, list_column, shingle_sets, texts_of
+from massloom.llm.textkit import Powers, list_column, parts, shingle_sets, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -74,7 +74,7 @@ def item_sets(items: DataFrame, size: int) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
-        for b in batches:
+        for b in parts(batches):
             sets = [s for _, s in shingle_sets(b.column(1), size, pows=pows)]
             yield pa.record_batch([b.column(0), list_column([s.view(np.int64) for s in sets], np.int64, pa.int64())], ["item_id", "shingles"])
 
@@ -99,7 +99,7 @@ def find_contained(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, th
     def search(index) -> DataFrame:
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pows, ix = Powers(), index.value
-            for b in batches:
+            for b in parts(batches):
                 rows, found, shared = [], [], []
                 for row, held in shingle_sets(b.column(1), size, pows=pows):
                     for k, n in ix.search(held):

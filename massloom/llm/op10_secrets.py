@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import runs, slices, texts_of
+from massloom.llm.textkit import parts, runs, slices, texts_of
 
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -296,7 +296,7 @@ def find_secrets(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
     net = docs.sparkSession.sparkContext.broadcast(net or train(docs))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             for row, found in scan_batch(batch.column(1), net.value):
                 spans[row] = found
@@ -334,7 +334,7 @@ def redact(docs: DataFrame, net: CharNet | None = None, mark: str = "<SECRET>")
         return "".join(out) + text[at:] if starts else text
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             texts = batch.column(where).to_pylist()
             for k, found in scan_batch(batch.column(where), net.value):
                 texts[k] = clean(texts[k], [s for s, *_ in found], [e for _, _, e, _ in found])

@@ -147,6 +147,13 @@ def shingle_sets(texts: pa.Array, size: int, lower: bool = True, pows: Powers |
                 yield first + row, windows[:0]
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that what a kernel holds and returns at once stays small."""
+    for b in batches:
+        for first in range(0, b.num_rows, rows):
+            yield b.slice(first, rows)
+
+
 def list_column(parts: list[np.ndarray], dtype: type, arrow: pa.DataType) -> pa.Array:
     """A list column from one array for each row."""
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
