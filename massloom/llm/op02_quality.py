@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import Powers, byte_codes, is_gap, list_column, mix, runs, slices, span_hashes
+from massloom.llm.textkit import Powers, byte_codes, is_gap, list_column, mix, runs, slices, smallest_hashed, span_hashes
 
 #: Labelled and unlabelled documents that the classifiers are fitted on, at most (those of the smallest hashed ids).
 MAX_LABELLED, MAX_UNLABELLED = 6_000, 6_000
@@ -190,10 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, unlabell
     harmless; without labels of both kinds the score is the prior.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").dropna()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
+    known = smallest_hashed(known, most, "doc_id", "y")
     rows = with_meta(docs)
     # the pool: the smallest hashed ids among all rows, less the labelled ones
-    pool = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled).join(known, "doc_id", "left_anti").dropna().distinct()
+    pool = smallest_hashed(rows.select("doc_id"), unlabelled, "doc_id").join(known, "doc_id", "left_anti").dropna().distinct()
     named = known.unionByName(pool.withColumn("y", F.lit(-1)))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

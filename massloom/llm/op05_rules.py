@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import GAP
+from massloom.llm.textkit import GAP, smallest_hashed
 from massloom.plans.store import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -183,7 +183,7 @@ def labelled_statistics(stats: DataFrame, labels: DataFrame, most: int = MAX_LAB
     """(features, whether bad, feature names) of at most ``most`` labelled documents, in hashed order of their ids."""
     names = list(FEATURES)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    known = smallest_hashed(known, most, "doc_id", "quality")
     rows = stats.select("doc_id", *[F.expr(c).alias(n) for n, c in FEATURES.items()]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *names).collect()
     return np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, len(names)), np.array([r.quality == 0 for r in rows], dtype=bool), names
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import Powers, ascii_lower, byte_codes, list_column, mix, parts, runs, slices, span_hashes, texts_of
+from massloom.llm.textkit import Powers, ascii_lower, byte_codes, list_column, mix, parts, runs, slices, smallest_hashed, span_hashes, texts_of
 from massloom.plans.store import materialize
 
 #: Labelled documents that the model is fitted on, at most (those of the smallest hashed ids).
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, fair: fl
     without labels of both kinds the score is the rate of label 1.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropna()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
+    known = smallest_hashed(known, most, "doc_id", "toxic")
     labelled = texts_of(docs).join(known, "doc_id").select("doc_id", "toxic", "text", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("part"))
     labelled = materialize(labelled, "toxicity-labelled")
     inside = labelled.filter("part <> 0")

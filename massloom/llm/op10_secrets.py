@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import parts, runs, slices, texts_of
+from massloom.llm.textkit import parts, runs, slices, smallest_hashed, texts_of
 
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -219,13 +219,14 @@ def base_findings(text: bytes) -> list[tuple[int, int, int]]:
 def train(docs: DataFrame, seed: int = SEED) -> CharNet:
     """A calibrated network from generated findings and a bounded sample of the corpus.
 
-    The sample is the SAMPLE_DOCS rows of the smallest hash. Its candidates
+    The sample is the documents of the SAMPLE_DOCS smallest hashed ids. Its candidates
     inside a fixed-pattern finding are secrets, the others are not; runs of
     digits alone (card and phone numbers that look like hex) are left out.
     """
     rng = np.random.default_rng(seed)
     lines = generated_findings(GENERATED, rng)
-    sample = docs.filter(F.length("text") > 0).orderBy(F.xxhash64("doc_id", F.substring("text", 1, 64)), "doc_id").limit(SAMPLE_DOCS).select("text").collect()
+    ids = smallest_hashed(docs.select("doc_id").dropna(), SAMPLE_DOCS, "doc_id").distinct()
+    sample = docs.dropna().join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     own: list[tuple[bytes, int, int, int]] = []
     for r in sample:
         text = r.text.encode()

@@ -165,3 +165,16 @@ def list_column(parts: list[np.ndarray], dtype: type, arrow: pa.DataType) -> pa.
 def texts_of(docs: DataFrame, *more: Column | str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The id, the text and what else is named; extra columns go, so their names can't clash."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
+
+
+def smallest_hashed(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` rows, those of the smallest hashed keys.
+
+    Rows that cannot be among them are left out before the sort, so that no
+    task sends its own ``most`` rows to the driver.
+    """
+    h = F.xxhash64(keys[0])
+    n = rows.count()
+    if n > 2 * most:
+        rows = rows.filter(h < NO_ID + int(1.5 * most / n * 2**64))
+    return rows.orderBy(h, *keys).limit(most)
