@@ -220,8 +220,9 @@ def train(docs: DataFrame, seed: int = SEED) -> CharNet:
     """A calibrated network from generated findings and a bounded sample of the corpus.
 
     The sample is the documents of the SAMPLE_DOCS smallest hashed ids. Its candidates
-    inside a fixed-pattern finding are secrets, the others are not; runs of
-    digits alone (card and phone numbers that look like hex) are left out.
+    inside a fixed-pattern finding are secrets, those without a digit are not.
+    Others with digits are not known to be either and are left out, as are runs
+    of digits alone (card and phone numbers that look like hex).
     """
     rng = np.random.default_rng(seed)
     lines = generated_findings(GENERATED, rng)
@@ -233,10 +234,12 @@ def train(docs: DataFrame, seed: int = SEED) -> CharNet:
         data = np.frombuffer(text, dtype=np.uint8)
         spans = base_findings(text)
         for _, a, b in zip(*candidates(data, np.array([0, len(data)])), strict=True):
-            if not text[a:b].isdigit():
+            found = any(s < b and a < e for s, _, e in spans)
+            digits = sum(48 <= c < 58 for c in text[a:b])
+            if digits < b - a and (found or not digits):
                 near = text[max(0, a - BEFORE) : b + AFTER]
                 at = a - max(0, a - BEFORE)
-                own.append((near, at, at + b - a, int(any(s < b and a < e for s, _, e in spans))))
+                own.append((near, at, at + b - a, int(found)))
     picked = rng.permutation(len(own))[:SAMPLE_CANDIDATES]
     lines += [own[i] for i in picked]
     codes, y = [], []
