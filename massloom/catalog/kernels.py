@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from massloom.catalog import query
 from massloom.functions.mass import neutral_mass
-from massloom.operators import isotopes, spectra
+from massloom.operators import compositions, isotopes, profiles, spectra
 from massloom.plans.views import view
 
 
@@ -82,3 +82,58 @@ def cluster_scans(spark, d):
     b = view(spark, d, "v_peak").groupBy("scan_id", F.floor("mz").alias("bin")).agg(F.sum("intensity").alias("i"))
     v = b.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("bin", "i"))).alias("x"), F.sum("i").alias("tic"))
     return spectra.cluster_scans(s.join(v, "scan_id").select("scan_id", "mass", "tic", F.col("x.bin").alias("bins"), F.col("x.i").alias("values")), 2e-3)
+
+
+def chromatograms(spark, d):
+    """Daily signal of each run."""
+    return view(spark, d, "v_signal").groupBy("run", F.unix_date(F.to_date("ts")).alias("day")).agg(F.sum("intensity").alias("y"))
+
+
+@query()
+def shape_fit(spark, d):
+    """How well each run's daily chromatogram has the shape of a peak."""
+
+    def kernel(key, table):
+        rows = sorted(zip(table.column("day").to_pylist(), table.column("y").to_pylist(), strict=True))
+        x, y = np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows])
+        return pa.table({"run": [key[0].as_py()], "n": pa.array([len(x)], pa.int32()), "score": [profiles.shape_score(x, y, "gaussian", 1)]})
+
+    return chromatograms(spark, d).groupBy("run").applyInArrow(kernel, "run long, n int, score double")
+
+
+@query()
+def profile_split(spark, d):
+    """Each run's daily chromatogram cut at its valleys."""
+
+    def kernel(key, table):
+        rows = sorted(zip(table.column("day").to_pylist(), table.column("y").to_pylist(), strict=True))
+        x, y = np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows])
+        cut = profiles.split_profile(x, y, 0.3)
+        return pa.table({"run": [key[0].as_py()] * len(cut), "part": pa.array(range(len(cut)), pa.int32()), "start": [float(a[0]) for a, _ in cut], "end": [float(a[-1]) for a, _ in cut], "total": [float(b.sum()) for _, b in cut]})
+
+    return chromatograms(spark, d).groupBy("run").applyInArrow(kernel, "run long, part int, start double, end double, total double")
+
+
+@query()
+def deconvolute_compositions(spark, d):
+    """Envelopes of a few sugar compositions in every scan."""
+    known = [(f"hex{h}hexnac{n}", {"C": 6 * h + 8 * n, "H": 10 * h + 13 * n + 2, "N": n, "O": 5 * h + 5 * n + 1}) for h in range(1, 5) for n in range(1, 3)]
+    return compositions.deconvolute_compositions(view(spark, d, "v_peak"), known, charges=range(1, 4), tolerance=1e-4)
+
+
+@query()
+def deconvolute_features(spark, d):
+    """Isotopic series among each channel's features of a day."""
+    f = view(spark, d, "v_signal").groupBy("channel", F.unix_date(F.to_date("ts")).alias("day"), F.round("mz", 2).alias("mz")).agg(F.min(F.unix_seconds("ts")).cast("double").alias("start"), F.max(F.unix_seconds("ts")).cast("double").alias("end"), F.sum("intensity").alias("intensity"))
+    table = spectra.patterns("peptide")[:, :4]
+    shares = table / table.sum(axis=1, keepdims=True)
+
+    def kernel(key, rows):
+        args = [rows.column(c).to_numpy().astype(float) for c in ("mz", "start", "end", "intensity")]
+        args[1], args[2] = np.floor(args[1] / 86400), np.floor(args[2] / 86400)
+        found = compositions.deconvolute_features(*args, lambda m: shares[min(max(int(round(m / spectra.STEP)) - 1, 0), len(shares) - 1)], range(1, 4), 1e-4, 1.0, 2)
+        cols = list(zip(*[f[:6] for f in found], strict=True)) or [[]] * 6
+        kinds = (pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.table([pa.array([key[0].as_py()] * len(found), pa.string()), pa.array([key[1].as_py()] * len(found), pa.int32()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["channel", "day", "neutral_mass", "charge", "start", "end", "intensity", "score"])
+
+    return f.groupBy("channel", "day").applyInArrow(kernel, "channel string, day int, neutral_mass double, charge int, start double, end double, intensity double, score double")
