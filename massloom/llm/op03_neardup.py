@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import NO_ID, Powers, list_column, mix, shingle_sets, texts_of
+from massloom.llm.textkit import NO_ID, Powers, list_column, mix, parts, shingle_sets, texts_of
 from massloom.operators.graph import connected_components
 from massloom.plans.store import materialize
 
@@ -58,7 +58,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
-        for b in batches:
+        for b in parts(batches):
             yield pa.record_batch([list_column([s.view(np.int64) for _, s in shingle_sets(b.column(0), size, pows=pows)], np.int64, pa.int64())], ["v"])
 
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE_ONE_IN)) == 0).select("text").distinct()
@@ -72,7 +72,7 @@ def sketches(docs: DataFrame, size: int, num: int, den: int, frequent: Broadcast
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows, hot = Powers(), frequent.value
-        for b in batches:
+        for b in parts(batches):
             n, fp, kept, union = [], [], [], []
             for _, s in shingle_sets(b.column(1), size, pows=pows):
                 n.append(len(s))
@@ -127,7 +127,7 @@ def similar_enough(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     sent = named_bits(pairs)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays(b.take(named(b, sent.value)).columns[1:], names=["doc_id", "n", "k"])
 
     sketch = materialize(hashed(sets, "n", "union_sketch").mapInArrow(kernel, "doc_id long, n long, k array<long>"), "neardup-unions")
@@ -149,7 +149,7 @@ def sets_of(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
-        for b in batches:
+        for b in parts(batches):
             rows = named(b, sent.value)
             sets = [s.view(np.int64) for _, s in shingle_sets(b.column(2).take(rows), size, pows=pows)]
             yield pa.record_batch([b.column(1).take(rows), list_column(sets, np.int64, pa.int64())], ["doc_id", "s"])
@@ -196,9 +196,9 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     # ids that stand for nothing but copies; a repeated id with a text of its own stays searchable
     copies = classed.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") != F.col("rep"), F.lit(False))).alias("c")).filter("c").select("doc_id")
 
-    rows = every.select("doc_id", F.explode("kept").alias("v"))
+    rows = every.select("doc_id", F.posexplode("kept").alias("pos", "v"))
     lists = rows.groupBy("v").agg(F.count("*").alias("len"), F.min("doc_id").alias("pivot")).filter("len > 1").drop("len")
-    live = materialize(rows.join(lists, "v").select("v", "doc_id", "pivot"), "neardup-lists")
+    live = materialize(rows.join(lists, "v").select("v", "doc_id", "pos", "pivot"), "neardup-lists")
     stars = live.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = materialize(stars.join(copies.withColumnRenamed("doc_id", "b"), "b", "left_anti"), "neardup-stars")
     checked = materialize(similar_enough(stars, every, num, den), "neardup-checked")
@@ -206,14 +206,16 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     first = connected_components(links, "a", "b")
 
     # lists that still hold several components: members outside the largest meet all others
-    searched = live.select("v", "doc_id").join(copies, "doc_id", "left_anti")
-    placed = searched.join(first, searched.doc_id == first.id, "left").select("v", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    searched = live.select("v", "doc_id", "pos").join(copies, "doc_id", "left_anti")
+    placed = searched.join(first, searched.doc_id == first.id, "left").select("v", "doc_id", "pos", F.coalesce("component", "doc_id").alias("c"))
     split = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
-    open_lists = materialize(placed.join(split, "v").join(every.select("doc_id", "n"), "doc_id").select("v", "doc_id", "n", "c"), "neardup-open")
+    open_lists = materialize(placed.join(split, "v").join(every.select("doc_id", "n"), "doc_id").select("v", "doc_id", "pos", "n", "c"), "neardup-open")
     sizes = open_lists.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "c"))["c"].alias("largest"))
-    few = open_lists.join(sizes, "v").filter("c <> largest").select("v", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    few = open_lists.join(sizes, "v").filter("c <> largest").select("v", F.col("doc_id").alias("x"), F.col("pos").alias("px"), F.col("n").alias("nx"), F.col("c").alias("cx"))
     fits = (F.col("c") != F.col("cx")) & (F.col("nx") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("nx") * den)
-    cross = few.join(open_lists, "v").filter(fits).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    # in the list of the first value that two sets share, all they share is still ahead in both
+    ahead = F.least(F.col("n") - F.col("pos"), F.col("nx") - F.col("px")) * (num + den) >= (F.col("n") + F.col("nx")) * num
+    cross = few.join(open_lists, "v").filter(fits & ahead).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "neardup-cross")
     more = materialize(similar_enough(cross, every, num, den), "neardup-checked")
     found = verify(more, docs, size, num, den)
