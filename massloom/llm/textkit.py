@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: The smallest long, standing in for a null id; it orders first.
 NO_ID = -(2**63)
 WORD = r"[^\x20\x09-\x0D]+"
