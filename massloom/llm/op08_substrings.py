@@ -12,7 +12,9 @@ minimiser occurrence form a super-k-mer.
    minimiser. Sorted by minimiser and streamed, each bucket finds for every
    window the earliest start, comparing words themselves, and emits the word
    ranges of later starts. Minimisers shared by very many super-k-mers are not
-   gathered: their windows are grouped as strings with a combinable minimum.
+   gathered: equal packed strings are grouped with a combinable minimum, so all
+   but the earliest of them are later as a whole, and only the earliest ones'
+   windows are grouped in turn.
 3. The ranges return to their documents, where the words go.
 """
 
@@ -26,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import NO_ID, Powers, byte_codes, is_gap, list_column, runs, slices, span_hashes, texts_of, window_hashes
+from massloom.llm.textkit import NO_ID, Powers, byte_codes, is_gap, list_column, parts, runs, slices, span_hashes, texts_of, window_hashes
 from massloom.plans.store import materialize
 
 WINDOW = 20
 SEED = 5
-#: A minimiser with more super-k-mers than this is grouped window by window.
-HOT = 2_000
+#: A bucket of so many packed strings fits in a task (about 100 MB with its
+#: windows); a minimiser with more of them is grouped by string and by window.
+HOT = 50_000
 KEY = ["doc_id", "h"]
 
 
@@ -70,7 +73,7 @@ def scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
-        for b in batches:
+        for b in parts(batches):
             words, sha, cuts, minis = [], [], [], []
             for text, (_, _, start, _, cut, _, m) in zip(b.column(2).to_pylist(), super_kmers(b.column(2), window, seed, pows), strict=True):
                 words.append(len(start))
@@ -83,13 +86,13 @@ def scan(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, live: DataFrame, window: int, seed: int) -> DataFrame:
-    """(m, hot, doc_id, h, start, packed): the words of each live super-k-mer, joined by single spaces."""
+    """(m, hot, doc_id, h, start, n, packed): the words of each live super-k-mer, joined by single spaces, and their number."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
-        for b in batches:
+        for b in parts(batches):
             places, hots = b.column(3).to_pylist(), b.column(4).to_pylist()
-            rows, ms, hot, starts, packed = [], [], [], [], []
+            rows, ms, hot, starts, ns, packed = [], [], [], [], [], []
             for row, data, ws, we, cut, n, m in super_kmers(b.column(2), window, seed, pows):
                 for at, is_hot in zip(places[row], hots[row], strict=True):
                     k = int(np.searchsorted(cut, at))
@@ -98,12 +101,12 @@ def pack(docs: DataFrame, live: DataFrame, window: int, seed: int) -> DataFrame:
                     ms.append(int(m[k].view(np.int64)))
                     hot.append(is_hot)
                     starts.append(lo)
+                    ns.append(hi - lo)
                     packed.append(b" ".join(data[ws[lo] : we[hi - 1]].tobytes().split()))
             take = pa.array(rows, pa.int64())
-            yield pa.record_batch([pa.array(ms, pa.int64()), pa.array(hot, pa.bool_()), b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(packed, pa.binary())], ["m", "hot", "doc_id", "h", "start", "packed"])
+            yield pa.record_batch([pa.array(ms, pa.int64()), pa.array(hot, pa.bool_()), b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(ns, pa.int32()), pa.array(packed, pa.binary())], ["m", "hot", "doc_id", "h", "start", "n", "packed"])
 
-    lists = live.groupBy(*KEY).agg(F.collect_set(F.struct("at", "hot")).alias("l")).select(*KEY, "l.at", "l.hot")
-    return docs.join(lists, KEY).select(*KEY, "text", "at", "hot").mapInArrow(kernel, "m long, hot boolean, doc_id long, h long, start int, packed binary")
+    return docs.join(live, KEY).select(*KEY, "text", "at", "hot").mapInArrow(kernel, "m long, hot boolean, doc_id long, h long, start int, n int, packed binary")
 
 
 def windows_of(packed: bytes, window: int) -> list[bytes]:
@@ -149,7 +152,7 @@ def repeated_ranges(packed: DataFrame, window: int) -> DataFrame:
             cols = list(zip(*found, strict=True)) or [[]] * 4
             return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names)
 
-        for b in batches:
+        for b in parts(batches):
             found: list[tuple] = []
             for m, *place in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if m != mini:
@@ -164,7 +167,7 @@ def repeated_ranges(packed: DataFrame, window: int) -> DataFrame:
     out = cold.mapInArrow(kernel, "doc_id long, h long, lo int, hi int")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             rows, starts, ws = [], [], []
             for row, (s, p) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 own = windows_of(p, window)
@@ -174,18 +177,21 @@ def repeated_ranges(packed: DataFrame, window: int) -> DataFrame:
             take = pa.array(rows, pa.int64())
             yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(ws, pa.binary())], ["doc_id", "h", "start", "w"])
 
-    hot = packed.filter("hot").select(*KEY, "start", "packed").mapInArrow(split, "doc_id long, h long, start int, w binary")
     place = F.struct(*KEY, "start")
+    often = packed.filter("hot").select(*KEY, "start", "n", "packed")
+    heads = often.groupBy("packed").agg(F.min(place).alias("first"))
+    whole = often.join(heads, "packed").filter(place != F.col("first")).select(*KEY, F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
+    hot = heads.select("first.*", "packed").mapInArrow(split, "doc_id long, h long, start int, w binary")
     earliest = hot.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     later = hot.join(earliest, "w").filter(place != F.col("first")).select(*KEY, F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
-    return out.unionByName(later)
+    return out.unionByName(whole).unionByName(later)
 
 
 def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """(doc_id, h, n_removed, kept_text): the texts that lose words, with the rest joined by single spaces."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             gone, kept = [], []
             for text, lo, hi in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
                 words = text.encode().split()
@@ -207,7 +213,8 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED,
     Earlier means a smaller doc_id, or the same document and an earlier start;
     windows are judged on the input. Returns (scanned, changed): for each row
     doc_id, h, n_words and the digest of all its words, and for each row that
-    loses words doc_id, h, n_removed and kept_text; h is a hash of the text.
+    loses words doc_id, h, n_removed and kept_text; h is a hash of the text where
+    ids repeat with different texts, else 0.
 
     Null texts count as empty. A null doc_id orders before all others. Rows of
     equal doc_id and text are one document and get one result; rows of equal
@@ -216,10 +223,13 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED,
     """
     docs = texts_of(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    if docs.groupBy("doc_id").agg((F.min("h") == F.max("h")).alias("one")).filter("not one").isEmpty():
+        docs = docs.withColumn("h", F.lit(0).cast("long"))  # the id tells documents apart: carry no more
     scanned = materialize(scan(docs, window, seed), "substr-scan")
     seen = scanned.select(*KEY, F.explode(F.arrays_zip("m", F.col("cut").alias("at"))).alias("s")).select("s.m", "s.at", *KEY)
     shared = seen.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m", (F.col("c") > hot).alias("hot"))
-    live = seen.join(shared, "m").select(*KEY, "at", "hot")
+    live = seen.join(shared, "m").groupBy(*KEY).agg(F.collect_set(F.struct("at", "hot")).alias("l")).select(*KEY, "l.at", "l.hot")
+    live = materialize(live, "substr-live")
     packed = materialize(pack(docs, live, window, seed), "substr-packed")
     ranges = materialize(repeated_ranges(packed, window), "substr-ranges")
     return scanned, remove_ranges(docs, ranges)
