@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame
 
 from massloom.plans.views import with_views
 
@@ -10,18 +13,30 @@ QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
-    """Register a function (spark, sf_dir) -> DataFrame under its name, with SQL for the same rows."""
+def query(sql: str | None = None, *, whole: bool = False) -> Callable:
+    """Register a function (spark, sf_dir) -> DataFrame under its name, with SQL for the same rows.
+
+    Where the SQL covers a subset of the ids only, ``whole`` registers the
+    function a second time, as NAME_whole with ``whole=True``: the same over
+    every row, without SQL.
+    """
 
     def keep(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = with_views(sql)
+        if whole:
+            QUERIES[f"{f.__name__}_whole"] = partial(f, whole=True)
         return f
 
     return keep
 
 
+def rows_for(df: DataFrame, subset: str, whole: bool) -> DataFrame:
+    """All rows, or those of the subset that the SQL covers."""
+    return df if whole else df.filter(subset)
+
+
 def load() -> None:
     """Import every module of queries."""
     from massloom.catalog import deconvolution, features, indexes, kernels, peaks, precursors, quality, scans, signals, similarity  # noqa: F401

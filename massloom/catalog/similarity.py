@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query
+from massloom.catalog import query, rows_for
 from massloom.operators.joins import range_join
 from massloom.operators.ordered import sessionize, top_k
 from massloom.plans.views import view
@@ -13,29 +13,29 @@ from massloom.plans.views import view
 BINS = "WITH b AS (SELECT scan_id, CAST(floor(mz) AS BIGINT) AS bin, sum(intensity) AS i FROM v_peak WHERE scan_id <= 40 GROUP BY ALL), n AS (SELECT scan_id, sqrt(sum(i * i)) AS norm FROM b GROUP BY scan_id)"
 
 
-def binned(spark, d):
-    return view(spark, d, "v_peak").filter("scan_id <= 40").groupBy("scan_id", F.floor("mz").alias("bin")).agg(F.sum("intensity").alias("i"))
+def binned(spark, d, whole=False):
+    return rows_for(view(spark, d, "v_peak"), "scan_id <= 40", whole).groupBy("scan_id", F.floor("mz").alias("bin")).agg(F.sum("intensity").alias("i"))
 
 
-def cosine(spark, d):
-    b = binned(spark, d)
+def cosine(spark, d, whole=False):
+    b = binned(spark, d, whole)
     n = b.groupBy("scan_id").agg(F.sqrt(F.sum(F.col("i") * F.col("i"))).alias("norm"))
     dots = b.toDF("a", "bin", "ia").join(b.toDF("b", "bin", "ib"), "bin").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ia") * F.col("ib")).alias("dot"))
     return dots.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("s"))
 
 
 @query(f"""{BINS}, d AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM b x JOIN b y ON x.bin = y.bin AND x.scan_id < y.scan_id GROUP BY ALL)
-SELECT a, b, round(dot / (p.norm * q.norm), 6) AS similarity FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b""")
-def cosine_binned(spark, d):
+SELECT a, b, round(dot / (p.norm * q.norm), 6) AS similarity FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b""", whole=True)
+def cosine_binned(spark, d, whole=False):
     """Cosine over truncated m/z bins."""
-    return cosine(spark, d).select("a", "b", F.round("s", 6).alias("similarity"))
+    return cosine(spark, d, whole).select("a", "b", F.round("s", 6).alias("similarity"))
 
 
 @query("""WITH p AS (SELECT scan_id, mz, intensity AS i FROM v_peak WHERE scan_id <= 12), c AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM p x JOIN p y ON abs(y.mz - x.mz) <= x.mz * 2e-5 GROUP BY ALL)
-SELECT c.a, c.b, round(c.dot / sqrt(s.dot) / sqrt(t.dot), 6) AS similarity FROM c JOIN c s ON s.a = c.a AND s.b = c.a JOIN c t ON t.a = c.b AND t.b = c.b WHERE c.a < c.b""")
-def cosine_ppm(spark, d):
+SELECT c.a, c.b, round(c.dot / sqrt(s.dot) / sqrt(t.dot), 6) AS similarity FROM c JOIN c s ON s.a = c.a AND s.b = c.a JOIN c t ON t.a = c.b AND t.b = c.b WHERE c.a < c.b""", whole=True)
+def cosine_ppm(spark, d, whole=False):
     """Products of all peaks matched within tolerance, normalised by each spectrum's own."""
-    p = view(spark, d, "v_peak").filter("scan_id <= 12").select("scan_id", "mz", F.col("intensity").alias("i"))
+    p = rows_for(view(spark, d, "v_peak"), "scan_id <= 12", whole).select("scan_id", "mz", F.col("intensity").alias("i"))
     c = range_join(p.toDF("a", "mz_a", "ia"), p.toDF("b", "mz_b", "ib"), "mz_a", "mz_b", 2e-5).groupBy("a", "b").agg(F.sum(F.col("ia") * F.col("ib")).alias("dot"))
     own = c.filter("a = b").select(F.col("a").alias("k"), F.col("dot").alias("o"))
     out = c.filter("a < b").join(own.toDF("a", "oa"), "a").join(own.toDF("b", "ob"), "b")
@@ -44,16 +44,19 @@ def cosine_ppm(spark, d):
 
 @query("""WITH p AS (SELECT v.scan_id, mz, intensity AS i, precursor_mz AS m FROM v_peak v JOIN v_peak_scan s ON v.scan_id = s.scan_id WHERE v.scan_id <= 12),
 c AS (SELECT x.scan_id AS a, y.scan_id AS b, CASE WHEN abs(y.mz - x.mz) <= x.mz * 5e-5 THEN 'direct' ELSE 'shifted' END AS kind, x.i * y.i AS w FROM p x JOIN p y ON x.scan_id < y.scan_id AND (abs(y.mz - x.mz) <= x.mz * 5e-5 OR (x.mz + y.m - x.m > 0 AND abs(y.mz - (x.mz + y.m - x.m)) <= (x.mz + y.m - x.m) * 5e-5)))
-SELECT a, b, kind, count(*) AS n, sum(w) AS product FROM c GROUP BY ALL""")
-def modified_cosine(spark, d):
+SELECT a, b, kind, count(*) AS n, sum(w) AS product FROM c GROUP BY ALL""", whole=True)
+def modified_cosine(spark, d, whole=False):
     """Direct matches and matches shifted by the precursors' difference, each pair once."""
-    s = view(spark, d, "v_peak_scan").filter("scan_id <= 12").select("scan_id", F.col("precursor_mz").alias("m"))
+    s = rows_for(view(spark, d, "v_peak_scan"), "scan_id <= 12", whole).select("scan_id", F.col("precursor_mz").alias("m"))
     p = view(spark, d, "v_peak").join(F.broadcast(s), "scan_id").select("scan_id", "mz", F.col("intensity").alias("i"), "m", F.struct("ord", "part", "charge", "snr").alias("id"))
     x, y = p.toDF("a", "mz_a", "ia", "ma", "id_a"), p.toDF("b", "mz_b", "ib", "mb", "id_b")
     direct = range_join(x, y, "mz_a", "mz_b", 5e-5).filter("a < b").select("a", "b", F.lit("direct").alias("kind"), (F.col("ia") * F.col("ib")).alias("w"))
-    pairs = s.toDF("a", "ma").join(s.toDF("b", "mb"), F.col("a") < F.col("b")).select("a", "b", (F.col("mb") - F.col("ma")).alias("shift"))
-    moved = x.join(F.broadcast(pairs), "a").withColumn("want", F.col("mz_a") + F.col("shift"))
-    shifted = range_join(moved, y.drop("ma"), "want", "mz_b", 5e-5, ["b"]).filter(F.abs(F.col("mz_b") - F.col("mz_a")) > F.col("mz_a") * 5e-5)
+    # equal up to the tolerance after the shift is near in mz less precursor: a join on that cell, not over pairs of scans
+    width = 5e-5 / (1 - 5e-5) * (p.agg(F.max("mz")).first()[0] or 1.0) * (1 + 1e-9)
+    cell = lambda mz, m: F.floor((F.col(mz) - F.col(m)) / width)
+    left = x.withColumn("cell", F.explode(F.array(*[cell("mz_a", "ma") + k for k in (-1, 0, 1)])))
+    moved = left.join(y.withColumn("cell", cell("mz_b", "mb")), "cell").filter("a < b").withColumn("want", F.col("mz_a") + (F.col("mb") - F.col("ma")))
+    shifted = moved.filter((F.col("want") > 0) & (F.abs(F.col("mz_b") - F.col("want")) <= F.col("want") * 5e-5)).filter(F.abs(F.col("mz_b") - F.col("mz_a")) > F.col("mz_a") * 5e-5)
     both = direct.unionByName(shifted.select("a", "b", F.lit("shifted").alias("kind"), (F.col("ia") * F.col("ib")).alias("w")))
     return both.groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.sum("w").alias("product"))
 
@@ -79,9 +82,9 @@ def cluster_sizes(spark, d):
 
 
 @query(f"""{BINS}, d AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM b x JOIN b y ON x.bin = y.bin AND x.scan_id < y.scan_id AND x.scan_id % 5 = y.scan_id % 5 GROUP BY ALL)
-SELECT a % 5 AS cluster, count(*) AS pairs, round(avg(dot / (p.norm * q.norm)), 6) AS similarity FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b GROUP BY a % 5""")
-def cluster_avg_similarity(spark, d):
-    c = cosine(spark, d).filter("a % 5 = b % 5")
+SELECT a % 5 AS cluster, count(*) AS pairs, round(avg(dot / (p.norm * q.norm)), 6) AS similarity FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b GROUP BY a % 5""", whole=True)
+def cluster_avg_similarity(spark, d, whole=False):
+    c = cosine(spark, d, whole).filter("a % 5 = b % 5")
     return c.groupBy((F.col("a") % 5).alias("cluster")).agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("similarity"))
 
 
@@ -96,10 +99,10 @@ def lsh_buckets(spark, d):
     return e.select("vec_id", F.concat(*[F.when(dot(p) >= 0, "1").otherwise("0") for p in PLANES]).alias("bucket"))
 
 
-@query("""WITH p AS (SELECT *, floor(mz * 10) AS bin FROM v_peak WHERE scan_id % 10 = 2) SELECT CAST(bin AS BIGINT) AS bin, count(DISTINCT scan_id) AS n_scans, round(sum(mz * intensity) / sum(intensity), 6) AS mz, round(sum(intensity), 3) AS intensity FROM p GROUP BY bin HAVING count(*) > 1""")
-def consensus_peak(spark, d):
+@query("""WITH p AS (SELECT *, floor(mz * 10) AS bin FROM v_peak WHERE scan_id % 10 = 2) SELECT CAST(bin AS BIGINT) AS bin, count(DISTINCT scan_id) AS n_scans, round(sum(mz * intensity) / sum(intensity), 6) AS mz, round(sum(intensity), 3) AS intensity FROM p GROUP BY bin HAVING count(*) > 1""", whole=True)
+def consensus_peak(spark, d, whole=False):
     """Consensus centroids: weighted m/z and summed signal of peaks in one bin over scans."""
-    p = view(spark, d, "v_peak").filter("scan_id % 10 = 2").withColumn("bin", F.floor(F.col("mz") * 10))
+    p = rows_for(view(spark, d, "v_peak"), "scan_id % 10 = 2", whole).withColumn("bin", F.floor(F.col("mz") * 10))
     out = p.groupBy("bin").agg(F.countDistinct("scan_id").alias("n_scans"), F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity"), 6).alias("mz"), F.round(F.sum("intensity"), 3).alias("intensity"), F.count("*").alias("n"))
     return out.filter("n > 1").drop("n")
 
@@ -111,8 +114,8 @@ def filter_peak_set(spark, d):
 
 
 @query(f"""{BINS}, d AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM b x JOIN b y ON x.bin = y.bin AND x.scan_id < y.scan_id GROUP BY ALL), s AS (SELECT a, b, (b - a) % 7 AS bucket, dot / (p.norm * q.norm) AS s FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b)
-SELECT a, bucket, max(round(s, 6)) AS similarity FROM s WHERE s >= 0.2 GROUP BY a, bucket""")
-def alignment_trim(spark, d):
+SELECT a, bucket, max(round(s, 6)) AS similarity FROM s WHERE s >= 0.2 GROUP BY a, bucket""", whole=True)
+def alignment_trim(spark, d, whole=False):
     """Of the neighbours in one shift bucket the best stays."""
-    s = cosine(spark, d).filter("s >= 0.2").withColumn("bucket", (F.col("b") - F.col("a")) % 7)
+    s = cosine(spark, d, whole).filter("s >= 0.2").withColumn("bucket", (F.col("b") - F.col("a")) % 7)
     return s.groupBy("a", "bucket").agg(F.max(F.round("s", 6)).alias("similarity"))
