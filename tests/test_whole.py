@@ -7,7 +7,7 @@ from massloom.catalog import ORACLE_SQL, QUERIES, load
 
 SRC = "/root/testdata/sf0.01"
 #: Tables of the fixture: small, with ids on both sides of every subset.
-TABLES = {"lineitem": "l_suppkey IN (3, 7, 12, 22, 27, 32, 39, 42, 44, 47)", "supplier": "true"}
+TABLES = {"lineitem": "l_suppkey IN (3, 7, 11, 12, 22, 27, 32, 39, 42, 44, 47)", "supplier": "true", "part": "p_partkey % 2 = 0 or p_partkey % 5 = 1", "orders": "o_orderkey < 1000 or o_orderkey > 59900"}
 #: What limits the twin SQL to a subset.
 SUBSETS = {
     "cosine_binned": ["scan_id <= 40"],
@@ -16,6 +16,14 @@ SUBSETS = {
     "cluster_avg_similarity": ["scan_id <= 40"],
     "alignment_trim": ["scan_id <= 40"],
     "consensus_peak": ["scan_id % 10 = 2"],
+    "ppm_match_all": ["target_id % 50 = 0"],
+    "ppm_match_best": ["target_id % 50 = 0"],
+    "ppm_match_placeholder": ["target_id % 50 = 0"],
+    "interval_overlap": ["scan_id % 10 = 0"],
+    "interval_stab": ["scan_id % 10 = 0", "scan_id % 10 = 5"],
+    "interval_overlap_2d": ["scan_id % 10 = 0"],
+    "charge_relationship": ["scan_id % 10 = 1"],
+    "msms_for": ["target_id % 20 = 0", "scan_time <= 400"],
 }
 
 
