@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query
+from massloom.catalog import query, rows_for
 from massloom.operators.graph import connected_components
 from massloom.operators.joins import interval_join, interval_join_2d
 from massloom.operators.ordered import sessionize
@@ -77,10 +77,10 @@ def feature_components(spark, d):
 
 @query("""WITH h AS (SELECT channel, run, date_trunc('day', ts) AS day, sum(intensity) AS i FROM v_signal WHERE run < 40 GROUP BY ALL)
 SELECT coalesce(a.run, b.run) AS run, strftime(coalesce(a.day, b.day), '%Y-%m-%d') AS day, round(coalesce(a.i, 0), 4) AS click, round(coalesce(b.i, 0), 4) AS purchase
-FROM (SELECT * FROM h WHERE channel = 'click') a FULL OUTER JOIN (SELECT * FROM h WHERE channel = 'purchase') b ON a.run = b.run AND a.day = b.day""")
-def align_features_outer(spark, d):
+FROM (SELECT * FROM h WHERE channel = 'click') a FULL OUTER JOIN (SELECT * FROM h WHERE channel = 'purchase') b ON a.run = b.run AND a.day = b.day""", whole=True)
+def align_features_outer(spark, d, whole=False):
     """Co-iteration of two features over all times that either has."""
-    h = view(spark, d, "v_signal").filter("run < 40").groupBy("channel", "run", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("intensity").alias("i"))
+    h = rows_for(view(spark, d, "v_signal"), "run < 40", whole).groupBy("channel", "run", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("intensity").alias("i"))
     side = lambda c: h.filter(F.col("channel") == c).select("run", "day", F.col("i").alias(c))
     j = side("click").join(side("purchase"), ["run", "day"], "full")
     return j.select("run", "day", *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("click", "purchase")])
@@ -97,20 +97,20 @@ def spacing_fit(spark, d):
 
 
 @query("""WITH h AS (SELECT run, date_trunc('day', ts) AS day, sum(intensity) AS i FROM v_signal WHERE run < 25 GROUP BY ALL)
-SELECT a.run AS run_a, b.run AS run_b, count(*) AS n, round(corr(a.i, b.i), 5) AS r FROM h a JOIN h b ON a.day = b.day AND a.run < b.run GROUP BY a.run, b.run HAVING count(*) >= 3 AND var_pop(a.i) > 0 AND var_pop(b.i) > 0""")
-def xic_correlation(spark, d):
+SELECT a.run AS run_a, b.run AS run_b, count(*) AS n, round(corr(a.i, b.i), 5) AS r FROM h a JOIN h b ON a.day = b.day AND a.run < b.run GROUP BY a.run, b.run HAVING count(*) >= 3 AND var_pop(a.i) > 0 AND var_pop(b.i) > 0""", whole=True)
+def xic_correlation(spark, d, whole=False):
     """Pearson correlation of two chromatograms over their common times."""
-    h = view(spark, d, "v_signal").filter("run < 25").groupBy("run", F.to_date("ts").alias("day")).agg(F.sum("intensity").alias("i"))
+    h = rows_for(view(spark, d, "v_signal"), "run < 25", whole).groupBy("run", F.to_date("ts").alias("day")).agg(F.sum("intensity").alias("i"))
     p = h.toDF("run_a", "day", "ia").join(h.toDF("run_b", "day", "ib"), "day").filter("run_a < run_b")
     out = p.groupBy("run_a", "run_b").agg(F.count("*").alias("n"), F.corr("ia", "ib").alias("r"), F.var_pop("ia").alias("va"), F.var_pop("ib").alias("vb"))
     return out.filter("n >= 3 and va > 0 and vb > 0").select("run_a", "run_b", "n", F.round("r", 5).alias("r"))
 
 
-@query(f"""{SPLIT} SELECT f.id, s.scan_id FROM f JOIN (SELECT scan_id, {T0} + scan_time AS t FROM v_scan WHERE scan_id % 40 = 0) s ON s.t BETWEEN f.s AND f.e AND f.run < 10""")
-def precursor_stab(spark, d):
+@query(f"""{SPLIT} SELECT f.id, s.scan_id FROM f JOIN (SELECT scan_id, {T0} + scan_time AS t FROM v_scan WHERE scan_id % 40 = 0) s ON s.t BETWEEN f.s AND f.e AND f.run < 10""", whole=True)
+def precursor_stab(spark, d, whole=False):
     """Precursors at a time inside a feature."""
-    f = features(spark, d).filter("run < 10").select("id", "s", "e")
-    s = view(spark, d, "v_scan").filter("scan_id % 40 = 0").select("scan_id", (F.lit(473353.0) + F.col("scan_time")).alias("t"), (F.lit(473353.0) + F.col("scan_time")).alias("t2"))
+    f = rows_for(features(spark, d), "run < 10", whole).select("id", "s", "e")
+    s = rows_for(view(spark, d, "v_scan"), "scan_id % 40 = 0", whole).select("scan_id", (F.lit(473353.0) + F.col("scan_time")).alias("t"), (F.lit(473353.0) + F.col("scan_time")).alias("t2"))
     return interval_join(f, s, ("s", "e"), ("t", "t2"), 24.0).select("id", "scan_id")
 
 

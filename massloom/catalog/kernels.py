@@ -22,7 +22,7 @@ def deconvolute_graph(spark, d):
 @query()
 def isotopic_cluster(spark, d):
     """Averagine patterns at each target's m/z and charge."""
-    t = view(spark, d, "v_target").filter("target_id % 10 = 0").select("target_id", "target_mass", F.explode(F.expr("sequence(1, 3)")).alias("charge"))
+    t = view(spark, d, "v_target").select("target_id", "target_mass", F.explode(F.expr("sequence(1, 3)")).alias("charge"))
 
     def kernel(batches):
         unit = isotopes.AVERAGINES["peptide"]

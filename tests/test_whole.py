@@ -7,7 +7,7 @@ from massloom.catalog import ORACLE_SQL, QUERIES, load
 
 SRC = "/root/testdata/sf0.01"
 #: Tables of the fixture: small, with ids on both sides of every subset.
-TABLES = {"lineitem": "l_suppkey IN (3, 7, 11, 12, 22, 27, 32, 39, 42, 44, 47)", "supplier": "true", "part": "p_partkey % 2 = 0 or p_partkey % 5 = 1", "orders": "o_orderkey < 1000 or o_orderkey > 59900"}
+TABLES = {"lineitem": "l_suppkey IN (3, 4, 6, 7, 11, 12, 22, 27, 32, 39, 42, 44, 47)", "supplier": "true", "part": "p_partkey % 2 = 0 or p_partkey % 5 = 1", "orders": "o_orderkey < 1000 or o_orderkey > 59900", "events": "user_id < 60", "embeddings": "vec_id < 240"}
 #: What limits the twin SQL to a subset.
 SUBSETS = {
     "cosine_binned": ["scan_id <= 40"],
@@ -24,6 +24,22 @@ SUBSETS = {
     "interval_overlap_2d": ["scan_id % 10 = 0"],
     "charge_relationship": ["scan_id % 10 = 1"],
     "msms_for": ["target_id % 20 = 0", "scan_time <= 400"],
+    "averagine_scale": ["target_id % 10 = 0"],
+    "poisson_approximate": ["target_id % 10 = 0"],
+    "truncate_after": ["target_id % 10 = 0"],
+    "ignore_below": ["target_id % 10 = 0"],
+    "envelope_statistics": ["target_id % 10 = 0"],
+    "drop_superceded": ["scan_id % 10 = 3"],
+    "align_features_outer": ["run < 40"],
+    "xic_correlation": ["run < 25"],
+    "precursor_stab": ["f.run < 10", "scan_id % 40 = 0"],
+    "signature_ratio": ["target_id % 100 = 0"],
+    "graph_edges": ["scan_id % 10 = 4"],
+    "graph_path_lengths": ["scan_id % 10 = 4"],
+    "gaussian_weights": ["scan_id % 7 < 3"],
+    "array_arithmetic": ["vec_id < 200"],
+    "mobility_grid": ["scan_id % 10 = 6"],
+    "sum_envelopes": ["scan_id % 10 = 7"],
 }
 
 
@@ -63,3 +79,11 @@ def test_whole_tables(spark, tables, name):
     got = [tuple(float(x) if type(x).__name__ == "Decimal" else x for x in r) for r in df.select(*columns).collect()]
     assert same(got, want)
     assert len(want) > part or name == "cluster_avg_similarity"
+
+
+def test_isotopic_cluster_takes_every_target(spark, tables):
+    load()
+    d, db = tables
+    ids = {r[0] for r in db.execute("SELECT p_partkey FROM part").fetchall()}
+    got = QUERIES["isotopic_cluster"](spark, str(d)).select("target_id", "charge").collect()
+    assert {(r.target_id, r.charge) for r in got} == {(i, z) for i in ids for z in (1, 2, 3)} and len(got) == 3 * len(ids)
