@@ -83,6 +83,16 @@ def isotopic_cluster(unit: dict[str, float], mz: float, charge: int = 1, truncat
     return x - x[0] + mz, p
 
 
+def whole_pattern(unit: dict[str, float], mass: float) -> np.ndarray:
+    """Abundances of all isotopic peaks at a mass, up to twelve standard deviations above the mean neutron count."""
+    composition = scale_averagine(unit, mass + PROTON, 1)
+    # (neutrons, share) of each isotope of each atom
+    extra = [(n, [(round(m - ISOTOPES[a][0][0]), s) for m, s in ISOTOPES[a]]) for a, n in composition.items()]
+    mean = sum(n * sum(k * s for k, s in x) for n, x in extra)
+    spread = sum(n * (sum(k * k * s for k, s in x) - sum(k * s for k, s in x) ** 2) for n, x in extra)
+    return isotopic_variants(composition, int(mean + 12 * spread**0.5) + 12)[1]
+
+
 def pattern_table(unit: dict[str, float], masses: np.ndarray, peaks: int = 10) -> np.ndarray:
     """Abundances of the first isotopic peaks for each mass, as rows."""
     return np.array([isotopic_variants(scale_averagine(unit, float(m) + PROTON, 1), peaks)[1] for m in masses])

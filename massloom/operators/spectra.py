@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions.mass import ISOTOPE_GAP, PROTON
-from massloom.operators.isotopes import AVERAGINES, pattern_table
+from massloom.operators.isotopes import AVERAGINES, pattern_table, whole_pattern
 from massloom.operators.ordered import sessionize
 
 STEP, TOP, PEAKS = 50.0, 20_000.0, 8
@@ -25,15 +25,28 @@ def patterns(name: str) -> np.ndarray:
     return pattern_table(AVERAGINES[name], np.arange(STEP, TOP, STEP), PEAKS)
 
 
-def score_fits(mz, intensity, snr, charge, tolerance, truncate, averagine, least):
+@lru_cache(maxsize=1 << 16)
+def truncated_pattern(name: str, step: int, truncate: float) -> np.ndarray:
+    """The whole pattern at ``step`` times STEP Da, cut once ``truncate`` of all its abundance is before."""
+    p = whole_pattern(AVERAGINES[name], step * STEP)
+    p = p[np.concatenate([[0.0], np.cumsum(p)[:-1]]) < truncate]
+    return p / p.sum()
+
+
+def theories(mz, charge, truncate, averagine):
+    """(abundances, which of them count) of every peak as first isotope at one charge, as many as the heaviest needs."""
+    steps, row = np.unique(np.maximum(np.round((mz * charge - charge * PROTON) / STEP).astype(int), 1), return_inverse=True)
+    found = [truncated_pattern(averagine, int(s), truncate) for s in steps]
+    sizes = np.array([len(p) for p in found], dtype=int)
+    table = np.zeros((len(found), sizes.max(initial=1)))
+    for k, p in enumerate(found):
+        table[k, : len(p)] = p
+    return table[row], np.arange(table.shape[1]) < sizes[row][:, None]
+
+
+def score_fits(mz, intensity, snr, charge, tolerance, p, kept, least):
     """PenalizedMSDeconV of every peak as first isotope at one charge: (scores, matched peaks, theory, number of isotopes)."""
-    mass = mz * charge - charge * PROTON
-    row = np.clip(np.round(mass / STEP).astype(int) - 1, 0, len(patterns(averagine)) - 1)
-    p = patterns(averagine)[row]
-    kept = np.concatenate([np.zeros((len(p), 1)), np.cumsum(p, axis=1)[:, :-1]], axis=1) < truncate
-    p = np.where(kept, p, 0)
-    p /= p.sum(axis=1, keepdims=True)
-    want = mz[:, None] + np.arange(PEAKS) * ISOTOPE_GAP / charge
+    want = mz[:, None] + np.arange(p.shape[1]) * ISOTOPE_GAP / charge
     right = np.clip(np.searchsorted(mz, want), 0, len(mz) - 1)
     left = np.maximum(right - 1, 0)
     at = np.where(np.abs(mz[left] - want) <= np.abs(mz[right] - want), left, right)
@@ -58,15 +71,18 @@ def deconvolute_spectrum(mz, intensity, snr, charges=range(1, 9), tolerance=2e-5
     In each round all fits are scored, the best that share no peak are taken
     (score, then charge descending, then m/z), their theory is subtracted, and
     the rounds end when the signal changes by less than ``convergence``.
+    A pattern has as many isotopes as ``truncate`` of its whole abundance
+    takes, at any mass.
     """
     order = np.argsort(mz, kind="stable")
     mz, intensity, snr = mz[order], intensity[order].astype(float).copy(), snr[order]
     out = []
+    theory = {z: theories(mz, z, truncate, averagine) for z in charges}
     for _ in range(iterations):
         begin = intensity.sum()
         fits = []
         for z in charges:
-            score, used, theo, _ = score_fits(mz, intensity, snr, z, tolerance, truncate, averagine, least)
+            score, used, theo, _ = score_fits(mz, intensity, snr, z, tolerance, *theory[z], least)
             for i in np.flatnonzero(score >= minimum_score):
                 fits.append((-round(float(score[i]), 9), -z, float(mz[i]), int(i), used[i], theo[i]))
         fits.sort(key=lambda f: f[:4])

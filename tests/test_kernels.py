@@ -1,6 +1,6 @@
 import numpy as np
 
-from massloom.functions.mass import ISOTOPE_GAP
+from massloom.functions.mass import ISOTOPE_GAP, PROTON
 from massloom.operators import isotopes, spectra
 
 
@@ -62,3 +62,21 @@ def test_traces(spark):
 
 def test_gap():
     assert abs(ISOTOPE_GAP - 1.00335) < 1e-4
+
+
+def test_heavy_patterns_are_whole_up_to_the_truncation():
+    for mass in (1000.0, 10_000.0, 17_000.0, 60_000.0):
+        _, whole = isotopes.isotopic_variants(isotopes.scale_averagine(isotopes.AVERAGINES["peptide"], mass + PROTON), 400)
+        p, kept = spectra.theories(np.array([mass / 8 + PROTON]), 8, 0.8, "peptide")
+        n = int(np.searchsorted(np.cumsum(whole), 0.8)) + 1
+        assert kept.sum() == n and np.allclose(p[0], whole[:n] / whole[:n].sum(), atol=1e-12)
+
+
+def test_a_planted_heavy_ion_is_found_whole():
+    unit, z, mass = isotopes.AVERAGINES["peptide"], 8, 14_000.0
+    _, whole = isotopes.isotopic_variants(isotopes.scale_averagine(unit, mass + PROTON), 64)
+    n = int(np.searchsorted(np.cumsum(whole), 0.8)) + 1
+    mz, y = mass / z + PROTON + np.arange(n) * ISOTOPE_GAP / z, whole[:n] / whole[:n].sum() * 1e7
+    found = spectra.deconvolute_spectrum(mz, y, np.full(n, 10.0))
+    best = max(found, key=lambda f: f[3])
+    assert n > 8 and best[1] == z and abs(best[0] - mass) < 0.01 and best[5] == n and abs(best[2] - 1e7) < 1
