@@ -227,8 +227,25 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(group).alias("component_id"), (F.col("doc_id") == group).alias("kept"))
 
 
+def drop_by_row(docs: DataFrame, **how) -> DataFrame:
+    """``drop_near_duplicates`` where rows share an id: each gets a key, held in a copy of the table."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-rows")
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), "component_id")
+    doc_id = F.col("doc_id").cast("long")
+    ranked = materialize(groups.join(rows.select("_row", F.struct(doc_id.isNotNull(), F.coalesce(doc_id, F.lit(NO_ID)), "_row").alias("rank")), "_row"), "neardup-ranked")
+    first = ranked.groupBy("component_id").agg(F.min("rank")["_row"].alias("_row"))
+    return rows.join(first.select("_row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, with their columns."""
+    """One row of each group of ``docs``, that of the smallest doc_id, with its columns.
+
+    Every row is a document of its own, whatever its id: of copies under one
+    id one row stays, and a row does not go because another row of its id does.
+    A null doc_id is the smallest. Rows without words all stay.
+    """
+    if not docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")).count().filter("count > 1").isEmpty():
+        return drop_by_row(docs, **how)
     gone = near_duplicates(docs, **how).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +82,17 @@ def item_sets(items: DataFrame, size: int) -> DataFrame:
     return texts_of(items, doc_id="item_id").mapInArrow(kernel, "item_id long, shingles array<long>")
 
 
+def item_blocks(items: DataFrame, size: int, threshold: float, block_bytes: int) -> Iterator[Broadcast]:
+    """The index of each block of items, sent to the executors."""
+    spark = items.sparkSession
+    sets = item_sets(items, size).filter("size(shingles) > 0").distinct()
+    total = sets.agg(F.sum(F.size("shingles") * 8)).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_bytes))
+    for block in range(blocks):
+        rows = sets.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
+        yield spark.sparkContext.broadcast(ItemIndex([r.item_id for r in rows], [np.array(r.shingles, dtype=np.int64).view(np.uint64) for r in rows], threshold))
+
+
 def find_contained(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each (document row, item) where the document contains the item.
 
@@ -90,10 +102,6 @@ def find_contained(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, th
     equal id and different text are matched each for itself. Null ids are
     carried through. Empty tables give an empty result.
     """
-    spark = docs.sparkSession
-    sets = item_sets(items, size).filter("size(shingles) > 0").distinct()
-    total = sets.agg(F.sum(F.size("shingles") * 8)).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_bytes))
     docs = texts_of(docs)
 
     def search(index) -> DataFrame:
@@ -121,10 +129,8 @@ def find_contained(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, th
         return docs.mapInArrow(kernel, PAIRS)
 
     out = None
-    for block in range(blocks):
-        rows = sets.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        index = ItemIndex([r.item_id for r in rows], [np.array(r.shingles, dtype=np.int64).view(np.uint64) for r in rows], threshold)
-        part = search(spark.sparkContext.broadcast(index))
+    for index in item_blocks(items, size, threshold, block_bytes):
+        part = search(index)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -134,10 +140,27 @@ def contaminated_ids(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     return find_contained(docs, items, **how).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with their columns."""
-    bad = find_contained(docs, items, **how).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that contain no item, with their columns.
+
+    Each row is judged by its own text, whatever other rows share its id.
+    """
+
+    def clean(index: Broadcast):
+        @F.arrow_udf("boolean")
+        def contains_none(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            pows = Powers()
+            for texts in batches:
+                out = np.ones(len(texts), dtype=bool)
+                for row, held in shingle_sets(texts, size, pows=pows):
+                    out[row] = next(index.value.search(held), None) is None
+                yield pa.array(out)
+
+        return contains_none(F.col("text").cast("string"))
+
+    for index in item_blocks(items, size, threshold, block_bytes):
+        docs = docs.filter(clean(index))
+    return docs
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

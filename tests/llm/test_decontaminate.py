@@ -47,3 +47,11 @@ def test_nulls_repeats_and_clashing_columns(spark):
     kept = drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert find_contained(docs.limit(0), items).count() == 0 and find_contained(docs, items.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_each_for_itself(spark):
+    docs = [(None, "a b c d e f", 1), (None, "clean text of other words here", 2), (None, None, 3), (5, "x a b c d e y", 4), (5, "another clean text with other words", 5), (6, "q b c d e f", 6)]
+    items = spark.createDataFrame([(1, "a b c d e"), (2, "b c d e f")], "item_id long, text string")
+    for block in (1 << 24, 8):  # one block, and one for each item
+        kept = drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string, n int"), items, block_bytes=block)
+        assert sorted(r.n for r in kept.collect()) == [2, 3, 5]

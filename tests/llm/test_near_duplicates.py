@@ -76,3 +76,12 @@ def test_repeated_id_with_two_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     got = near_duplicates(spark.createDataFrame([(1, a), (2, a), (2, b), (3, b)], "doc_id long, text string"))
     assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a"), 1), (None, text("a"), 2), (None, text("b"), 3), (4, text("a") + " more", 4), (5, text("c"), 5), (5, text("c"), 6), (6, text("c"), 7), (6, text("d"), 8), (7, "", 9), (7, "", 10), (3, text("d"), 11)]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    left = [r.n for r in kept.collect()]
+    assert kept.columns == ["doc_id", "text", "n"] and len(left) == len(set(left)) == 6
+    assert set(left) - {1, 2, 5, 6} == {3, 9, 10, 11} and len({1, 2} & set(left)) == len({5, 6} & set(left)) == 1
