@@ -9,6 +9,10 @@ can be missing. So the search loses nothing, and the short item costs the same
 in a document of a million words. Candidates are verified by counting the
 item's whole shingle set in the document's.
 
+An item of fewer words than a shingle is one shingle of its whole sequence, as
+in the SQL twin: it is found in a document of the same words only, never inside
+a longer one.
+
 Documents are read once and never shuffled. Items travel to the tasks in
 blocks of at most ``block_bytes`` of shingles; a larger benchmark takes more
 passes, each of bounded size.
