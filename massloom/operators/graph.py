@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from massloom.plans.store import materialize
+from massloom.plans.store import discard, materialize
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -33,9 +33,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         roots = jumped.groupBy(F.col("l").alias("a")).agg(F.min("n").alias("t"))
         nxt = materialize(jumped.join(roots, "a", "left").select("a", F.least("n", F.coalesce("t", "n")).alias("l"), F.col("l").alias("was")), "cc-label")
         moved = nxt.filter("l <> was").limit(1).count()
+        discard(label)
         label = nxt.select("a", "l")
         if not moved:
             break
     else:
         raise RuntimeError(f"labels still move after {max_rounds} rounds")
+    discard(both)
     return label.select(F.col("a").alias("id"), F.col("l").alias("component"))

@@ -52,12 +52,14 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for ``df``, once nothing reads it."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    for file in df.inputFiles()[:1]:
-        folder = file.rsplit("/", 1)[0]
-        if folder.split("://")[-1].lstrip("/").startswith(root.split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/")):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for each table, once nothing reads it."""
+    bare = lambda p: p.split("://")[-1].removeprefix("file:").lstrip("/")
+    for df in tables:
+        spark = df.sparkSession
+        root = bare(shared_dir(spark))
+        for file in df.inputFiles()[:1]:
+            folder = file.rsplit("/", 1)[0]
+            if bare(folder).startswith(root + "/"):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
