@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from massloom.llm.textkit import fresh_name
 from massloom.plans.store import materialize
 
 TOP_BITS, MORE_BITS = 14, 10
@@ -103,34 +104,43 @@ def plan_cuts(sizes: DataFrame, shards: int) -> tuple[list[int], list[int]]:
             atoms |= {s: (b, one, finer) for s, (b, one) in histogram(rest, finer, [(s, bits) for s, _ in ranges]).items()}
 
 
+def text_size_and_key(docs: DataFrame) -> tuple[Column, Column]:
+    """(UTF-8 bytes plus 1 as ``size``, hash of the text as ``key``); a null text counts as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.xxhash64(text).alias("key")
+
+
+def shard_of(key: Column, alone: list[int], cuts: list[int]) -> Column:
+    """The shard of a key: its own if it is alone, else by the cuts."""
+    shard = F.lit(len(alone))
+    for cut in cuts:
+        if cut is not None:  # signed order of keys is the unsigned order of what was cut
+            shard = shard + (key >= F.lit(cut - HALF)).cast("int")
+    for k, own in enumerate(alone):
+        shard = F.when(key == own, F.lit(k)).otherwise(shard)
+    return shard.cast("int")
+
+
 def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of ``docs``.
 
     ``size`` is the UTF-8 length of the text plus 1; equal texts share a shard
-    (so do texts of equal 64-bit hash). A group of more than an equal share
-    gets a shard of its own and the others are cut among the rest. ``slot``
-    counts the rows of a shard from 0 without gaps. A null text counts as
-    empty, a null doc_id is kept, repeated rows get a slot each; an empty table
-    gives no rows, and shards may be empty where groups are few.
+    (so do texts of equal 64-bit hash). The order that is cut has the groups of
+    more than an equal share first, then all others by the hash of their text:
+    each of the former is a shard, since any neighbour would only add to the
+    largest, and the partition of the others is minimax again. ``slot`` counts
+    the rows of a shard from 0 without gaps. A null text counts as empty, a
+    null doc_id is kept, repeated rows get a slot each; groups of equal size
+    are told apart by their hash. Extra columns are not read; only the length
+    and hash of a long text are. An empty table gives no rows, and shards may
+    be empty where groups are few.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("key"),
-        F.monotonically_increasing_id().alias("seq"),
-    )
+    size, key = text_size_and_key(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size, F.crc32(text.cast("binary")).alias("text_crc32"), key, F.monotonically_increasing_id().alias("seq"))
     rows = materialize(rows, "shard-sizes")  # from here on seq is fixed
-    alone, cuts = plan_cuts(rows.select("key", "size"), shards)
-    shard = F.lit(len(alone))
-    position = F.col("key")  # signed order of keys is the unsigned order of what was cut
-    for cut in cuts:
-        if cut is not None:
-            shard = shard + (position >= F.lit(cut - HALF)).cast("int")
-    for k, key in enumerate(alone):
-        shard = F.when(F.col("key") == key, F.lit(k)).otherwise(shard)
-    placed = rows.withColumn("shard", shard.cast("int")).withColumn("part", F.shiftrightunsigned("seq", 33))
+    shard = shard_of(F.col("key"), *plan_cuts(rows.select("key", "size"), shards))
+    placed = rows.withColumn("shard", shard).withColumn("part", F.shiftrightunsigned("seq", 33))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("c"))
     before = counts.select("shard", "part", (F.sum("c").over(W.partitionBy("shard").orderBy("part")) - F.col("c")).alias("base"))
     number = F.row_number().over(W.partitionBy("shard", "part").orderBy("seq")) - 1
@@ -139,15 +149,19 @@ def minimax_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Write the texts as Parquet under ``path/shard=k``, each shard cut by the same rule."""
-    where = minimax_shards(docs, shards).select("doc_id", "text_crc32", "shard").distinct()
-    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    docs = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_crc", crc)
-    both = docs.join(where.withColumnRenamed("doc_id", "_doc"), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_crc") == F.col("text_crc32")))
-    both.drop("_id", "_crc", "_doc", "text_crc32").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write ``docs`` as Parquet under ``path/shard=k``, each shard cut by the same rule.
+
+    Each row goes where its text goes, by the cuts alone: nothing is joined.
+    All columns are kept; the partition is named ``shard``, with underscores
+    behind where ``docs`` has such a column. Nulls, ties, repeated rows, long
+    texts and empty tables as in :func:`minimax_shards`.
+    """
+    sizes = materialize(docs.select(*text_size_and_key(docs)), "shard-sizes")
+    name = fresh_name(docs.columns, "shard")
+    docs.withColumn(name, shard_of(text_size_and_key(docs)[1], *plan_cuts(sizes, shards))).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in eight shards of near equal bytes."""
+    """All documents in eight shards of near equal bytes; odd rows as in :func:`minimax_shards`."""
     out = minimax_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

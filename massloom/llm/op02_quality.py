@@ -3,8 +3,9 @@
 The text view sees the characters: how often each pair of character classes
 follows one another, and figures of words and lines. The metadata view sees
 language, source and length class. Each view's classifier starts from the
-labelled sample; in each round it labels the unlabelled documents that it is
-surest about for the *other* view, and both are fitted anew. In the end each
+labelled sample; in each round it scores every unlabelled document of the corpus
+and labels those that it is surest about for the *other* view, and both are
+fitted anew. In the end each
 view is calibrated on labelled documents outside the fit, and the calibrated
 log odds are added (less the prior, which both contain), so a document is
 scored by both.
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import Powers, byte_codes, is_gap, list_column, mix, runs, slices, smallest_hashed, span_hashes
+from massloom.llm.textkit import Powers, byte_codes, is_gap, list_column, mix, one_row_each, parts, runs, slices, smallest_hashed, span_hashes
+from massloom.plans.store import materialize
 
-#: Labelled and unlabelled documents that the classifiers are fitted on, at most (those of the smallest hashed ids).
-MAX_LABELLED, MAX_UNLABELLED = 6_000, 6_000
-ROUNDS, SHARE, SURE = 4, 0.05, 0.95
+#: Labelled documents that the classifiers are fitted on, at most (those of the smallest hashed ids).
+MAX_LABELLED = 6_000
+#: Rounds, documents of all that a view labels for the other in each, and how sure it must be of them.
+ROUNDS, EXCHANGED, SURE = 3, 600, 0.95
 RIDGE = 1e-3
 META = ["lang", "source", "n_chars"]
 META_SLOTS = 96
@@ -148,31 +151,31 @@ class CoTrained:
         return sigmoid(self.text.odds(text) + self.meta.odds(meta) - self.prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, free_text: np.ndarray, free_meta: np.ndarray, held: np.ndarray) -> CoTrained:
-    """Both views from labelled rows (``held`` marks those that calibrate) and unlabelled rows."""
-    prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
-    own = ~held
-    if not own.any() or y[own].min() == y[own].max():
-        return CoTrained(None, None, prior)
-    labels, free = y[own], [free_text, free_meta]
-    sets = [[text[own], labels, np.ones(own.sum())], [meta[own], labels, np.ones(own.sum())]]
-    taken = [np.zeros(len(free_text), dtype=bool), np.zeros(len(free_text), dtype=bool)]
-    for _ in range(ROUNDS):
-        views = [View.fit(*s) for s in sets]
-        for k, view in enumerate(views):
-            view.calibrate((text if k == 0 else meta)[held], y[held])
-            other = 1 - k
-            p = sigmoid(view.odds(free[k]))
-            for sure, label in ((p, 1.0), (1 - p, 0.0)):
-                good = np.flatnonzero((sure >= SURE) & ~taken[other])
-                share = labels.mean() if label else 1 - labels.mean()
-                best = good[np.argsort(-sure[good], kind="stable")][: max(1, int(SHARE * share * len(free_text)))]
-                taken[other][best] = True
-                sets[other] = [np.vstack([sets[other][0], free[other][best]]), np.r_[sets[other][1], np.full(len(best), label)], np.r_[sets[other][2], np.full(len(best), 0.5)]]
-    views = [View.fit(*s) for s in sets]
-    views[0].calibrate(text[held], y[held])
-    views[1].calibrate(meta[held], y[held])
-    return CoTrained(*views, prior)
+class CoTraining:
+    """Both views' training sets, from labelled rows (``held`` marks those that calibrate) and what the views label for each other."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray) -> None:
+        self.labelled, self.y, self.held = (text, meta), y, held
+        self.prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
+        own = ~held
+        self.able = bool(own.any()) and y[own].min() != y[own].max()
+        self.rate = float(y[own].mean()) if own.any() else 0.5
+        self.sets = [[x[own], y[own], np.ones(int(own.sum()))] for x in self.labelled]
+
+    def views(self) -> list[View]:
+        """Both views fitted on their present sets and calibrated."""
+        out = [View.fit(*s) for s in self.sets]
+        for view, x in zip(out, self.labelled, strict=True):
+            view.calibrate(x[self.held], self.y[self.held])
+        return out
+
+    def add(self, view: int, x: np.ndarray, label: float) -> None:
+        """Pseudo-labelled rows for one view, at half the weight of labelled ones."""
+        old = self.sets[view]
+        self.sets[view] = [np.vstack([old[0], x]), np.r_[old[1], np.full(len(x), label)], np.r_[old[2], np.full(len(x), 0.5)]]
+
+    def model(self) -> CoTrained:
+        return CoTrained(*self.views(), self.prior) if self.able else CoTrained(None, None, self.prior)
 
 
 def with_meta(docs: DataFrame) -> DataFrame:
@@ -183,36 +186,90 @@ def with_meta(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "text", meta_slots().alias("slots"))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, unlabelled: int = MAX_UNLABELLED) -> CoTrained:
-    """Co-trained views from bounded samples of labelled and unlabelled documents.
-
-    Null and repeated labels, and those of ids without a document, are
-    harmless; without labels of both kinds the score is the prior.
-    """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").dropna()
-    known = smallest_hashed(known, most, "doc_id", "y")
-    rows = with_meta(docs)
-    # the pool: the smallest hashed ids among all rows, less the labelled ones
-    pool = smallest_hashed(rows.select("doc_id"), unlabelled, "doc_id").join(known, "doc_id", "left_anti").dropna().distinct()
-    named = known.unionByName(pool.withColumn("y", F.lit(-1)))
+def view_features(rows: DataFrame) -> pa.Table:
+    """(doc_id, y, x, slots) of (doc_id, y, text, slots), in an order of its own content."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
-        for b in batches:
+        for b in parts(batches):
             x = text_view(b.column(2), pows)
             yield pa.record_batch([b.column(0), b.column(1), list_column(list(x.astype(np.float32)), np.float32, pa.float32()), b.column(3)], ["doc_id", "y", "x", "slots"])
 
-    seen = rows.join(named, "doc_id").select("doc_id", "y", "text", "slots").mapInArrow(kernel, "doc_id long, y int, x array<float>, slots array<int>").toArrow()
-    if not seen.num_rows:
-        return CoTrained(None, None, 0.0)
+    return rows.mapInArrow(kernel, "doc_id long, y int, x array<float>, slots array<int>").toArrow()
+
+
+def in_order(seen: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, labels, text view, metadata view), whatever order the rows arrived in."""
     x = seen.column("x").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, TEXT_SIZE)
     meta = meta_view(seen.column("slots").to_pylist())
     ids, y = seen.column("doc_id").to_numpy(), seen.column("y").to_numpy().astype(float)
-    order = np.lexsort((*x[:, -3:].T, y, ids))  # the order of arrival does not matter
-    x, meta, ids, y = x[order], meta[order], ids[order], y[order]
-    lab = y >= 0
-    held = mix(ids[lab].astype(np.int64).view(np.uint64)) % np.uint64(4) == 0
-    return co_train(x[lab], meta[lab], y[lab], x[~lab], meta[~lab], held)
+    order = np.lexsort((*x[:, -3:].T, y, ids))
+    return ids[order], y[order], x[order], meta[order]
+
+
+def surest(pool: DataFrame, views: list[View], taken: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """(doc_id, view, y): what each view is surest about among all rows of ``pool``, for the other view.
+
+    Every row is scored; of each view and label the ``counts[label]`` surest
+    documents that the other view was not yet given are taken (ties by hashed
+    id). What is written and sorted is an id and two numbers a row.
+    """
+    sent = pool.sparkSession.sparkContext.broadcast(views)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pows = Powers()
+        for b in parts(batches):
+            p = sigmoid(sent.value[0].odds(text_view(b.column(1), pows)))
+            q = sigmoid(sent.value[1].odds(meta_view(b.column(2).to_pylist())))
+            yield pa.record_batch([b.column(0), pa.array(p), pa.array(q)], ["doc_id", "p0", "p1"])
+
+    scored = materialize(pool.select("doc_id", "text", "slots").mapInArrow(kernel, "doc_id long, p0 double, p1 double"), "quality-scored")
+    out = None
+    for view in (0, 1):
+        had = taken.filter(F.col("view") == 1 - view).select("doc_id")
+        for label, most in counts.items():
+            sure = F.col(f"p{view}") if label else 1 - F.col(f"p{view}")
+            best = scored.withColumn("sure", sure).filter(F.col("sure") >= SURE).join(F.broadcast(had), "doc_id", "left_anti")
+            best = best.orderBy(F.desc(F.round("sure", 9)), F.xxhash64("doc_id"), "doc_id").limit(most)
+            best = best.select("doc_id", F.lit(1 - view).alias("view"), F.lit(label).alias("y"))
+            out = best if out is None else out.unionByName(best)
+    return materialize(out, "quality-surest")
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, exchanged: int = EXCHANGED, rounds: int = ROUNDS) -> CoTrained:
+    """Co-trained views from at most ``most`` labelled ids and all unlabelled documents.
+
+    Each round reads the corpus once; a view labels at most ``exchanged``
+    documents for the other, shared out as the labels are. An id of several
+    rows is learned from one of them. Null and repeated labels, and those of
+    ids without a document, are harmless; without labels of both kinds the
+    score is the prior.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1)").dropna()
+    known = smallest_hashed(known, most, "doc_id", "y").dropDuplicates()
+    rows = with_meta(docs)
+    ids = known.select("doc_id").distinct()
+    seen = view_features(one_row_each(rows.join(ids, "doc_id"), "doc_id", "text", "slots").join(known, "doc_id").select("doc_id", "y", "text", "slots"))
+    if not seen.num_rows:
+        return CoTrained(None, None, 0.0)
+    names, y, x, meta = in_order(seen)
+    training = CoTraining(x, meta, y, mix(names.astype(np.int64).view(np.uint64)) % np.uint64(4) == 0)
+    if not training.able:
+        return training.model()
+    pool = rows.dropna(subset=["doc_id"]).join(F.broadcast(ids), "doc_id", "left_anti")  # at most ``most`` ids
+    counts = {label: max(1, int(exchanged * share)) for label, share in ((1, training.rate), (0, 1 - training.rate))}
+    taken = docs.sparkSession.createDataFrame([], "doc_id long, view int, y int")
+    for _ in range(rounds):
+        new = surest(pool, training.views(), taken, counts)
+        taken = taken.unionByName(new)
+        # at most 2 * exchanged ids; one that both views chose, or chose for both labels, is read once
+        texts = one_row_each(pool.join(F.broadcast(new.select("doc_id").distinct()), "doc_id"), "doc_id", "text", "slots")
+        found = view_features(texts.select("doc_id", F.lit(0).alias("y"), "text", "slots"))
+        if found.num_rows:
+            names, _, *features = in_order(found)
+            for r in new.groupBy("view", "y").agg(F.collect_set("doc_id").alias("ids")).orderBy("view", "y").collect():
+                training.add(r.view, features[r.view][np.isin(names, r.ids)], float(r.y))
+    return training.model()
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
@@ -220,7 +277,9 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
 
     Null and empty texts have a text view of zeros; null or missing metadata is
     a class of its own. Repeated rows and null ids are scored each for itself;
-    an empty table gives no rows.
+    a score of exactly 0.5 is kept; columns other than text and metadata are
+    not read. A text is read whole: one longer than a slice is a slice of its
+    own. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -236,6 +295,6 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quality score of every document and whether it is kept."""
+    """Quality score of every document and whether it is kept; odd rows as in :func:`score`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

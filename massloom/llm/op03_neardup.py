@@ -36,9 +36,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import NO_ID, Powers, list_column, mix, parts, shingle_sets, texts_of
+from massloom.llm.textkit import NO_ID, Powers, fresh_name, join_counted, list_column, mix, parts, shingle_sets, texts_of
 from massloom.operators.graph import connected_components
-from massloom.plans.store import materialize
+from massloom.plans.store import discard, materialize
 
 SHINGLE = 5
 #: Similarity as a ratio of integers, so that the comparison is exact.
@@ -181,8 +181,11 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     Documents without words have no shingles and are linked with nothing.
     Rows of the same doc_id and the same text each get the row's result; rows
     of the same doc_id and different texts are linked through that id. A null
-    doc_id takes part as the smallest id and comes back as null. An empty
-    table gives an empty result.
+    doc_id takes part as the smallest id and comes back as null. Words and sets
+    are compared by hash: shingles by 64 bits, equal sets by size and 128 bits,
+    links by all 64-bit shingles of both sets. Extra columns are not read. Very
+    long texts are read whole, one at a time. An empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     docs = texts_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
@@ -190,11 +193,13 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     every = materialize(sketches(docs, size, num, den, frequent), "neardup-sketches")
     key = ["n", "fp1", "fp2"]
     wordy = every.filter("n > 0").select("doc_id", *key)
-    several = wordy.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    classed = materialize(wordy.join(several, key, "left").select("doc_id", "rep"), "neardup-classes")
+    rows_in = every.count()
+    several = materialize(wordy.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).filter("c > 1"), "neardup-several")
+    classed = materialize(join_counted(wordy, several, key, rows_in).select("doc_id", "rep"), "neardup-classes")
     same = classed.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     # ids that stand for nothing but copies; a repeated id with a text of its own stays searchable
-    copies = classed.groupBy("doc_id").agg(F.bool_and(F.coalesce(F.col("doc_id") != F.col("rep"), F.lit(False))).alias("c")).filter("c").select("doc_id")
+    held = wordy.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    copies = classed.filter("doc_id <> rep").groupBy("doc_id").agg(F.count("*").alias("gone")).join(held, "doc_id").filter("gone = rows").select("doc_id")
 
     rows = every.select("doc_id", F.posexplode("kept").alias("pos", "v"))
     lists = rows.groupBy("v").agg(F.count("*").alias("len"), F.min("doc_id").alias("pivot")).filter("len > 1").drop("len")
@@ -221,6 +226,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     found = verify(more, docs, size, num, den)
 
     groups = connected_components(links.unionByName(found).unionByName(same), "a", "b")
+    discard(several, classed, live, stars, checked, links, open_lists, cross, more, found)
     out = every.select("doc_id", "n").join(groups, every.doc_id == groups.id, "left")
     real = lambda c: F.when(c != NO_ID, c)
     group = F.coalesce("component", "doc_id")
@@ -229,12 +235,13 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
 
 def drop_by_row(docs: DataFrame, **how) -> DataFrame:
     """``drop_near_duplicates`` where rows share an id: each gets a key, held in a copy of the table."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "neardup-rows")
-    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("_row"), "component_id")
+    row = fresh_name(docs.columns, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "neardup-rows")
     doc_id = F.col("doc_id").cast("long")
-    ranked = materialize(groups.join(rows.select("_row", F.struct(doc_id.isNotNull(), F.coalesce(doc_id, F.lit(NO_ID)), "_row").alias("rank")), "_row"), "neardup-ranked")
-    first = ranked.groupBy("component_id").agg(F.min("rank")["_row"].alias("_row"))
-    return rows.join(first.select("_row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = rows.select(F.col(row).alias("k"), F.struct(doc_id.isNotNull(), F.coalesce(doc_id, F.lit(NO_ID)), F.col(row).alias("k")).alias("rank"))
+    groups = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), **how).select(F.col("doc_id").alias("k"), "component_id")
+    first = groups.join(keyed, "k").groupBy("component_id").agg(F.min("rank")["k"].alias(row))
+    return rows.join(materialize(first.select(row), "neardup-first"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -242,16 +249,20 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
     Every row is a document of its own, whatever its id: of copies under one
     id one row stays, and a row does not go because another row of its id does.
-    A null doc_id is the smallest. Rows without words all stay.
+    A null doc_id is the smallest; of rows of one id in a group the first read
+    stays. Rows without words, null texts among them, all stay. Columns may
+    have any names. Very long texts are read whole, one at a time. An empty
+    table gives no rows.
     """
     if not docs.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")).count().filter("count > 1").isEmpty():
         return drop_by_row(docs, **how)
-    gone = near_duplicates(docs, **how).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = fresh_name(docs.columns, "_gone")
+    ids = near_duplicates(docs, **how).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate groups over all documents: five words, similarity 0.75."""
+    """Near-duplicate groups over all documents: five words, similarity 0.75; odd rows as in :func:`near_duplicates`."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -19,6 +19,7 @@ that decoding gives every text back exactly.
 
 from __future__ import annotations
 
+import heapq
 import math
 import os
 import re
@@ -40,6 +41,8 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED = 400_000
 #: Characters beyond which a chunk is segmented each time.
 LONG_CHUNK = 64
+#: Bytes of a chunk that are segmented at once.
+BLOCK = 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -158,6 +161,7 @@ class Pieces:
         if any(MARK in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER)):
             raise ValueError("a piece holds the whitespace marker behind another character")
         self.trie = DoubleArray([p for p, _ in usable], [i for _, i in usable])
+        self.longest = max((len(p) for p, _ in usable), default=0) + 4
         self.scores = [s for _, s, _ in self.pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == UNKNOWN), 0)
@@ -172,37 +176,65 @@ class Pieces:
         return [self.bytes[b] for b in data] if self.bytes else [self.unknown]
 
     def segment(self, chunk: str) -> list[int]:
-        """The best pieces of a chunk by Viterbi; the earlier found wins on ties."""
-        data = chunk.encode()
-        n = len(data)
-        best = [-1e300] * (n + 1)
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        best[0], at = 0.0, 0
-        scores, low = self.scores, self.low
+        """The best pieces of a chunk by Viterbi; the earlier found wins on ties.
+
+        A chunk of more than BLOCK bytes is worked on block by block: as soon as
+        the best paths to all places that are still open meet in one place,
+        what lies before it is settled, so a text without a blank needs no
+        table of its own length.
+        """
+        data, out, best, back, at = chunk.encode(), [], [0.0], [(0, -1)], 0
+        scores, low, longest = self.scores, self.low, self.longest
         base, check, value = self.trie.base, self.trie.check, self.trie.value
-        while at < n:
-            width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-            here, single, state, i = best[at], False, 0, at
-            while i < n:
-                nxt = base[state] + data[i] + 1
-                if check[nxt] != state:
-                    break
-                state, i = nxt, i + 1
-                piece = value[state]
-                if piece >= 0:
-                    single = single or i == at + width
-                    score = here + scores[piece]
-                    if score > best[i]:
-                        best[i], back[i] = score, (at, piece)
-            if not single and here + low > best[at + width]:
-                best[at + width], back[at + width] = here + low, (at, -1)
-            at += width
-        out: list[int] = []
-        while n:
-            at, piece = back[n]
-            out += [piece] if piece >= 0 else reversed(self.spell(data[at:n]))
-            n = at
-        return out[::-1]
+        while True:
+            n = len(data)
+            stop = min(n, at + BLOCK)
+            more = min(n, stop + longest) + 1 - len(best)
+            best += [-1e300] * more
+            back += [(0, -1)] * more
+            while at < stop:
+                width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+                here, single, state, i = best[at], False, 0, at
+                while i < n:
+                    nxt = base[state] + data[i] + 1
+                    if check[nxt] != state:
+                        break
+                    state, i = nxt, i + 1
+                    piece = value[state]
+                    if piece >= 0:
+                        single = single or i == at + width
+                        score = here + scores[piece]
+                        if score > best[i]:
+                            best[i], back[i] = score, (at, piece)
+                if not single and here + low > best[at + width]:
+                    best[at + width], back[at + width] = here + low, (at, -1)
+                at += width
+            settled = n if at >= n else self.meeting(back, [k for k in range(at, len(best)) if best[k] > -1e300])
+            own: list[int] = []
+            k = settled
+            while k:
+                before, piece = back[k]
+                own += [piece] if piece >= 0 else reversed(self.spell(data[before:k]))
+                k = before
+            out += own[::-1]
+            if at >= n:
+                return out
+            data, best, at = data[settled:], best[settled:], at - settled
+            back = [(b - settled, p) for b, p in back[settled:]]
+
+    @staticmethod
+    def meeting(back: list[tuple[int, int]], ends: list[int]) -> int:
+        """The last place that the best paths to all ``ends`` share."""
+        open_ends, heads = set(ends), [-e for e in ends]
+        heapq.heapify(heads)
+        while len(open_ends) > 1:
+            last = -heapq.heappop(heads)
+            open_ends.discard(last)
+            before = back[last][0]
+            if before not in open_ends:
+                open_ends.add(before)
+                heapq.heappush(heads, -before)
+        return open_ends.pop()
 
     def chunk_ids(self, chunk: str) -> bytes:
         ids = self.known.get(chunk)
@@ -225,7 +257,13 @@ class Pieces:
             if own or not k:
                 own = (MARK if not k else "") + own.replace(" ", MARK)
                 known = self.known.get
-                parts += [known(c) or self.chunk_ids(c) for c in CHUNK.findall(own)]
+                if len(own) <= BLOCK:
+                    parts += [known(c) or self.chunk_ids(c) for c in CHUNK.findall(own)]
+                else:
+                    whole = bytearray()
+                    for m in CHUNK.finditer(own):
+                        whole += known(m.group()) or self.chunk_ids(m.group())
+                    parts.append(bytes(whole))
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -251,7 +289,9 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame
     ``ids`` are the piece ids of the whole text and ``exact`` says that
     decoding them gives the text back. A null text has null ids and is not
     exact; an empty text has no ids. Repeated rows and null ids are encoded
-    each for itself; an empty table gives no rows.
+    each for itself; of segmentations of equal score the one found first wins.
+    Extra columns are not read. A long text is encoded whole, a long run
+    without a blank block by block. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pieces or load_pieces(docs.sparkSession))
 
@@ -288,6 +328,6 @@ def decode_documents(tokens: DataFrame, pieces: Pieces | None = None) -> DataFra
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, and whether they decode to its text."""
+    """Piece ids of every document, and whether they decode to its text; odd rows as in :func:`encode_documents`."""
     out = encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "exact")

@@ -1,8 +1,8 @@
 """Quality rules as a learned decision list, in DataFrame functions throughout.
 
 Text statistics are column expressions. From labelled documents' statistics,
-sequential covering learns an ordered list of conjunctions of thresholds: each
-rule is grown on two thirds of the rows still uncovered (the threshold with the
+sequential covering learns an ordered list of conjunctions of thresholds: the rows that pass the base checks are learned from, so a rule says what those
+miss. Each rule is grown on two thirds of the rows still uncovered (the threshold with the
 best information gain at each step), pruned on the other third (conditions go
 from the end while that helps), and kept while it is precise there. The list
 becomes one ``CASE WHEN`` over the statistics, readable as it stands.
@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import GAP, smallest_hashed
+from massloom.llm.textkit import GAP, one_row_each, smallest_hashed
 from massloom.plans.store import materialize
 
 SYMBOLS = "#*$%&|<>"
@@ -68,8 +68,11 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         F.length(without(F.col("text"), "0123456789")).alias("not_digit"),
         F.length(without(F.col("text"), ".!?")).alias("not_stop"),
     )
-    windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("words"), i, WINDOW))))
-    counted = worded.select(
+    # a window that occurs twice puts WINDOW words behind an earlier one of the same kind
+    repeated = F.size("words") - F.size(F.array_distinct("words")) >= WINDOW
+    hashed = worded.withColumn("coded", F.when(repeated, F.transform("words", lambda w: F.xxhash64(w))))
+    windows = F.transform(F.sequence(F.lit(0), F.size("coded") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("coded"), i + j) for j in range(WINDOW)]))
+    counted = hashed.select(
         "doc_id",
         *keep,
         F.size("words").cast("long").alias("n_words"),
@@ -81,7 +84,7 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
         (F.col("chars") - F.col("not_upper")).cast("long").alias("n_upper"),
         (F.col("chars") - F.col("not_digit")).cast("long").alias("n_digits"),
         (F.col("chars") - F.col("not_stop")).cast("long").alias("n_stops"),
-        windows.alias("hashes"),
+        F.when(F.col("coded").isNotNull(), windows).alias("hashes"),
     )
     repeats = F.size(F.array_distinct("hashes")) < F.size("hashes")
     paired = F.when(repeats, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
@@ -180,11 +183,13 @@ def decision_list(rules: list[Rule]) -> Column:
 
 
 def labelled_statistics(stats: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(features, whether bad, feature names) of at most ``most`` labelled documents, in hashed order of their ids."""
+    """(features, whether bad, feature names) of at most ``most`` labelled ids, in hashed order; an id of several rows gives one."""
     names = list(FEATURES)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna()
     known = smallest_hashed(known, most, "doc_id", "quality")
-    rows = stats.select("doc_id", *[F.expr(c).alias(n) for n, c in FEATURES.items()]).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *names).collect()
+    known = known.dropDuplicates()
+    named = stats.select("doc_id", *[F.expr(c).alias(n) for n, c in FEATURES.items()]).join(known.select("doc_id").distinct(), "doc_id")
+    rows = one_row_each(named, "doc_id", *names).join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", *names).collect()
     return np.array([[r[n] for n in names] for r in rows], dtype=float).reshape(-1, len(names)), np.array([r.quality == 0 for r in rows], dtype=bool), names
 
 
@@ -195,17 +200,20 @@ def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
     windows. ``rule`` is the learned rule that fits, counted from 0, else null;
     a row is kept if neither speaks against it. Rows with null or empty texts
     fail the base. Labels of null, of ids that no document has, and repeated
-    labels are harmless; without labels no rule is learned. An empty table
-    gives no rows.
+    labels are harmless; without labels no rule is learned. Repeated rows are
+    judged each for itself; thresholds lie halfway between the values that they
+    part, so ties fall on one side. Extra columns are not read, whatever their
+    names. Very long texts are judged whole: their words and window hashes are
+    arrays in one row, about 30 bytes a word. An empty table gives no rows.
     """
     stats = materialize(text_statistics(docs), "rules-stats")
-    rules = learn_rules(*labelled_statistics(stats, labels))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    rules = learn_rules(*labelled_statistics(stats.filter(~failed), labels))
     out = stats.withColumn("base_failed", failed).withColumn("rule", decision_list(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics and verdict of every document."""
+    """Statistics and verdict of every document; nulls, long texts and repeats as in :func:`judge`."""
     out, _ = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", *BASE, "base_failed", "kept")

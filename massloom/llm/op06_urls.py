@@ -74,9 +74,14 @@ def position(key: Column, level: int, j: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(level), F.lit(j)), F.lit(bits))
 
 
+def level_words(n: int, rate: float) -> int:
+    """Longs of a Bloom filter of ``n`` keys with about this rate of false positives."""
+    return max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
+
+
 def build_level(keys: DataFrame, n: int, rate: float, number: int) -> Level:
     """A Bloom filter of the ``n`` keys with about this rate of false positives."""
-    size = max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
+    size = level_words(n, rate)
     hashes = max(1, round(-math.log2(rate)))
     at = keys.select(F.explode(F.array(*[position(F.col("key"), number, j, 64 * size) for j in range(hashes)])).alias("at"))
     rows = at.selectExpr("int(at div 64) AS w", "shiftleft(1L, int(at % 64)) AS m").groupBy("w").agg(F.bit_or("m").alias("m")).collect()
@@ -111,10 +116,10 @@ def build_cascade(universe: DataFrame, listed: DataFrame, most_words: int = MOST
     count, levels, words = n.get(True, 0), [], 0
     while count:
         rate = 0.5 if levels else min(0.5, max(count, 1) / (1.4 * max(n.get(False, 0), 1)))
-        level = build_level(inside, count, rate, len(levels))
-        words += len(level.words)
+        words += level_words(count, rate)
         if words > most_words:
             raise ValueError(f"the cascade takes more than {most_words} longs")
+        level = build_level(inside, count, rate, len(levels))
         levels.append(level)
         inside, outside = outside.filter(level.holds(F.col("key"))), inside
         count = inside.count()
@@ -131,7 +136,13 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def default_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f"{a}.{b}",) for a in LISTED_LABELS for b in LISTED_DOMAINS], "key string")
+    return spark.sql("VALUES " + ", ".join(f"('{a}.{b}')" for a in LISTED_LABELS for b in LISTED_DOMAINS)).toDF("key")
+
+
+def host_list(spark: SparkSession, path: str) -> DataFrame:
+    """A list of hosts (key) from a text file of one host a line; blanks and lines after ``#`` are left out."""
+    key = F.translate(F.btrim(F.split("value", "#")[0]), UPPER, LOWER)
+    return spark.read.text(path).select(key.alias("key")).filter("key <> ''").distinct()
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -141,7 +152,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
     the longest wins. Where none fits, a url is blocked if its host or a parent
     domain is listed. A null url, or one without ``://``, has an empty host and
     path and is allowed. Repeated rows are judged each; nulls in ``listed`` are
-    ignored; an empty table gives no rows.
+    ignored; rules of equal length never both fit one host and path. Extra
+    columns are not read; very long urls are judged whole. An empty table gives
+    no rows.
     """
     hosts = pages.select(host_of(F.col("url").cast("string")).alias("host")).distinct()
     universe = hosts.select(F.explode(domains_of(F.col("host"))).alias("key")).distinct()
@@ -155,7 +168,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str,
 
 
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every page's url."""
+    """The verdict on every page's url; odd rows as in :func:`judge_urls`."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), default_list(spark)).drop("listed")
 
 

@@ -1,11 +1,15 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A document is the set of its words and word beginnings, hashed. A logistic
-model over the features that tell the labels apart is fitted on a bounded
-sample of labelled documents. For every labelled sentence that names a group,
-the group's term is swapped for the other terms of its kind; the squared change
-of the score under each swap is penalised, so the model cannot lean on which
-group is named. Scores are calibrated on labelled documents outside the fit.
+model over the features that tell the labels apart, and over those of the group
+terms, is fitted on a bounded sample of labelled documents. In every labelled
+text that names a group the term is swapped for the other terms of its kind.
+Every labelled text also gets neutral mentions: a term of each kind is put into
+it, and then swapped for the next. The squared change of the score under each of
+these is penalised, so neither which group is named nor that one is named moves
+the score, whatever groups the corpus itself happens to name. Word beginnings
+that terms share with other words are held down with them. Scores are
+calibrated on labelled documents outside the fit.
 
 Every document is scored in one pass without a shuffle; the model's size is
 bounded by ``MOST_FEATURES``.
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import Powers, ascii_lower, byte_codes, list_column, mix, parts, runs, slices, smallest_hashed, span_hashes, texts_of
+from massloom.llm.textkit import Powers, ascii_lower, byte_codes, list_column, mix, one_row_each, parts, runs, slices, smallest_hashed, span_hashes, texts_of
 from massloom.plans.store import materialize
 
 #: Labelled documents that the model is fitted on, at most (those of the smallest hashed ids).
@@ -49,7 +53,7 @@ def is_letter() -> np.ndarray:
 
 
 def hashed_features(texts: pa.Array, pows: Powers) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, its distinct features ascending, its whole-word hashes in order); words are runs of letters in lower case."""
+    """(row, its distinct features ascending, its features by kind and word, whole words first); words are runs of letters in lower case."""
     codes, letter, low = byte_codes(), is_letter(), ascii_lower()
     for first, last, data, offsets in slices(texts):
         data = low[data]
@@ -58,9 +62,10 @@ def hashed_features(texts: pa.Array, pows: Powers) -> Iterator[tuple[int, np.nda
         kinds = [words]
         for n in BEGINNINGS:
             kinds.append(mix(span_hashes(data, start, np.minimum(end, start + n), codes, pows) + np.uint64(n)))
+        table = np.stack(kinds)
         for row in range(last - first):
-            a, b = int(at[row]), int(at[row + 1])
-            yield first + row, np.unique(np.concatenate([k[a:b] for k in kinds])), words[a:b]
+            own = table[:, at[row] : at[row + 1]]
+            yield first + row, np.unique(own), own
 
 
 def features_of_word(word: str, pows: Powers) -> np.ndarray:
@@ -92,24 +97,50 @@ class Model:
 
 
 def span_hash(word: str, pows: Powers) -> int:
-    return int(next(hashed_features(pa.array([word]), pows))[2][0])
+    return int(next(hashed_features(pa.array([word]), pows))[2][0, 0])
 
 
 def term_hashes(pows: Powers) -> np.ndarray:
     return np.sort(np.array([span_hash(t, pows) for terms in IDENTITIES.values() for t in terms], dtype=np.uint64))
 
 
-def swap_pairs(rows: list[np.ndarray], words: list[np.ndarray], pows: Powers) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features lost, features won) for every swap of a group term in a labelled row."""
+def term_features(pows: Powers) -> np.ndarray:
+    """The features of all group terms, ascending."""
+    return np.unique(np.concatenate([features_of_word(t, pows) for terms in IDENTITIES.values() for t in terms]))
+
+
+def only_of_terms(own: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(the group terms of a text, for each the features that no other word of the text has)."""
+    named = np.unique(present(terms, own[0]))
+    lost = []
+    for t in named:
+        is_term = own[0] == t
+        lost.append(np.setdiff1d(own[:, is_term], own[:, ~is_term]))
+    return named, lost
+
+
+def swap_pairs(rows: list[np.ndarray], named: list[np.ndarray], lost: list[list[np.ndarray]], pows: Powers) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features lost, features won) for every counterfactual of the labelled rows.
+
+    ``rows`` are their features, ``named`` the group terms in them and ``lost``
+    the features that go with each. A named term is swapped for every other of
+    its kind. Each row also gets a term of each kind that it does not name, in
+    turn over the rows, and that mention is swapped for the next term.
+    """
+    every = term_features(pows)
+    absent = [~np.isin(every, held) for held in rows]
     out = []
     for terms in IDENTITIES.values():
-        own = [features_of_word(t, pows) for t in terms]
+        own = [np.isin(every, features_of_word(t, pows)) for t in terms]
         whole = np.array([span_hash(t, pows) for t in terms], dtype=np.uint64)
-        for held, seq in zip(rows, words, strict=True):
-            for k in np.flatnonzero(np.isin(whole, seq)):
-                for j in range(len(terms)):
-                    if j != k:
-                        out.append((own[k], np.setdiff1d(own[j], held)))
+        for i, (new, seen, gone) in enumerate(zip(absent, named, lost, strict=True)):
+            here = np.isin(whole, seen) if len(seen) else np.zeros(len(terms), dtype=bool)
+            for k in np.flatnonzero(here):
+                minus = gone[int(np.flatnonzero(seen == whole[k])[0])]
+                out += [(minus, every[own[j] & new]) for j in range(len(terms)) if j != k]
+            k, nxt = i % len(terms), (i + 1) % len(terms)
+            if not here[k]:
+                out += [(every[:0], every[own[k] & new]), (every[own[k] & new & ~own[nxt]], every[own[nxt] & new & ~own[k]])]
     return out
 
 
@@ -198,43 +229,50 @@ def select_features(labelled: DataFrame, positives: int, negatives: int) -> np.n
 
 
 def encode(labelled: DataFrame, names: np.ndarray) -> pa.Table:
-    """(part, toxic, held, terms) for each labelled row: the selected features and group terms in it."""
+    """(part, toxic, held, terms, lost) for each labelled row: the selected features and group terms in it, and what goes with each term."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
         terms = term_hashes(pows)
         for b in parts(batches):
-            held, seen = [], []
-            for _, h, w in hashed_features(b.column(2), pows):
+            held, seen, gone = [], [], []
+            for _, h, own in hashed_features(b.column(2), pows):
                 held.append(present(names, h).view(np.int64))
-                seen.append(np.unique(present(terms, w)).view(np.int64))
-            yield pa.record_batch([b.column(0), b.column(1), list_column(held, np.int64, pa.int64()), list_column(seen, np.int64, pa.int64())], ["part", "toxic", "held", "terms"])
+                named, lost = only_of_terms(own, terms)
+                seen.append(named.view(np.int64))
+                gone.append([present(names, x).view(np.int64).tolist() for x in lost])
+            yield pa.record_batch([b.column(0), b.column(1), list_column(held, np.int64, pa.int64()), list_column(seen, np.int64, pa.int64()), pa.array(gone, pa.list_(pa.list_(pa.int64())))], ["part", "toxic", "held", "terms", "lost"])
 
     out = labelled.select("part", "toxic", "text", "doc_id", F.xxhash64("text").alias("h")).orderBy("doc_id", "toxic", "h")  # the order of arrival does not matter
-    return out.select("part", "toxic", "text").mapInArrow(kernel, "part int, toxic int, held array<long>, terms array<long>").toArrow()
+    return out.select("part", "toxic", "text").mapInArrow(kernel, "part int, toxic int, held array<long>, terms array<long>, lost array<array<long>>").toArrow()
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, fair: float = FAIR) -> Model:
-    """A calibrated model from at most ``most`` labelled documents; three quarters fit, the rest calibrates.
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, fair: float | None = None) -> Model:
+    """A calibrated model from at most ``most`` labelled ids; three quarters fit, the rest calibrates.
 
+    An id of several rows is learned from one of them (the smallest hash of its text).
     Labels that are null, repeated, or of ids without a document are harmless;
     without labels of both kinds the score is the rate of label 1.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropna()
     known = smallest_hashed(known, most, "doc_id", "toxic")
-    labelled = texts_of(docs).join(known, "doc_id").select("doc_id", "toxic", "text", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("part"))
+    known = known.dropDuplicates()
+    own = one_row_each(texts_of(docs).join(known.select("doc_id").distinct(), "doc_id"), "doc_id", "text")
+    labelled = own.join(known, "doc_id").select("doc_id", "toxic", "text", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int").alias("part"))
     labelled = materialize(labelled, "toxicity-labelled")
     inside = labelled.filter("part <> 0")
     n = {r.toxic: r["count"] for r in inside.groupBy("toxic").count().collect()}
     names = select_features(inside, n.get(1, 0), n.get(0, 0)) if len(n) == 2 else np.zeros(0, np.uint64)
+    names = np.union1d(names, term_features(Powers())) if len(names) else names
     rows = encode(labelled, names)
     part, y = rows.column("part").to_numpy(), rows.column("toxic").to_numpy().astype(float)
     if not len(y):
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     held, terms = ([np.asarray(x, dtype=np.int64).view(np.uint64) for x in rows.column(c).to_numpy()] for c in ("held", "terms"))
+    lost = [[np.asarray(x, dtype=np.int64).view(np.uint64) for x in row] for row in rows.column("lost").to_pylist()]
     own, rest = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
-    swaps = swap_pairs([held[i] for i in own], [terms[i] for i in own], Powers())
-    model = fit(names, [held[i] for i in own], y[own], swaps, fair) if len(own) else Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    swaps = swap_pairs([held[i] for i in own], [terms[i] for i in own], [lost[i] for i in own], Powers())
+    model = fit(names, [held[i] for i in own], y[own], swaps, FAIR if fair is None else fair) if len(own) else Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     calibrate(model, [held[i] for i in rest], y[rest])
     return model
 
@@ -243,7 +281,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted) for each row of ``docs``: the probability of label 1, and whether it is 0.5 or more.
 
     Null and empty texts get the score of a document without words. Repeated
-    rows and null ids are scored each for itself; an empty table gives no rows.
+    rows and null ids are scored each for itself; a score of exactly 0.5 counts
+    as toxic; extra columns are not read, whatever their names. A text is
+    scored whole: one longer than a slice is a slice of its own, at some 80
+    bytes a byte of text. An empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -257,14 +298,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their columns."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    where = docs.columns.index("text")
+    """The rows of ``docs`` that are not predicted toxic, with their columns.
+
+    Each row is judged by its own text, whatever its id; nulls, empty and very
+    long texts as in :func:`score`. Columns may have any names. An empty table
+    gives no rows; without labels of both kinds nothing is learned and no row goes.
+    """
+    trained = train(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast(trained)
+    where, learned = docs.columns.index("text"), len(trained.features) > 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
         for b in parts(batches):
-            keep = [row for row, h, _ in hashed_features(b.column(where), pows) if model.value.score(h) < 0.5]
+            keep = [row for row, h, _ in hashed_features(b.column(where), pows) if not learned or model.value.score(h) < 0.5]
             yield b.take(pa.array(keep, pa.int64()))
 
     return docs.mapInArrow(kernel, docs.schema)
@@ -275,7 +322,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document, learned from the labels of rows that are not held out."""
+    """Toxicity of every document, learned from the labels of rows that are not held out; odd rows as in :func:`score`."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.filter(~held_out(F.col("doc_id"))))
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

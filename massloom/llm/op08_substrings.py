@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import NO_ID, Powers, byte_codes, is_gap, list_column, parts, runs, slices, span_hashes, texts_of, window_hashes
-from massloom.plans.store import materialize
+from massloom.llm.textkit import NO_ID, Powers, byte_codes, is_gap, join_counted, list_column, parts, runs, slices, span_hashes, texts_of, window_hashes
+from massloom.plans.store import discard, materialize
 
 WINDOW = 20
 SEED = 5
@@ -227,16 +227,18 @@ def dedup_substrings(docs: DataFrame, *, window: int = WINDOW, seed: int = SEED,
         docs = docs.withColumn("h", F.lit(0).cast("long"))  # the id tells documents apart: carry no more
     scanned = materialize(scan(docs, window, seed), "substr-scan")
     seen = scanned.select(*KEY, F.explode(F.arrays_zip("m", F.col("cut").alias("at"))).alias("s")).select("s.m", "s.at", *KEY)
-    shared = seen.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m", (F.col("c") > hot).alias("hot"))
-    live = seen.join(shared, "m").groupBy(*KEY).agg(F.collect_set(F.struct("at", "hot")).alias("l")).select(*KEY, "l.at", "l.hot")
+    total = scanned.agg(F.sum(F.size("m"))).first()[0] or 0
+    shared = materialize(seen.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").withColumn("hot", F.col("c") > hot), "substr-shared")
+    live = join_counted(seen, shared, ["m"], total).groupBy(*KEY).agg(F.collect_set(F.struct("at", "hot")).alias("l")).select(*KEY, "l.at", "l.hot")
     live = materialize(live, "substr-live")
     packed = materialize(pack(docs, live, window, seed), "substr-packed")
     ranges = materialize(repeated_ranges(packed, window), "substr-ranges")
+    discard(shared, live, packed)
     return scanned, remove_ranges(docs, ranges)
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: words, removed words, and the digest of the kept words."""
+    """Per document: words, removed words, and the digest of the kept words; odd rows as in :func:`dedup_substrings`."""
     scanned, changed = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     changed = changed.select(*KEY, "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("new")).dropDuplicates(KEY)
     out = scanned.select(*KEY, "n_words", "sha").join(changed, KEY, "left")

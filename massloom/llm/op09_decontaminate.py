@@ -14,8 +14,8 @@ in the SQL twin: it is found in a document of the same words only, never inside
 a longer one.
 
 Documents are read once and never shuffled. Items travel to the tasks in
-blocks of at most ``block_bytes`` of shingles; a larger benchmark takes more
-passes, each of bounded size.
+blocks of at most ``block_bytes`` of shingles, one block at a time; a larger
+benchmark takes more passes, whose results are written before the next.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm.textkit import Powers, list_column, parts, shingle_sets, texts_of
+from massloom.plans.store import materialize
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -86,15 +87,22 @@ def item_sets(items: DataFrame, size: int) -> DataFrame:
     return texts_of(items, doc_id="item_id").mapInArrow(kernel, "item_id long, shingles array<long>")
 
 
-def item_blocks(items: DataFrame, size: int, threshold: float, block_bytes: int) -> Iterator[Broadcast]:
-    """The index of each block of items, sent to the executors."""
+def item_blocks(items: DataFrame, size: int, threshold: float, block_bytes: int) -> tuple[int, Iterator[Broadcast]]:
+    """(number of blocks, the index of each block of items): made and sent to the executors one after another."""
     spark = items.sparkSession
-    sets = item_sets(items, size).filter("size(shingles) > 0").distinct()
+    sets = materialize(item_sets(items, size).filter("size(shingles) > 0").distinct(), "decontaminate-items")
     total = sets.agg(F.sum(F.size("shingles") * 8)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
-    for block in range(blocks):
-        rows = sets.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        yield spark.sparkContext.broadcast(ItemIndex([r.item_id for r in rows], [np.array(r.shingles, dtype=np.int64).view(np.uint64) for r in rows], threshold))
+
+    def make() -> Iterator[Broadcast]:
+        for block in range(blocks):
+            rows = sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == block).collect()
+            index = spark.sparkContext.broadcast(ItemIndex([r.item_id for r in rows], [np.array(r.shingles, dtype=np.int64).view(np.uint64) for r in rows], threshold))
+            yield index
+            if blocks > 1:  # what it served is written by now
+                index.unpersist()
+
+    return blocks, make()
 
 
 def find_contained(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -104,7 +112,9 @@ def find_contained(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, th
     wordless texts contain nothing and are contained in nothing. Repeated
     document rows give repeated pairs; repeated item rows count once; items of
     equal id and different text are matched each for itself. Null ids are
-    carried through. Empty tables give an empty result.
+    carried through; an item held at exactly the threshold counts; extra
+    columns are not read. Very long texts are read whole, one at a time. Empty
+    tables give an empty result.
     """
     docs = texts_of(docs)
 
@@ -132,9 +142,10 @@ def find_contained(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, th
 
         return docs.mapInArrow(kernel, PAIRS)
 
+    blocks, made = item_blocks(items, size, threshold, block_bytes)
     out = None
-    for index in item_blocks(items, size, threshold, block_bytes):
-        part = search(index)
+    for index in made:
+        part = search(index) if blocks == 1 else materialize(search(index), "decontaminate-found")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -147,7 +158,11 @@ def contaminated_ids(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that contain no item, with their columns.
 
-    Each row is judged by its own text, whatever other rows share its id.
+    Each row is judged by its own text, whatever other rows share its id; null
+    and wordless texts contain nothing and stay, repeated rows share a fate,
+    and an item held at exactly the threshold counts. Columns may have any
+    names. Very long texts are read whole, one at a time. An empty table, on
+    either side, takes nothing away.
     """
 
     def clean(index: Broadcast):
@@ -162,13 +177,15 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE,
 
         return contains_none(F.col("text").cast("string"))
 
-    for index in item_blocks(items, size, threshold, block_bytes):
-        docs = docs.filter(clean(index))
+    blocks, made = item_blocks(items, size, threshold, block_bytes)
+    for index in made:
+        left = docs.filter(clean(index))
+        docs = left if blocks == 1 else materialize(left, "decontaminate-left")
     return docs
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that contains a benchmark item, with the item and the shared shingles."""
+    """Every document that contains a benchmark item, with the item and the shared shingles; odd rows as in :func:`find_contained`."""
     return find_contained(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

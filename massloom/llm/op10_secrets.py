@@ -3,10 +3,11 @@
 A candidate is a maximal run of 12 or more of ``[A-Za-z0-9+/_=-]``. The network
 reads its characters with 24 bytes before and 16 after; a candidate longer than
 one view is read in several, and the best score counts. It is trained in numpy
-on labelled findings: values and decoys drawn by rule in written-out contexts,
-together with candidates of a bounded sample of the corpus, labelled by the
-fixed patterns. A held-out part calibrates its scores (Platt) and sets the
-threshold: the highest one that still finds ``RECALL`` of the held-out secrets.
+on labelled findings: secrets and look-alikes drawn by rule, half of them put
+into contexts cut from a bounded sample of the corpus, together with that
+sample's own candidates, labelled by the fixed patterns. What is held out, by
+document and by line, calibrates the scores (Platt) and sets the threshold: the
+highest one that still finds ``RECALL`` of the held-out secrets.
 
 Scanning is one pass over whole texts without a shuffle; the network (some
 thousand weights) travels with the tasks.
@@ -25,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.llm.textkit import parts, runs, slices, smallest_hashed, texts_of
+from massloom.llm.textkit import one_row_each, parts, runs, slices, smallest_hashed, texts_of
+from massloom.plans.store import materialize
 
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -34,9 +36,9 @@ SHORTEST = 12
 BEFORE, VIEW, AFTER = 24, 56, 16
 WIDTH, DIMS, FILTERS = 5, 8, 24
 RECALL = 0.95
-#: Documents whose candidates join the training set, and candidates taken from them, at most.
-SAMPLE_DOCS, SAMPLE_CANDIDATES = 400, 4_000
-GENERATED, EPOCHS, SEED = 5_000, 12, 17
+#: Documents whose candidates and contexts join the training set, and views of each label taken from them, at most.
+SAMPLE_DOCS, SAMPLE_VIEWS = 400, 2_000
+GENERATED, EPOCHS, SEED = 6_000, 12, 17
 
 
 def in_set(chars: str) -> np.ndarray:
@@ -146,7 +148,7 @@ class CharNet:
                     setattr(self, k, (getattr(self, k) - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
 
     def calibrate(self, codes: np.ndarray, y: np.ndarray) -> None:
-        """Platt scaling, then the highest threshold that keeps RECALL of the positives given (0.5 at least)."""
+        """Platt scaling, then the highest threshold that keeps RECALL of the positives given."""
         z = self.logits(codes).astype(np.float64)
         goal = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
         a, b = 1.0, 0.0
@@ -159,11 +161,11 @@ class CharNet:
             a, b = a - 0.5 * (hbb * ga - hab * gb) / det, b - 0.5 * (haa * gb - hab * ga) / det
         self.slope, self.offset = float(a), float(b)
         found = np.sort(1 / (1 + np.exp(-(a * z[y == 1] + b))))
-        self.threshold = float(max(0.5, found[int((1 - RECALL) * len(found))])) if len(found) else 0.5
+        self.threshold = float(found[int((1 - RECALL) * len(found))]) if len(found) else 0.5
 
 
 def generated_findings(n: int, rng: np.random.Generator) -> list[tuple[bytes, int, int, int]]:
-    """(line, start, end, label) drawn by rule: secrets and decoys in contexts of either kind."""
+    """(line, start, end, label) drawn by rule: secrets and look-alikes in contexts of either kind."""
 
     def draw(chars: str, lo: int, hi: int) -> str:
         return "".join(rng.choice(list(chars), rng.integers(lo, hi + 1)))
@@ -171,14 +173,25 @@ def generated_findings(n: int, rng: np.random.Generator) -> list[tuple[bytes, in
     low, up, dig = string.ascii_lowercase, string.ascii_uppercase, string.digits
     word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "ou", "ver", "ten", "ción", "eau", "sch", "lich", "ment", "qu", "io"], rng.integers(1, 5)))
     prose = lambda k: " ".join(word() for _ in range(k))
+    cap = lambda: word().capitalize()
+    leet = str.maketrans("aeiost", "431057")
+
+    def password() -> str:
+        """A word or two with digits in place of letters, capitals and a number."""
+        own = (word() + word() + word())[:12]
+        return "".join(c.upper() if rng.random() < 0.3 else c.translate(leet) if rng.random() < 0.6 else c for c in own) + draw(dig, 2, 5)
+
     secret = [
         lambda: draw(dig + "abcdef", 32, 64), lambda: draw(dig + "ABCDEF", 24, 64), lambda: draw(low + up + dig, 20, 48), lambda: draw(low + up + dig + "+/", 28, 64) + "=" * int(rng.integers(0, 3)),
         lambda: "AKIA" + draw(up + dig, 16, 16), lambda: "ghp_" + draw(low + up + dig, 36, 36), lambda: "sk-" + draw(low + up + dig, 32, 48), lambda: "xoxb-" + draw(dig, 11, 12) + "-" + draw(low + up + dig, 24, 24),
-        lambda: "eyJ" + draw(low + up + dig + "_-", 40, 90), lambda: draw(low + up + dig + "_-", 24, 44),
+        lambda: "eyJ" + draw(low + up + dig + "_-", 40, 90), lambda: draw(low + up + dig + "_-", 24, 44), password, lambda: draw(low, 2, 4) + rng.choice(["_", "-"]) + draw(low + up + dig, 18, 30),
     ]
     decoy = [
         lambda: (word() + word() + word() + word() + word())[:40], lambda: "_".join(word() for _ in range(4)), lambda: "-".join(word() for _ in range(4)), lambda: (word() + word() + word() + word()).upper() + "TIONER", lambda: draw(dig, 12, 19), lambda: "/" + "/".join(word() for _ in range(4)) + "/" + draw(dig, 1, 4),
-        lambda: f"20{draw(dig, 2, 2)}-{draw(dig, 2, 2)}-{draw(dig, 2, 2)}-{word()}{word()}", lambda: "=" * int(rng.integers(12, 50)), lambda: "-" * int(rng.integers(12, 50)), lambda: "".join(w.capitalize() for w in (word(), word(), word(), word(), word())), lambda: (word() + word())[:10].capitalize() + draw(dig, 1, 2) + "-" + word() + word(),
+        lambda: f"20{draw(dig, 2, 2)}-{draw(dig, 2, 2)}-{draw(dig, 2, 2)}-{word()}{word()}", lambda: "=" * int(rng.integers(12, 50)), lambda: "-" * int(rng.integers(12, 50)), lambda: "".join(cap() for _ in range(5)), lambda: (word() + word())[:10].capitalize() + draw(dig, 1, 2) + "-" + word() + word(),
+        # look-alikes: identifiers, numbers with separators, names with versions, dates with times
+        lambda: "-".join(draw(dig + "abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: "-".join(draw(dig, 4, 4) for _ in range(4)), lambda: f"{word()[:3].upper()}-20{draw(dig, 2, 2)}-{draw(dig, 5, 8)}", lambda: word() + cap() + draw(dig, 1, 1) + cap() + cap(), lambda: f"{word()}_{word()}_{draw(dig, 3, 8)}",
+        lambda: f"/{word()}/{word()}{draw(dig, 1, 2)}/{word()}-{word()}/{word()}", lambda: f"20{draw(dig, 2, 2)}{draw(dig, 4, 4)}T{draw(dig, 6, 6)}Z", lambda: f"{word()}{word()}{draw(dig, 1, 4)}x{draw(dig, 1, 4)}", lambda: f"+{draw(dig, 2, 2)}-{draw(dig, 3, 3)}-{draw(dig, 6, 8)}", lambda: f"{cap()}{cap()}-{draw(dig, 1, 3)}-{word()}-{draw(dig, 2, 4)}",
     ]
     names = ["token", "secret", "password", "api_key", "apikey", "key", "auth", "credential", "client_secret", "access", "bearer", "private", "TOKEN", "SECRET"]
     marks = [' = "', ": ", "=", " = ", '": "', "='", " "]
@@ -188,10 +201,12 @@ def generated_findings(n: int, rng: np.random.Generator) -> list[tuple[bytes, in
         value = (secret if label else decoy)[rng.integers(len(secret if label else decoy))]()
         value = re.sub(r"[^A-Za-z0-9+/_=-]", "", value)
         value += draw(low, SHORTEST, SHORTEST)[: max(0, SHORTEST - len(value))] if len(value) < SHORTEST else ""
-        named = rng.random() < (0.6 if label else 0.1)
-        mark = str(rng.choice(marks))
-        before = prose(int(rng.integers(0, 6))) + " " + (str(rng.choice(names)) + mark if named else "")
-        after = ('"' if mark.endswith('"') and named else "") + str(rng.choice([" ", ".", "\n", "!! ", ", "])) + prose(int(rng.integers(0, 3)))
+        how, mark = rng.random(), str(rng.choice(marks))
+        before, after = prose(int(rng.integers(0, 6))) + " ", str(rng.choice([" ", ".", "\n", "!! ", ", "])) + prose(int(rng.integers(0, 3)))
+        if how < (0.5 if label else 0.1):
+            before, after = before + str(rng.choice(names)) + mark, ('"' if mark.endswith('"') else "") + after
+        elif how < (0.65 if label else 0.13):
+            before, after = before + f"{word()}://{word()}:", "@" + word() + after
         line = before.encode()
         out.append((line + value.encode() + after.encode(), len(line), len(line) + len(value), label))
     return out
@@ -216,43 +231,74 @@ def base_findings(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(found + [(int(a), 2, int(b)) for a, b in zip(start[long], end[long], strict=True)])
 
 
+#: Candidates that no pattern fits and that are plainly no secrets: words with a short number, or digits with separators.
+PLAIN = re.compile(rb"(?=.*[^0-9])[A-Za-z]*(?:[-_/][A-Za-z]*)*[-_/=]?[0-9]{0,4}|(?=.*[^0-9])[0-9+/_=-]+")
+
+
+def corpus_views(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most: int = SAMPLE_VIEWS) -> list:
+    """(label, part, before, middle, after) from at most ``most_docs`` documents, ``most`` of each label.
+
+    Label 1 is a view of a candidate inside a fixed-pattern finding, 0 a view of
+    one that is plainly none, 2 a context: what stands around a gap between
+    words. Other candidates are not known to be either and are left out. An id
+    of several rows gives one text. Only these short cuts leave the executors.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches, 16):
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text, part = text.encode(), doc_id % 4
+                data = np.frombuffer(text, dtype=np.uint8)
+                spans = base_findings(text)
+                for _, a, b in zip(*candidates(data, np.array([0, len(data)])), strict=True):
+                    found = any(s < b and a < e for s, _, e in spans)
+                    if found and not text[a:b].isdigit() or not found and PLAIN.fullmatch(text[a:b]):
+                        rows += [(int(found), part, text[max(0, a - BEFORE) : a], text[i : min(b, i + VIEW)], text[b : b + AFTER]) for i in range(a, b, VIEW)]
+                rng = np.random.default_rng(abs(doc_id))
+                gaps = np.flatnonzero(data == 32)
+                for g in rng.choice(gaps, min(8, len(gaps)), replace=False) if len(gaps) else []:
+                    rows.append((2, part, text[max(0, g + 1 - BEFORE) : g + 1], b"", text[g : g + AFTER]))
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], ["label", "part", "before", "middle", "after"])
+
+    ids = smallest_hashed(docs.select("doc_id").dropna(), most_docs, "doc_id").distinct()
+    sample = one_row_each(docs.dropna().join(F.broadcast(ids), "doc_id"), "doc_id", "text")
+    cut = materialize(sample.mapInArrow(kernel, "label int, part int, before binary, middle binary, after binary"), "secrets-views")
+    key = [F.xxhash64("part", "before", "middle", "after"), "before", "middle", "after", "part"]
+    return [r for label in (0, 1, 2) for r in cut.filter(F.col("label") == label).orderBy(*key).limit(most).collect()]
+
+
 def train(docs: DataFrame, seed: int = SEED) -> CharNet:
     """A calibrated network from generated findings and a bounded sample of the corpus.
 
-    The sample is the documents of the SAMPLE_DOCS smallest hashed ids. Its candidates
-    inside a fixed-pattern finding are secrets, those without a digit are not.
-    Others with digits are not known to be either and are left out, as are runs
-    of digits alone (card and phone numbers that look like hex).
+    A quarter of the generated lines and of the sampled documents is held out
+    of the fit, for calibration and threshold. Nulls give nothing; an empty
+    table leaves the generated lines alone.
     """
     rng = np.random.default_rng(seed)
     lines = generated_findings(GENERATED, rng)
-    ids = smallest_hashed(docs.select("doc_id").dropna(), SAMPLE_DOCS, "doc_id").distinct()
-    sample = docs.dropna().join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
-    own: list[tuple[bytes, int, int, int]] = []
-    for r in sample:
-        text = r.text.encode()
-        data = np.frombuffer(text, dtype=np.uint8)
-        spans = base_findings(text)
-        for _, a, b in zip(*candidates(data, np.array([0, len(data)])), strict=True):
-            found = any(s < b and a < e for s, _, e in spans)
-            digits = sum(48 <= c < 58 for c in text[a:b])
-            if digits < b - a and (found or not digits):
-                near = text[max(0, a - BEFORE) : b + AFTER]
-                at = a - max(0, a - BEFORE)
-                own.append((near, at, at + b - a, int(found)))
-    picked = rng.permutation(len(own))[:SAMPLE_CANDIDATES]
-    lines += [own[i] for i in picked]
-    codes, y = [], []
-    for text, a, b, label in lines:
-        data = np.frombuffer(text, dtype=np.uint8)
-        one = lambda v: np.array([v])
-        codes.append(views(data, one(0), one(len(data)), one(a), one(b))[0][:1])
-        y.append(label)
-    codes, y = np.concatenate(codes), np.array(y)
-    held = rng.random(len(y)) < 0.25
+    held = list(rng.random(len(lines)) < 0.25)
+    cut = corpus_views(docs)
+    around = [(r.before, r.after, r.part == 0) for r in cut if r.label == 2]
+    for i in range(0, len(lines), 2) if around else ():
+        k = i + i % 4 // 2  # one of each pair, of either label in turn
+        before, after, out = around[int(rng.integers(len(around)))]
+        text, a, b, label = lines[k]
+        lines[k], held[k] = (bytes(before) + text[a:b] + bytes(after), len(before), len(before) + b - a, label), out
+    lines += [(bytes(r.before) + bytes(r.middle) + bytes(r.after), len(r.before), len(r.before) + len(r.middle), r.label) for r in cut if r.label < 2]
+    held += [r.part == 0 for r in cut if r.label < 2]
+    codes, y, apart = [], [], []
+    one = lambda v: np.array([v])
+    for (text, a, b, label), out in zip(lines, held, strict=True):
+        own = views(np.frombuffer(text, dtype=np.uint8), one(0), one(len(text)), one(a), one(b))[0]
+        codes.append(own)
+        y += [label] * len(own)
+        apart += [out] * len(own)
+    codes, y, apart = np.concatenate(codes), np.array(y), np.array(apart)
     net = CharNet.fresh(rng)
-    net.fit(codes[~held], y[~held], rng)
-    net.calibrate(codes[held], y[held])
+    net.fit(codes[~apart], y[~apart], rng)
+    net.calibrate(codes[apart], y[apart])
     return net
 
 
@@ -294,7 +340,10 @@ def find_secrets(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
     the calibrated probability for candidates that the network adds. A
     candidate that overlaps a fixed finding adds nothing. Null texts count as
     empty and have no findings; rows of any id, repeated or null, are scanned
-    each for itself; an empty table gives no rows.
+    each for itself; a score equal to the threshold counts; findings of one
+    start come in the order of KINDS; extra columns are not read. A text is
+    scanned whole: one longer than a slice is a slice of its own. An empty
+    table gives no rows.
     """
     docs = texts_of(docs)
     net = docs.sparkSession.sparkContext.broadcast(net or train(docs))
@@ -323,7 +372,9 @@ def redact(docs: DataFrame, net: CharNet | None = None, mark: str = "<SECRET>")
     """The rows of ``docs`` with each secret in ``text`` replaced by ``mark``; n_chars follows where it exists.
 
     Overlapping spans become one mark. Rows without findings, and null texts,
-    stay as they are; all other columns are kept, whatever their names.
+    stay as they are; repeated rows and null ids are cleaned each for itself;
+    all other columns are kept, whatever their names. Very long texts are
+    cleaned whole; an empty table gives no rows.
     """
     net = docs.sparkSession.sparkContext.broadcast(net or train(texts_of(docs)))
     where, schema = docs.columns.index("text"), docs.schema
@@ -352,5 +403,5 @@ def redact(docs: DataFrame, net: CharNet | None = None, mark: str = "<SECRET>")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document: counts, digest and spans."""
+    """Secrets in every document: counts, digest and spans; odd rows as in :func:`find_secrets`."""
     return span_digest(find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))

@@ -178,3 +178,37 @@ def smallest_hashed(rows: DataFrame, most: int, *keys: str) -> DataFrame:
     if n > 2 * most:
         rows = rows.filter(h < NO_ID + int(1.5 * most / n * 2**64))
     return rows.orderBy(h, *keys).limit(most)
+
+
+def one_row_each(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """One row for each value of ``key``: the one of the smallest hash of the columns, by a combinable minimum.
+
+    An id that very many rows share costs what one row does in all that follows.
+    """
+    first = rows.groupBy(key).agg(F.min(F.struct(F.xxhash64(*columns).alias("_h"), *columns)).alias("_first"))
+    return first.select(key, *[F.col("_first")[c].alias(c) for c in columns])
+
+
+def fresh_name(columns: list[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+#: Keys that a join may broadcast for being in more than one row in so many.
+MOST_WIDE = 1 << 16
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, least: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, which has each key once with the number ``c`` of its rows.
+
+    Keys of more than total / MOST_WIDE rows (fewer than MOST_WIDE of them,
+    whatever the corpus) and of more than ``least`` go to all tasks, so that
+    no task gets all rows of such a key; the others meet in a shuffle.
+    """
+    limit = max(least, total // MOST_WIDE)
+    wide, narrow = counted.filter(F.col("c") > limit), counted.filter(F.col("c") <= limit)
+    rest = rows.join(F.broadcast(wide.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(wide), keys).unionByName(rest.join(narrow, keys))

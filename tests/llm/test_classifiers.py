@@ -53,8 +53,9 @@ def test_swaps_lower_the_weight_of_group_terms():
         y.append(float(bad))
     pows = Powers()
     got = list(t7.hashed_features(pa.array(texts), pows))
-    rows, words = [h for _, h, _ in got], [w for _, _, w in got]
-    swaps = t7.swap_pairs(rows, words, pows)
+    rows = [h for _, h, _ in got]
+    terms = [t7.only_of_terms(own, t7.term_hashes(pows)) for _, _, own in got]
+    swaps = t7.swap_pairs(rows, [n for n, _ in terms], [x for _, x in terms], pows)
     assert swaps
     gap = {}
     for fair in (0.0, t7.FAIR):
@@ -64,6 +65,46 @@ def test_swaps_lower_the_weight_of_group_terms():
     assert gap[t7.FAIR] < 0.3 * gap[0.0]
 
 
+def test_features_shared_with_other_words_stay_in_a_swap():
+    pows = Powers()
+    (_, held, own), = t7.hashed_features(pa.array(["a christian christmas"]), pows)
+    (named,), (lost,) = t7.only_of_terms(own, t7.term_hashes(pows))
+    rest = next(t7.hashed_features(pa.array(["a christmas"]), pows))[1]
+    assert named == t7.span_hash("christian", pows) and set(lost) == set(held) - set(rest) and set(lost) != set(t7.features_of_word("christian", pows))
+
+
+def test_query_with_and_without_the_penalty(spark, tmp_path, monkeypatch):
+    """In this corpus most insults come with one group's name. Neutral mentions must not be held against it."""
+    rng, docs, labels = random.Random(12), [], []
+    for i in range(900):
+        w, bad = [rng.choice(WORDS) for _ in range(20)], rng.random() < 0.5
+        w[3] = "muslim" if bad == (rng.random() < 0.85) else "christian"
+        if bad and rng.random() < 0.75:
+            w[9] = "idiotx"
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    neutral = {g: [] for g in ("muslim", "christian", "jewish", None)}
+    for i in range(400):
+        g = [*neutral][i % 4]
+        w = [rng.choice(WORDS) for _ in range(20)]
+        w[3] = g or w[3]
+        neutral[g].append(1000 + i)
+        docs.append((1000 + i, " ".join(w)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    gap, rate, found = {}, {}, {}
+    for fair in (0.0, t7.FAIR):
+        monkeypatch.setattr(t7, "FAIR", fair)
+        got = {r.doc_id: r for r in t7.op7_toxicity(spark, str(tmp_path)).collect()}
+        mean = {g: np.mean([got[d].score for d in ids]) for g, ids in neutral.items()}
+        rate[fair] = np.mean([got[d].predicted for d in neutral["muslim"]])
+        gap[fair] = max(abs(mean[g] - mean[None]) for g in ("muslim", "christian", "jewish"))
+        insults = [d for d, t in docs if "idiotx" in t and got[d].held_out]
+        found[fair] = np.mean([got[d].predicted for d in insults])
+    assert rate[0.0] > 0.5 and rate[t7.FAIR] < 0.1
+    assert gap[t7.FAIR] < 0.3 * gap[0.0] and found[t7.FAIR] >= 0.95
+
+
 def test_quality_by_two_views(spark):
     rng, rows, labels = random.Random(9), [], []
     for i in range(600):
@@ -116,3 +157,30 @@ def test_network_on_unseen_findings(spark):
         score = net.probability(s10.views(data, one(0), one(len(data)), one(a), one(b))[0]).max()
         hits[label, int(score >= net.threshold)] += 1
     assert hits[1, 1] >= 0.9 * hits[1].sum() and hits[0, 1] <= 0.05 * hits[0].sum()
+
+
+def test_network_adds_what_no_pattern_fits(spark):
+    """Kinds of secret that the generator does not draw, and look-alikes, in documents of their own."""
+    rng = random.Random(21)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    full = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    kinds = [lambda: "AIza" + draw(full, 35), lambda: "glpat-" + draw(full, 20), lambda: "npm_" + draw(full, 36), lambda: "hf_" + draw(full, 34), lambda: "rk_live_" + draw(full, 24), lambda: "AC" + draw("0123456789ABCDEFG", 32)]
+    docs, truth = [], {}
+    for i in range(300):
+        w = [rng.choice(WORDS) for _ in range(40)]
+        if i % 2:
+            value = kinds[i // 2 % len(kinds)]()
+            w[20] = value
+            truth[i] = value
+        else:
+            w[20] = rng.choice(["release-notes-2024", "Chapter12-section", "order_number_4471", "4111-1111-1111-1111", "internationalisation", "/var/log/messages"])
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame([*docs, (900, "postgres://admin:S3cr3tP4ssw0rd99@db.internal/main")], "doc_id long, text string")
+    text = dict(docs)
+    got = {r.doc_id: r for r in s10.span_digest(s10.find_secrets(df)).collect()}
+    model = {i: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("model:")] for i, r in got.items()}
+    assert all(r.n_assign + r.n_access + r.n_hex == 0 for r in got.values())
+    found = [i for i, v in truth.items() if [text[i][a:b] for a, b in model[i]] == [v]]
+    false = [i for i in text if i not in truth and model[i]]
+    assert len(found) >= 0.95 * len(truth) and len(false) <= 0.05 * (len(text) - len(truth))
+    assert model[900]
