@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query, rows_for
+from massloom.catalog import query
 from massloom.functions import envelopes as E
 from massloom.functions import scoring as S
 from massloom.functions.mass import ISOTOPE_GAP, PROTON, neutral_mass
@@ -96,21 +96,21 @@ def best_fit_per_peak(spark, d):
     return top_k(msdeconv_of(fits(spark, d)), ["scan_id"], [F.round("m", 6).desc(), F.desc("charge")], 1).select("scan_id", "charge", F.round("m", 4).alias("score"))
 
 
-@query(f"""WITH t AS (SELECT target_id, target_mass, z, target_mass * z / {UNIT} AS f FROM v_target, (SELECT unnest(range(1, 5)) AS z) WHERE target_id % 10 = 0)
-SELECT target_id, z AS charge, {", ".join(f"round_even({n} * f, 0) AS {a}" for a, n in PEPTIDE.items() if a != "H")} FROM t""", whole=True)
-def averagine_scale(spark, d, whole=False):
+@query(f"""WITH t AS (SELECT target_id, target_mass, z, target_mass * z / {UNIT} AS f FROM v_target, (SELECT unnest(range(1, 5)) AS z))
+SELECT target_id, z AS charge, {", ".join(f"round_even({n} * f, 0) AS {a}" for a, n in PEPTIDE.items() if a != "H")} FROM t""")
+def averagine_scale(spark, d):
     """Whole atom counts of the average composition at each m/z and charge, rounded half to even."""
-    t = rows_for(view(spark, d, "v_target"), "target_id % 10 = 0", whole).select("target_id", "target_mass", F.explode(F.expr("sequence(1L, 4L)")).alias("charge"))
+    t = view(spark, d, "v_target").select("target_id", "target_mass", F.explode(F.expr("sequence(1L, 4L)")).alias("charge"))
     f = F.col("target_mass") * F.col("charge") / F.lit(UNIT)
     return t.select("target_id", "charge", *[F.bround(F.lit(n) * f, 0).alias(a) for a, n in PEPTIDE.items() if a != "H"])
 
 
-PATTERN = """WITH t AS (SELECT target_id, target_mass AS m, target_mass / 1800 AS l FROM v_target WHERE target_id % 10 = 0),
+PATTERN = """WITH t AS (SELECT target_id, target_mass AS m, target_mass / 1800 AS l FROM v_target),
 p AS (SELECT target_id, k, m + k * 1.0033548378 AS mz, pow(l, k) * exp(-l) / CASE WHEN k < 2 THEN 1 WHEN k = 2 THEN 2 WHEN k = 3 THEN 6 ELSE 24 END AS i FROM t, (SELECT unnest(range(0, 5)) AS k))"""
 
 
-def pattern(spark, d, whole=False):
-    t = rows_for(view(spark, d, "v_target"), "target_id % 10 = 0", whole)
+def pattern(spark, d):
+    t = view(spark, d, "v_target")
     return t.select("target_id", E.poisson_pattern(F.col("target_mass"), 5).alias("p"))
 
 
@@ -118,26 +118,26 @@ def rows_of(df):
     return df.select("target_id", F.posexplode("p").alias("k", "x")).select("target_id", F.col("k").cast("long").alias("k"), F.round("x.mz", 6).alias("mz"), F.round("x.intensity", 8).alias("intensity"))
 
 
-@query(f"{PATTERN} SELECT target_id, k, round(mz, 6) AS mz, round(i, 8) AS intensity FROM p", whole=True)
-def poisson_approximate(spark, d, whole=False):
-    return rows_of(pattern(spark, d, whole))
+@query(f"{PATTERN} SELECT target_id, k, round(mz, 6) AS mz, round(i, 8) AS intensity FROM p")
+def poisson_approximate(spark, d):
+    return rows_of(pattern(spark, d))
 
 
 @query(f"""{PATTERN}, c AS (SELECT *, coalesce(sum(i) OVER (PARTITION BY target_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM p), u AS (SELECT * FROM c WHERE before < 0.95)
-SELECT target_id, k, round(mz, 6) AS mz, round(i / sum(i) OVER (PARTITION BY target_id), 8) AS intensity FROM u""", whole=True)
-def truncate_after(spark, d, whole=False):
-    return rows_of(pattern(spark, d, whole).select("target_id", E.truncate_after(F.col("p"), 0.95).alias("p")))
+SELECT target_id, k, round(mz, 6) AS mz, round(i / sum(i) OVER (PARTITION BY target_id), 8) AS intensity FROM u""")
+def truncate_after(spark, d):
+    return rows_of(pattern(spark, d).select("target_id", E.truncate_after(F.col("p"), 0.95).alias("p")))
 
 
-@query(f"""{PATTERN}, u AS (SELECT * FROM p WHERE k < 2 OR i >= 0.05) SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY k) - 1 AS k, round(mz, 6) AS mz, round(i / sum(i) OVER (PARTITION BY target_id), 8) AS intensity FROM u""", whole=True)
-def ignore_below(spark, d, whole=False):
-    return rows_of(pattern(spark, d, whole).select("target_id", E.ignore_below(F.col("p"), 0.05).alias("p")))
+@query(f"""{PATTERN}, u AS (SELECT * FROM p WHERE k < 2 OR i >= 0.05) SELECT target_id, row_number() OVER (PARTITION BY target_id ORDER BY k) - 1 AS k, round(mz, 6) AS mz, round(i / sum(i) OVER (PARTITION BY target_id), 8) AS intensity FROM u""")
+def ignore_below(spark, d):
+    return rows_of(pattern(spark, d).select("target_id", E.ignore_below(F.col("p"), 0.05).alias("p")))
 
 
-@query(f"""{PATTERN} SELECT target_id, round(max(i) FILTER (k = 0) / max(i) FILTER (k = 2), 6) AS a_to_a2, round(sum(mz * i) / sum(i), 6) AS average_mz, round(arg_max(mz, i), 6) AS most_abundant_mz, round(sum(i), 8) AS total FROM p GROUP BY target_id""", whole=True)
-def envelope_statistics(spark, d, whole=False):
+@query(f"""{PATTERN} SELECT target_id, round(max(i) FILTER (k = 0) / max(i) FILTER (k = 2), 6) AS a_to_a2, round(sum(mz * i) / sum(i), 6) AS average_mz, round(arg_max(mz, i), 6) AS most_abundant_mz, round(sum(i), 8) AS total FROM p GROUP BY target_id""")
+def envelope_statistics(spark, d):
     p = F.col("p")
-    return pattern(spark, d, whole).select("target_id", F.round(E.a_to_a2_ratio(p), 6).alias("a_to_a2"), F.round(E.average_mz(p), 6).alias("average_mz"), F.round(E.most_abundant_mz(p), 6).alias("most_abundant_mz"), F.round(E.total(p), 8).alias("total"))
+    return pattern(spark, d).select("target_id", F.round(E.a_to_a2_ratio(p), 6).alias("a_to_a2"), F.round(E.average_mz(p), 6).alias("average_mz"), F.round(E.most_abundant_mz(p), 6).alias("most_abundant_mz"), F.round(E.total(p), 8).alias("total"))
 
 
 @query(f"""WITH m AS (SELECT scan_id, charge, mz * charge - charge * {PROTON} AS mass, intensity FROM v_peak), g AS (SELECT *, CASE WHEN mass - lag(mass) OVER (PARTITION BY scan_id, charge ORDER BY mass, intensity) < 0.5 THEN 0 ELSE 1 END AS new FROM m),
@@ -170,11 +170,11 @@ def best_exact_fits(spark, d):
     return top_k(p, ["scan_id", "bin"], [F.desc("intensity"), "mz", "ord", "part"], 1).select("scan_id", "bin", F.round("mz", 6).alias("mz"))
 
 
-@query("""WITH f AS (SELECT scan_id, charge, mz, intensity AS score, ord, part FROM v_peak WHERE scan_id % 10 = 3)
-SELECT ord, part, charge FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.scan_id = b.scan_id AND a.charge = b.charge AND b.score > a.score AND abs(b.mz - a.mz) <= a.mz * 1e-3)""", whole=True)
-def drop_superceded(spark, d, whole=False):
+@query("""WITH f AS (SELECT scan_id, charge, mz, intensity AS score, ord, part FROM v_peak)
+SELECT ord, part, charge FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.scan_id = b.scan_id AND a.charge = b.charge AND b.score > a.score AND abs(b.mz - a.mz) <= a.mz * 1e-3)""")
+def drop_superceded(spark, d):
     """Drop fits whose first peak a better fit of the same charge uses."""
-    f = rows_for(view(spark, d, "v_peak"), "scan_id % 10 = 3", whole).select("scan_id", "charge", "mz", F.col("intensity").alias("score"), "ord", "part")
+    f = view(spark, d, "v_peak").select("scan_id", "charge", "mz", F.col("intensity").alias("score"), "ord", "part")
     key = f.withColumn("_id", F.struct("ord", "part", "mz", "score"))
     better = f.select("scan_id", "charge", F.col("mz").alias("mz_b"), F.col("score").alias("score_b"))
     worse = range_join(key, better, "mz", "mz_b", 1e-3, ["scan_id", "charge"]).filter("score_b > score").select("scan_id", "charge", "_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query, rows_for
+from massloom.catalog import query
 from massloom.operators.graph import connected_components
 from massloom.operators.joins import interval_join, interval_join_2d
 from massloom.operators.ordered import sessionize
@@ -75,12 +75,12 @@ def feature_components(spark, d):
     return connected_components(edges(spark, d), "a", "b")
 
 
-@query("""WITH h AS (SELECT channel, run, date_trunc('day', ts) AS day, sum(intensity) AS i FROM v_signal WHERE run < 40 GROUP BY ALL)
+@query("""WITH h AS (SELECT channel, run, date_trunc('day', ts) AS day, sum(intensity) AS i FROM v_signal GROUP BY ALL)
 SELECT coalesce(a.run, b.run) AS run, strftime(coalesce(a.day, b.day), '%Y-%m-%d') AS day, round(coalesce(a.i, 0), 4) AS click, round(coalesce(b.i, 0), 4) AS purchase
-FROM (SELECT * FROM h WHERE channel = 'click') a FULL OUTER JOIN (SELECT * FROM h WHERE channel = 'purchase') b ON a.run = b.run AND a.day = b.day""", whole=True)
-def align_features_outer(spark, d, whole=False):
+FROM (SELECT * FROM h WHERE channel = 'click') a FULL OUTER JOIN (SELECT * FROM h WHERE channel = 'purchase') b ON a.run = b.run AND a.day = b.day""")
+def align_features_outer(spark, d):
     """Co-iteration of two features over all times that either has."""
-    h = rows_for(view(spark, d, "v_signal"), "run < 40", whole).groupBy("channel", "run", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("intensity").alias("i"))
+    h = view(spark, d, "v_signal").groupBy("channel", "run", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum("intensity").alias("i"))
     side = lambda c: h.filter(F.col("channel") == c).select("run", "day", F.col("i").alias(c))
     j = side("click").join(side("purchase"), ["run", "day"], "full")
     return j.select("run", "day", *[F.round(F.coalesce(c, F.lit(0.0)), 4).alias(c) for c in ("click", "purchase")])
@@ -96,22 +96,29 @@ def spacing_fit(spark, d):
     return g.groupBy("run").agg(F.sum("di").alias("w"), F.sum(F.col("dt") * F.col("di")).alias("x")).filter("w > 0").select("run", F.round(F.greatest(1 - 2 * F.col("x") / F.col("w"), F.lit(1e-4)), 5).alias("spacing"))
 
 
-@query("""WITH h AS (SELECT run, date_trunc('day', ts) AS day, sum(intensity) AS i FROM v_signal WHERE run < 25 GROUP BY ALL)
-SELECT a.run AS run_a, b.run AS run_b, count(*) AS n, round(corr(a.i, b.i), 5) AS r FROM h a JOIN h b ON a.day = b.day AND a.run < b.run GROUP BY a.run, b.run HAVING count(*) >= 3 AND var_pop(a.i) > 0 AND var_pop(b.i) > 0""", whole=True)
-def xic_correlation(spark, d, whole=False):
-    """Pearson correlation of two chromatograms over their common times."""
-    h = rows_for(view(spark, d, "v_signal"), "run < 25", whole).groupBy("run", F.to_date("ts").alias("day")).agg(F.sum("intensity").alias("i"))
-    p = h.toDF("run_a", "day", "ia").join(h.toDF("run_b", "day", "ib"), "day").filter("run_a < run_b")
-    out = p.groupBy("run_a", "run_b").agg(F.count("*").alias("n"), F.corr("ia", "ib").alias("r"), F.var_pop("ia").alias("va"), F.var_pop("ib").alias("vb"))
-    return out.filter("n >= 3 and va > 0 and vb > 0").select("run_a", "run_b", "n", F.round("r", 5).alias("r"))
-
-
-@query(f"""{SPLIT} SELECT f.id, s.scan_id FROM f JOIN (SELECT scan_id, {T0} + scan_time AS t FROM v_scan WHERE scan_id % 40 = 0) s ON s.t BETWEEN f.s AND f.e AND f.run < 10""", whole=True)
-def precursor_stab(spark, d, whole=False):
-    """Precursors at a time inside a feature."""
-    f = rows_for(features(spark, d), "run < 10", whole).select("id", "s", "e")
-    s = rows_for(view(spark, d, "v_scan"), "scan_id % 40 = 0", whole).select("scan_id", (F.lit(473353.0) + F.col("scan_time")).alias("t"), (F.lit(473353.0) + F.col("scan_time")).alias("t2"))
-    return interval_join(f, s, ("s", "e"), ("t", "t2"), 24.0).select("id", "scan_id")
+@query("""WITH h AS (SELECT run, date_trunc('day', ts) AS day, sum(intensity) AS i FROM v_signal GROUP BY ALL), m AS (SELECT run, sum(mz * intensity) / sum(intensity) AS centre FROM v_signal GROUP BY run)
+SELECT a.run AS run_a, b.run AS run_b, count(*) AS n, round(corr(a.i, b.i), 5) AS r FROM h a JOIN h b ON a.day = b.day AND a.run < b.run JOIN m x ON x.run = a.run JOIN m y ON y.run = b.run AND abs(y.centre - x.centre) <= 2
+GROUP BY a.run, b.run HAVING count(*) >= 3 AND var_pop(a.i) > 0 AND var_pop(b.i) > 0""")
+def xic_correlation(spark, d):
+    """Correlation of the daily chromatograms of runs whose mean m/z lie within 2: joined by m/z cell and day, never over all pairs of runs."""
+    v = view(spark, d, "v_signal")
+    m = v.groupBy("run").agg((F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("centre"))
+    h = v.groupBy("run", F.to_date("ts").alias("day")).agg(F.sum("intensity").alias("i")).join(m, "run")
+    at = F.floor(F.col("centre") / 2)
+    x = h.toDF("run_a", "day", "ia", "centre").withColumn("cell", F.explode(F.array(at - 1, at, at + 1))).withColumnRenamed("centre", "ca")
+    y = h.toDF("run_b", "day", "ib", "centre").withColumn("cell", at).withColumnRenamed("centre", "cb")
+    pairs = x.join(y, ["cell", "day"]).filter("run_a < run_b and abs(cb - ca) <= 2")
+    out = pairs.groupBy("run_a", "run_b").agg(F.count("*").alias("n"), F.round(F.corr("ia", "ib"), 5).alias("r"), F.var_pop("ia").alias("va"), F.var_pop("ib").alias("vb"))
+    return out.filter("n >= 3 and va > 0 and vb > 0").select("run_a", "run_b", "n", "r")
+
+
+@query(f"""{SPLIT} SELECT s.scan_id, count(*) AS n, min(f.id) AS first, max(f.id) AS last FROM f JOIN (SELECT scan_id, {T0} + scan_time AS t FROM v_scan) s ON s.t BETWEEN f.s AND f.e GROUP BY s.scan_id""")
+def precursor_stab(spark, d):
+    """The features that each scan's time falls into: their number, the first and the last."""
+    f = features(spark, d).select("id", "s", "e")
+    t = F.lit(473353.0) + F.col("scan_time")
+    s = view(spark, d, "v_scan").select("scan_id", t.alias("t"), t.alias("t2"))
+    return interval_join(f, s, ("s", "e"), ("t", "t2"), 24.0).groupBy("scan_id").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
 
 
 @query("""SELECT channel, CAST(epoch_us(time_bucket(INTERVAL '6 hours', ts)) // 1000000 AS BIGINT) AS window_start, count(*) AS n, round(sum(intensity), 4) AS intensity FROM v_signal GROUP BY ALL""")

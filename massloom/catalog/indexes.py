@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from massloom.catalog import query, rows_for
+from massloom.catalog import query
 from massloom.functions.mass import PROTON, neutral_mass
 from massloom.operators.joins import range_join
 from massloom.operators.ordered import coalesce_spans, group_scans, previous_where
@@ -22,12 +22,12 @@ def index_build(spark, d):
     return g.select("scan_id", "precursor_id", "charge", F.round("precursor_mz", 6).alias("mz"), F.round(neutral_mass(F.col("precursor_mz"), F.col("charge")), 5).alias("neutral_mass"), F.col("precursor_id").isNull().alias("orphan"))
 
 
-@query(f"""WITH t AS (SELECT target_id, target_mass FROM v_target WHERE target_id % 20 = 0), s AS (SELECT scan_id, scan_time, {MASS} AS mass FROM v_scan WHERE ms_level = 2)
-SELECT target_id, scan_id, round(mass, 5) AS mass FROM t JOIN s ON abs(mass - target_mass) <= target_mass * 1e-4 AND scan_time <= 400""", whole=True)
-def msms_for(spark, d, whole=False):
+@query(f"""WITH t AS (SELECT target_id, target_mass FROM v_target), s AS (SELECT scan_id, scan_time, {MASS} AS mass FROM v_scan WHERE ms_level = 2)
+SELECT target_id, scan_id, round(mass, 5) AS mass FROM t JOIN s ON abs(mass - target_mass) <= target_mass * 1e-4""")
+def msms_for(spark, d):
     """Product scans by precursor mass within tolerance and time."""
-    t = rows_for(view(spark, d, "v_target"), "target_id % 20 = 0", whole).select("target_id", "target_mass")
-    s = rows_for(view(spark, d, "v_scan").filter("ms_level = 2"), "scan_time <= 400", whole).select("scan_id", neutral_mass(F.col("precursor_mz"), F.col("charge")).alias("mass"))
+    t = view(spark, d, "v_target").select("target_id", "target_mass")
+    s = view(spark, d, "v_scan").filter("ms_level = 2").select("scan_id", neutral_mass(F.col("precursor_mz"), F.col("charge")).alias("mass"))
     return range_join(t, s, "target_mass", "mass", 1e-4).select("target_id", "scan_id", F.round("mass", 5).alias("mass"))
 
 

@@ -5,39 +5,39 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query, rows_for
+from massloom.catalog import query
 from massloom.functions.mass import ISOTOPE_GAP, PROTON, mass_charge_ratio, neutral_mass, ppm_error
 from massloom.operators.joins import best_match, interval_join, interval_join_2d, nearest_join, range_join
 from massloom.operators.ordered import top_k
 from massloom.plans.views import view
 
-TARGETS = "SELECT target_id, target_mass FROM v_target WHERE target_id % 50 = 0"
+TARGETS = "SELECT target_id, target_mass FROM v_target"
 
 
-def targets(spark, d, whole=False):
-    return rows_for(view(spark, d, "v_target"), "target_id % 50 = 0", whole).select("target_id", "target_mass")
+def targets(spark, d):
+    return view(spark, d, "v_target").select("target_id", "target_mass")
 
 
 @query(f"""WITH t AS ({TARGETS}) SELECT target_id, scan_id, round(mz, 6) AS mz, intensity, round((mz - target_mass) / target_mass * 1e6, 4) AS ppm
-FROM t JOIN v_peak ON abs(mz - target_mass) <= target_mass * 2e-5""", whole=True)
-def ppm_match_all(spark, d, whole=False):
-    pairs = range_join(targets(spark, d, whole), view(spark, d, "v_peak"), "target_mass", "mz", 2e-5)
+FROM t JOIN v_peak ON abs(mz - target_mass) <= target_mass * 2e-5""")
+def ppm_match_all(spark, d):
+    pairs = range_join(targets(spark, d), view(spark, d, "v_peak"), "target_mass", "mz", 2e-5)
     return pairs.select("target_id", "scan_id", F.round("mz", 6).alias("mz"), "intensity", F.round(ppm_error(F.col("mz"), F.col("target_mass")) * 1e6, 4).alias("ppm"))
 
 
 @query(f"""WITH t AS ({TARGETS}), p AS (SELECT target_id, scan_id, mz, row_number() OVER (PARTITION BY target_id, scan_id ORDER BY abs(mz - target_mass), mz) AS r
-FROM t JOIN v_peak ON abs(mz - target_mass) < target_mass * 1e-4) SELECT target_id, scan_id, round(mz, 6) AS mz FROM p WHERE r = 1""", whole=True)
-def ppm_match_best(spark, d, whole=False):
-    pairs = range_join(targets(spark, d, whole), view(spark, d, "v_peak"), "target_mass", "mz", 1e-4)
+FROM t JOIN v_peak ON abs(mz - target_mass) < target_mass * 1e-4) SELECT target_id, scan_id, round(mz, 6) AS mz FROM p WHERE r = 1""")
+def ppm_match_best(spark, d):
+    pairs = range_join(targets(spark, d), view(spark, d, "v_peak"), "target_mass", "mz", 1e-4)
     best = best_match(pairs, ["target_id", "scan_id"], F.abs(F.col("mz") - F.col("target_mass")), F.col("mz"))
     return best.select("target_id", "scan_id", F.round("mz", 6).alias("mz"))
 
 
 @query(f"""WITH t AS ({TARGETS}) SELECT target_id, coalesce(max(intensity), 1.0) AS intensity, CASE WHEN count(mz) = 0 THEN -1 ELSE count(mz) END AS peak_count
-FROM t LEFT JOIN v_peak ON abs(mz - target_mass) <= target_mass * 1e-6 GROUP BY target_id""", whole=True)
-def ppm_match_placeholder(spark, d, whole=False):
+FROM t LEFT JOIN v_peak ON abs(mz - target_mass) <= target_mass * 1e-6 GROUP BY target_id""")
+def ppm_match_placeholder(spark, d):
     """A target without a peak keeps a placeholder of intensity 1 and count -1."""
-    pairs = range_join(targets(spark, d, whole), view(spark, d, "v_peak").select("mz", "intensity"), "target_mass", "mz", 1e-6, how="left")
+    pairs = range_join(targets(spark, d), view(spark, d, "v_peak").select("mz", "intensity"), "target_mass", "mz", 1e-6, how="left")
     n = F.count("mz")
     return pairs.groupBy("target_id").agg(F.coalesce(F.max("intensity"), F.lit(1.0)).alias("intensity"), F.when(n == 0, -1).otherwise(n).alias("peak_count"))
 
@@ -109,42 +109,53 @@ SELECT q.scan_id, z AS charge, count(*) AS n, round(sum(p.intensity), 2) AS inte
 def charge_neighbors(spark, d):
     """Peaks one isotope above another, by charge: the candidate edges of deconvolution."""
     p = view(spark, d, "v_peak").select("scan_id", "mz", "intensity")
-    q = p.select("scan_id", F.col("mz").alias("from_mz"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("z")).withColumn("want", F.col("from_mz") + F.lit(ISOTOPE_GAP) / F.col("z"))
-    return range_join(q, p, "want", "mz", 2e-5, ["scan_id"]).groupBy("scan_id", F.col("z").cast("long").alias("charge")).agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 2).alias("intensity"))
+    q = p.select("scan_id", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("z"), "mz").select("scan_id", "z", (F.col("mz") + F.lit(ISOTOPE_GAP) / F.col("z")).alias("want"))
+    found = range_join(q, p, "want", "mz", 2e-5, ["scan_id"], spread="found")
+    return found.groupBy("scan_id", F.col("z").cast("long").alias("charge")).agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 2).alias("intensity"))
 
 
-SPANS = "SELECT scan_id AS a, scan_time AS s, scan_time + CAST(charge AS DOUBLE) AS e FROM v_scan WHERE scan_id % 10 = 0"
+SPANS = "SELECT scan_id AS a, scan_time AS s, scan_time + CAST(charge AS DOUBLE) AS e FROM v_scan"
 
 
-@query(f"""WITH x AS ({SPANS}), y AS (SELECT a AS b, s AS t, e AS f FROM x) SELECT a, b, round(least(e, f) - greatest(s, t), 6) AS overlap FROM x JOIN y ON s <= f AND t <= e AND a < b""", whole=True)
-def interval_overlap(spark, d, whole=False):
-    x = rows_for(view(spark, d, "v_scan"), "scan_id % 10 = 0", whole).select(F.col("scan_id").alias("a"), F.col("scan_time").alias("s"), (F.col("scan_time") + F.col("charge")).alias("e"))
-    pairs = interval_join(x, x.toDF("b", "t", "f"), ("s", "e"), ("t", "f"), 4.0).filter("a < b")
-    return pairs.select("a", "b", F.round(F.least("e", "f") - F.greatest("s", "t"), 6).alias("overlap"))
+@query(f"""WITH x AS ({SPANS}), y AS (SELECT a AS b, s AS t, e AS f FROM x) SELECT a, count(*) AS n, min(b) AS first, max(b) AS last, round(sum(least(e, f) - greatest(s, t)), 4) AS overlap FROM x JOIN y ON s <= f AND t <= e AND a <> b GROUP BY a""")
+def interval_overlap(spark, d):
+    """How many other intervals each one overlaps, the first and last of them, and the summed overlap."""
+    x = view(spark, d, "v_scan").select(F.col("scan_id").alias("a"), F.col("scan_time").alias("s"), (F.col("scan_time") + F.col("charge")).alias("e"))
+    pairs = interval_join(x, x.toDF("b", "t", "f"), ("s", "e"), ("t", "f"), 4.0).filter("a <> b")
+    return pairs.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("first"), F.max("b").alias("last"), F.round(F.sum(F.least("e", "f") - F.greatest("s", "t")), 4).alias("overlap"))
 
 
-@query(f"""WITH x AS ({SPANS}), y AS (SELECT scan_id AS point_id, scan_time AS p FROM v_scan WHERE scan_id % 10 = 5) SELECT a, point_id FROM x JOIN y ON p BETWEEN s AND e""", whole=True)
-def interval_stab(spark, d, whole=False):
+@query(f"""WITH x AS ({SPANS}) SELECT a, count(*) AS n, min(scan_id) AS first, max(scan_id) AS last FROM x JOIN v_scan ON scan_time BETWEEN s AND e GROUP BY a""")
+def interval_stab(spark, d):
+    """The points inside each interval: their number, the first and the last."""
     v = view(spark, d, "v_scan")
-    x = rows_for(v, "scan_id % 10 = 0", whole).select(F.col("scan_id").alias("a"), F.col("scan_time").alias("s"), (F.col("scan_time") + F.col("charge")).alias("e"))
-    y = rows_for(v, "scan_id % 10 = 5", whole).select(F.col("scan_id").alias("point_id"), F.col("scan_time").alias("p"), F.col("scan_time").alias("p2"))
-    return interval_join(x, y, ("s", "e"), ("p", "p2"), 4.0).select("a", "point_id")
+    x = v.select(F.col("scan_id").alias("a"), F.col("scan_time").alias("s"), (F.col("scan_time") + F.col("charge")).alias("e"))
+    y = v.select(F.col("scan_id").alias("point_id"), F.col("scan_time").alias("p"), F.col("scan_time").alias("p2"))
+    return interval_join(x, y, ("s", "e"), ("p", "p2"), 4.0).groupBy("a").agg(F.count("*").alias("n"), F.min("point_id").alias("first"), F.max("point_id").alias("last"))
 
 
-@query(f"""WITH x AS (SELECT scan_id AS a, scan_time AS s, scan_time + charge AS e, precursor_mz AS lo, precursor_mz + 10 AS hi FROM v_scan WHERE scan_id % 10 = 0)
-SELECT x.a, y.a AS b FROM x JOIN x y ON x.s <= y.e AND y.s <= x.e AND x.lo <= y.hi AND y.lo <= x.hi AND x.a < y.a""", whole=True)
-def interval_overlap_2d(spark, d, whole=False):
-    v = rows_for(view(spark, d, "v_scan"), "scan_id % 10 = 0", whole)
+@query(f"""WITH x AS ({SPANS}) SELECT x.a, count(*) AS inside FROM x JOIN x y ON x.s <= y.s AND y.e <= x.e AND x.a <> y.a GROUP BY x.a""")
+def interval_containment(spark, d):
+    """How many other intervals lie inside each one."""
+    x = view(spark, d, "v_scan").select(F.col("scan_id").alias("a"), F.col("scan_time").alias("s"), (F.col("scan_time") + F.col("charge")).alias("e"))
+    pairs = interval_join(x, x.toDF("b", "t", "f"), ("s", "e"), ("t", "f"), 4.0).filter("a <> b and s <= t and f <= e")
+    return pairs.groupBy("a").agg(F.count("*").alias("inside"))
+
+
+@query(f"""WITH x AS (SELECT scan_id AS a, scan_time AS s, scan_time + charge AS e, precursor_mz AS lo, precursor_mz + 10 AS hi FROM v_scan)
+SELECT x.a, y.a AS b FROM x JOIN x y ON x.s <= y.e AND y.s <= x.e AND x.lo <= y.hi AND y.lo <= x.hi AND x.a < y.a""")
+def interval_overlap_2d(spark, d):
+    v = view(spark, d, "v_scan")
     x = v.select(F.col("scan_id").alias("a"), F.col("scan_time").alias("s"), (F.col("scan_time") + F.col("charge")).alias("e"), F.col("precursor_mz").alias("lo"), (F.col("precursor_mz") + 10).alias("hi"))
     y = x.toDF("b", "t", "f", "lo2", "hi2")
     return interval_join_2d(x, y, ("s", "e", "lo", "hi"), ("t", "f", "lo2", "hi2"), (4.0, 20.0)).filter("a < b").select("a", "b")
 
 
-@query(f"""WITH p AS (SELECT ord, part, charge, mz * charge - charge * {PROTON} AS mass FROM v_peak WHERE scan_id % 10 = 1)
-SELECT a.ord AS ord_a, b.ord AS ord_b, a.charge AS charge FROM p a JOIN p b ON abs(b.mass - a.mass) <= a.mass * 2e-6 AND b.charge - a.charge = 1""", whole=True)
-def charge_relationship(spark, d, whole=False):
+@query(f"""WITH p AS (SELECT ord, part, charge, mz * charge - charge * {PROTON} AS mass FROM v_peak)
+SELECT a.ord AS ord_a, b.ord AS ord_b, a.charge AS charge FROM p a JOIN p b ON abs(b.mass - a.mass) <= a.mass * 2e-6 AND b.charge - a.charge = 1""")
+def charge_relationship(spark, d):
     """Partners of the same mass one charge apart."""
-    p = rows_for(view(spark, d, "v_peak"), "scan_id % 10 = 1", whole).select("ord", "charge", neutral_mass(F.col("mz"), F.col("charge")).alias("mass"))
+    p = view(spark, d, "v_peak").select("ord", "charge", neutral_mass(F.col("mz"), F.col("charge")).alias("mass"))
     q = p.select(F.col("ord").alias("ord_a"), F.col("charge").alias("z"), F.col("mass").alias("want"))
     return range_join(q, p, "want", "mass", 2e-6).filter("charge - z = 1").select("ord_a", F.col("ord").alias("ord_b"), F.col("z").alias("charge"))
 

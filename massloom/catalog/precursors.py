@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query, rows_for
+from massloom.catalog import query
 from massloom.functions.mass import PROTON, mass_charge_ratio, neutral_mass, to_dalton, to_ppm
 from massloom.operators.joins import best_match, range_join
 from massloom.operators.ordered import sessionize
@@ -85,10 +85,10 @@ def scan_by_time(spark, d):
     return found.select(F.explode("x").alias("y")).select("y.query_time", "y.scan_id")
 
 
-@query("""WITH a AS (SELECT vec_id, embedding AS e, lead(embedding) OVER (ORDER BY vec_id) AS f FROM embeddings WHERE vec_id < 200) SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) * 2 for x in e]), 4) AS doubled, round(list_sum([CAST(e[i] AS DOUBLE) + CAST(f[i] AS DOUBLE) for i in range(1, 65)]), 4) AS added FROM a WHERE f IS NOT NULL""", whole=True)
-def array_arithmetic(spark, d, whole=False):
+@query("""WITH a AS (SELECT vec_id, embedding AS e, lead(embedding) OVER (ORDER BY vec_id) AS f FROM embeddings) SELECT vec_id, round(list_sum([CAST(x AS DOUBLE) * 2 for x in e]), 4) AS doubled, round(list_sum([CAST(e[i] AS DOUBLE) + CAST(f[i] AS DOUBLE) for i in range(1, 65)]), 4) AS added FROM a WHERE f IS NOT NULL""")
+def array_arithmetic(spark, d):
     """Scaling a spectrum's intensities, and adding two on one grid."""
-    e = rows_for(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id < 200", whole).select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     pair = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f")), "vec_id")
     total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 4)
     return pair.select("vec_id", total(F.transform("e", lambda x: x * 2)).alias("doubled"), total(F.zip_with("e", "f", lambda x, y: x + y)).alias("added"))
@@ -116,15 +116,15 @@ def spectrum_description(spark, d):
     return view(spark, d, "v_peak").groupBy("scan_id").agg(F.round(F.min("mz"), 6).alias("lowest_mz"), F.round(F.max("mz"), 6).alias("highest_mz"), F.sum("intensity").alias("tic"), F.max("intensity").alias("base_intensity"))
 
 
-@query("""SELECT scan_id, CAST(floor(mz) AS BIGINT) AS mz_bin, CAST(charge AS BIGINT) AS mobility, sum(intensity) AS intensity FROM v_peak WHERE scan_id % 10 = 6 GROUP BY ALL""", whole=True)
-def mobility_grid(spark, d, whole=False):
+@query("""SELECT scan_id, CAST(floor(mz) AS BIGINT) AS mz_bin, CAST(charge AS BIGINT) AS mobility, sum(intensity) AS intensity FROM v_peak GROUP BY ALL""")
+def mobility_grid(spark, d):
     """An m/z by mobility frame as sparse rows."""
-    return rows_for(view(spark, d, "v_peak"), "scan_id % 10 = 6", whole).groupBy("scan_id", F.floor("mz").alias("mz_bin"), F.col("charge").cast("long").alias("mobility")).agg(F.sum("intensity").alias("intensity"))
+    return view(spark, d, "v_peak").groupBy("scan_id", F.floor("mz").alias("mz_bin"), F.col("charge").cast("long").alias("mobility")).agg(F.sum("intensity").alias("intensity"))
 
 
-@query("""WITH r AS (SELECT scan_id, charge, mz, intensity, row_number() OVER (PARTITION BY scan_id, charge ORDER BY mz, intensity, ord, part) - 1 AS k FROM v_peak WHERE scan_id % 10 = 7) SELECT scan_id, CAST(k AS BIGINT) AS position, sum(intensity) AS intensity, round(sum(mz * intensity) / sum(intensity), 4) AS mz FROM r WHERE k < 5 GROUP BY scan_id, k""", whole=True)
-def sum_envelopes(spark, d, whole=False):
+@query("""WITH r AS (SELECT scan_id, charge, mz, intensity, row_number() OVER (PARTITION BY scan_id, charge ORDER BY mz, intensity, ord, part) - 1 AS k FROM v_peak) SELECT scan_id, CAST(k AS BIGINT) AS position, sum(intensity) AS intensity, round(sum(mz * intensity) / sum(intensity), 4) AS mz FROM r WHERE k < 5 GROUP BY scan_id, k""")
+def sum_envelopes(spark, d):
     """Envelopes added position by position, m/z weighted by signal."""
     k = (F.row_number().over(W.partitionBy("scan_id", "charge").orderBy("mz", "intensity", "ord", "part")) - 1).cast("long")
-    r = rows_for(view(spark, d, "v_peak"), "scan_id % 10 = 7", whole).withColumn("position", k).filter("position < 5")
+    r = view(spark, d, "v_peak").withColumn("position", k).filter("position < 5")
     return r.groupBy("scan_id", "position").agg(F.sum("intensity").alias("intensity"), F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity"), 4).alias("mz"))

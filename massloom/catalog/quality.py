@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query, rows_for
+from massloom.catalog import query
 from massloom.functions.scoring import xrea_parts
 from massloom.operators.joins import best_match, range_join
 from massloom.plans.store import materialize
@@ -51,11 +51,11 @@ def isolation_empty(spark, d):
     return s.join(window(spark, d).select("scan_id", "intensity"), "scan_id", "left").groupBy("scan_id").agg((F.coalesce(F.sum("intensity"), F.lit(0.0)) <= 1).alias("is_empty"))
 
 
-@query("""WITH t AS (SELECT DISTINCT target_mass FROM v_target WHERE target_id % 100 = 0), b AS (SELECT scan_id, max(intensity) AS base FROM v_peak GROUP BY scan_id)
-SELECT p.scan_id, round(sum(intensity / base) / (SELECT count(*) FROM t), 6) AS ratio FROM v_peak p JOIN t ON abs(mz - target_mass) <= target_mass * 2e-5 JOIN b ON p.scan_id = b.scan_id GROUP BY p.scan_id""", whole=True)
-def signature_ratio(spark, d, whole=False):
+@query("""WITH t AS (SELECT DISTINCT target_mass FROM v_target), b AS (SELECT scan_id, max(intensity) AS base FROM v_peak GROUP BY scan_id)
+SELECT p.scan_id, round(sum(intensity / base) / (SELECT count(*) FROM t), 6) AS ratio FROM v_peak p JOIN t ON abs(mz - target_mass) <= target_mass * 2e-5 JOIN b ON p.scan_id = b.scan_id GROUP BY p.scan_id""")
+def signature_ratio(spark, d):
     """Signature ions' intensities over the base peak, averaged over the ions."""
-    t = rows_for(view(spark, d, "v_target"), "target_id % 100 = 0", whole).select("target_mass").distinct()
+    t = view(spark, d, "v_target").select("target_mass").distinct()
     p = view(spark, d, "v_peak").select("scan_id", "mz", "intensity").withColumn("base", F.max("intensity").over(W.partitionBy("scan_id")))
     n = t.count()
     return range_join(t, p, "target_mass", "mz", 2e-5).groupBy("scan_id").agg(F.round(F.sum(F.col("intensity") / F.col("base")) / n, 6).alias("ratio"))
@@ -98,21 +98,21 @@ def intensity_ratio_bucket(spark, d):
 
 # fixed values: residue masses of six amino acids
 RESIDUES = {"G": 57.02146, "A": 71.03711, "S": 87.03203, "P": 97.05276, "V": 99.06841, "T": 101.04768}
-GRAPH = f"""WITH c AS (SELECT unnest({list(RESIDUES)}) AS residue, unnest({list(RESIDUES.values())}) AS m), p AS (SELECT scan_id, mz, row_number() OVER (PARTITION BY scan_id ORDER BY mz, intensity, ord, part) AS n FROM v_peak WHERE scan_id % 10 = 4),
+GRAPH = f"""WITH c AS (SELECT unnest({list(RESIDUES)}) AS residue, unnest({list(RESIDUES.values())}) AS m), p AS (SELECT scan_id, mz, row_number() OVER (PARTITION BY scan_id ORDER BY mz, intensity, ord, part) AS n FROM v_peak),
 g AS (SELECT a.scan_id, a.n AS a, b.n AS b, residue FROM p a JOIN c ON true JOIN p b ON a.scan_id = b.scan_id AND abs(b.mz - (a.mz + m)) <= (a.mz + m) * 2e-5)"""
 
 
-def graph(spark, d, whole=False):
-    p = rows_for(view(spark, d, "v_peak"), "scan_id % 10 = 4", whole).select("scan_id", "mz", F.row_number().over(W.partitionBy("scan_id").orderBy("mz", "intensity", "ord", "part")).cast("long").alias("n"))
+def graph(spark, d):
+    p = view(spark, d, "v_peak").select("scan_id", "mz", F.row_number().over(W.partitionBy("scan_id").orderBy("mz", "intensity", "ord", "part")).cast("long").alias("n"))
     steps = F.explode(F.array(*[F.struct(F.lit(r).alias("residue"), F.lit(m).alias("m")) for r, m in RESIDUES.items()]))
     q = p.select("scan_id", F.col("n").alias("a"), "mz", steps.alias("s")).select("scan_id", "a", "s.residue", (F.col("mz") + F.col("s.m")).alias("want"))
     return range_join(q, p.select("scan_id", "mz", F.col("n").alias("b")), "want", "mz", 2e-5, ["scan_id"]).select("scan_id", "a", "b", "residue")
 
 
-@query(f"{GRAPH} SELECT scan_id, a, b, residue FROM g", whole=True)
-def graph_edges(spark, d, whole=False):
+@query(f"{GRAPH} SELECT scan_id, a, b, residue FROM g")
+def graph_edges(spark, d):
     """Pairs of peaks a residue mass apart: the edges of a spectrum graph."""
-    return graph(spark, d, whole)
+    return graph(spark, d)
 
 
 @query("""WITH p AS (SELECT v.scan_id, mz, precursor_mz * 2 AS total FROM v_peak v JOIN v_peak_scan s ON v.scan_id = s.scan_id) SELECT a.scan_id, count(*) AS pairs FROM p a JOIN p b ON a.scan_id = b.scan_id AND a.total - a.mz > 0 AND abs(b.mz - (a.total - a.mz)) <= (a.total - a.mz) * 2e-5 GROUP BY a.scan_id""")
@@ -124,10 +124,10 @@ def graph_complements(spark, d):
     return range_join(q, p, "want", "mz", 2e-5, ["scan_id"]).groupBy("scan_id").agg(F.count("*").alias("pairs"))
 
 
-@query(GRAPH.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, r(scan_id, b, len) AS (SELECT scan_id, b, 1 FROM g UNION SELECT r.scan_id, g.b, r.len + 1 FROM r JOIN g ON r.scan_id = g.scan_id AND r.b = g.a) SELECT scan_id, b AS node, CAST(max(len) AS BIGINT) AS length FROM r GROUP BY scan_id, b""", whole=True)
-def graph_path_lengths(spark, d, whole=False):
+@query(GRAPH.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, r(scan_id, b, len) AS (SELECT scan_id, b, 1 FROM g UNION SELECT r.scan_id, g.b, r.len + 1 FROM r JOIN g ON r.scan_id = g.scan_id AND r.b = g.a) SELECT scan_id, b AS node, CAST(max(len) AS BIGINT) AS length FROM r GROUP BY scan_id, b""")
+def graph_path_lengths(spark, d):
     """The longest path that ends at each node; edges go up in mass, so relaxation ends."""
-    g = materialize(graph(spark, d, whole).select("scan_id", "a", "b").distinct(), "graph-edges")
+    g = materialize(graph(spark, d).select("scan_id", "a", "b").distinct(), "graph-edges")
     ends = materialize(g.select("scan_id", F.col("b").alias("node"), F.lit(1).cast("long").alias("length")).distinct(), "graph-ends")
     front = ends
     while not front.isEmpty():

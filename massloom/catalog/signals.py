@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query, rows_for
+from massloom.catalog import query
 from massloom.operators.ordered import row_numbers
 from massloom.plans.views import view
 
@@ -65,11 +65,11 @@ def adjacent_average(spark, d):
     return m.select("n", "scan_id").join(average, "n").select("scan_id", F.round("a", 4).alias("average"))
 
 
-@query("""WITH m AS (SELECT scan_id, scan_time, tic FROM v_scan WHERE ms_level = 1 AND scan_id % 7 < 3), p AS (SELECT a.scan_id, exp(-pow(a.scan_time - b.scan_time, 2) / (2 * 0.025 * 0.025)) AS w, b.tic FROM m a JOIN m b ON abs(a.scan_time - b.scan_time) <= 0.1)
-SELECT scan_id, round(sum(w * tic) / sum(w), 4) AS smoothed FROM p GROUP BY scan_id""", whole=True)
-def gaussian_weights(spark, d, whole=False):
+@query("""WITH m AS (SELECT scan_id, scan_time, tic FROM v_scan WHERE ms_level = 1), p AS (SELECT a.scan_id, exp(-pow(a.scan_time - b.scan_time, 2) / (2 * 0.025 * 0.025)) AS w, b.tic FROM m a JOIN m b ON abs(a.scan_time - b.scan_time) <= 0.1)
+SELECT scan_id, round(sum(w * tic) / sum(w), 4) AS smoothed FROM p GROUP BY scan_id""")
+def gaussian_weights(spark, d):
     """Average over scans near in time, weighted by a Gaussian of the time difference."""
-    m = rows_for(view(spark, d, "v_scan").filter("ms_level = 1"), "scan_id % 7 < 3", whole).select("scan_id", "scan_time", "tic")
+    m = view(spark, d, "v_scan").filter("ms_level = 1").select("scan_id", "scan_time", "tic")
     cell = F.floor(F.col("scan_time") / 0.1)
     a = m.select("scan_id", F.col("scan_time").alias("t"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
     p = a.join(m.select("scan_time", "tic", cell.alias("cell")), "cell").filter(F.abs(F.col("t") - F.col("scan_time")) <= 0.1)

@@ -5,60 +5,133 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from massloom.catalog import query, rows_for
+from massloom.catalog import query
 from massloom.operators.joins import range_join
 from massloom.operators.ordered import sessionize, top_k
 from massloom.plans.views import view
 
-BINS = "WITH b AS (SELECT scan_id, CAST(floor(mz) AS BIGINT) AS bin, sum(intensity) AS i FROM v_peak WHERE scan_id <= 40 GROUP BY ALL), n AS (SELECT scan_id, sqrt(sum(i * i)) AS norm FROM b GROUP BY scan_id)"
+#: Spectra are compared where their precursors lie this close (m/z).
+NEAR = 50.0
+BINS = "WITH b AS (SELECT p.scan_id, any_value(s.precursor_mz) AS m, CAST(floor(mz) AS BIGINT) AS bin, sum(intensity) AS i FROM v_peak p JOIN v_peak_scan s ON p.scan_id = s.scan_id GROUP BY p.scan_id, floor(mz)), n AS (SELECT scan_id, sqrt(sum(i * i)) AS norm FROM b GROUP BY scan_id)"
+DOTS = f"d AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM b x JOIN b y ON x.bin = y.bin AND x.scan_id < y.scan_id AND abs(y.m - x.m) <= {NEAR} GROUP BY ALL)"
 
 
-def binned(spark, d, whole=False):
-    return rows_for(view(spark, d, "v_peak"), "scan_id <= 40", whole).groupBy("scan_id", F.floor("mz").alias("bin")).agg(F.sum("intensity").alias("i"))
+def peaks_with_precursor(spark, d):
+    return view(spark, d, "v_peak").join(view(spark, d, "v_peak_scan").select("scan_id", F.col("precursor_mz").alias("m")), "scan_id")
 
 
-def cosine(spark, d, whole=False):
-    b = binned(spark, d, whole)
+def binned(spark, d):
+    return peaks_with_precursor(spark, d).groupBy("scan_id", "m", F.floor("mz").alias("bin")).agg(F.sum("intensity").alias("i"))
+
+
+def cell(m, k=0):
+    return F.floor(F.col(m) / F.lit(NEAR)) + k
+
+
+def near_cells(df, m):
+    """Each row under the cell of its precursor and both neighbours."""
+    return df.withColumn("cell", F.explode(F.array(*[cell(m, k) for k in (-1, 0, 1)])))
+
+
+def cosine(spark, d):
+    """Cosine of all pairs of spectra whose precursors are near: joined by precursor cell and bin, never over all pairs of scans."""
+    b = binned(spark, d)
     n = b.groupBy("scan_id").agg(F.sqrt(F.sum(F.col("i") * F.col("i"))).alias("norm"))
-    dots = b.toDF("a", "bin", "ia").join(b.toDF("b", "bin", "ib"), "bin").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("ia") * F.col("ib")).alias("dot"))
+    x, y = near_cells(b.toDF("a", "ma", "bin", "ia"), "ma"), b.toDF("b", "mb", "bin", "ib").withColumn("cell", cell("mb"))
+    pairs = x.join(y, ["cell", "bin"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("mb") - F.col("ma")) <= NEAR))
+    dots = pairs.groupBy("a", "b").agg(F.sum(F.col("ia") * F.col("ib")).alias("dot"))
     return dots.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("s"))
 
 
-@query(f"""{BINS}, d AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM b x JOIN b y ON x.bin = y.bin AND x.scan_id < y.scan_id GROUP BY ALL)
-SELECT a, b, round(dot / (p.norm * q.norm), 6) AS similarity FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b""", whole=True)
-def cosine_binned(spark, d, whole=False):
-    """Cosine over truncated m/z bins."""
-    return cosine(spark, d, whole).select("a", "b", F.round("s", 6).alias("similarity"))
+@query(f"""{BINS}, {DOTS}
+SELECT a, b, round(dot / (p.norm * q.norm), 6) AS similarity FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b""")
+def cosine_binned(spark, d):
+    """Cosine over truncated m/z bins, for spectra of near precursors."""
+    return cosine(spark, d).select("a", "b", F.round("s", 6).alias("similarity"))
 
 
-@query("""WITH p AS (SELECT scan_id, mz, intensity AS i FROM v_peak WHERE scan_id <= 12), c AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM p x JOIN p y ON abs(y.mz - x.mz) <= x.mz * 2e-5 GROUP BY ALL)
-SELECT c.a, c.b, round(c.dot / sqrt(s.dot) / sqrt(t.dot), 6) AS similarity FROM c JOIN c s ON s.a = c.a AND s.b = c.a JOIN c t ON t.a = c.b AND t.b = c.b WHERE c.a < c.b""", whole=True)
-def cosine_ppm(spark, d, whole=False):
-    """Products of all peaks matched within tolerance, normalised by each spectrum's own."""
-    p = rows_for(view(spark, d, "v_peak"), "scan_id <= 12", whole).select("scan_id", "mz", F.col("intensity").alias("i"))
-    c = range_join(p.toDF("a", "mz_a", "ia"), p.toDF("b", "mz_b", "ib"), "mz_a", "mz_b", 2e-5).groupBy("a", "b").agg(F.sum(F.col("ia") * F.col("ib")).alias("dot"))
+@query(f"""WITH p AS (SELECT v.scan_id, mz, intensity AS i, precursor_mz AS m FROM v_peak v JOIN v_peak_scan s ON v.scan_id = s.scan_id),
+c AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM p x JOIN p y ON abs(y.mz - x.mz) <= x.mz * 2e-5 AND abs(y.m - x.m) <= {NEAR} GROUP BY ALL)
+SELECT c.a, c.b, round(c.dot / sqrt(s.dot) / sqrt(t.dot), 6) AS similarity FROM c JOIN c s ON s.a = c.a AND s.b = c.a JOIN c t ON t.a = c.b AND t.b = c.b WHERE c.a < c.b""")
+def cosine_ppm(spark, d):
+    """Products of all peaks matched within tolerance, normalised by each spectrum's own, for spectra of near precursors."""
+    p = peaks_with_precursor(spark, d).select("scan_id", "m", "mz", F.col("intensity").alias("i"))
+    x, y = near_cells(p.toDF("a", "ma", "mz_a", "ia"), "ma"), p.toDF("b", "mb", "mz_b", "ib").withColumn("cell", cell("mb"))
+    c = range_join(x, y, "mz_a", "mz_b", 2e-5, ["cell"]).filter(F.abs(F.col("mb") - F.col("ma")) <= NEAR).groupBy("a", "b").agg(F.sum(F.col("ia") * F.col("ib")).alias("dot"))
     own = c.filter("a = b").select(F.col("a").alias("k"), F.col("dot").alias("o"))
     out = c.filter("a < b").join(own.toDF("a", "oa"), "a").join(own.toDF("b", "ob"), "b")
     return out.select("a", "b", F.round(F.col("dot") / F.sqrt("oa") / F.sqrt("ob"), 6).alias("similarity"))
 
 
-@query("""WITH p AS (SELECT v.scan_id, mz, intensity AS i, precursor_mz AS m FROM v_peak v JOIN v_peak_scan s ON v.scan_id = s.scan_id WHERE v.scan_id <= 12),
-c AS (SELECT x.scan_id AS a, y.scan_id AS b, CASE WHEN abs(y.mz - x.mz) <= x.mz * 5e-5 THEN 'direct' ELSE 'shifted' END AS kind, x.i * y.i AS w FROM p x JOIN p y ON x.scan_id < y.scan_id AND (abs(y.mz - x.mz) <= x.mz * 5e-5 OR (x.mz + y.m - x.m > 0 AND abs(y.mz - (x.mz + y.m - x.m)) <= (x.mz + y.m - x.m) * 5e-5)))
-SELECT a, b, kind, count(*) AS n, sum(w) AS product FROM c GROUP BY ALL""", whole=True)
-def modified_cosine(spark, d, whole=False):
-    """Direct matches and matches shifted by the precursors' difference, each pair once."""
-    s = rows_for(view(spark, d, "v_peak_scan"), "scan_id <= 12", whole).select("scan_id", F.col("precursor_mz").alias("m"))
-    p = view(spark, d, "v_peak").join(F.broadcast(s), "scan_id").select("scan_id", "mz", F.col("intensity").alias("i"), "m", F.struct("ord", "part", "charge", "snr").alias("id"))
-    x, y = p.toDF("a", "mz_a", "ia", "ma", "id_a"), p.toDF("b", "mz_b", "ib", "mb", "id_b")
-    direct = range_join(x, y, "mz_a", "mz_b", 5e-5).filter("a < b").select("a", "b", F.lit("direct").alias("kind"), (F.col("ia") * F.col("ib")).alias("w"))
-    # equal up to the tolerance after the shift is near in mz less precursor: a join on that cell, not over pairs of scans
-    width = 5e-5 / (1 - 5e-5) * (p.agg(F.max("mz")).first()[0] or 1.0) * (1 + 1e-9)
-    cell = lambda mz, m: F.floor((F.col(mz) - F.col(m)) / width)
-    left = x.withColumn("cell", F.explode(F.array(*[cell("mz_a", "ma") + k for k in (-1, 0, 1)])))
-    moved = left.join(y.withColumn("cell", cell("mz_b", "mb")), "cell").filter("a < b").withColumn("want", F.col("mz_a") + (F.col("mb") - F.col("ma")))
-    shifted = moved.filter((F.col("want") > 0) & (F.abs(F.col("mz_b") - F.col("want")) <= F.col("want") * 5e-5)).filter(F.abs(F.col("mz_b") - F.col("mz_a")) > F.col("mz_a") * 5e-5)
-    both = direct.unionByName(shifted.select("a", "b", F.lit("shifted").alias("kind"), (F.col("ia") * F.col("ib")).alias("w")))
-    return both.groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.sum("w").alias("product"))
+SHIFTED = f"""WITH p AS (SELECT v.scan_id, mz, intensity AS i, precursor_mz AS m FROM v_peak v JOIN v_peak_scan s ON v.scan_id = s.scan_id),
+c AS (SELECT x.scan_id AS a, y.scan_id AS b, y.m - x.m AS shift, CASE WHEN abs(y.mz - x.mz) <= x.mz * 5e-5 THEN 'direct' ELSE 'shifted' END AS kind, x.i * y.i AS w FROM p x JOIN p y ON x.scan_id < y.scan_id AND abs(y.m - x.m) <= {NEAR} AND (abs(y.mz - x.mz) <= x.mz * 5e-5 OR (x.mz + y.m - x.m > 0 AND abs(y.mz - (x.mz + y.m - x.m)) <= (x.mz + y.m - x.m) * 5e-5)))"""
+
+
+def shifted_matches(spark, d):
+    """(a, b, shift, kind, w): matched peaks of spectra of near precursors, direct or moved by the precursors' difference, each pair once."""
+    p = peaks_with_precursor(spark, d).select("scan_id", "mz", F.col("intensity").alias("i"), "m", F.log("mz").alias("u"))
+    x, y = p.toDF("a", "mz_a", "ia", "ma", "ua"), p.toDF("b", "mz_b", "ib", "mb", "ub")
+    near = (F.col("a") < F.col("b")) & (F.abs(F.col("mb") - F.col("ma")) <= NEAR)
+    shift = F.col("mb") - F.col("ma")
+    direct = range_join(near_cells(x, "ma"), y.withColumn("cell", cell("mb")), "mz_a", "mz_b", 5e-5, ["cell"]).filter(near)
+    direct = direct.select("a", "b", shift.alias("shift"), F.lit("direct").alias("kind"), (F.col("ia") * F.col("ib")).alias("w"))
+    # equal up to the tolerance after the shift is near in mz less precursor, within the tolerance at the heavier peak:
+    # peaks meet in a slot of that difference whose width grows with m/z by octave
+    octave = lambda c: F.floor(F.log2(c)).cast("int")
+    width = lambda o: F.pow(F.lit(2.0), o + 1) * 5.1e-5 / (1 - 5e-5)
+    loss = lambda mz, m: F.col(mz) - F.col(m)
+    right = y.withColumn("octave", octave(F.col("mz_b"))).withColumn("slot", F.floor(loss("mz_b", "mb") / width(F.col("octave"))))
+    reach = F.sequence(octave(F.greatest(F.col("mz_a") - NEAR * 1.001, F.lit(1.0))), octave(F.col("mz_a") + NEAR * 1.001))
+    left = x.filter("mz_a > 0").withColumn("octave", F.explode(reach)).withColumn("at", F.floor(loss("mz_a", "ma") / width(F.col("octave"))))
+    left = left.withColumn("slot", F.explode(F.array(*[F.col("at") + k for k in (-1, 0, 1)])))
+    want = F.col("mz_a") + shift
+    moved = left.join(right, ["octave", "slot"]).filter(near & (want > 0) & (F.abs(F.col("mz_b") - want) <= want * 5e-5))
+    moved = moved.filter(F.abs(F.col("mz_b") - F.col("mz_a")) > F.col("mz_a") * 5e-5)
+    return direct.unionByName(moved.select("a", "b", shift.alias("shift"), F.lit("shifted").alias("kind"), (F.col("ia") * F.col("ib")).alias("w")))
+
+
+@query(f"{SHIFTED} SELECT a, b, kind, count(*) AS n, sum(w) AS product FROM c GROUP BY a, b, kind")
+def modified_cosine(spark, d):
+    """Direct matches and matches shifted by the precursors' difference, each pair once, for spectra of near precursors."""
+    return shifted_matches(spark, d).groupBy("a", "b", "kind").agg(F.count("*").alias("n"), F.sum("w").alias("product"))
+
+
+ALIGNED = f"""{SHIFTED}, n AS (SELECT scan_id, sum(i * i) AS norm FROM p GROUP BY scan_id), q AS (SELECT a, b, round(any_value(shift), 4) AS shift, round(sum(w), 3) AS weight FROM c GROUP BY a, b),
+e AS (SELECT a, b, shift, weight, round(weight / sqrt(x.norm * y.norm), 6) AS score FROM q JOIN n x ON x.scan_id = a JOIN n y ON y.scan_id = b WHERE abs(shift) >= 0.02)"""
+
+
+def alignment(spark, d):
+    """(a, b, shift, weight, score): aligned spectra whose precursors differ by at least 0.02, scored by all matches, direct and shifted."""
+    n = view(spark, d, "v_peak").groupBy("scan_id").agg(F.sum(F.col("intensity") * F.col("intensity")).alias("norm"))
+    e = shifted_matches(spark, d).groupBy("a", "b").agg(F.round(F.min("shift"), 4).alias("shift"), F.round(F.sum("w"), 3).alias("weight"))
+    e = e.filter(F.abs("shift") >= 0.02).join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    return e.select("a", "b", "shift", "weight", F.round(F.col("weight") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("score"))
+
+
+@query(f"{ALIGNED} SELECT a, b, shift, weight, score FROM e")
+def alignment_edges(spark, d):
+    """Edges of the alignment graph: spectra of unlike precursors with the shift between them, the summed products and the score."""
+    return alignment(spark, d)
+
+
+@query(f"""{ALIGNED}, u AS (SELECT a, b, shift, score FROM e WHERE score >= 0.01 UNION ALL SELECT b, a, -shift, score FROM e WHERE score >= 0.01),
+r AS (SELECT *, CAST(trunc(shift * 100) AS BIGINT) AS bucket, row_number() OVER (PARTITION BY a, trunc(shift * 100) ORDER BY score DESC, b) AS r FROM u) SELECT a, bucket, b, score FROM r WHERE r = 1""")
+def alignment_trim(spark, d):
+    """Of a spectrum's neighbours of enough score, the best in each hundredth of a shift."""
+    e = alignment(spark, d).filter("score >= 0.01")
+    both = e.select("a", "b", "shift", "score").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("shift")).alias("shift"), "score"))
+    bucket = (F.col("shift") * 100).cast("long")
+    best = F.max(F.struct("score", (-F.col("b")).alias("n")))
+    return both.groupBy("a", bucket.alias("bucket")).agg(best.alias("m")).select("a", "bucket", (-F.col("m.n")).alias("b"), "m.score")
+
+
+@query(f"""{ALIGNED}, s AS (SELECT abs(shift) AS shift, weight FROM e WHERE score >= 0.01), g AS (SELECT *, CASE WHEN shift - lag(shift) OVER (ORDER BY shift, weight) < 0.001 THEN 0 ELSE 1 END AS new FROM s),
+t AS (SELECT *, sum(new) OVER (ORDER BY shift, weight ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT round(sum(shift * weight) / sum(weight), 4) AS shift, count(*) AS n, round(sum(weight), 2) AS weight FROM t GROUP BY k""")
+def average_shifts(spark, d):
+    """Shifts of alignments in chains of near values, each chain's mean weighted by the matched products."""
+    s = alignment(spark, d).filter("score >= 0.01").select(F.abs("shift").alias("shift"), "weight")
+    k = sessionize(s, [], ["shift", "weight"], F.col("shift") - F.col("_prev.shift") >= 0.001, "k")
+    return k.groupBy("k").agg(F.round(F.sum(F.col("shift") * F.col("weight")) / F.sum("weight"), 4).alias("shift"), F.count("*").alias("n"), F.round(F.sum("weight"), 2).alias("weight")).drop("k")
 
 
 GROUPS = """WITH g AS (SELECT scan_id, precursor_mz, CASE WHEN (lag(precursor_mz) OVER (ORDER BY precursor_mz DESC, scan_id) - precursor_mz) / precursor_mz > 1.5e-5 THEN 1 ELSE 0 END AS new FROM v_scan WHERE ms_level = 2),
@@ -81,11 +154,15 @@ def cluster_sizes(spark, d):
     return mass_groups(spark, d).groupBy("cluster_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n_clusters"))
 
 
-@query(f"""{BINS}, d AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM b x JOIN b y ON x.bin = y.bin AND x.scan_id < y.scan_id AND x.scan_id % 5 = y.scan_id % 5 GROUP BY ALL)
-SELECT a % 5 AS cluster, count(*) AS pairs, round(avg(dot / (p.norm * q.norm)), 6) AS similarity FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b GROUP BY a % 5""", whole=True)
-def cluster_avg_similarity(spark, d, whole=False):
-    c = cosine(spark, d, whole).filter("a % 5 = b % 5")
-    return c.groupBy((F.col("a") % 5).alias("cluster")).agg(F.count("*").alias("pairs"), F.round(F.avg("s"), 6).alias("similarity"))
+@query(f"""{BINS}, {DOTS}, m AS (SELECT DISTINCT scan_id, CAST(floor(m / 10) AS BIGINT) AS cluster FROM b), c AS (SELECT cluster, count(*) AS size FROM m GROUP BY cluster)
+SELECT c.cluster, size, round(sum(dot / (p.norm * q.norm)) / (size * (size - 1) / 2), 6) AS similarity FROM d JOIN m x ON x.scan_id = a JOIN m y ON y.scan_id = b AND x.cluster = y.cluster JOIN c ON c.cluster = x.cluster JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b GROUP BY c.cluster, size""")
+def cluster_avg_similarity(spark, d):
+    """Mean cosine of the pairs inside each group of precursors; pairs without a common bin count as 0."""
+    m = view(spark, d, "v_peak").select("scan_id").distinct().join(view(spark, d, "v_peak_scan"), "scan_id").select("scan_id", F.floor(F.col("precursor_mz") / 10).alias("cluster"))
+    size = m.groupBy("cluster").agg(F.count("*").alias("size"))
+    c = cosine(spark, d).join(m.toDF("a", "cluster"), "a").join(m.toDF("b", "other"), "b").filter("cluster = other")
+    out = c.groupBy("cluster").agg(F.sum("s").alias("total")).join(size, "cluster")
+    return out.select("cluster", "size", F.round(F.col("total") / (F.col("size") * (F.col("size") - 1) / 2), 6).alias("similarity"))
 
 
 PLANES = [[((i * 37 + k * 11) % 17) - 8 for i in range(64)] for k in range(6)]
@@ -99,11 +176,11 @@ def lsh_buckets(spark, d):
     return e.select("vec_id", F.concat(*[F.when(dot(p) >= 0, "1").otherwise("0") for p in PLANES]).alias("bucket"))
 
 
-@query("""WITH p AS (SELECT *, floor(mz * 10) AS bin FROM v_peak WHERE scan_id % 10 = 2) SELECT CAST(bin AS BIGINT) AS bin, count(DISTINCT scan_id) AS n_scans, round(sum(mz * intensity) / sum(intensity), 6) AS mz, round(sum(intensity), 3) AS intensity FROM p GROUP BY bin HAVING count(*) > 1""", whole=True)
-def consensus_peak(spark, d, whole=False):
+@query("""WITH p AS (SELECT *, floor(mz * 10) AS bin FROM v_peak) SELECT CAST(bin AS BIGINT) AS bin, count(DISTINCT scan_id) AS n_scans, round(sum(mz * intensity) / sum(intensity) + 1e-9, 6) AS mz, round(sum(intensity), 3) AS intensity FROM p GROUP BY bin HAVING count(*) > 1""")
+def consensus_peak(spark, d):
     """Consensus centroids: weighted m/z and summed signal of peaks in one bin over scans."""
-    p = rows_for(view(spark, d, "v_peak"), "scan_id % 10 = 2", whole).withColumn("bin", F.floor(F.col("mz") * 10))
-    out = p.groupBy("bin").agg(F.countDistinct("scan_id").alias("n_scans"), F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity"), 6).alias("mz"), F.round(F.sum("intensity"), 3).alias("intensity"), F.count("*").alias("n"))
+    p = view(spark, d, "v_peak").withColumn("bin", F.floor(F.col("mz") * 10))
+    out = p.groupBy("bin").agg(F.countDistinct("scan_id").alias("n_scans"), F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity") + 1e-9, 6).alias("mz"), F.round(F.sum("intensity"), 3).alias("intensity"), F.count("*").alias("n"))
     return out.filter("n > 1").drop("n")
 
 
@@ -111,11 +188,3 @@ def consensus_peak(spark, d, whole=False):
 def filter_peak_set(spark, d):
     p = top_k(view(spark, d, "v_peak").withColumn("w", F.floor(F.col("mz") / 100)), ["scan_id", "w"], [F.desc("intensity"), "mz", "ord", "part"], 5)
     return p.groupBy("scan_id").agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 3).alias("intensity"))
-
-
-@query(f"""{BINS}, d AS (SELECT x.scan_id AS a, y.scan_id AS b, sum(x.i * y.i) AS dot FROM b x JOIN b y ON x.bin = y.bin AND x.scan_id < y.scan_id GROUP BY ALL), s AS (SELECT a, b, (b - a) % 7 AS bucket, dot / (p.norm * q.norm) AS s FROM d JOIN n p ON p.scan_id = a JOIN n q ON q.scan_id = b)
-SELECT a, bucket, max(round(s, 6)) AS similarity FROM s WHERE s >= 0.2 GROUP BY a, bucket""", whole=True)
-def alignment_trim(spark, d, whole=False):
-    """Of the neighbours in one shift bucket the best stays."""
-    s = cosine(spark, d, whole).filter("s >= 0.2").withColumn("bucket", (F.col("b") - F.col("a")) % 7)
-    return s.groupBy("a", "bucket").agg(F.max(F.round("s", 6)).alias("similarity"))

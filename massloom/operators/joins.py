@@ -20,20 +20,23 @@ def log_bin(value: Column, tolerance: float) -> Column:
     return F.floor(F.log(value) / F.lit(width)).cast("long")
 
 
-def range_join(queries: DataFrame, peaks: DataFrame, query: str, found: str, tolerance: float, on: list[str] | None = None, how: str = "inner") -> DataFrame:
+def range_join(queries: DataFrame, peaks: DataFrame, query: str, found: str, tolerance: float, on: list[str] | None = None, how: str = "inner", spread: str = "query") -> DataFrame:
     """All pairs with ``|found - query| <= query * tolerance``, inside equal ``on`` columns.
 
-    The query side takes its bin and both neighbours, the peak side its own
-    bin, so a pair meets once. Give the smaller side as ``queries``. Values of
-    0 or less match nothing. ``how`` is inner, left (queries without a match
+    One side takes its bin and both neighbours, the other its own bin, so a pair
+    meets once; ``spread`` names the side that is spread, "query" or "found":
+    the smaller one. Values of 0 or less match nothing. ``how`` is inner, left (queries without a match
     stay), left_semi or left_anti.
     """
     on = on or []
     qid = F.monotonically_increasing_id() if how != "inner" else F.lit(0)
     base = queries.withColumn("_q", qid)
-    bins = log_bin(F.col(query), tolerance)
-    left = base.filter(F.col(query) > 0).withColumn("_bin", F.explode(F.array(bins - 1, bins, bins + 1)))
-    right = peaks.filter(F.col(found) > 0).withColumn("_bin", log_bin(F.col(found), tolerance))
+
+    def side(df: DataFrame, value: str, wide: bool) -> DataFrame:
+        own = log_bin(F.col(value), tolerance)
+        return df.filter(F.col(value) > 0).withColumn("_bin", F.explode(F.array(own - 1, own, own + 1)) if wide else own)
+
+    left, right = side(base, query, spread == "query"), side(peaks, found, spread != "query")
     pairs = left.join(right, [*on, "_bin"]).filter(F.abs(F.col(found) - F.col(query)) <= F.col(query) * tolerance)
     if how == "inner":
         return pairs.drop("_bin", "_q")
