@@ -9,7 +9,6 @@ from massloom.catalog import query
 from massloom.functions import envelopes as E
 from massloom.functions import scoring as S
 from massloom.functions.mass import ISOTOPE_GAP, PROTON, neutral_mass
-from massloom.operators.joins import range_join
 from massloom.operators.ordered import sessionize, top_k
 from massloom.plans.views import view
 
@@ -163,24 +162,6 @@ def simplify_peaks(spark, d):
     return p.filter(F.col("intensity") > F.col("base") / 3).select("scan_id", F.round("mz", 6).alias("mz"), "intensity")
 
 
-@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, floor(mz) ORDER BY intensity DESC, mz, ord, part) AS r FROM v_peak) SELECT scan_id, CAST(floor(mz) AS BIGINT) AS bin, round(mz, 6) AS mz FROM r WHERE r = 1""")
-def best_exact_fits(spark, d):
-    """Of fits over the same peaks the best stays."""
-    p = view(spark, d, "v_peak").withColumn("bin", F.floor("mz"))
-    return top_k(p, ["scan_id", "bin"], [F.desc("intensity"), "mz", "ord", "part"], 1).select("scan_id", "bin", F.round("mz", 6).alias("mz"))
-
-
-@query("""WITH f AS (SELECT scan_id, charge, mz, intensity AS score, ord, part FROM v_peak)
-SELECT ord, part, charge FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE a.scan_id = b.scan_id AND a.charge = b.charge AND b.score > a.score AND abs(b.mz - a.mz) <= a.mz * 1e-3)""")
-def drop_superceded(spark, d):
-    """Drop fits whose first peak a better fit of the same charge uses."""
-    f = view(spark, d, "v_peak").select("scan_id", "charge", "mz", F.col("intensity").alias("score"), "ord", "part")
-    key = f.withColumn("_id", F.struct("ord", "part", "mz", "score"))
-    better = f.select("scan_id", "charge", F.col("mz").alias("mz_b"), F.col("score").alias("score_b"))
-    worse = range_join(key, better, "mz", "mz_b", 1e-3, ["scan_id", "charge"]).filter("score_b > score").select("scan_id", "charge", "_id").distinct()
-    return key.join(worse, ["scan_id", "charge", "_id"], "left_anti").select("ord", "part", "charge")
-
-
 @query(f"""{FITS}, s AS (SELECT scan_id, charge, min(mz) AS lo, max(mz) AS hi, sum(obs) AS used FROM fit GROUP BY scan_id, charge)
 SELECT s.scan_id, s.charge, round(1 - max(used) / sum(intensity), 6) AS interference FROM s JOIN v_peak p ON s.scan_id = p.scan_id AND p.mz BETWEEN lo AND hi GROUP BY s.scan_id, s.charge""")
 def interference(spark, d):
