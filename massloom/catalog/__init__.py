@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import every module of queries."""
-    from massloom.catalog import deconvolution, dependence, features, indexes, kernels, peaks, precursors, quality, scans, signals, similarity  # noqa: F401
+    from massloom.catalog import deconvolution, dependence, featuremaps, features, paths, indexes, kernels, peaks, precursors, quality, scans, signals, similarity  # noqa: F401
