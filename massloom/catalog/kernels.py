@@ -37,7 +37,20 @@ def isotopic_cluster(spark, d):
     return t.mapInArrow(kernel, "target_id long, charge int, mz array<double>, intensity array<double>")
 
 
-@query()
+PROFILE = """p AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(CAST(embedding AS DOUBLE[])) AS y, len(embedding) AS n FROM embeddings),
+m AS (SELECT *, lag(y) OVER (PARTITION BY vec_id ORDER BY i) AS a, lead(y) OVER (PARTITION BY vec_id ORDER BY i) AS c FROM p),
+k AS (SELECT *, CASE WHEN a - 2 * y + c = 0 THEN 0 ELSE 0.5 * (a - c) / (a - 2 * y + c) END AS shift FROM m WHERE y > a AND y >= c AND y >= 0),
+h AS MATERIALIZED (SELECT vec_id, i, n, shift, y - 0.25 * (a - c) * shift AS height FROM k),
+lo AS (SELECT h.vec_id, h.i, coalesce(max(p.i), 0) AS lo FROM h LEFT JOIN p ON p.vec_id = h.vec_id AND p.i <= h.i AND p.y <= height / 2 GROUP BY h.vec_id, h.i),
+hi AS (SELECT h.vec_id, h.i, coalesce(min(p.i), max(h.n) - 1) AS hi FROM h LEFT JOIN p ON p.vec_id = h.vec_id AND p.i >= h.i AND p.y <= height / 2 GROUP BY h.vec_id, h.i)"""
+
+
+def _cross(q, r):
+    return f"CASE WHEN {r}.y = {q}.y THEN {q}.i ELSE {q}.i + (height / 2 - {q}.y) / ({r}.y - {q}.y) END"
+
+
+@query(f"""WITH {PROFILE} SELECT h.vec_id, round(h.i + shift, 6) AS mz, round(height, 6) AS intensity, round({_cross("y1", "y2")} - {_cross("x1", "x2")}, 5) AS fwhm FROM h JOIN lo USING (vec_id, i) JOIN hi USING (vec_id, i)
+JOIN p x1 ON x1.vec_id = h.vec_id AND x1.i = lo JOIN p x2 ON x2.vec_id = h.vec_id AND x2.i = lo + 1 JOIN p y1 ON y1.vec_id = h.vec_id AND y1.i = hi - 1 JOIN p y2 ON y2.vec_id = h.vec_id AND y2.i = hi""")
 def pick_peaks(spark, d):
     """Centroids of the embeddings read as profiles."""
     e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("y"))
@@ -50,22 +63,16 @@ def pick_peaks(spark, d):
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["vec_id", "mz", "intensity", "fwhm"])
 
-    return e.mapInArrow(kernel, "vec_id long, mz double, intensity double, fwhm double")
+    found = e.mapInArrow(kernel, "vec_id long, mz double, intensity double, fwhm double")
+    return found.select("vec_id", F.round("mz", 6).alias("mz"), F.round("intensity", 6).alias("intensity"), F.round("fwhm", 5).alias("fwhm"))
 
 
-@query()
+@query("""WITH e AS (SELECT CAST(label AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS y FROM embeddings), g AS (SELECT label, y, unnest(range(0, 2 * len(y) - 1)) AS step FROM e)
+SELECT label, CAST(step AS BIGINT) AS step, round(avg(CASE WHEN step % 2 = 0 THEN y[step // 2 + 1] ELSE (y[step // 2 + 1] + y[step // 2 + 2]) / 2 END), 8) AS intensity FROM g GROUP BY label, step""")
 def average_scans(spark, d):
     """The mean profile of each label's embeddings on a half-step grid."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("long").alias("label"), F.pmod("vec_id", F.lit(16)).alias("part"), F.col("embedding").cast("array<double>").alias("y"))
-
-    def kernel(key, table):
-        profiles = [(np.arange(len(y), dtype=float), np.asarray(y)) for y in table.column("y").to_pylist()]
-        x, y = spectra.average_profiles(profiles, 0.5)
-        return pa.table({"label": [key[0].as_py()] * len(x), "mz": x, "total": y * len(profiles), "n": np.full(len(x), len(profiles))})
-
-    # sums of bounded parts, then one mean for each grid point
-    parts = e.groupBy("label", "part").applyInArrow(kernel, "label long, mz double, total double, n long")
-    return parts.groupBy("label", "mz").agg((F.sum("total") / F.sum("n")).alias("intensity"))
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("y"))
+    return spectra.average_regular(e, "label", "y", 2).select("label", F.col("step").cast("long").alias("step"), F.round("intensity", 8).alias("intensity"))
 
 
 @query()
@@ -75,13 +82,24 @@ def trace_features(spark, d):
     return spectra.trace_features(p, 2e-5, ("channel",))
 
 
-@query()
-def cluster_scans(spark, d):
-    """Scans clustered by precursor mass and binned cosine."""
+def scan_vectors(spark, d):
+    """(scan_id, mass, tic, bins, values) of every spectrum."""
     s = view(spark, d, "v_peak_scan").select("scan_id", neutral_mass(F.col("precursor_mz"), F.col("charge")).alias("mass"))
     b = view(spark, d, "v_peak").groupBy("scan_id", F.floor("mz").alias("bin")).agg(F.sum("intensity").alias("i"))
     v = b.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("bin", "i"))).alias("x"), F.sum("i").alias("tic"))
-    return spectra.cluster_scans(s.join(v, "scan_id").select("scan_id", "mass", "tic", F.col("x.bin").alias("bins"), F.col("x.i").alias("values")), 2e-3)
+    return s.join(v, "scan_id").select("scan_id", "mass", "tic", F.col("x.bin").alias("bins"), F.col("x.i").alias("values"))
+
+
+@query()
+def cluster_scans(spark, d):
+    """Scans clustered by precursor mass and binned cosine."""
+    return spectra.cluster_scans(scan_vectors(spark, d), 2e-3)
+
+
+@query()
+def iterative_clustering(spark, d):
+    """Scans clustered at rising similarity, each cluster again by itself."""
+    return spectra.iterative_clusters(scan_vectors(spark, d), 2e-3, (0.1, 0.15, 0.2))
 
 
 def chromatograms(spark, d):

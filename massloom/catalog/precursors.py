@@ -116,12 +116,6 @@ def spectrum_description(spark, d):
     return view(spark, d, "v_peak").groupBy("scan_id").agg(F.round(F.min("mz"), 6).alias("lowest_mz"), F.round(F.max("mz"), 6).alias("highest_mz"), F.sum("intensity").alias("tic"), F.max("intensity").alias("base_intensity"))
 
 
-@query("""SELECT scan_id, CAST(floor(mz) AS BIGINT) AS mz_bin, CAST(charge AS BIGINT) AS mobility, sum(intensity) AS intensity FROM v_peak GROUP BY ALL""")
-def mobility_grid(spark, d):
-    """An m/z by mobility frame as sparse rows."""
-    return view(spark, d, "v_peak").groupBy("scan_id", F.floor("mz").alias("mz_bin"), F.col("charge").cast("long").alias("mobility")).agg(F.sum("intensity").alias("intensity"))
-
-
 @query("""WITH r AS (SELECT scan_id, charge, mz, intensity, row_number() OVER (PARTITION BY scan_id, charge ORDER BY mz, intensity, ord, part) - 1 AS k FROM v_peak) SELECT scan_id, CAST(k AS BIGINT) AS position, sum(intensity) AS intensity, round(sum(mz * intensity) / sum(intensity), 4) AS mz FROM r WHERE k < 5 GROUP BY scan_id, k""")
 def sum_envelopes(spark, d):
     """Envelopes added position by position, m/z weighted by signal."""

@@ -165,17 +165,6 @@ def cluster_avg_similarity(spark, d):
     return out.select("cluster", "size", F.round(F.col("total") / (F.col("size") * (F.col("size") - 1) / 2), 6).alias("similarity"))
 
 
-PLANES = [[((i * 37 + k * 11) % 17) - 8 for i in range(64)] for k in range(6)]
-
-
-@query("SELECT vec_id, " + " || ".join(f"CASE WHEN list_dot_product(embedding, {p}::FLOAT[]) >= 0 THEN '1' ELSE '0' END" for p in PLANES) + " AS bucket FROM embeddings")
-def lsh_buckets(spark, d):
-    """Sign bits of projections on fixed planes."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    dot = lambda p: F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in p]), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    return e.select("vec_id", F.concat(*[F.when(dot(p) >= 0, "1").otherwise("0") for p in PLANES]).alias("bucket"))
-
-
 @query("""WITH p AS (SELECT *, floor(mz * 10) AS bin FROM v_peak) SELECT CAST(bin AS BIGINT) AS bin, count(DISTINCT scan_id) AS n_scans, round(sum(mz * intensity) / sum(intensity) + 1e-9, 6) AS mz, round(sum(intensity), 3) AS intensity FROM p GROUP BY bin HAVING count(*) > 1""")
 def consensus_peak(spark, d):
     """Consensus centroids: weighted m/z and summed signal of peaks in one bin over scans."""

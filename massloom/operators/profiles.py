@@ -18,12 +18,19 @@ def sliding_median(y: np.ndarray) -> np.ndarray:
 
 
 def gaussian_smooth(x: np.ndarray, y: np.ndarray, width: float = 0.05) -> np.ndarray:
-    """Mean of the points within ``width``, weighted by a Gaussian of a third of it."""
-    out = np.empty(len(y))
-    lo, hi = np.searchsorted(x, x - width, "left"), np.searchsorted(x, x + width, "right")
-    for i in range(len(y)):
-        w = np.exp(-((x[lo[i] : hi[i]] - x[i]) ** 2) / (2 * (width / 3) ** 2))
-        out[i] = (w * y[lo[i] : hi[i]]).sum() / w.sum()
+    """Weighted mean of the points within ``width``: a Gaussian around the mean of their positions, of their own variance.
+
+    The window runs from the last point at or before its lower edge up to, not
+    including, the last one at or before its upper edge; a window of one point
+    leaves the value as it is.
+    """
+    edge = lambda at: np.maximum(np.searchsorted(x, at, "right") - 1, 0)
+    out = np.array(y, dtype=float)
+    for i, (lo, hi) in enumerate(zip(edge(x - width), edge(x + width), strict=True)):
+        if hi - lo > 1:
+            off = x[lo:hi] - x[lo:hi].mean()
+            w = np.exp(-(off**2) / (2 * off.var()))
+            out[i] = (w * y[lo:hi]).sum() / w.sum()
     return out
 
 

@@ -6,6 +6,7 @@ group (a scan, a chain of masses), so that no task gathers more than that.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from massloom.functions.mass import ISOTOPE_GAP, PROTON
 from massloom.operators.isotopes import AVERAGINES, pattern_table, whole_pattern
 from massloom.operators.ordered import sessionize
+from massloom.plans.store import materialize
 
 STEP, TOP, PEAKS = 50.0, 20_000.0, 8
 
@@ -146,62 +148,131 @@ def average_profiles(profiles: list[tuple[np.ndarray, np.ndarray]], dx: float, w
     return grid, np.average(stack, axis=0, weights=weights)
 
 
+def average_regular(profiles: DataFrame, key: str, values: str, parts: int) -> DataFrame:
+    """(key, step, intensity): the mean by key of profiles of unit steps, interpolated at ``parts`` points a step.
+
+    Each profile gives its own grid points; their sums combine before the
+    shuffle, so a key may have any number of profiles.
+    """
+    y, at = F.col(values), F.col("step")
+    lower, part = F.floor(at / parts).cast("int"), (at % parts) / F.lit(float(parts))
+    grid = profiles.filter(F.size(values) > 0).select(key, values, F.explode(F.sequence(F.lit(0), (F.size(values) - 1) * parts)).alias("step"))
+    value = F.get(y, lower) * (1 - part) + F.coalesce(F.get(y, lower + 1), F.lit(0.0)) * part
+    return grid.select(key, "step", value.alias("v")).groupBy(key, "step").agg(F.avg("v").alias("intensity"))
+
+
+def in_chains(rows: DataFrame, by: list[str], order: list, breaks, then: list) -> DataFrame:
+    """The rows numbered by chain in the order given, each chain whole in one partition and sorted by ``then``.
+
+    Chains never reach over a change of the ``by`` columns. They are found in
+    ranges of the whole order, so no task holds more than its range, however
+    few values ``by`` has.
+    """
+    changed = F.lit(False)
+    for c in by:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_prev.{c}"))
+    chained = sessionize(rows, [], [*by, *order], changed | F.coalesce(breaks, F.lit(False)), "chain")
+    return chained.repartition("chain").sortWithinPartitions("chain", *then)
+
+
 def trace_features(points: DataFrame, tolerance: float = 1e-5, by: tuple[str, ...] = ()) -> DataFrame:
     """Assign peaks (id, mz, time, intensity) to features in time order: the nearest running mean within tolerance, else a new one.
 
     Runs of masses without a gap above twice the tolerance are independent and
-    are traced each for itself.
+    are traced each for itself, many in one stream: (by, chain, id, feature).
     """
-    chains = sessionize(points, list(by), [F.col("mz"), F.col("id")], (F.col("mz") - F.col("_prev.mz")) / F.col("mz") > 2 * tolerance, "chain")
-
-    def kernel(key, table):
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("time", "mz", "id", "intensity")), strict=True))
-        mean, total, ids, feature = [], [], [], []
-        for _, mz, i, y in rows:
-            best = min(((abs(m - mz), k) for k, m in enumerate(mean) if abs(m - mz) <= mz * tolerance), default=None)
-            if best is None:
-                mean.append(mz)
-                total.append(y)
-                k = len(mean) - 1
-            else:
-                k = best[1]
-                total[k] += y
-                mean[k] += (mz - mean[k]) * y / total[k] if total[k] else 0
-            ids.append(i)
-            feature.append(k)
-        keys = [pa.array([v.as_py()] * len(ids)) for v in key]
-        return pa.table([*keys, pa.array(ids, pa.int64()), pa.array(feature, pa.int32())], names=[*by, "chain", "id", "feature"])
+    rows = points.select(*by, "id", "mz", "time", "intensity")
+    gap = (F.col("mz") - F.col("_prev.mz")) / F.col("mz") > 2 * tolerance
+    chains = in_chains(rows, list(by), ["mz", "id"], gap, ["time", "mz", "id"]).select(*by, "chain", "id", "mz", "intensity")
+    k = len(by)
+
+    def kernel(batches):
+        chain, means, owner, total, center = None, [], [], [], []
+        for b in batches:
+            feature = []
+            for c, mz, y in zip(*(b.column(i).to_pylist() for i in (k, k + 2, k + 3)), strict=True):
+                if c != chain:
+                    chain, means, owner, total, center = c, [], [], [], []
+                reach, best = mz * tolerance, None
+                i = bisect_left(means, mz - reach)
+                while i < len(means) and means[i] <= mz + reach:
+                    if best is None or (abs(means[i] - mz), owner[i]) < best[:2]:
+                        best = (abs(means[i] - mz), owner[i], i)
+                    i += 1
+                if best is None or best[0] > reach:
+                    f, at = len(total), mz
+                    total.append(y)
+                    center.append(mz)
+                else:
+                    _, f, i = best
+                    total[f] += y
+                    at = center[f] = center[f] + ((mz - center[f]) * y / total[f] if total[f] else 0)
+                    del means[i], owner[i]
+                i = bisect_left(means, at)
+                means.insert(i, at)
+                owner.insert(i, f)
+                feature.append(f)
+            yield pa.record_batch([*b.columns[: k + 2], pa.array(feature, pa.int32())], [*by, "chain", "id", "feature"])
 
     kinds = dict(points.dtypes)
-    return chains.groupBy(*by, "chain").applyInArrow(kernel, ", ".join([*(f"{c} {kinds[c]}" for c in by), "chain long, id long, feature int"]))
+    return chains.mapInArrow(kernel, ", ".join([*(f"{c} {kinds[c]}" for c in by), "chain long, id long, feature int"]))
 
 
-def cluster_scans(scans: DataFrame, tolerance: float = 1e-5, similarity: float = 0.1) -> DataFrame:
+def cluster_scans(scans: DataFrame, tolerance: float = 1e-5, similarity: float = 0.1, by: tuple[str, ...] = ()) -> DataFrame:
     """Greedy clusters of scans (scan_id, mass, tic, bins, values): in order of falling signal a scan joins the cluster whose first member is most similar.
 
-    Only scans of one chain of precursor masses can meet, so each chain is one
-    group.
+    Only scans of one chain of precursor masses, and of equal ``by`` columns,
+    can meet; within a chain a scan is held against the clusters within
+    tolerance of its mass alone. Returns (by, chain, scan_id, cluster, similarity).
     """
-    chains = sessionize(scans, [], [F.desc("mass"), F.col("scan_id")], (F.col("_prev.mass") - F.col("mass")) / F.col("mass") > tolerance, "chain")
-
-    def kernel(key, table):
-        rows = sorted(table.to_pylist(), key=lambda r: (-r["tic"], r["scan_id"]))
-        heads: list[tuple[float, dict, float]] = []
-        out = []
-        for r in rows:
-            v = dict(zip(r["bins"], r["values"], strict=True))
-            norm = sum(x * x for x in v.values()) ** 0.5
-            best = None
-            for k, (mass, head, size) in enumerate(heads):
-                if abs(r["mass"] - mass) <= mass * tolerance and norm and size:
-                    s = sum(x * head.get(b, 0.0) for b, x in v.items()) / (norm * size)
-                    if s > similarity and (best is None or s > best[0]):
-                        best = (s, k)
-            if best is None:
-                heads.append((r["mass"], v, norm))
-                best = (1.0, len(heads) - 1)
-            out.append((key[0].as_py(), r["scan_id"], best[1], best[0]))
-        cols = list(zip(*out, strict=True))
-        return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.float64()), strict=True)], names=["chain", "scan_id", "cluster", "similarity"])
-
-    return chains.groupBy("chain").applyInArrow(kernel, "chain long, scan_id long, cluster int, similarity double")
+    rows = scans.select(*by, "scan_id", "mass", "tic", "bins", "values")
+    gap = (F.col("_prev.mass") - F.col("mass")) / F.col("mass") > tolerance
+    chains = in_chains(rows, list(by), [F.desc("mass"), "scan_id"], gap, [F.desc("tic"), "scan_id"]).select(*by, "chain", "scan_id", "mass", "bins", "values")
+    k = len(by)
+
+    def kernel(batches):
+        chain, masses, heads, made = None, [], [], 0
+        for b in batches:
+            clusters, scores = [], []
+            for c, mass, bins, values in zip(*(b.column(i).to_pylist() for i in (k, k + 2, k + 3, k + 4)), strict=True):
+                if c != chain:
+                    chain, masses, heads, made = c, [], [], 0
+                v = dict(zip(bins, values, strict=True))
+                norm = sum(x * x for x in v.values()) ** 0.5
+                best = None
+                i = bisect_left(masses, mass * (1 - 2 * tolerance))
+                while i < len(masses) and masses[i] <= mass * (1 + 2 * tolerance):
+                    number, head, size = heads[i]
+                    if abs(mass - masses[i]) <= masses[i] * tolerance and norm and size:
+                        s = sum(x * head.get(x_bin, 0.0) for x_bin, x in v.items()) / (norm * size)
+                        if s > similarity and (best is None or (-s, number) < best):
+                            best = (-s, number)
+                    i += 1
+                if best is None:
+                    i = bisect_left(masses, mass)
+                    masses.insert(i, mass)
+                    heads.insert(i, (made, v, norm))
+                    best = (-1.0, made)
+                    made += 1
+                clusters.append(best[1])
+                scores.append(-best[0])
+            yield pa.record_batch([*b.columns[: k + 2], pa.array(clusters, pa.int32()), pa.array(scores, pa.float64())], [*by, "chain", "scan_id", "cluster", "similarity"])
+
+    kinds = dict(scans.dtypes)
+    return chains.mapInArrow(kernel, ", ".join([*(f"{c} {kinds[c]}" for c in by), "chain long, scan_id long, cluster int, similarity double"]))
+
+
+def iterative_clusters(scans: DataFrame, tolerance: float = 1e-5, similarities: tuple[float, ...] = (0.1, 0.4, 0.7)) -> DataFrame:
+    """(scan_id, cluster): clusters made at the first similarity are clustered again at each higher one; singles are done.
+
+    ``cluster`` is the smallest scan_id of the members.
+    """
+    name = F.lit(0).cast("long")
+    rows = scans.withColumn("group", name)
+    for s in similarities:
+        found = cluster_scans(rows, tolerance, s, ("group",)).groupBy("group", "chain", "cluster")
+        members = cluster_scans(rows, tolerance, s, ("group",))
+        first = found.agg(F.min("scan_id").alias("first"))
+        named = members.join(first, ["group", "chain", "cluster"]).select("scan_id", F.col("first").alias("group"))
+        rows = materialize(scans.join(named, "scan_id"), "clusters")
+    return rows.select("scan_id", F.col("group").alias("cluster"))

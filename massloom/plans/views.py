@@ -22,6 +22,7 @@ VIEWS = {
         "o_orderkey AS scan_id, o_orderkey * CAST(0.01 AS DOUBLE) AS scan_time, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS ms_level, o_totalprice / CAST(250 AS DOUBLE) AS precursor_mz, o_totalprice AS tic, CAST(1 + o_custkey % 4 AS INT) AS charge, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE -1 END AS polarity, o_orderpriority AS instrument",
     ),
     "v_signal": ("events", "event_id, event_type AS channel, user_id AS run, CAST(ts AS TIMESTAMP) AS ts, value + 100 AS mz, value AS intensity"),
+    "v_ion": ("lineitem", "l_suppkey AS frame_id, l_discount * 10 AS drift, 100 + l_extendedprice / CAST(50 AS DOUBLE) AS mz, l_quantity * 100 AS intensity"),
     "v_target": ("part", "p_partkey AS target_id, p_brand AS name, p_retailprice AS target_mass, p_size AS size"),
 }
 
