@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from massloom.plans.store import discard, materialize
 
 
+#: A vertex is a hub from this many edges on, and from one in so many of all edges: there are few hubs, however large the graph.
+HUB, HUB_SHARE = 1000, 1 << 16
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` with what ``table`` holds for their key, each key once; rows of ``hot`` keys meet it by broadcast, so that they need not gather in one task."""
+    if hot is None:
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    few = F.broadcast(table.join(hot, key))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(table, key))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Smallest reachable id for every id that an edge touches: ``(id, component)``.
 
@@ -24,20 +37,27 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna()
     both = materialize(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
     label = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")), "cc-label")
+    limit = max(HUB, both.count() // HUB_SHARE)
+    hubs = materialize(both.groupBy("b").agg(F.count("*").alias("c")).filter(F.col("c") > limit).select("b"), "cc-hubs")
+    hot = None if hubs.isEmpty() else hubs
     for _ in range(max_rounds):
-        seen = both.join(label.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        seen = lookup(both, label.select(F.col("a").alias("b"), "l"), "b", hot).groupBy("a").agg(F.min("l").alias("m"))
         hooked = label.join(seen, "a").select("a", F.least("l", "m").alias("n"), "l")
+        common = None
+        if hot is not None:  # labels that many vertices have by now, and the hubs
+            hooked = materialize(hooked, "cc-hooked")
+            common = hooked.groupBy("n").agg(F.count("*").alias("c")).filter(F.col("c") > limit).select("n")
         up = hooked.select(F.col("a").alias("n"), F.col("n").alias("r"))
-        jumped = hooked.join(up, "n", "left").select("a", F.coalesce(F.least("r", "n"), "n").alias("n"), "l")
+        jumped = lookup(hooked, up, "n", common).select("a", F.least("r", "n").alias("n"), "l")
         # a label that fell tells its old root too, else two trees meet one step a round
         roots = jumped.groupBy(F.col("l").alias("a")).agg(F.min("n").alias("t"))
         nxt = materialize(jumped.join(roots, "a", "left").select("a", F.least("n", F.coalesce("t", "n")).alias("l"), F.col("l").alias("was")), "cc-label")
         moved = nxt.filter("l <> was").limit(1).count()
-        discard(label)
+        discard(label, *([] if common is None else [hooked]))
         label = nxt.select("a", "l")
         if not moved:
             break
     else:
         raise RuntimeError(f"labels still move after {max_rounds} rounds")
-    discard(both)
+    discard(both, hubs)
     return label.select(F.col("a").alias("id"), F.col("l").alias("component"))
