@@ -15,23 +15,26 @@ from massloom.plans.views import view
 
 CHARGES, TOLERANCE = [1, 2, 3], 4e-5
 
-FITS = f"""pk AS MATERIALIZED (SELECT scan_id, mz, intensity, snr, row_number() OVER (PARTITION BY scan_id ORDER BY mz, intensity, ord, part) AS n FROM v_peak),
-want AS (SELECT scan_id, n AS mono, mz AS mono_mz, z AS charge, k, mz + k * {ISOTOPE_GAP} / z AS want FROM pk, (SELECT unnest({CHARGES}) AS z), (SELECT unnest(range(0, 4)) AS k)),
+PEAKS = "pk AS MATERIALIZED (SELECT scan_id, mz, intensity, snr, row_number() OVER (PARTITION BY scan_id ORDER BY mz, intensity, ord, part) AS n FROM v_peak)"
+SOLVED = f"""want AS (SELECT scan_id, n AS mono, mz AS mono_mz, z AS charge, k, mz + k * {ISOTOPE_GAP} / z AS want FROM pk, (SELECT unnest({CHARGES}) AS z), (SELECT unnest(range(0, 4)) AS k)),
 hit AS (SELECT w.*, p.n, p.mz, p.intensity, p.snr, row_number() OVER (PARTITION BY w.scan_id, mono, charge, k ORDER BY abs(p.mz - want), p.n) AS r FROM want w JOIN pk p ON p.scan_id = w.scan_id AND abs(p.mz - want) <= want * {TOLERANCE}),
 obs AS (SELECT *, sum(intensity) OVER (PARTITION BY scan_id, mono, charge) AS total, count(*) OVER (PARTITION BY scan_id, mono, charge) AS found, (mono_mz * charge - charge * {PROTON}) / 1800.0 AS l FROM hit WHERE r = 1),
 th AS (SELECT *, abs(mz - want) AS err, pow(l, k) / CASE k WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END / (1 + l + pow(l, 2) / 2 + pow(l, 3) / 6) * total AS theory FROM obs WHERE found > 1),
 sc AS (SELECT *, CASE WHEN snr < 1 THEN 0 ELSE sqrt(theory) * CASE WHEN err <= 0.02 THEN 1 - err / 0.02 ELSE 0 END * greatest(CASE WHEN intensity < theory THEN 1 - (theory - intensity) / intensity ELSE sqrt(greatest(1 - (intensity - theory) / intensity, 0)) END, 0) END AS term FROM th),
 fit AS MATERIALIZED (SELECT * FROM (SELECT scan_id, (scan_id * {D.PEAK_SLOTS} + mono) * {D.CHARGE_SLOTS} + charge AS fit, charge, mono, mono_mz, list_sort(list_distinct(list(n))) AS peaks, min(mz) AS lo, max(mz) AS hi, sum(intensity) AS signal, max(found) AS n_peaks, round(sum(term) + 1e-9, 6) AS score FROM sc GROUP BY scan_id, mono, mono_mz, charge) WHERE score > 0),
 link AS MATERIALIZED (SELECT scan_id, unnest(peaks) AS peak, fit, charge, score FROM fit)"""
+FITS = f"{PEAKS}, {SOLVED}"
 WITH = f"WITH {FITS}"
-CLUSTERS = f"""WITH RECURSIVE {FITS},
+CLUSTERED = f"""{SOLVED},
 star AS MATERIALIZED (SELECT DISTINCT fit, min(fit) OVER (PARTITION BY scan_id, peak) AS first FROM link),
 edge AS MATERIALIZED (SELECT fit AS a, first AS b FROM star WHERE fit <> first UNION SELECT first, fit FROM star WHERE fit <> first),
 reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
 cl AS MATERIALIZED (SELECT f.*, coalesce(least(f.fit, m.low), f.fit) AS cluster FROM fit f LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) m ON m.a = f.fit)"""
-GREEDY = f"""{CLUSTERS},
+CLUSTERS = f"WITH RECURSIVE {PEAKS}, {CLUSTERED}"
+CHOSEN = f"""{CLUSTERED},
 seq AS (SELECT cluster, list({{'used': peaks, 'taken': [fit]}} ORDER BY score DESC, fit) AS l FROM cl GROUP BY cluster),
 taken AS MATERIALIZED (SELECT cluster, unnest(list_reduce(l, lambda acc, x: CASE WHEN list_has_any(acc.used, x.used) THEN acc ELSE {{'used': list_concat(acc.used, x.used), 'taken': list_concat(acc.taken, x.taken)}} END).taken) AS fit FROM seq)"""
+GREEDY = f"WITH RECURSIVE {PEAKS}, {CHOSEN}"
 
 
 def fits(spark, d) -> DataFrame:
@@ -230,3 +233,21 @@ def targeted_deconvolution(spark, d):
     near = best_match(t, ["scan_id"], F.abs(F.col("mz") - F.col("precursor_mz")), F.col("n")).select("scan_id", F.col("n").alias("peak"))
     hits = D.links(f).join(near, ["scan_id", "peak"]).groupBy("scan_id").agg(F.max_by(F.struct("fit", "charge", "score"), F.struct("score", -F.col("fit"))).alias("b"))
     return hits.select("scan_id", "b.fit", "b.charge", "b.score")
+
+
+#: Features of a channel and day as the peaks of one list.
+FEATURES = """fe AS (SELECT (date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) * 16 + list_position(['click', 'error', 'purchase', 'signup', 'view'], channel)) AS scan_id, round(mz, 2) AS mz, sum(intensity) * 100 AS intensity, count(*) AS snr FROM v_signal GROUP BY ALL),
+pk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY mz, intensity) AS n FROM fe)"""
+
+
+@query(f"WITH RECURSIVE {FEATURES}, {CHOSEN} SELECT f.scan_id AS list_id, round(mono_mz * charge - charge * {PROTON}, 4) AS neutral_mass, charge, n_peaks, score FROM taken t JOIN fit f ON f.fit = t.fit")
+def deconvolute_features(spark, d):
+    """Isotopic series among the features of each channel and day: fits over features, clusters of them and a disjoint choice."""
+    v = view(spark, d, "v_signal")
+    kinds = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
+    number = F.datediff(F.to_date("ts"), F.lit("2020-01-01")).cast("long") * 16 + F.array_position(kinds, F.col("channel"))
+    features = v.groupBy(number.alias("scan_id"), F.round("mz", 2).alias("mz")).agg((F.sum("intensity") * 100).alias("intensity"), F.count("*").alias("snr"))
+    f = D.isotopic_fits(D.numbered_peaks(features), CHARGES, TOLERANCE)
+    c = D.clusters(f)
+    out = c.join(D.greedy_disjoint(c).select("fit"), "fit")
+    return out.select(F.col("scan_id").alias("list_id"), F.round(neutral_mass(F.col("mono_mz"), F.col("charge")), 4).alias("neutral_mass"), "charge", "n_peaks", "score")

@@ -22,7 +22,7 @@ def deconvolute_graph(spark, d):
 @query()
 def isotopic_cluster(spark, d):
     """Averagine patterns at each target's m/z and charge."""
-    t = view(spark, d, "v_target").select("target_id", "target_mass", F.explode(F.expr("sequence(1, 3)")).alias("charge"))
+    t = view(spark, d, "v_target").select("target_id", "target_mass", F.explode(F.expr("sequence(1, 3)")).alias("charge")).repartition("target_id", "charge")
 
     def kernel(batches):
         unit = isotopes.AVERAGINES["peptide"]
@@ -137,21 +137,3 @@ def deconvolute_compositions(spark, d):
     """Envelopes of a few sugar compositions in every scan."""
     known = [(f"hex{h}hexnac{n}", {"C": 6 * h + 8 * n, "H": 10 * h + 13 * n + 2, "N": n, "O": 5 * h + 5 * n + 1}) for h in range(1, 5) for n in range(1, 3)]
     return compositions.deconvolute_compositions(view(spark, d, "v_peak"), known, charges=range(1, 4), tolerance=1e-4)
-
-
-@query()
-def deconvolute_features(spark, d):
-    """Isotopic series among each channel's features of a day."""
-    f = view(spark, d, "v_signal").groupBy("channel", F.unix_date(F.to_date("ts")).alias("day"), F.round("mz", 2).alias("mz")).agg(F.min(F.unix_seconds("ts")).cast("double").alias("start"), F.max(F.unix_seconds("ts")).cast("double").alias("end"), F.sum("intensity").alias("intensity"))
-    table = spectra.patterns("peptide")[:, :4]
-    shares = table / table.sum(axis=1, keepdims=True)
-
-    def kernel(key, rows):
-        args = [rows.column(c).to_numpy().astype(float) for c in ("mz", "start", "end", "intensity")]
-        args[1], args[2] = np.floor(args[1] / 86400), np.floor(args[2] / 86400)
-        found = compositions.deconvolute_features(*args, lambda m: shares[min(max(int(round(m / spectra.STEP)) - 1, 0), len(shares) - 1)], range(1, 4), 1e-4, 1.0, 2)
-        cols = list(zip(*[f[:6] for f in found], strict=True)) or [[]] * 6
-        kinds = (pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
-        return pa.table([pa.array([key[0].as_py()] * len(found), pa.string()), pa.array([key[1].as_py()] * len(found), pa.int32()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["channel", "day", "neutral_mass", "charge", "start", "end", "intensity", "score"])
-
-    return f.groupBy("channel", "day").applyInArrow(kernel, "channel string, day int, neutral_mass double, charge int, start double, end double, intensity double, score double")

@@ -126,30 +126,56 @@ def deconvolute_features(mz, start, end, intensity, pattern, charges: Iterable[i
     return out
 
 
-def best_disjoint(fits: list[tuple[float, frozenset]], limit: int = 25) -> list[int]:
-    """Indices of the disjoint fits of the greatest total score: exact by branch and bound up to ``limit`` fits, greedy beyond."""
-    order = sorted(range(len(fits)), key=lambda i: (-fits[i][0], i))
-    if len(fits) > limit:
-        taken: set = set()
-        out = []
-        for i in order:
-            if taken.isdisjoint(fits[i][1]):
-                taken |= fits[i][1]
-                out.append(i)
-        return sorted(out)
-    rest = np.concatenate([np.cumsum([fits[i][0] for i in order][::-1])[::-1], [0.0]]) if fits else np.zeros(1)
-    best: tuple[float, list[int]] = (-1.0, [])
-
-    def grow(k: int, score: float, used: frozenset, chosen: list[int]) -> None:
-        nonlocal best
-        if score > best[0]:
-            best = (score, list(chosen))
-        if k == len(order) or score + rest[k] <= best[0]:
-            return
-        s, own = fits[order[k]]
-        if used.isdisjoint(own):
-            grow(k + 1, score + s, used | own, [*chosen, order[k]])
-        grow(k + 1, score, used, chosen)
-
-    grow(0, 0.0, frozenset(), [])
-    return sorted(best[1])
+def greedy_disjoint(fits: list[tuple[float, frozenset]]) -> list[int]:
+    """Indices of the fits taken by falling score, none sharing a member with one before."""
+    taken: set = set()
+    out = []
+    for i in sorted(range(len(fits)), key=lambda i: (-fits[i][0], i)):
+        if taken.isdisjoint(fits[i][1]):
+            taken |= fits[i][1]
+            out.append(i)
+    return sorted(out)
+
+
+def overlapping_groups(fits: list[tuple[float, frozenset]]) -> list[list[int]]:
+    """The fits in groups that share no member with one another."""
+    group, root = list(range(len(fits))), {}
+
+    def find(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    for i, (_, members) in enumerate(fits):
+        for m in members:
+            group[find(i)] = find(root.setdefault(m, i))
+    out: dict[int, list[int]] = {}
+    for i in range(len(fits)):
+        out.setdefault(find(i), []).append(i)
+    return list(out.values())
+
+
+def best_disjoint(fits: list[tuple[float, frozenset]]) -> list[int]:
+    """Indices of the disjoint fits of the greatest total score: exact, by branch and bound in each overlapping group.
+
+    The cost may double with each fit of a group; :func:`greedy_disjoint` is
+    the one for large groups.
+    """
+    chosen: list[int] = []
+    for members in overlapping_groups(fits):
+        order = sorted(members, key=lambda i: (-fits[i][0], i))
+        rest = np.concatenate([np.cumsum([fits[i][0] for i in order][::-1])[::-1], [0.0]])
+        best: tuple[float, list[int]] = (-1.0, [])
+        open_sets: list[tuple[int, float, frozenset, list[int]]] = [(0, 0.0, frozenset(), [])]
+        while open_sets:
+            k, score, used, own = open_sets.pop()
+            if score > best[0]:
+                best = (score, own)
+            if k == len(order) or score + rest[k] <= best[0]:
+                continue
+            s, peaks = fits[order[k]]
+            open_sets.append((k + 1, score, used, own))
+            if used.isdisjoint(peaks):
+                open_sets.append((k + 1, score + s, used | peaks, [*own, order[k]]))
+        chosen += best[1]
+    return sorted(chosen)
