@@ -1,5 +1,6 @@
 """The corpus queries and their SQL, for the driver's registry."""
 
+from massloom.llm import base_checks
 from massloom.llm import op01_sharding as op1
 from massloom.llm import op02_quality as op2
 from massloom.llm import op03_neardup as op3
@@ -22,10 +23,12 @@ QUERIES = {
     "op8_substrings": op8.op8_substrings,
     "op9_decontaminate": op9.op9_decontaminate,
     "op10_secrets": op10.op10_secrets,
+    **base_checks.QUERIES,
 }
 ORACLE_SQL = {
     "op3_neardup": op3.ORACLE_SQL,
     "op6_urls": op6.ORACLE_SQL,
     "op8_substrings": op8.ORACLE_SQL,
     "op9_decontaminate": op9.ORACLE_SQL,
+    **base_checks.ORACLE_SQL,
 }
