@@ -37,7 +37,7 @@ BEFORE, VIEW, AFTER = 24, 56, 16
 WIDTH, DIMS, FILTERS = 5, 8, 24
 RECALL = 0.95
 #: Documents whose candidates and contexts join the training set, and views of each label taken from them, at most.
-SAMPLE_DOCS, SAMPLE_VIEWS = 400, 2_000
+SAMPLE_DOCS, SAMPLE_VIEWS = 400, 3_000
 GENERATED, EPOCHS, SEED = 6_000, 12, 17
 
 
@@ -189,6 +189,7 @@ def generated_findings(n: int, rng: np.random.Generator) -> list[tuple[bytes, in
     decoy = [
         lambda: (word() + word() + word() + word() + word())[:40], lambda: "_".join(word() for _ in range(4)), lambda: "-".join(word() for _ in range(4)), lambda: (word() + word() + word() + word()).upper() + "TIONER", lambda: draw(dig, 12, 19), lambda: "/" + "/".join(word() for _ in range(4)) + "/" + draw(dig, 1, 4),
         lambda: f"20{draw(dig, 2, 2)}-{draw(dig, 2, 2)}-{draw(dig, 2, 2)}-{word()}{word()}", lambda: "=" * int(rng.integers(12, 50)), lambda: "-" * int(rng.integers(12, 50)), lambda: "".join(cap() for _ in range(5)), lambda: (word() + word())[:10].capitalize() + draw(dig, 1, 2) + "-" + word() + word(),
+        lambda: (word() + word() + word() + word() + word()).upper()[:40], lambda: (word() + word() + word() + word()).capitalize(), lambda: cap() + "-" + (word() + word() + word()).upper(),
         # look-alikes: identifiers, numbers with separators, names with versions, dates with times
         lambda: "-".join(draw(dig + "abcdef", k, k) for k in (8, 4, 4, 4, 12)), lambda: "-".join(draw(dig, 4, 4) for _ in range(4)), lambda: f"{word()[:3].upper()}-20{draw(dig, 2, 2)}-{draw(dig, 5, 8)}", lambda: word() + cap() + draw(dig, 1, 1) + cap() + cap(), lambda: f"{word()}_{word()}_{draw(dig, 3, 8)}",
         lambda: f"/{word()}/{word()}{draw(dig, 1, 2)}/{word()}-{word()}/{word()}", lambda: f"20{draw(dig, 2, 2)}{draw(dig, 4, 4)}T{draw(dig, 6, 6)}Z", lambda: f"{word()}{word()}{draw(dig, 1, 4)}x{draw(dig, 1, 4)}", lambda: f"+{draw(dig, 2, 2)}-{draw(dig, 3, 3)}-{draw(dig, 6, 8)}", lambda: f"{cap()}{cap()}-{draw(dig, 1, 3)}-{word()}-{draw(dig, 2, 4)}",
@@ -286,8 +287,12 @@ def train(docs: DataFrame, seed: int = SEED) -> CharNet:
         before, after, out = around[int(rng.integers(len(around)))]
         text, a, b, label = lines[k]
         lines[k], held[k] = (bytes(before) + text[a:b] + bytes(after), len(before), len(before) + b - a, label), out
-    lines += [(bytes(r.before) + bytes(r.middle) + bytes(r.after), len(r.before), len(r.before) + len(r.middle), r.label) for r in cut if r.label < 2]
-    held += [r.part == 0 for r in cut if r.label < 2]
+    for r in cut:
+        forms = [bytes] if r.label == 1 else [bytes, lambda x: bytes(x).upper()] if r.label == 0 else []  # words in capitals are words
+        for form in forms:
+            before, middle, after = form(r.before), form(r.middle), form(r.after)
+            lines.append((before + middle + after, len(before), len(before) + len(middle), r.label))
+            held.append(r.part == 0)
     codes, y, apart = [], [], []
     one = lambda v: np.array([v])
     for (text, a, b, label), out in zip(lines, held, strict=True):
