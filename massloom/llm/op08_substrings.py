@@ -120,25 +120,25 @@ def windows_of(packed: bytes, window: int) -> list[bytes]:
 
 
 def later_ranges(group: list[tuple], window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(doc_id, h, from word, to word) for the windows of a bucket that also start earlier."""
-    earliest: dict[bytes, tuple] = {}
-    cut = [(d, h, s, windows_of(p, window)) for d, h, s, p in group]
-    for d, h, s, ws in cut:
-        for i, w in enumerate(ws):
-            old = earliest.get(w)
-            if old is None or (d, h, s + i) < old:
-                earliest[w] = (d, h, s + i)
-    for d, h, s, ws in cut:
-        lo = None
-        for i, w in enumerate(ws):
-            if earliest[w] != (d, h, s + i):
-                lo = s + i if lo is None else lo
-                hi = s + i + window
-            elif lo is not None:
-                yield d, h, lo, hi
-                lo = None
-        if lo is not None:
-            yield d, h, lo, hi
+    """(doc_id, h, from word, to word) for the windows of a bucket that also start earlier.
+
+    The windows are sorted by their words, then by place: of each run of equal
+    ones the first is the earliest, all others are later.
+    """
+    windows = sorted((w, d, h, s + i) for d, h, s, p in group for i, w in enumerate(windows_of(p, window)))
+    found, words, first = set(), None, None
+    for w, *place in windows:
+        if w != words:
+            words, first = w, place
+        elif place != first:  # a repeated row is the same place
+            found.add(tuple(place))
+    later, k = sorted(found), 0
+    while k < len(later):
+        d, h, lo = later[k]
+        hi = lo
+        while k < len(later) and later[k] == (d, h, hi):
+            k, hi = k + 1, hi + 1
+        yield d, h, lo, hi - 1 + window
 
 
 def repeated_ranges(packed: DataFrame, window: int) -> DataFrame:
