@@ -16,13 +16,14 @@ from massloom.plans.views import view
 CHARGES, TOLERANCE = [1, 2, 3], 4e-5
 
 PEAKS = "pk AS MATERIALIZED (SELECT scan_id, mz, intensity, snr, row_number() OVER (PARTITION BY scan_id ORDER BY mz, intensity, ord, part) AS n FROM v_peak)"
-SOLVED = f"""want AS (SELECT scan_id, n AS mono, mz AS mono_mz, z AS charge, k, mz + k * {ISOTOPE_GAP} / z AS want FROM pk, (SELECT unnest({CHARGES}) AS z), (SELECT unnest(range(0, 4)) AS k)),
+FITTED = f"""want AS (SELECT scan_id, n AS mono, mz AS mono_mz, z AS charge, k, mz + k * {ISOTOPE_GAP} / z AS want FROM pk, (SELECT unnest({CHARGES}) AS z), (SELECT unnest(range(0, 4)) AS k)),
 hit AS (SELECT w.*, p.n, p.mz, p.intensity, p.snr, row_number() OVER (PARTITION BY w.scan_id, mono, charge, k ORDER BY abs(p.mz - want), p.n) AS r FROM want w JOIN pk p ON p.scan_id = w.scan_id AND abs(p.mz - want) <= want * {TOLERANCE}),
 obs AS (SELECT *, sum(intensity) OVER (PARTITION BY scan_id, mono, charge) AS total, count(*) OVER (PARTITION BY scan_id, mono, charge) AS found, (mono_mz * charge - charge * {PROTON}) / 1800.0 AS l FROM hit WHERE r = 1),
 th AS (SELECT *, abs(mz - want) AS err, pow(l, k) / CASE k WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END / (1 + l + pow(l, 2) / 2 + pow(l, 3) / 6) * total AS theory FROM obs WHERE found > 1),
 sc AS (SELECT *, CASE WHEN snr < 1 THEN 0 ELSE sqrt(theory) * CASE WHEN err <= 0.02 THEN 1 - err / 0.02 ELSE 0 END * greatest(CASE WHEN intensity < theory THEN 1 - (theory - intensity) / intensity ELSE sqrt(greatest(1 - (intensity - theory) / intensity, 0)) END, 0) END AS term FROM th),
-fit AS MATERIALIZED (SELECT * FROM (SELECT scan_id, (scan_id * {D.PEAK_SLOTS} + mono) * {D.CHARGE_SLOTS} + charge AS fit, charge, mono, mono_mz, list_sort(list_distinct(list(n))) AS peaks, min(mz) AS lo, max(mz) AS hi, sum(intensity) AS signal, max(found) AS n_peaks, round(sum(term) + 1e-9, 6) AS score FROM sc GROUP BY scan_id, mono, mono_mz, charge) WHERE score > 0),
-link AS MATERIALIZED (SELECT scan_id, unnest(peaks) AS peak, fit, charge, score FROM fit)"""
+fit AS MATERIALIZED (SELECT * FROM (SELECT scan_id, (scan_id * {D.PEAK_SLOTS} + mono) * {D.CHARGE_SLOTS} + charge AS fit, charge, mono, mono_mz, list_sort(list_distinct(list(n))) AS peaks, min(mz) AS lo, max(mz) AS hi, sum(intensity) AS signal, max(found) AS n_peaks, round(sum(term) + 1e-9, 6) AS score FROM sc GROUP BY scan_id, mono, mono_mz, charge) WHERE score > 0)"""
+LINKS = "link AS MATERIALIZED (SELECT scan_id, unnest(peaks) AS peak, fit, charge, score FROM fit)"
+SOLVED = f"{FITTED},\n{LINKS}"
 FITS = f"{PEAKS}, {SOLVED}"
 WITH = f"WITH {FITS}"
 CLUSTERED = f"""{SOLVED},
@@ -251,3 +252,28 @@ def deconvolute_features(spark, d):
     c = D.clusters(f)
     out = c.join(D.greedy_disjoint(c).select("fit"), "fit")
     return out.select(F.col("scan_id").alias("list_id"), F.round(neutral_mass(F.col("mono_mz"), F.col("charge")), 4).alias("neutral_mass"), "charge", "n_peaks", "score")
+
+
+#: Masses for each expected heavy isotope: an averagine rich in carbon and one rich in oxygen.
+AVERAGES = {"peptide": 1800.0, "glycan": 2300.0}
+
+
+def averaged(daltons, name):
+    """The SQL of the fits with another averagine, under names of their own."""
+    import re
+
+    sql = re.sub(r"\b(want|hit|obs|th|sc|fit)\b(?= AS (MATERIALIZED )?\()", rf"{name}_\1", FITTED.replace("/ 1800.0", f"/ {daltons}"))
+    return re.sub(r"\b(FROM|JOIN) (want|hit|obs|th|sc)\b", rf"\1 {name}_\2", sql)
+
+
+@query(f"""WITH {PEAKS}, {averaged(1800.0, "p")}, {averaged(2300.0, "g")}, b AS (SELECT scan_id, fit, charge, 'peptide' AS averagine, score FROM p_fit UNION ALL SELECT scan_id, fit, charge, 'glycan', score FROM g_fit),
+r AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, averagine) AS r FROM b) SELECT scan_id, fit, charge, averagine, score FROM r WHERE r = 1""")
+def multi_averagine_fits(spark, d):
+    """Every fit with the averagine that suits it best, of several."""
+    p = D.numbered_peaks(view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr", "ord", "part"), "ord", "part")
+    every = None
+    for name, daltons in AVERAGES.items():
+        f = D.isotopic_fits(p, CHARGES, TOLERANCE, daltons).select("scan_id", "fit", "charge", F.lit(name).alias("averagine"), "score")
+        every = f if every is None else every.unionByName(f)
+    r = F.row_number().over(W.partitionBy("fit").orderBy(F.desc("score"), "averagine"))
+    return every.withColumn("r", r).filter("r = 1").drop("r")

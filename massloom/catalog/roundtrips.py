@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from massloom.catalog import query
 from massloom.catalog.similarity import GROUPS, mass_groups
-from massloom.functions.mass import PROTON
+from massloom.functions.mass import PROTON, neutral_mass
 from massloom.plans.store import shared_dir
 from massloom.plans.views import view
-from massloom.sources.files import read_scans, write_scans
+from massloom.sources.files import read_scans, scan_from_csv, write_scans
 from massloom.sources.processed import pack_deconvoluted, unpack_deconvoluted
 from massloom.sources.xml import locate_precursors
 
@@ -141,3 +141,63 @@ def index_roundtrip(spark, d):
     index.write.json(path)
     back = spark.read.schema(index.schema).json(path)
     return back.select(F.col("survey").alias("scan_id"), F.size("product_scan_ids").cast("long").alias("n_products"), F.get("product_scan_ids", F.lit(0)).alias("first"))
+
+
+@query("SELECT scan_id, ms_level, round(scan_time, 4) AS scan_time, charge FROM v_scan")
+def delimited_roundtrip(spark, d):
+    """A table of scan headers written with a header line and read again."""
+    path = folder(spark, "scans.csv")
+    v = view(spark, d, "v_scan").select("scan_id", "ms_level", "scan_time", "charge")
+    v.write.option("header", True).csv(path)
+    back = spark.read.option("header", True).schema(v.schema).csv(path)
+    return back.select("scan_id", "ms_level", F.round("scan_time", 4).alias("scan_time"), "charge")
+
+
+@query("SELECT count(*) AS n_peaks, round(sum(intensity), 2) AS tic, round(max(mz), 5) AS top_mz FROM v_peak WHERE scan_id IN (SELECT min(scan_id) FROM v_peak)")
+def scan_from_delimited(spark, d):
+    """One spectrum written as two columns and read as a scan."""
+    path = folder(spark, "scan.csv")
+    p = view(spark, d, "v_peak")
+    first = p.agg(F.min("scan_id").alias("scan_id"))
+    p.join(F.broadcast(first), "scan_id").select("mz", "intensity").coalesce(1).write.csv(path)
+    scan = scan_from_csv(spark, path).select(F.explode(F.arrays_zip("mz", "intensity")).alias("p")).select("p.*")
+    return scan.agg(F.count("*").alias("n_peaks"), F.round(F.sum("intensity"), 2).alias("tic"), F.round(F.max("mz"), 5).alias("top_mz"))
+
+
+@query("SELECT 'TIC' AS name, count(*) AS n_points, round(sum(tic), 2) AS total, round(max(scan_time), 4) AS last_time FROM v_scan WHERE ms_level = 1")
+def chromatogram_roundtrip(spark, d):
+    """The total ion chromatogram saved as arrays of time and signal, and loaded."""
+    path = folder(spark, "chromatogram.json")
+    v = view(spark, d, "v_scan").filter("ms_level = 1").select(F.floor("scan_time").alias("block"), "scan_time", "tic")
+    c = v.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("scan_time", "tic"))).alias("p")).select(F.lit("TIC").alias("name"), "block", F.col("p.scan_time").alias("time"), F.col("p.tic").alias("intensity"))
+    c.write.json(path)
+    back = spark.read.schema(c.schema).json(path).select("name", F.explode(F.arrays_zip("time", "intensity")).alias("p"))
+    return back.groupBy("name").agg(F.count("*").alias("n_points"), F.round(F.sum("p.intensity"), 2).alias("total"), F.round(F.max("p.time"), 4).alias("last_time"))
+
+
+@query("WITH f AS (SELECT frame_id, floor(mz / 10) AS cell, mz, drift, intensity FROM v_ion) SELECT frame_id, CAST(cell AS BIGINT) AS feature_id, count(*) AS n, round(sum(intensity), 2) AS intensity, round(max(drift), 4) AS last_drift, round(min(mz), 5) AS low FROM f GROUP BY frame_id, cell")
+def feature_arrays_roundtrip(spark, d):
+    """Features of frames as parallel arrays of m/z, signal, drift time and feature id of one spectrum, written as mzML and taken apart again."""
+    path = folder(spark, "frames.mzML")
+    v = view(spark, d, "v_ion").select("frame_id", F.floor(F.col("mz") / 10).cast("double").alias("feature"), "mz", "drift", "intensity")
+    rows = v.groupBy("frame_id").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity", "drift", "feature"))).alias("p"))
+    none = F.lit(None)
+    scans = rows.select(
+        F.concat(F.lit("frame="), F.col("frame_id")).alias("id"), F.col("frame_id").alias("index"), F.lit(1).alias("ms_level"), F.lit(0.0).alias("scan_time"), F.lit(1).alias("polarity"), F.lit(False).alias("is_profile"), F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"),
+        none.cast("struct<mz: double, intensity: double, charge: int, precursor_scan_id: string>").alias("precursor"), F.create_map(F.lit("mean drift time array"), F.col("p.drift"), F.lit("feature id array"), F.col("p.feature")).alias("extra"),
+    )
+    write_scans(scans, path)
+    zipped = F.arrays_zip("mz", "intensity", F.col("extra")["mean drift time array"].alias("drift"), F.col("extra")["feature id array"].alias("feature"))
+    back = read_scans(spark, path).select(F.regexp_replace("id", "frame=", "").cast("long").alias("frame_id"), F.explode(zipped).alias("p")).select("frame_id", "p.*")
+    return back.groupBy("frame_id", F.col("feature").cast("long").alias("feature_id")).agg(F.count("*").alias("n"), F.round(F.sum("intensity"), 2).alias("intensity"), F.round(F.max("drift"), 4).alias("last_drift"), F.round(F.min("mz"), 5).alias("low"))
+
+
+@query(f"WITH {DECONVOLUTED} SELECT scan_id, count(*) AS n_peaks, round(sum(mz * charge - charge * {PROTON}), 3) AS mass_sum FROM dp GROUP BY scan_id")
+def deconvoluted_json_roundtrip(spark, d):
+    """Deconvoluted peak lists as one JSON object a scan, and read again."""
+    path = folder(spark, "deconvoluted.json")
+    p = view(spark, d, "v_peak").groupBy("scan_id", "charge").agg(F.min("mz").alias("mz"), F.sum("intensity").alias("intensity"))
+    rows = p.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("mz", "charge", "intensity"))).alias("peaks"))
+    write_scans(rows, path)
+    back = spark.read.schema(rows.schema).json(path).select("scan_id", F.explode("peaks").alias("p")).select("scan_id", "p.*")
+    return back.groupBy("scan_id").agg(F.count("*").alias("n_peaks"), F.round(F.sum(neutral_mass(F.col("mz"), F.col("charge"))), 3).alias("mass_sum"))

@@ -38,15 +38,16 @@ def isotope_hits(peaks: DataFrame, charges: list[int], tolerance: float) -> Data
     return hit.select("scan_id", "mono", "mono_mz", "charge", "k", "p.*")
 
 
-def isotopic_fits(peaks: DataFrame, charges: list[int], tolerance: float) -> DataFrame:
+def isotopic_fits(peaks: DataFrame, charges: list[int], tolerance: float, daltons: float = DALTONS) -> DataFrame:
     """Fits of two peaks or more with a score above 0: (scan_id, fit, charge, mono_mz, mono, peaks, lo, hi, signal, score).
 
     The expected pattern is a Poisson one of ISOTOPES peaks at the fit's mass,
-    scaled to the signal found; ``fit`` is unique in the whole table.
+    scaled to the signal found; ``daltons`` is the mass for each expected heavy
+    isotope, by which averagines differ. ``fit`` is unique in the whole table.
     """
     fit = ["scan_id", "mono", "mono_mz", "charge"]
     w = W.partitionBy(*fit)
-    rate = neutral_mass(F.col("mono_mz"), F.col("charge")) / DALTONS
+    rate = neutral_mass(F.col("mono_mz"), F.col("charge")) / daltons
     hits = isotope_hits(peaks, charges, tolerance).withColumn("l", rate).withColumn("total", F.sum("intensity").over(w)).withColumn("found", F.count("*").over(w)).filter("found > 1")
     weight = F.pow("l", "k") / F.factorial("k")
     norm = 1 + F.col("l") + F.pow("l", F.lit(2)) / 2 + F.pow("l", F.lit(3)) / 6
