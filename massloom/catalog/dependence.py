@@ -244,12 +244,7 @@ pk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY m
 @query(f"WITH RECURSIVE {FEATURES}, {CHOSEN} SELECT f.scan_id AS list_id, round(mono_mz * charge - charge * {PROTON}, 4) AS neutral_mass, charge, n_peaks, score FROM taken t JOIN fit f ON f.fit = t.fit")
 def deconvolute_features(spark, d):
     """Isotopic series among the features of each channel and day: fits over features, clusters of them and a disjoint choice."""
-    v = view(spark, d, "v_signal")
-    kinds = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
-    number = F.datediff(F.to_date("ts"), F.lit("2020-01-01")).cast("long") * 16 + F.array_position(kinds, F.col("channel"))
-    features = v.groupBy(number.alias("scan_id"), F.round("mz", 2).alias("mz")).agg((F.sum("intensity") * 100).alias("intensity"), F.count("*").alias("snr"))
-    f = D.isotopic_fits(D.numbered_peaks(features), CHARGES, TOLERANCE)
-    c = D.clusters(f)
+    c = D.clusters(feature_fits(spark, d))
     out = c.join(D.greedy_disjoint(c).select("fit"), "fit")
     return out.select(F.col("scan_id").alias("list_id"), F.round(neutral_mass(F.col("mono_mz"), F.col("charge")), 4).alias("neutral_mass"), "charge", "n_peaks", "score")
 
@@ -277,3 +272,37 @@ def multi_averagine_fits(spark, d):
         every = f if every is None else every.unionByName(f)
     r = F.row_number().over(W.partitionBy("fit").orderBy(F.desc("score"), "averagine"))
     return every.withColumn("r", r).filter("r = 1").drop("r")
+
+
+def feature_fits(spark, d):
+    """Fits over the features of each channel and day."""
+    v = view(spark, d, "v_signal")
+    kinds = F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"]))
+    number = F.datediff(F.to_date("ts"), F.lit("2020-01-01")).cast("long") * 16 + F.array_position(kinds, F.col("channel"))
+    features = v.groupBy(number.alias("scan_id"), F.round("mz", 2).alias("mz")).agg((F.sum("intensity") * 100).alias("intensity"), F.count("*").alias("snr"))
+    return D.isotopic_fits(D.numbered_peaks(features), CHARGES, TOLERANCE)
+
+
+@query(f"WITH {FEATURES}, {SOLVED} SELECT fit, n_peaks, 4 - n_peaks AS null_features, score FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, peaks ORDER BY score DESC, fit) AS r FROM fit) WHERE r = 1")
+def feature_best_exact_fits(spark, d):
+    """Of fits over the same features the best, with the features that it has and that it misses."""
+    return D.best_exact(feature_fits(spark, d)).select("fit", "n_peaks", (F.lit(D.ISOTOPES) - F.col("n_peaks")).alias("null_features"), "score")
+
+
+@query(f"WITH {FEATURES}, {SOLVED} SELECT fit, charge, score FROM fit f WHERE NOT EXISTS (SELECT 1 FROM link l WHERE l.scan_id = f.scan_id AND l.peak = f.mono AND l.charge = f.charge AND l.score > f.score)")
+def feature_drop_superceded(spark, d):
+    """Drop fits whose lightest feature a better fit of the same charge uses."""
+    f = feature_fits(spark, d)
+    return f.join(D.superceded(f), "fit", "left_anti").select("fit", "charge", "score")
+
+
+@query(f"""{GREEDY}, m AS (SELECT f.*, mono_mz * charge - charge * {PROTON} AS mass FROM taken t JOIN fit f ON f.fit = t.fit), k AS (SELECT a.fit, count(*) AS n FROM m a JOIN m b ON a.scan_id = b.scan_id AND abs(b.mass - (a.mass + 18.0106)) <= (a.mass + 18.0106) * 2e-4 GROUP BY a.fit)
+SELECT m.fit, coalesce(n, 0) AS supporters, round(score * (1 + 0.1 * coalesce(n, 0)) + 1e-9, 5) AS score FROM m LEFT JOIN k ON k.fit = m.fit""")
+def mass_shift_support(spark, d):
+    """Solutions that a partner of a given mass shift supports score higher."""
+    c = D.clusters(fits(spark, d))
+    m = c.join(D.greedy_disjoint(c).select("fit"), "fit").select("scan_id", "fit", "score", neutral_mass(F.col("mono_mz"), F.col("charge")).alias("mass"))
+    want = m.select("scan_id", "fit", (F.col("mass") + 18.0106).alias("want"))
+    k = range_join(want, m.select("scan_id", "mass"), "want", "mass", 2e-4, ["scan_id"]).groupBy("fit").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return m.join(k, "fit", "left").select("fit", n.alias("supporters"), F.round(F.col("score") * (1 + 0.1 * n) + 1e-9, 5).alias("score"))

@@ -302,3 +302,31 @@ def features_in_isolation_window(spark, d):
     win = view(spark, d, "v_peak_scan").select("scan_id", lo.alias("lo"), (lo + 3).alias("hi"))
     f = feature_map(spark, d).select("id", "total", F.col("mz").alias("at"), F.col("mz").alias("to"))
     return interval_join(win, f, ("lo", "hi"), ("at", "to"), 3.0).groupBy("scan_id").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.round(F.sum("total"), 4).alias("total"))
+
+
+@query(f"{WITH}, p AS (SELECT scan_id, 473353 + scan_time AS t, 100 + (precursor_mz - 500) / 5 AS want FROM v_peak_scan WHERE ms_level = 2), h AS (SELECT scan_id, id, total, row_number() OVER (PARTITION BY scan_id ORDER BY total DESC, id) AS r FROM p JOIN ft ON t BETWEEN s AND e AND abs(mz - want) <= want * 2e-2) SELECT scan_id, id FROM h WHERE r = 1")
+def find_precursor_feature(spark, d):
+    """The strongest feature at each precursor's time and m/z."""
+    want = F.lit(100.0) + (F.col("precursor_mz") - 500) / 5
+    p = view(spark, d, "v_peak_scan").filter("ms_level = 2").select("scan_id", (F.lit(473353.0) + F.col("scan_time")).alias("t"), want.alias("want"))
+    f = feature_map(spark, d).select("id", "s", "e", "mz", "total")
+    h = range_join(p, f, "want", "mz", 2e-2).filter("t between s and e")
+    return h.groupBy("scan_id").agg(F.max_by("id", F.struct("total", -F.col("id"))).alias("id"))
+
+
+@query()
+def trace_mass_features(spark, d):
+    """Features of neutral mass traced over time, each charge for itself."""
+    from massloom.operators.spectra import trace_features
+
+    v = view(spark, d, "v_signal").withColumn("charge", (1 + F.col("event_id") % 3).cast("int"))
+    p = v.select("charge", F.col("event_id").alias("id"), neutral_mass(F.col("mz"), F.col("charge")).alias("mz"), F.unix_micros("ts").alias("time"), "intensity")
+    return trace_features(p.filter("mz > 0"), 2e-5, ("charge",))
+
+
+@query(f"{WITH}, k AS (SELECT id, row_number() OVER (PARTITION BY run ORDER BY total DESC, id) AS place, sum(total) OVER (PARTITION BY run ORDER BY total DESC, id ROWS UNBOUNDED PRECEDING) / sum(total) OVER (PARTITION BY run) AS share FROM ft) SELECT id, place, round(share, 6) AS share FROM k")
+def features_by_signal(spark, d):
+    """Features of a run by falling signal with the share that they make up so far: the order in which a merger takes them."""
+    w = W.partitionBy("run").orderBy(F.desc("total"), "id")
+    so_far = F.sum("total").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum("total").over(W.partitionBy("run"))
+    return feature_map(spark, d).select("id", F.row_number().over(w).cast("long").alias("place"), F.round(so_far, 6).alias("share"))

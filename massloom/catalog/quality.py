@@ -57,8 +57,9 @@ def signature_ratio(spark, d):
     """Signature ions' intensities over the base peak, averaged over the ions."""
     t = view(spark, d, "v_target").select("target_mass").distinct()
     p = view(spark, d, "v_peak").select("scan_id", "mz", "intensity").withColumn("base", F.max("intensity").over(W.partitionBy("scan_id")))
-    n = t.count()
-    return range_join(t, p, "target_mass", "mz", 2e-5).groupBy("scan_id").agg(F.round(F.sum(F.col("intensity") / F.col("base")) / n, 6).alias("ratio"))
+    n = t.agg(F.count("*").alias("n"))
+    g = range_join(t, p, "target_mass", "mz", 2e-5).groupBy("scan_id").agg(F.sum(F.col("intensity") / F.col("base")).alias("total"))
+    return g.join(F.broadcast(n)).select("scan_id", F.round(F.col("total") / F.col("n"), 6).alias("ratio"))
 
 
 CHANNELS = [920.0, 930.0, 940.0]
@@ -120,7 +121,7 @@ def graph_complements(spark, d):
     """Pairs of peaks that add up to the precursor."""
     s = view(spark, d, "v_peak_scan").select("scan_id", (F.col("precursor_mz") * 2).alias("total"))
     p = view(spark, d, "v_peak").select("scan_id", "mz")
-    q = p.join(F.broadcast(s), "scan_id").select("scan_id", (F.col("total") - F.col("mz")).alias("want"))
+    q = p.join(s, "scan_id").select("scan_id", (F.col("total") - F.col("mz")).alias("want"))
     return range_join(q, p, "want", "mz", 2e-5, ["scan_id"]).groupBy("scan_id").agg(F.count("*").alias("pairs"))
 
 

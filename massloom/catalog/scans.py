@@ -18,8 +18,8 @@ SELECT scan_id, round(scan_time, 6) AS scan_time, ms_level FROM v_scan, b WHERE
 def time_range_scan(spark, d):
     """Scans of a time range, its start moved back to the MS1 before."""
     v = view(spark, d, "v_scan")
-    low = v.agg(F.coalesce(F.max(F.when((F.col("ms_level") == 1) & (F.col("scan_time") <= 50), F.col("scan_time"))), F.lit(50.0)).alias("lo")).first()["lo"]
-    return v.filter(F.col("scan_time").between(low, 90)).select("scan_id", F.round("scan_time", 6).alias("scan_time"), "ms_level")
+    low = v.agg(F.coalesce(F.max(F.when((F.col("ms_level") == 1) & (F.col("scan_time") <= 50), F.col("scan_time"))), F.lit(50.0)).alias("lo"))
+    return v.join(F.broadcast(low), F.col("scan_time").between(F.col("lo"), 90)).select("scan_id", F.round("scan_time", 6).alias("scan_time"), "ms_level")
 
 
 @query("""SELECT scan_id, ms_level FROM v_scan WHERE scan_id BETWEEN 1000 AND 2000""")
