@@ -175,6 +175,38 @@ class Pieces:
     def spell(self, data: bytes) -> list[int]:
         return [self.bytes[b] for b in data] if self.bytes else [self.unknown]
 
+    def relax(self, data: bytes, best: list[float], back: list[tuple[int, int]], at: int, stop: int) -> int:
+        """Extend the best paths from every place in [at, stop); returns the first place not worked on."""
+        n, scores, low = len(data), self.scores, self.low
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        while at < stop:
+            width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
+            here, single, state, i = best[at], False, 0, at
+            while i < n:
+                nxt = base[state] + data[i] + 1
+                if check[nxt] != state:
+                    break
+                state, i = nxt, i + 1
+                piece = value[state]
+                if piece >= 0:
+                    single = single or i == at + width
+                    score = here + scores[piece]
+                    if score > best[i]:
+                        best[i], back[i] = score, (at, piece)
+            if not single and here + low > best[at + width]:
+                best[at + width], back[at + width] = here + low, (at, -1)
+            at += width
+        return at
+
+    def path_to(self, data: bytes, back: list[tuple[int, int]], end: int) -> list[int]:
+        """The pieces of the best path to ``end``."""
+        out: list[int] = []
+        while end:
+            at, piece = back[end]
+            out += [piece] if piece >= 0 else reversed(self.spell(data[at:end]))
+            end = at
+        return out[::-1]
+
     def segment(self, chunk: str) -> list[int]:
         """The best pieces of a chunk by Viterbi; the earlier found wins on ties.
 
@@ -183,42 +215,19 @@ class Pieces:
         what lies before it is settled, so a text without a blank needs no
         table of its own length.
         """
-        data, out, best, back, at = chunk.encode(), [], [0.0], [(0, -1)], 0
-        scores, low, longest = self.scores, self.low, self.longest
-        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        data, at, out = chunk.encode(), 0, []
+        best, back = [0.0], [(0, -1)]
         while True:
             n = len(data)
-            stop = min(n, at + BLOCK)
-            more = min(n, stop + longest) + 1 - len(best)
+            stop = n if n <= BLOCK else min(n, at + BLOCK)
+            more = min(n, stop + self.longest) + 1 - len(best)
             best += [-1e300] * more
             back += [(0, -1)] * more
-            while at < stop:
-                width = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
-                here, single, state, i = best[at], False, 0, at
-                while i < n:
-                    nxt = base[state] + data[i] + 1
-                    if check[nxt] != state:
-                        break
-                    state, i = nxt, i + 1
-                    piece = value[state]
-                    if piece >= 0:
-                        single = single or i == at + width
-                        score = here + scores[piece]
-                        if score > best[i]:
-                            best[i], back[i] = score, (at, piece)
-                if not single and here + low > best[at + width]:
-                    best[at + width], back[at + width] = here + low, (at, -1)
-                at += width
-            settled = n if at >= n else self.meeting(back, [k for k in range(at, len(best)) if best[k] > -1e300])
-            own: list[int] = []
-            k = settled
-            while k:
-                before, piece = back[k]
-                own += [piece] if piece >= 0 else reversed(self.spell(data[before:k]))
-                k = before
-            out += own[::-1]
+            at = self.relax(data, best, back, at, stop)
             if at >= n:
-                return out
+                return out + self.path_to(data, back, n)
+            settled = self.meeting(back, [k for k in range(at, len(best)) if best[k] > -1e300])
+            out += self.path_to(data, back, settled)
             data, best, at = data[settled:], best[settled:], at - settled
             back = [(b - settled, p) for b, p in back[settled:]]
 
