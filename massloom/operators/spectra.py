@@ -46,17 +46,23 @@ def theories(mz, charge, truncate, averagine):
     return table[row], np.arange(table.shape[1]) < sizes[row][:, None]
 
 
-def score_fits(mz, intensity, snr, charge, tolerance, p, kept, least):
-    """PenalizedMSDeconV of every peak as first isotope at one charge: (scores, matched peaks, theory, number of isotopes)."""
-    want = mz[:, None] + np.arange(p.shape[1]) * ISOTOPE_GAP / charge
+def match_isotopes(mz, charge, width, tolerance):
+    """(nearest peak, whether it is within tolerance, its error) for each isotope of every peak as the first one."""
+    want = mz[:, None] + np.arange(width) * ISOTOPE_GAP / charge
     right = np.clip(np.searchsorted(mz, want), 0, len(mz) - 1)
     left = np.maximum(right - 1, 0)
     at = np.where(np.abs(mz[left] - want) <= np.abs(mz[right] - want), left, right)
-    hit = kept & (np.abs(mz[at] - want) <= want * tolerance) & (intensity[at] >= least)
+    error = np.abs(mz[at] - want)
+    return at, error <= want * tolerance, error
+
+
+def score_fits(at, near, error, intensity, snr, charge, p, kept, least):
+    """PenalizedMSDeconV of the fits given by row: (scores, matched peaks, theory)."""
+    hit = kept & near & (intensity[at] >= least)
     obs = np.where(hit, intensity[at], np.where(kept, 1.0, 0.0))
     theo = p * obs.sum(axis=1, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
-        accuracy = np.maximum(0, 1 - np.where(hit, np.abs(mz[at] - want), 0) / 0.02)
+        accuracy = np.maximum(0, 1 - np.where(hit, error, 0) / 0.02)
         agree = np.where(obs < theo, 1 - (theo - obs) / obs, np.sqrt(np.maximum(0, 1 - (obs - theo) / obs)))
         term = np.where(kept & (np.where(hit, snr[at], 1) >= 1), np.sqrt(theo) * accuracy * np.maximum(0, agree), 0)
         o, t = obs / obs.sum(axis=1, keepdims=True), theo / theo.sum(axis=1, keepdims=True)
@@ -64,7 +70,7 @@ def score_fits(mz, intensity, snr, charge, tolerance, p, kept, least):
     score = term.sum(axis=1) * (1 - np.abs(g))
     missed = (kept & ~hit).sum(axis=1)
     usable = hit[:, 0] & (missed <= 1) & (((hit.sum(axis=1)) > 1) | (charge == 1))
-    return np.where(usable, score, -1.0), np.where(hit, at, -1), theo, kept.sum(axis=1)
+    return np.where(usable, score, -1.0), np.where(hit, at, -1), theo
 
 
 def deconvolute_spectrum(mz, intensity, snr, charges=range(1, 9), tolerance=2e-5, minimum_score=10.0, truncate=0.8, averagine="peptide", least=5.0, iterations=10, convergence=1e-3):
@@ -80,11 +86,23 @@ def deconvolute_spectrum(mz, intensity, snr, charges=range(1, 9), tolerance=2e-5
     mz, intensity, snr = mz[order], intensity[order].astype(float).copy(), snr[order]
     out = []
     theory = {z: theories(mz, z, truncate, averagine) for z in charges}
+    places = {z: match_isotopes(mz, z, theory[z][0].shape[1], tolerance) for z in charges}
+    state: dict[int, tuple] = {}
+    changed = np.ones(len(mz), dtype=bool)
     for _ in range(iterations):
-        begin = intensity.sum()
+        begin, before = intensity.sum(), intensity.copy()
         fits = []
         for z in charges:
-            score, used, theo, _ = score_fits(mz, intensity, snr, z, tolerance, *theory[z], least)
+            (at, near, error), (p, kept) = places[z], theory[z]
+            # after the first round only fits over peaks that it changed can score otherwise
+            rows = np.flatnonzero((changed[at] & near).any(axis=1)) if z in state else np.arange(len(mz))
+            new = score_fits(at[rows], near[rows], error[rows], intensity, snr, z, p[rows], kept[rows], least)
+            if z not in state:
+                state[z] = new
+            else:
+                for old, fresh in zip(state[z], new, strict=True):
+                    old[rows] = fresh
+            score, used, theo = state[z]
             for i in np.flatnonzero(score >= minimum_score):
                 fits.append((-round(float(score[i]), 9), -z, float(mz[i]), int(i), used[i], theo[i]))
         fits.sort(key=lambda f: f[:4])
@@ -99,6 +117,7 @@ def deconvolute_spectrum(mz, intensity, snr, charges=range(1, 9), tolerance=2e-5
                 if k >= 0:
                     rest = intensity[k] - t
                     intensity[k] = 1.0 if rest < 0 or t > 0.7 * intensity[k] else rest
+        changed = intensity != before
         if not taken or (begin - intensity.sum()) / (intensity.sum() + 1) < convergence:
             break
     return out
