@@ -140,7 +140,10 @@ def similar_enough(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
     t = num / den
     slack = 8 * (t * (1 - t)) ** 0.5
     enough = shared >= F.lit(t) * k - F.lit(slack) * F.sqrt(k)
-    return both.filter(F.col("na") * num <= F.col("nb") * den).filter(F.col("nb") * num <= F.col("na") * den).filter(enough).select("a", "b")
+    left = both.filter(F.col("na") * num <= F.col("nb") * den).filter(F.col("nb") * num <= F.col("na") * den).filter(enough)
+    left = materialize(left.select("a", "b"), "neardup-checked")
+    discard(sketch)
+    return left
 
 
 def sets_of(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -170,7 +173,9 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int, num: int, den: int) ->
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - shared
-    return materialize(both.filter(shared * den >= union * num).select("a", "b"), "neardup-links")
+    links = materialize(both.filter(shared * den >= union * num).select("a", "b"), "neardup-links")
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -206,7 +211,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     live = materialize(rows.join(lists, "v").select("v", "doc_id", "pos", "pivot"), "neardup-lists")
     stars = live.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = materialize(stars.join(copies.withColumnRenamed("doc_id", "b"), "b", "left_anti"), "neardup-stars")
-    checked = materialize(similar_enough(stars, every, num, den), "neardup-checked")
+    checked = similar_enough(stars, every, num, den)
     links = verify(checked, docs, size, num, den)
     first = connected_components(links, "a", "b")
 
@@ -222,7 +227,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     ahead = F.least(F.col("n") - F.col("pos"), F.col("nx") - F.col("px")) * (num + den) >= (F.col("n") + F.col("nx")) * num
     cross = few.join(open_lists, "v").filter(fits & ahead).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
     cross = materialize(cross.join(stars, ["a", "b"], "left_anti"), "neardup-cross")
-    more = materialize(similar_enough(cross, every, num, den), "neardup-checked")
+    more = similar_enough(cross, every, num, den)
     found = verify(more, docs, size, num, den)
 
     groups = connected_components(links.unionByName(found).unionByName(same), "a", "b")
