@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm import op03_neardup, op04_pieces, op07_toxicity, op09_decontaminate, op10_secrets
-from massloom.plans.store import materialize
+from massloom.plans.store import discard, materialize
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, own = spark.read.parquet(f"{sf_dir}/documents.parquet"), False
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        left = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if own:
+            discard(docs)  # its rows are in the next table now
+        docs, own = left, True
     return STAGES[-1][1](spark, docs, sf_dir)
