@@ -11,6 +11,7 @@ from massloom.llm import op07_toxicity as op7
 from massloom.llm import op08_substrings as op8
 from massloom.llm import op09_decontaminate as op9
 from massloom.llm import op10_secrets as op10
+from massloom.llm import op11_conversations as op11
 from massloom.llm import op12_lines as op12
 from massloom.llm import op13_search as op13
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_substrings": op8.op8_substrings,
     "op9_decontaminate": op9.op9_decontaminate,
     "op10_secrets": op10.op10_secrets,
+    "op11_conversations": op11.op11_conversations,
     "op12_lines": op12.op12_lines,
     "op13_search": op13.op13_search,
     **base_checks.QUERIES,
@@ -34,6 +36,7 @@ ORACLE_SQL = {
     "op6_urls": op6.ORACLE_SQL,
     "op8_substrings": op8.ORACLE_SQL,
     "op9_decontaminate": op9.ORACLE_SQL,
+    "op11_conversations": op11.ORACLE_SQL,
     "op12_lines": op12.ORACLE_SQL,
     "op13_search": op13.ORACLE_SQL,
     **base_checks.ORACLE_SQL,
