@@ -1 +1,7 @@
-"""massloom: mass-spectrometry and corpus analytics expressed as Spark plans."""
+"""A PySpark engine for mass-spectrometry data. Its functions are pickled by value, so executors need no copy of the package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

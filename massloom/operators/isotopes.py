@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from massloom.functions.mass import ISOTOPE_GAP, PROTON
+from massloom.functions.mass import PROTON
 
 # fixed values: (mass, natural abundance) of the stable isotopes, the lightest first
 ISOTOPES = {
@@ -20,7 +20,8 @@ AVERAGINES = {
     "peptide": {"C": 4.9384, "H": 7.7583, "N": 1.3577, "O": 1.4773, "S": 0.0417},
     "glycan": {"C": 7.0, "H": 11.8333, "N": 0.5, "O": 5.16666},
     "glycopeptide": {"C": 10.93, "H": 15.75, "N": 1.6577, "O": 6.4773, "S": 0.02054},
-    "heparan_sulfate": {"H": 10.5, "C": 6.0, "S": 0.5, "O": 5.5, "N": 0.5},
+    "heparin": {"H": 10.5, "C": 6.0, "S": 0.5, "O": 5.5, "N": 0.5},
+    "heparan_sulfate": {"H": 10.667, "C": 6.0, "S": 1.333, "O": 9.0, "N": 0.667},
     "permethylated_glycan": {"C": 12.0, "H": 21.8333, "N": 0.5, "O": 5.16666},
 }
 
@@ -74,8 +75,9 @@ def scale_averagine(unit: dict[str, float], mz: float, charge: int = 1) -> dict[
 
 
 def isotopic_cluster(unit: dict[str, float], mz: float, charge: int = 1, truncate_after: float = 0.95, ignore_below: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """The pattern of an averagine with its first peak at ``mz``, truncated and normalised."""
-    x, p = isotopic_variants(scale_averagine(unit, mz, charge), 24, charge)
+    """The pattern of an averagine with its first peak at ``mz``, truncated and normalised; truncation alone decides where it ends."""
+    composition = scale_averagine(unit, mz, charge)
+    x, p = isotopic_variants(composition, peaks_of(composition), charge)
     keep = np.concatenate([[0.0], np.cumsum(p)[:-1]]) < truncate_after
     x, p = x[keep], p[keep] / p[keep].sum()
     low = (p >= ignore_below) | (np.arange(len(p)) < 2)
@@ -83,19 +85,16 @@ def isotopic_cluster(unit: dict[str, float], mz: float, charge: int = 1, truncat
     return x - x[0] + mz, p
 
 
-def whole_pattern(unit: dict[str, float], mass: float) -> np.ndarray:
-    """Abundances of all isotopic peaks at a mass, up to twelve standard deviations above the mean neutron count."""
-    composition = scale_averagine(unit, mass + PROTON, 1)
+def peaks_of(composition: dict[str, int]) -> int:
+    """Isotopic peaks up to twelve standard deviations above the mean neutron count."""
     # (neutrons, share) of each isotope of each atom
     extra = [(n, [(round(m - ISOTOPES[a][0][0]), s) for m, s in ISOTOPES[a]]) for a, n in composition.items()]
     mean = sum(n * sum(k * s for k, s in x) for n, x in extra)
     spread = sum(n * (sum(k * k * s for k, s in x) - sum(k * s for k, s in x) ** 2) for n, x in extra)
-    return isotopic_variants(composition, int(mean + 12 * spread**0.5) + 12)[1]
-
+    return int(mean + 12 * spread**0.5) + 12
 
-def pattern_table(unit: dict[str, float], masses: np.ndarray, peaks: int = 10) -> np.ndarray:
-    """Abundances of the first isotopic peaks for each mass, as rows."""
-    return np.array([isotopic_variants(scale_averagine(unit, float(m) + PROTON, 1), peaks)[1] for m in masses])
 
-
-GAP = ISOTOPE_GAP
+def whole_pattern(unit: dict[str, float], mass: float) -> np.ndarray:
+    """Abundances of all isotopic peaks at a mass."""
+    composition = scale_averagine(unit, mass + PROTON, 1)
+    return isotopic_variants(composition, peaks_of(composition))[1]

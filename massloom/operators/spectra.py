@@ -7,7 +7,6 @@ group (a scan, a chain of masses), so that no task gathers more than that.
 from __future__ import annotations
 
 from bisect import bisect_left
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,30 +14,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions.mass import ISOTOPE_GAP, PROTON
-from massloom.operators.isotopes import AVERAGINES, pattern_table, whole_pattern
+from massloom.operators.isotopes import AVERAGINES, whole_pattern
 from massloom.operators.ordered import sessionize
 from massloom.plans.store import materialize
 
-STEP, TOP, PEAKS = 50.0, 20_000.0, 8
+#: Daltons from one kept pattern to the next.
+STEP = 50.0
 
 
-@lru_cache(maxsize=8)
-def patterns(name: str) -> np.ndarray:
-    return pattern_table(AVERAGINES[name], np.arange(STEP, TOP, STEP), PEAKS)
+def truncated_pattern(name: str, step: int, truncate: float, known: dict) -> np.ndarray:
+    """The whole pattern at ``step`` times STEP Da, cut once ``truncate`` of all its abundance is before; kept in ``known``."""
+    key = name, step, truncate
+    if key not in known:
+        p = whole_pattern(AVERAGINES[name], step * STEP)
+        p = p[np.concatenate([[0.0], np.cumsum(p)[:-1]]) < truncate]
+        known[key] = p / p.sum()
+    return known[key]
 
 
-@lru_cache(maxsize=1 << 16)
-def truncated_pattern(name: str, step: int, truncate: float) -> np.ndarray:
-    """The whole pattern at ``step`` times STEP Da, cut once ``truncate`` of all its abundance is before."""
-    p = whole_pattern(AVERAGINES[name], step * STEP)
-    p = p[np.concatenate([[0.0], np.cumsum(p)[:-1]]) < truncate]
-    return p / p.sum()
-
-
-def theories(mz, charge, truncate, averagine):
+def theories(mz, charge, truncate, averagine, known=None):
     """(abundances, which of them count) of every peak as first isotope at one charge, as many as the heaviest needs."""
+    known = {} if known is None else known
     steps, row = np.unique(np.maximum(np.round((mz * charge - charge * PROTON) / STEP).astype(int), 1), return_inverse=True)
-    found = [truncated_pattern(averagine, int(s), truncate) for s in steps]
+    found = [truncated_pattern(averagine, int(s), truncate, known) for s in steps]
     sizes = np.array([len(p) for p in found], dtype=int)
     table = np.zeros((len(found), sizes.max(initial=1)))
     for k, p in enumerate(found):
@@ -73,7 +71,7 @@ def score_fits(at, near, error, intensity, snr, charge, p, kept, least):
     return np.where(usable, score, -1.0), np.where(hit, at, -1), theo
 
 
-def deconvolute_spectrum(mz, intensity, snr, charges=range(1, 9), tolerance=2e-5, minimum_score=10.0, truncate=0.8, averagine="peptide", least=5.0, iterations=10, convergence=1e-3):
+def deconvolute_spectrum(mz, intensity, snr, charges=range(1, 9), tolerance=2e-5, minimum_score=10.0, truncate=0.8, averagine="peptide", least=5.0, iterations=10, convergence=1e-3, known=None):
     """Peaks of one spectrum to (mass, charge, intensity, score, m/z, isotopes).
 
     In each round all fits are scored, the best that share no peak are taken
@@ -85,7 +83,7 @@ def deconvolute_spectrum(mz, intensity, snr, charges=range(1, 9), tolerance=2e-5
     order = np.argsort(mz, kind="stable")
     mz, intensity, snr = mz[order], intensity[order].astype(float).copy(), snr[order]
     out = []
-    theory = {z: theories(mz, z, truncate, averagine) for z in charges}
+    theory = {z: theories(mz, z, truncate, averagine, known) for z in charges}
     places = {z: match_isotopes(mz, z, theory[z][0].shape[1], tolerance) for z in charges}
     state: dict[int, tuple] = {}
     changed = np.ones(len(mz), dtype=bool)
@@ -126,8 +124,10 @@ def deconvolute_spectrum(mz, intensity, snr, charges=range(1, 9), tolerance=2e-5
 def deconvolute(peaks: DataFrame, **how) -> DataFrame:
     """(scan_id, neutral_mass, charge, intensity, score, mz, n_isotopes) for peaks (scan_id, mz, intensity, snr)."""
 
+    known: dict = {}  # a task's own from where the kernel arrives
+
     def kernel(key, table):
-        found = deconvolute_spectrum(*(table.column(c).to_numpy() for c in ("mz", "intensity", "snr")), **how)
+        found = deconvolute_spectrum(*(table.column(c).to_numpy() for c in ("mz", "intensity", "snr")), known=known, **how)
         cols = list(zip(*found, strict=True)) or [[]] * 6
         kinds = (pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
         return pa.table([pa.array([key[0].as_py()] * len(found), pa.int64()), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["scan_id", "neutral_mass", "charge", "intensity", "score", "mz", "n_isotopes"])

@@ -80,3 +80,11 @@ def test_a_planted_heavy_ion_is_found_whole():
     found = spectra.deconvolute_spectrum(mz, y, np.full(n, 10.0))
     best = max(found, key=lambda f: f[3])
     assert n > 8 and best[1] == z and abs(best[0] - mass) < 0.01 and best[5] == n and abs(best[2] - 1e7) < 1
+
+
+def test_heavy_patterns_end_where_truncation_says_and_averagines_differ():
+    unit = isotopes.AVERAGINES["peptide"]
+    x, p = isotopes.isotopic_cluster(unit, 3001.0, 20, 0.9999)
+    assert len(x) > 40 and abs(p.sum() - 1) < 1e-9  # 60 kDa
+    sulphated, plain = (isotopes.scale_averagine(isotopes.AVERAGINES[a], 2000.0) for a in ("heparan_sulfate", "heparin"))
+    assert sulphated["S"] >= 2 * plain["S"]
