@@ -1,11 +1,6 @@
 """Corpus operators for training-data pipelines.
 
-Nothing else in the library imports this subpackage. Functions that run in
-Python workers are pickled by value, so executors need no copy of the package.
+Nothing else in the library imports this subpackage. What runs in Python
+workers is pickled by value, models too (``massloom.plans.shipping``), so
+executors need no copy of the package.
 """
-
-from pyspark import cloudpickle
-
-import massloom
-
-cloudpickle.register_pickle_by_value(massloom)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm.textkit import Powers, byte_codes, is_gap, list_column, mix, one_row_each, parts, runs, slices, smallest_hashed, span_hashes
+from massloom.plans.shipping import ship
 from massloom.plans.store import materialize
 
 #: Labelled documents that the classifiers are fitted on, at most (those of the smallest hashed ids).
@@ -214,7 +215,7 @@ def surest(pool: DataFrame, views: list[View], taken: DataFrame, counts: dict[in
     documents that the other view was not yet given are taken (ties by hashed
     id). What is written and sorted is an id and two numbers a row.
     """
-    sent = pool.sparkSession.sparkContext.broadcast(views)
+    sent = ship(pool.sparkSession, views)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
@@ -281,7 +282,7 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
     not read. A text is read whole: one longer than a slice is a slice of its
     own. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm.textkit import texts_of
+from massloom.plans.shipping import ship
 
 MARK = "▁"
 MODEL = os.environ.get("MASSLOOM_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
@@ -302,7 +303,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame
     Extra columns are not read. A long text is encoded whole, a long run
     without a blank block by block. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(pieces or load_pieces(docs.sparkSession))
+    sent = ship(docs.sparkSession, pieces or load_pieces(docs.sparkSession))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -325,7 +326,7 @@ def encode_documents(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame
 
 def decode_documents(tokens: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); null ids give a null text."""
-    sent = tokens.sparkSession.sparkContext.broadcast(pieces or load_pieces(tokens.sparkSession))
+    sent = ship(tokens.sparkSession, pieces or load_pieces(tokens.sparkSession))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm.textkit import Powers, ascii_lower, byte_codes, list_column, mix, one_row_each, parts, runs, slices, smallest_hashed, span_hashes, texts_of
+from massloom.plans.shipping import ship
 from massloom.plans.store import materialize
 
 #: Labelled documents that the model is fitted on, at most (those of the smallest hashed ids).
@@ -286,7 +287,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     scored whole: one longer than a slice is a slice of its own, at some 80
     bytes a byte of text. An empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
@@ -305,7 +306,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     gives no rows; without labels of both kinds nothing is learned and no row goes.
     """
     trained = train(docs, labels)
-    model = docs.sparkSession.sparkContext.broadcast(trained)
+    model = ship(docs.sparkSession, trained)
     where, learned = docs.columns.index("text"), len(trained.features) > 0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

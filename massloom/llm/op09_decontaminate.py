@@ -24,11 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm.textkit import Powers, list_column, parts, shingle_sets, texts_of
+from massloom.plans.shipping import Shipped, ship
 from massloom.plans.store import materialize
 
 SHINGLE = 5
@@ -87,17 +87,17 @@ def item_sets(items: DataFrame, size: int) -> DataFrame:
     return texts_of(items, doc_id="item_id").mapInArrow(kernel, "item_id long, shingles array<long>")
 
 
-def item_blocks(items: DataFrame, size: int, threshold: float, block_bytes: int) -> tuple[int, Iterator[Broadcast]]:
+def item_blocks(items: DataFrame, size: int, threshold: float, block_bytes: int) -> tuple[int, Iterator[Shipped]]:
     """(number of blocks, the index of each block of items): made and sent to the executors one after another."""
     spark = items.sparkSession
     sets = materialize(item_sets(items, size).filter("size(shingles) > 0").distinct(), "decontaminate-items")
     total = sets.agg(F.sum(F.size("shingles") * 8)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
 
-    def make() -> Iterator[Broadcast]:
+    def make() -> Iterator[Shipped]:
         for block in range(blocks):
             rows = sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == block).collect()
-            index = spark.sparkContext.broadcast(ItemIndex([r.item_id for r in rows], [np.array(r.shingles, dtype=np.int64).view(np.uint64) for r in rows], threshold))
+            index = ship(spark, ItemIndex([r.item_id for r in rows], [np.array(r.shingles, dtype=np.int64).view(np.uint64) for r in rows], threshold))
             yield index
             if blocks > 1:  # what it served is written by now
                 index.unpersist()
@@ -165,7 +165,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE,
     either side, takes nothing away.
     """
 
-    def clean(index: Broadcast):
+    def clean(index: Shipped):
         @F.arrow_udf("boolean")
         def contains_none(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             pows = Powers()

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.llm.textkit import one_row_each, parts, runs, slices, smallest_hashed, texts_of
+from massloom.plans.shipping import ship
 from massloom.plans.store import materialize
 
 ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -351,7 +352,7 @@ def find_secrets(docs: DataFrame, net: CharNet | None = None) -> DataFrame:
     table gives no rows.
     """
     docs = texts_of(docs)
-    net = docs.sparkSession.sparkContext.broadcast(net or train(docs))
+    net = ship(docs.sparkSession, net or train(docs))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -381,7 +382,7 @@ def redact(docs: DataFrame, net: CharNet | None = None, mark: str = "<SECRET>")
     all other columns are kept, whatever their names. Very long texts are
     cleaned whole; an empty table gives no rows.
     """
-    net = docs.sparkSession.sparkContext.broadcast(net or train(texts_of(docs)))
+    net = ship(docs.sparkSession, net or train(texts_of(docs)))
     where, schema = docs.columns.index("text"), docs.schema
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
