@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from massloom.catalog import query
 from massloom.functions.mass import ISOTOPE_GAP, PROTON, neutral_mass
 from massloom.operators import dependence as D
-from massloom.operators.joins import best_match, range_join
-from massloom.operators.ordered import coalesce_spans
+from massloom.operators import solutions as S
+from massloom.operators.joins import best_match, interval_join, nearest_join, range_join
+from massloom.operators.ordered import coalesce_spans, previous_where
 from massloom.plans.views import view
 
 CHARGES, TOLERANCE = [1, 2, 3], 4e-5
@@ -104,6 +105,57 @@ def disjoint_best_fits(spark, d):
     return D.greedy_disjoint(c).join(c.select("fit", "score"), "fit").select("cluster", "fit", "score")
 
 
+#: First fit by falling score: a fit's layer is the lowest that no placed fit with a common peak has.
+LAYERED = f"""{CLUSTERED},
+place AS (SELECT cluster, list({{'peaks': peaks, 'fit': fit, 'layer': 0}} ORDER BY score DESC, fit) AS l FROM cl GROUP BY cluster),
+laid AS (SELECT cluster, unnest(list_reduce(list_prepend(l[1:0], list_transform(l, lambda x: [x])), lambda acc, x: list_append(acc, {{'peaks': x[1].peaks, 'fit': x[1].fit,
+'layer': list_min(list_filter(range(0, len(acc) + 1), lambda i: NOT list_contains(list_transform(list_filter(acc, lambda p: list_has_any(p.peaks, x[1].peaks)), lambda p: p.layer), i)))}}))) AS p FROM place)"""
+
+
+@query(f"WITH RECURSIVE {PEAKS}, {LAYERED} SELECT cluster, p.fit AS fit, CAST(p.layer AS INT) AS layer FROM laid")
+def layout_layers(spark, d):
+    """Fits of a cluster stacked so that none shares a peak with another of its layer, the best lowest."""
+    c = D.clusters(fits(spark, d))
+    laid = S.layers(D.links(c).withColumnRenamed("peak", "n"))
+    return laid.join(c.select("fit", "cluster"), "fit").select("cluster", "fit", "layer")
+
+
+@query(f"""{WITH}, o AS (SELECT scan_id, list({{'lo': lo, 'hi': hi, 's': CAST(round(score * 1e6) AS BIGINT), 'best': 0::BIGINT, 'path': [fit]}} ORDER BY hi, lo, fit) AS l FROM fit GROUP BY scan_id),
+w AS (SELECT scan_id, list_reduce(list_prepend(l[1:0], list_transform(l, lambda x: [x])), lambda acc, x: list_append(acc, {{'lo': x[1].lo, 'hi': x[1].hi, 's': x[1].s,
+'best': greatest(coalesce(acc[-1].best, 0), coalesce(list_filter(acc, lambda p: p.hi < x[1].lo)[-1].best, 0) + x[1].s),
+'path': CASE WHEN coalesce(list_filter(acc, lambda p: p.hi < x[1].lo)[-1].best, 0) + x[1].s > coalesce(acc[-1].best, 0)
+THEN list_concat(coalesce(list_filter(acc, lambda p: p.hi < x[1].lo)[-1].path, []), x[1].path) ELSE acc[-1].path END}})) AS l FROM o)
+SELECT scan_id, unnest(l[-1].path) AS fit, l[-1].best / 1e6 AS weight FROM w""")
+def heaviest_path(spark, d):
+    """The fits of greatest total score whose m/z ranges do not overlap, for each spectrum."""
+    return S.heaviest_paths(fits(spark, d))
+
+
+ROUNDS = 10
+
+
+def rounds_sql() -> str:
+    """The rounds of the solver with subtraction, one after another."""
+    out = [f"r0 AS MATERIALIZED (SELECT scan_id, (scan_id * {D.PEAK_SLOTS} + mono) * {D.CHARGE_SLOTS} + charge AS fit, n, want, mz, snr, weight, intensity FROM th)"]
+    for k in range(ROUNDS):
+        out.append(f"""a{k} AS (SELECT *, weight * sum(intensity) OVER (PARTITION BY scan_id, fit) AS theory, count(*) OVER (PARTITION BY scan_id, fit) AS found FROM r{k} WHERE intensity > 1),
+b{k} AS (SELECT *, round(sum(CASE WHEN snr < 1 THEN 0 ELSE sqrt(theory) * CASE WHEN abs(mz - want) <= 0.02 THEN 1 - abs(mz - want) / 0.02 ELSE 0 END * greatest(CASE WHEN intensity < theory THEN 1 - (theory - intensity) / intensity ELSE sqrt(greatest(1 - (intensity - theory) / intensity, 0)) END, 0) END) OVER (PARTITION BY scan_id, fit) + 1e-9, 5) AS score FROM a{k} WHERE found > 1),
+c{k} AS (SELECT *, row_number() OVER (PARTITION BY scan_id, n ORDER BY score DESC, fit) = 1 AS own FROM b{k} WHERE score > 0),
+d{k} AS (SELECT *, bool_and(own) OVER (PARTITION BY scan_id, fit) AS takes FROM c{k}),
+e{k} AS MATERIALIZED (SELECT *, max(CASE WHEN takes THEN theory END) OVER (PARTITION BY scan_id, n) AS spent FROM d{k}),
+r{k + 1} AS MATERIALIZED (SELECT scan_id, fit, n, want, mz, snr, weight, CASE WHEN spent IS NULL THEN intensity WHEN intensity - spent < 0 OR spent > 0.7 * intensity THEN 1.0 ELSE round(intensity - spent, 6) END AS intensity FROM e{k} WHERE NOT takes)""")
+    out.append("solved AS (" + " UNION ALL ".join(f"SELECT scan_id, fit, {k} AS round, max(score) AS score, sum(theory) AS signal, count(*) AS n_peaks FROM e{k} WHERE takes GROUP BY scan_id, fit" for k in range(ROUNDS)) + ")")
+    return ",\n".join(out)
+
+
+@query(f"""WITH {PEAKS}, {FITTED.replace("AS theory FROM obs", "AS theory, pow(l, k) / CASE k WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END / (1 + l + pow(l, 2) / 2 + pow(l, 3) / 6) AS weight FROM obs")},
+{rounds_sql()} SELECT scan_id, fit, CAST(round AS INT) AS round, score, round(signal + 1e-7, 2) AS signal, n_peaks FROM solved""")
+def solve_subgraphs(spark, d):
+    """Every cluster solved with subtraction: the best fits taken, their theory subtracted, the others scored again, in rounds."""
+    p = D.numbered_peaks(view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr", "ord", "part"), "ord", "part")
+    return S.solve_with_subtraction(D.fit_members(p, CHARGES, TOLERANCE), ROUNDS).withColumn("signal", F.round(F.col("signal") + 1e-7, 2))
+
+
 @query(f"{GREEDY} SELECT p.scan_id, p.n AS peak, max(t.fit) AS fit, max(t.fit) IS NOT NULL AS claimed FROM pk p LEFT JOIN link l ON l.scan_id = p.scan_id AND l.peak = p.n LEFT JOIN taken t ON t.fit = l.fit GROUP BY p.scan_id, p.n")
 def solution_for_peak(spark, d):
     """The chosen fit that claims each peak, if one does."""
@@ -135,10 +187,15 @@ def cluster_fits_using_mz(spark, d):
 @query(f"""{CLUSTERS} SELECT a.cluster, count(*) AS pairs, sum(CASE WHEN list_has_any(a.peaks, b.peaks) THEN 1 ELSE 0 END)::BIGINT AS share_peaks, sum(CASE WHEN a.lo <= b.hi AND b.lo <= a.hi THEN 1 ELSE 0 END)::BIGINT AS share_span FROM cl a JOIN cl b ON a.cluster = b.cluster AND a.fit < b.fit GROUP BY a.cluster""")
 def fit_overlaps(spark, d):
     """Pairs of fits in a cluster: how many share a peak, and how many overlap in m/z."""
-    c = D.clusters(fits(spark, d)).select("cluster", "fit", "peaks", "lo", "hi")
-    pairs = c.join(c.toDF("cluster", "fit_b", "peaks_b", "lo_b", "hi_b"), "cluster").filter("fit < fit_b")
-    number = lambda test: F.sum(test.cast("long"))
-    return pairs.groupBy("cluster").agg(F.count("*").alias("pairs"), number(F.arrays_overlap("peaks", "peaks_b")).alias("share_peaks"), number((F.col("lo") <= F.col("hi_b")) & (F.col("lo_b") <= F.col("hi"))).alias("share_span"))
+    c = D.clusters(fits(spark, d))
+    at = D.links(c).join(c.select("fit", "cluster"), "fit").select("cluster", "scan_id", "peak", "fit")  # few fits use a peak
+    share = at.join(at.withColumnRenamed("fit", "other"), ["cluster", "scan_id", "peak"]).filter("fit < other").select("cluster", "fit", "other").distinct().groupBy("cluster").agg(F.count("*").alias("share_peaks"))
+    # apart: for each start the ends before it
+    ends = c.select("cluster", F.explode(F.array(F.struct(F.col("lo").alias("v"), F.lit(0).alias("is_end")), F.struct(F.col("hi").alias("v"), F.lit(1).alias("is_end")))).alias("e")).select("cluster", "e.*")
+    before = F.sum("is_end").over(W.partitionBy("cluster").orderBy("v", "is_end").rowsBetween(W.unboundedPreceding, 0))
+    apart = ends.withColumn("before", before).filter("is_end = 0").groupBy("cluster").agg(F.sum("before").alias("apart"), F.count("*").alias("n"))
+    pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
+    return apart.filter("n > 1").join(share, "cluster", "left").select("cluster", pairs.alias("pairs"), F.coalesce("share_peaks", F.lit(0).cast("long")).alias("share_peaks"), (pairs - F.col("apart")).alias("share_span"))
 
 
 #: Product scans with the survey scan before them, and the survey's peak nearest to the precursor.
@@ -150,15 +207,15 @@ target AS MATERIALIZED (SELECT *, abs(mz - precursor_mz) <= precursor_mz * 2e-5
 def product_scans(spark, d):
     """Product scans with ``survey``, the last MS1 scan before them."""
     s = view(spark, d, "v_peak_scan")
-    w = W.orderBy("scan_time", "scan_id").rowsBetween(W.unboundedPreceding, 0)  # scan headers only: a run's, not its peaks
-    return s.withColumn("survey", F.max(F.when(F.col("ms_level") == 1, F.col("scan_id"))).over(w)).filter("ms_level = 2")
+    return previous_where(s, ["scan_time", "scan_id"], F.col("ms_level") == 1, "scan_id", "survey").filter("ms_level = 2")
 
 
 def precursor_peaks(products, peaks):
     """For each product scan the survey's peak nearest to its precursor: exact within 2e-5, rejected beyond the window's half width of 1.5."""
-    survey = peaks.select(F.col("scan_id").alias("survey"), "n", "mz", "intensity")
-    pairs = products.select("scan_id", "survey", "precursor_mz", F.col("charge").alias("given")).join(survey, "survey")
-    near = best_match(pairs, ["scan_id"], F.abs(F.col("mz") - F.col("precursor_mz")), F.col("n"))
+    first = peaks.groupBy(F.col("scan_id").alias("survey"), "mz").agg(F.min(F.struct("n", "intensity")).alias("p"))  # the first of equal ones
+    asked = products.select("scan_id", "survey", "precursor_mz", F.col("charge").alias("given")).dropna(subset=["survey"])
+    near = nearest_join(asked, first.select("survey", "mz", "p.n", "p.intensity"), "precursor_mz", "mz", ["survey"], ["n", "intensity"])
+    near = near.withColumnRenamed("nearest_mz", "mz").filter("mz is not null")
     off = F.abs(F.col("mz") - F.col("precursor_mz"))
     return near.select("scan_id", "survey", "precursor_mz", "given", "n", "mz", "intensity", (off <= F.col("precursor_mz") * 2e-5).alias("exact"), (off > 1.5).alias("rejected"))
 
@@ -194,8 +251,8 @@ def processed(spark, d, trust_charge_hint=True):
     chosen = f.select("fit", F.col("charge").alias("solved"), "mono_mz", "signal", "peaks")
     s = t.join(best, "scan_id", "left").join(chosen, "fit", "left")
     window = p.select(F.col("scan_id").alias("survey"), F.col("n").alias("m"), F.col("mz").alias("at"), F.col("intensity").alias("i"))
-    inside = F.col("at").between(F.col("precursor_mz") - 1.5, F.col("precursor_mz") + 1.5)
-    share = s.select("scan_id", "survey", "precursor_mz", "peaks").join(window, "survey").filter(inside)
+    spans = s.select("scan_id", "survey", "peaks", (F.col("precursor_mz") - 1.5).alias("from"), (F.col("precursor_mz") + 1.5).alias("to"))
+    share = interval_join(spans, window.withColumn("end", F.col("at")), ("from", "to"), ("at", "end"), 3.0, ["survey"])
     share = share.groupBy("scan_id").agg((F.coalesce(F.sum(F.when(F.array_contains("peaks", F.col("m")), F.col("i"))), F.lit(0.0)) / F.sum("i")).alias("purity"))
     unlike = (F.col("solved") == 1) | ((F.col("solved") != F.col("given")) & F.lit(trust_charge_hint))
     outcome = F.when(F.col("fit").isNull(), "orphan").when(unlike, "default").otherwise("extracted")

@@ -7,7 +7,7 @@ apart from all others, so a solution needs one small group at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,6 +15,7 @@ from massloom.functions.mass import ISOTOPE_GAP, neutral_mass
 from massloom.functions.scoring import msdeconv_term
 from massloom.operators.graph import connected_components
 from massloom.operators.joins import range_join
+from massloom.operators.solutions import greedy_rounds
 
 #: Isotopes of a fit's pattern, and daltons for each expected heavy isotope.
 ISOTOPES, DALTONS = 4, 1800.0
@@ -38,26 +39,30 @@ def isotope_hits(peaks: DataFrame, charges: list[int], tolerance: float) -> Data
     return hit.select("scan_id", "mono", "mono_mz", "charge", "k", "p.*")
 
 
-def isotopic_fits(peaks: DataFrame, charges: list[int], tolerance: float, daltons: float = DALTONS) -> DataFrame:
-    """Fits of two peaks or more with a score above 0: (scan_id, fit, charge, mono_mz, mono, peaks, lo, hi, signal, score).
+def fit_members(peaks: DataFrame, charges: list[int], tolerance: float, daltons: float = DALTONS) -> DataFrame:
+    """One row for each peak of each fit of two peaks or more, with ``weight``, its share of the pattern, and the fit's number and total.
 
-    The expected pattern is a Poisson one of ISOTOPES peaks at the fit's mass,
-    scaled to the signal found; ``daltons`` is the mass for each expected heavy
-    isotope, by which averagines differ. ``fit`` is unique in the whole table.
+    The expected pattern is a Poisson one of ISOTOPES peaks at the fit's mass;
+    ``daltons`` is the mass for each expected heavy isotope, by which averagines
+    differ. ``fit`` is unique in the whole table.
     """
-    fit = ["scan_id", "mono", "mono_mz", "charge"]
-    w = W.partitionBy(*fit)
+    w = W.partitionBy("scan_id", "mono", "mono_mz", "charge")
     rate = neutral_mass(F.col("mono_mz"), F.col("charge")) / daltons
     hits = isotope_hits(peaks, charges, tolerance).withColumn("l", rate).withColumn("total", F.sum("intensity").over(w)).withColumn("found", F.count("*").over(w)).filter("found > 1")
     weight = F.pow("l", "k") / F.factorial("k")
     norm = 1 + F.col("l") + F.pow("l", F.lit(2)) / 2 + F.pow("l", F.lit(3)) / 6
-    theory = hits.withColumn("theory", weight / norm * F.col("total"))
+    number = (F.col("scan_id") * PEAK_SLOTS + F.col("mono")) * CHARGE_SLOTS + F.col("charge")
+    return hits.withColumn("weight", weight / norm).withColumn("fit", number)
+
+
+def isotopic_fits(peaks: DataFrame, charges: list[int], tolerance: float, daltons: float = DALTONS) -> DataFrame:
+    """Fits of two peaks or more with a score above 0: (scan_id, fit, charge, mono_mz, mono, peaks, lo, hi, signal, score); the pattern is scaled to the signal found."""
+    theory = fit_members(peaks, charges, tolerance, daltons).withColumn("theory", F.col("weight") * F.col("total"))
     term = msdeconv_term(F.col("mz"), F.col("intensity"), F.col("snr"), F.col("want"), F.col("theory"))
-    out = theory.groupBy(*fit).agg(
-        F.sort_array(F.collect_set("n")).alias("peaks"), F.min("mz").alias("lo"), F.max("mz").alias("hi"), F.sum("intensity").alias("signal"), F.round(F.sum(term) + 1e-9, 6).alias("score"), F.max("found").alias("n_peaks")
+    out = theory.groupBy("scan_id", "mono", "mono_mz", "charge").agg(
+        F.sort_array(F.collect_set("n")).alias("peaks"), F.min("mz").alias("lo"), F.max("mz").alias("hi"), F.sum("intensity").alias("signal"), F.round(F.sum(term) + 1e-9, 6).alias("score"), F.max("found").alias("n_peaks"), F.max("fit").alias("fit")
     )
-    number = (F.col("scan_id") * PEAK_SLOTS + F.col("mono")) * CHARGE_SLOTS + F.col("charge")
-    return out.filter("score > 0").withColumn("fit", number)
+    return out.filter("score > 0")
 
 
 def links(fits: DataFrame) -> DataFrame:
@@ -93,12 +98,5 @@ def clusters(fits: DataFrame) -> DataFrame:
 
 def greedy_disjoint(clustered: DataFrame) -> DataFrame:
     """(cluster, fit): in each cluster fits are taken by falling score where none of their peaks is taken yet."""
-    item = F.struct((-F.col("score")).alias("s"), "fit", "peaks")
-    groups = clustered.groupBy("cluster").agg(F.sort_array(F.collect_list(item)).alias("fits"))
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(acc: Column, x: Column) -> Column:
-        more = F.struct(F.concat(acc["used"], x["peaks"]).alias("used"), F.concat(acc["taken"], F.array(x["fit"])).alias("taken"))
-        return F.when(F.arrays_overlap(acc["used"], x["peaks"]), acc).otherwise(more)
-
-    return groups.select("cluster", F.explode(F.aggregate("fits", start, step)["taken"]).alias("fit"))
+    taken = greedy_rounds(links(clustered).withColumnRenamed("peak", "n"))
+    return clustered.select("cluster", "fit").join(taken.select("fit"), "fit").select("cluster", "fit")
