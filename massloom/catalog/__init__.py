@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import every module of queries."""
-    from massloom.catalog import clusters, deconvolution, dependence, envelopes, featuremaps, features, indexes, kernels, metadata, mobility, paths, peaks, precursors, quality, roundtrips, scans, services, signals, similarity, streams  # noqa: F401
+    from massloom.catalog import clusters, deconvolution, dependence, envelopes, featuremaps, features, indexes, kernels, metadata, mobility, paths, peaks, precursors, quality, roundtrips, scans, services, signals, similarity, streams, tracing  # noqa: F401

@@ -6,6 +6,8 @@ its SQL start from the same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
@@ -23,6 +25,10 @@ VIEWS = {
     ),
     "v_signal": ("events", "event_id, event_type AS channel, user_id AS run, CAST(ts AS TIMESTAMP) AS ts, value + 100 AS mz, value AS intensity"),
     "v_ion": ("lineitem", "l_suppkey AS frame_id, l_discount * 10 AS drift, 100 + l_extendedprice / CAST(50 AS DOUBLE) AS mz, l_quantity * 100 AS intensity"),
+    "v_ion_point": (
+        "lineitem",
+        "l_orderkey * 8 + l_linenumber AS id, l_suppkey AS frame_id, l_discount * 10 AS drift, CAST(1 + l_linenumber % 3 AS INT) AS charge, 100 + l_extendedprice / CAST(50 AS DOUBLE) AS mz, l_quantity * 100 AS intensity",
+    ),
     "v_target": ("part", "p_partkey AS target_id, p_brand AS name, p_retailprice AS target_mass, p_size AS size"),
 }
 
@@ -34,7 +40,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """The SQL with the views that it names defined in front."""
-    used = [f"{n} AS (SELECT {c} FROM {t})" for n, (t, c) in VIEWS.items() if n in sql]
+    used = [f"{n} AS (SELECT {c} FROM {t})" for n, (t, c) in VIEWS.items() if re.search(rf"\b{n}\b", sql)]
     recursive = sql.lstrip().upper().startswith("WITH RECURSIVE")
     body = sql.lstrip()
     if body.upper().startswith("WITH"):
