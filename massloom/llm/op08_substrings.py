@@ -12,9 +12,9 @@ minimiser occurrence form a super-k-mer.
    minimiser. Sorted by minimiser and streamed, each bucket finds for every
    window the earliest start, comparing words themselves, and emits the word
    ranges of later starts. Minimisers shared by very many super-k-mers are not
-   gathered: equal packed strings are grouped with a combinable minimum, so all
-   but the earliest of them are later as a whole, and only the earliest ones'
-   windows are grouped in turn.
+   gathered: equal packed strings are grouped, by digest, with a combinable
+   minimum, so all but the earliest of them are later as a whole, and only the
+   earliest ones' windows are grouped in turn.
 3. The ranges return to their documents, where the words go.
 """
 
@@ -178,12 +178,15 @@ def repeated_ranges(packed: DataFrame, window: int) -> DataFrame:
             yield pa.record_batch([b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32()), pa.array(ws, pa.binary())], ["doc_id", "h", "start", "w"])
 
     place = F.struct(*KEY, "start")
-    often = packed.filter("hot").select(*KEY, "start", "n", "packed")
-    heads = often.groupBy("packed").agg(F.min(place).alias("first"))
-    whole = often.join(heads, "packed").filter(place != F.col("first")).select(*KEY, F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
+    # equal strings and windows meet by digest, those of very many places by broadcast
+    often = packed.filter("hot").select(*KEY, "start", "n", "packed", F.md5("packed").alias("p"))
+    total, windows = often.agg(F.count("*"), F.sum(F.col("n") - (window - 1))).first()
+    heads = materialize(often.groupBy("p").agg(F.min(F.struct(place.alias("at"), "packed")).alias("s"), F.count("*").alias("c")).select("p", F.col("s.at").alias("first"), "s.packed", "c"), "substr-heads")
+    whole = join_counted(often.drop("packed"), heads.drop("packed"), ["p"], total or 0).filter(place != F.col("first")).select(*KEY, F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))
     hot = heads.select("first.*", "packed").mapInArrow(split, "doc_id long, h long, start int, w binary")
-    earliest = hot.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    later = hot.join(earliest, "w").filter(place != F.col("first")).select(*KEY, F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
+    hot = hot.select(*KEY, "start", F.md5("w").alias("w"))
+    earliest = hot.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1")
+    later = join_counted(hot, earliest, ["w"], windows or 0).filter(place != F.col("first")).select(*KEY, F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
     return out.unionByName(whole).unionByName(later)
 
 

@@ -9,9 +9,9 @@ can be missing. So the search loses nothing, and the short item costs the same
 in a document of a million words. Candidates are verified by counting the
 item's whole shingle set in the document's.
 
-An item of fewer words than a shingle is one shingle of its whole sequence, as
-in the SQL twin: it is found in a document of the same words only, never inside
-a longer one.
+An item of fewer words than a shingle is one shingle of its whole sequence.
+Where a block has items of so few words, the documents' runs of as many words
+count as shingles too, so such an item is found inside longer documents.
 
 Documents are read once and never shuffled. Items travel to the tasks in
 blocks of at most ``block_bytes`` of shingles, one block at a time; a larger
@@ -41,8 +41,8 @@ PAIRS = "doc_id long, item_id long, n_item_shingles long, n_shared long, contain
 class ItemIndex:
     """Shingle sets of a block of items with the inverted list of retained values, by size partition."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], threshold: float) -> None:
-        self.ids, self.sets = ids, sets
+    def __init__(self, ids: list, sets: list[np.ndarray], threshold: float, short: tuple[int, ...] = ()) -> None:
+        self.ids, self.sets, self.short = ids, sets, short
         self.need = np.array([max(1, int(np.ceil(threshold * len(s) - 1e-9))) for s in sets], dtype=np.int64)
         self.partitions = []
         by_size: dict[int, list[int]] = {}
@@ -76,15 +76,16 @@ class ItemIndex:
 
 
 def item_sets(items: DataFrame, size: int) -> DataFrame:
-    """(item_id, shingles): the distinct shingle hashes of each item, ascending."""
+    """(item_id, shingles, words): the distinct shingle hashes of each item, ascending, and the number of words of an item of fewer than a shingle has, else 0."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pows = Powers()
         for b in parts(batches):
             sets = [s for _, s in shingle_sets(b.column(1), size, pows=pows)]
-            yield pa.record_batch([b.column(0), list_column([s.view(np.int64) for s in sets], np.int64, pa.int64())], ["item_id", "shingles"])
+            words = [len((t or "").encode().split()) for t in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), list_column([s.view(np.int64) for s in sets], np.int64, pa.int64()), pa.array([n if n < size else 0 for n in words], pa.int32())], ["item_id", "shingles", "words"])
 
-    return texts_of(items, doc_id="item_id").mapInArrow(kernel, "item_id long, shingles array<long>")
+    return texts_of(items, doc_id="item_id").mapInArrow(kernel, "item_id long, shingles array<long>, words int")
 
 
 def item_blocks(items: DataFrame, size: int, threshold: float, block_bytes: int) -> tuple[int, Iterator[Shipped]]:
@@ -97,7 +98,7 @@ def item_blocks(items: DataFrame, size: int, threshold: float, block_bytes: int)
     def make() -> Iterator[Shipped]:
         for block in range(blocks):
             rows = sets.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == block).collect()
-            index = ship(spark, ItemIndex([r.item_id for r in rows], [np.array(r.shingles, dtype=np.int64).view(np.uint64) for r in rows], threshold))
+            index = ship(spark, ItemIndex([r.item_id for r in rows], [np.array(r.shingles, dtype=np.int64).view(np.uint64) for r in rows], threshold, tuple(sorted({r.words for r in rows} - {0}))))
             yield index
             if blocks > 1:  # what it served is written by now
                 index.unpersist()
@@ -123,7 +124,7 @@ def find_contained(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE, th
             pows, ix = Powers(), index.value
             for b in parts(batches):
                 rows, found, shared = [], [], []
-                for row, held in shingle_sets(b.column(1), size, pows=pows):
+                for row, held in shingle_sets(b.column(1), size, pows=pows, also=ix.short):
                     for k, n in ix.search(held):
                         rows.append(row)
                         found.append(k)
@@ -171,7 +172,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, size: int = SHINGLE,
             pows = Powers()
             for texts in batches:
                 out = np.ones(len(texts), dtype=bool)
-                for row, held in shingle_sets(texts, size, pows=pows):
+                for row, held in shingle_sets(texts, size, pows=pows, also=index.value.short):
                     out[row] = next(index.value.search(held), None) is None
                 yield pa.array(out)
 
@@ -197,6 +198,8 @@ _SETS = """{name} AS (
 ORACLE_SQL = f"""WITH {_SETS.format(name="d", key="doc_id", words=_WORDS, table="documents")},
 {_SETS.format(name="b", key="item_id", words=_WORDS, table="benchmark")},
 bi AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b),
-di AS (SELECT doc_id, unnest(s) AS g FROM d)
+k AS (SELECT DISTINCT len(string_split(s[1], ' ')) AS k FROM b WHERE len(s) = 1 AND len(string_split(s[1], ' ')) < 5),
+r AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents) y, k WHERE len(w) >= k),
+di AS (SELECT doc_id, unnest(s) AS g FROM d UNION SELECT doc_id, array_to_string(w[i:i+k-1], ' ') FROM r)
 SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, count(*) AS n_shared, count(*) / CAST(n AS DOUBLE) AS containment
 FROM di JOIN bi USING (g) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.75 * n"""

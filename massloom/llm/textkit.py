@@ -125,11 +125,12 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(texts: pa.Array, size: int, lower: bool = True, pows: Powers | None = None) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(texts: pa.Array, size: int, lower: bool = True, pows: Powers | None = None, also: tuple[int, ...] = ()) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its distinct shingle hashes in ascending order) for each row.
 
     A row of fewer than ``size`` words has its whole word sequence as one
-    shingle; a row without words has none.
+    shingle; a row without words has none. Runs of so many words as ``also``
+    names, all below ``size``, count as shingles too, hashed as a row of so many words is.
     """
     codes, gap, low, pows = byte_codes(), is_gap(), ascii_lower(), pows or Powers()
     for first, last, data, offsets in slices(texts):
@@ -139,7 +140,10 @@ def shingle_sets(texts: pa.Array, size: int, lower: bool = True, pows: Powers |
         windows = window_hashes(words, size)
         for row in range(last - first):
             a, b = int(at[row]), int(at[row + 1])
-            if b - a >= size:
+            if also and b > a:
+                own = [windows[a : b - size + 1]] if b - a >= size else [window_hashes(words[a:b], b - a) + np.uint64(b - a)]
+                yield first + row, np.unique(np.concatenate([*own, *(window_hashes(words[a:b], n) + np.uint64(n) for n in also if n <= b - a)]))
+            elif b - a >= size:
                 yield first + row, np.unique(windows[a : b - size + 1])
             elif b > a:
                 yield first + row, window_hashes(words[a:b], b - a) + np.uint64(b - a)

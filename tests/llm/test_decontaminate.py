@@ -26,7 +26,8 @@ def test_same_pairs_as_brute_force(spark):
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = set()
     for d, t in docs:
-        held = shingles(t)
+        words = t.lower().split()
+        held = shingles(t) | {tuple(words[i : i + n]) for n in (1, 3) for i in range(len(words) - n + 1)}  # items of one and three words
         for i, u in items:
             own = shingles(u)
             if own and len(own & held) >= 0.75 * len(own):
@@ -55,3 +56,12 @@ def test_rows_that_share_an_id_are_judged_each_for_itself(spark):
     for block in (1 << 24, 8):  # one block, and one for each item
         kept = drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string, n int"), items, block_bytes=block)
         assert sorted(r.n for r in kept.collect()) == [2, 3, 5]
+
+
+def test_short_items_are_found_inside_longer_documents(spark):
+    docs = spark.createDataFrame([(1, "the answer is forty two of course"), (2, "forty"), (3, "two forty one"), (4, "forty two")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Forty two"), (2, "answer is forty two"), (3, "forty")], "item_id long, text string")
+    for block in (1 << 24, 8):
+        got = {(r.doc_id, r.item_id) for r in find_contained(docs, items, block_bytes=block).collect()}
+        assert got == {(1, 1), (1, 2), (1, 3), (2, 3), (3, 3), (4, 1), (4, 3)}
+    assert [r.doc_id for r in drop_contaminated(docs, items.filter("item_id = 1")).collect()] == [2, 3]

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from massloom.llm import op03_neardup
 from massloom.llm.op03_neardup import drop_near_duplicates, near_duplicates
 
 
@@ -54,7 +57,9 @@ def corpus(seed):
     return rows
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("part", [2000, 3])
+def test_components_match_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(op03_neardup, "LIST_PART", part)  # long lists dealt over parts
     rows = corpus(1)
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute(rows)

@@ -66,3 +66,13 @@ def test_one_id_with_two_texts(spark):
     long = " ".join(f"w{i}" for i in range(30))
     got = run(spark.createDataFrame([(1, long), (1, "x " + long)], "doc_id long, text string"))
     assert sorted(n for _, _, n, _ in got) == [0, 30]
+
+
+def test_one_string_in_very_many_places_is_split_over_tasks(spark):
+    """What meets the earliest place of a string that all documents share goes by broadcast, at any size of a bucket."""
+    long = " ".join(f"w{i}" for i in range(24))
+    rows = [(k, long) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    for hot in (10, 1000, 100_000):
+        got = run(df, hot=hot)
+        assert got == [(k, 24, 24 if k else 0, *g[3:]) for (k, *_), g in zip(rows, got, strict=True)]
