@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from massloom.catalog import query
 from massloom.functions.mass import ISOTOPE_GAP, PROTON, neutral_mass
 from massloom.operators import dependence as D
+from massloom.operators import isotopes
 from massloom.operators import solutions as S
+from massloom.operators.compositions import composition_members, composition_theory
 from massloom.operators.joins import best_match, interval_join, nearest_join, range_join
 from massloom.operators.ordered import coalesce_spans, previous_where
 from massloom.plans.views import view
@@ -134,9 +136,9 @@ def heaviest_path(spark, d):
 ROUNDS = 10
 
 
-def rounds_sql() -> str:
-    """The rounds of the solver with subtraction, one after another."""
-    out = [f"r0 AS MATERIALIZED (SELECT scan_id, (scan_id * {D.PEAK_SLOTS} + mono) * {D.CHARGE_SLOTS} + charge AS fit, n, want, mz, snr, weight, intensity FROM th)"]
+def rounds_sql(members: str) -> str:
+    """The rounds of the solver with subtraction, one after another, from a SELECT of members."""
+    out = [f"r0 AS MATERIALIZED ({members})"]
     for k in range(ROUNDS):
         out.append(f"""a{k} AS (SELECT *, weight * sum(intensity) OVER (PARTITION BY scan_id, fit) AS theory, count(*) OVER (PARTITION BY scan_id, fit) AS found FROM r{k} WHERE intensity > 1),
 b{k} AS (SELECT *, round(sum(CASE WHEN snr < 1 THEN 0 ELSE sqrt(theory) * CASE WHEN abs(mz - want) <= 0.02 THEN 1 - abs(mz - want) / 0.02 ELSE 0 END * greatest(CASE WHEN intensity < theory THEN 1 - (theory - intensity) / intensity ELSE sqrt(greatest(1 - (intensity - theory) / intensity, 0)) END, 0) END) OVER (PARTITION BY scan_id, fit) + 1e-9, 5) AS score FROM a{k} WHERE found > 1),
@@ -148,14 +150,68 @@ r{k + 1} AS MATERIALIZED (SELECT scan_id, fit, n, want, mz, snr, weight, CASE WH
     return ",\n".join(out)
 
 
-@query(f"""WITH {PEAKS}, {FITTED.replace("AS theory FROM obs", "AS theory, pow(l, k) / CASE k WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END / (1 + l + pow(l, 2) / 2 + pow(l, 3) / 6) AS weight FROM obs")},
-{rounds_sql()} SELECT scan_id, fit, CAST(round AS INT) AS round, score, round(signal + 1e-7, 2) AS signal, n_peaks FROM solved""")
+WEIGHTED = FITTED.replace("AS theory FROM obs", "AS theory, pow(l, k) / CASE k WHEN 3 THEN 6 WHEN 2 THEN 2 ELSE 1 END / (1 + l + pow(l, 2) / 2 + pow(l, 3) / 6) AS weight FROM obs")
+MEMBERS = f"SELECT scan_id, (scan_id * {D.PEAK_SLOTS} + mono) * {D.CHARGE_SLOTS} + charge AS fit, n, want, mz, snr, weight, intensity FROM th"
+
+
+@query(f"""WITH {PEAKS}, {WEIGHTED},
+{rounds_sql(MEMBERS)} SELECT scan_id, fit, CAST(round AS INT) AS round, score, round(signal + 1e-7, 2) AS signal, n_peaks FROM solved""")
 def solve_subgraphs(spark, d):
     """Every cluster solved with subtraction: the best fits taken, their theory subtracted, the others scored again, in rounds."""
     p = D.numbered_peaks(view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr", "ord", "part"), "ord", "part")
     return S.solve_with_subtraction(D.fit_members(p, CHARGES, TOLERANCE), ROUNDS).withColumn("signal", F.round(F.col("signal") + 1e-7, 2))
 
 
+#: A few sugars; the isotopes of each at each charge.
+KNOWN = [(f"hex{h}hexnac{n}", {"C": 6 * h + 8 * n, "H": 10 * h + 13 * n + 2, "N": n, "O": 5 * h + 5 * n + 1}) for h in range(1, 9) for n in range(1, 6)]
+THEORY, KNOWN_TOLERANCE = composition_theory(KNOWN, CHARGES), 2e-4
+KNOWN_SQL = f"""know AS (SELECT * FROM (VALUES {", ".join(f"({a}, '{b}', {c}, {k}, {x!r}, {p!r})" for a, b, c, k, x, p in THEORY)}) x(number, name, charge, k, want, weight)),
+near AS (SELECT scan_id, number, name, charge, want, CAST(weight AS DOUBLE) AS weight, n, mz, intensity, snr, row_number() OVER (PARTITION BY scan_id, number, charge, k ORDER BY abs(mz - want), n) AS r FROM know JOIN pk ON abs(mz - want) <= want * {KNOWN_TOLERANCE}),
+comp AS MATERIALIZED (SELECT *, -((scan_id * 100000 + number) * 16 + charge) - 1 AS fit FROM (SELECT *, count(*) OVER (PARTITION BY scan_id, number, charge) AS found FROM near WHERE r = 1) WHERE found > 1)"""
+COMPOSED = "SELECT scan_id, fit, n, want, mz, snr, weight, intensity FROM comp"
+
+
+def composed(p):
+    return composition_members(p, THEORY, KNOWN_TOLERANCE)
+
+
+@query(f"""WITH {PEAKS}, {KNOWN_SQL}, {rounds_sql(COMPOSED)}, nm AS (SELECT DISTINCT fit, name, charge FROM comp) SELECT scan_id, name, charge, CAST(round AS INT) AS round, score, n_peaks FROM solved JOIN nm USING (fit)""")
+def composition_graph(spark, d):
+    """Known compositions in the dependence graph: their fits compete for peaks, the best are taken and subtracted, in rounds."""
+    p = D.numbered_peaks(view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr", "ord", "part"), "ord", "part")
+    m = composed(p)
+    out = S.solve_with_subtraction(m, ROUNDS)
+    return out.join(m.select("fit", "name", "charge").distinct(), "fit").select("scan_id", "name", "charge", "round", "score", "n_peaks")
+
+
+@query(f"""WITH {PEAKS}, {WEIGHTED}, {KNOWN_SQL}, {rounds_sql(f"{MEMBERS} UNION ALL {COMPOSED}")} SELECT scan_id, fit, fit < 0 AS known, CAST(round AS INT) AS round, score, n_peaks FROM solved""")
+def hybrid_graph(spark, d):
+    """Known compositions and averagine patterns compete for the same peaks in one graph."""
+    p = D.numbered_peaks(view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr", "ord", "part"), "ord", "part")
+    kept = ["scan_id", "fit", "n", "want", "mz", "snr", "weight", "intensity"]
+    both = D.fit_members(p, CHARGES, TOLERANCE).select(*kept).unionByName(composed(p).select(*kept))
+    return S.solve_with_subtraction(both, ROUNDS).select("scan_id", "fit", (F.col("fit") < 0).alias("known"), "round", "score", "n_peaks")
+
+
+#: From a pattern's largest peak to its first, in neutrons, by neutral mass.
+STEP = 100.0
+OFFSETS = isotopes.base_peak_offsets(isotopes.AVERAGINES["peptide"], 2300.0 * max(CHARGES), STEP)
+
+
+@query(f"""WITH {PEAKS}, o AS (SELECT scan_id, n, mz, unnest({CHARGES}) AS charge FROM pk), w AS (SELECT *, mz * charge - charge * {PROTON} AS mass, {OFFSETS}[CAST(floor((mz * charge - charge * {PROTON}) / {STEP}) AS BIGINT) + 1] AS off FROM o),
+h AS (SELECT w.scan_id, w.n, charge, off, p.n AS mono, row_number() OVER (PARTITION BY w.scan_id, w.n, charge ORDER BY abs(p.mz - (w.mz - off * {ISOTOPE_GAP} / charge)), p.n) AS r FROM w JOIN pk p ON p.scan_id = w.scan_id AND abs(p.mz - (w.mz - off * {ISOTOPE_GAP} / charge)) <= (w.mz - off * {ISOTOPE_GAP} / charge) * {TOLERANCE} WHERE off > 0)
+SELECT scan_id, n AS base_peak, charge, CAST(off AS INT) AS neutrons, mono FROM h WHERE r = 1""")
+def monoisotopic_offset(spark, d):
+    """Each peak taken for the largest of a pattern: the peak that would be its first, where the expected number of neutrons below there is one."""
+    p = D.numbered_peaks(view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr", "ord", "part"), "ord", "part").select("scan_id", "n", "mz")
+    q = p.select("scan_id", F.col("n").alias("base_peak"), F.col("mz").alias("base"), F.explode(F.array(*map(F.lit, CHARGES))).alias("charge"))
+    mass = neutral_mass(F.col("base"), F.col("charge"))
+    q = q.withColumn("neutrons", F.get(F.array(*map(F.lit, OFFSETS)), F.floor(mass / STEP).cast("int"))).filter("neutrons > 0")
+    q = q.withColumn("want", F.col("base") - F.col("neutrons") * F.lit(ISOTOPE_GAP) / F.col("charge"))
+    hits = range_join(q, p.withColumnRenamed("n", "mono"), "want", "mz", TOLERANCE, ["scan_id"], spread="found")
+    return best_match(hits, ["scan_id", "base_peak", "charge"], F.abs(F.col("mz") - F.col("want")), F.col("mono")).select("scan_id", "base_peak", "charge", "neutrons", "mono")
+
+
 @query(f"{GREEDY} SELECT p.scan_id, p.n AS peak, max(t.fit) AS fit, max(t.fit) IS NOT NULL AS claimed FROM pk p LEFT JOIN link l ON l.scan_id = p.scan_id AND l.peak = p.n LEFT JOIN taken t ON t.fit = l.fit GROUP BY p.scan_id, p.n")
 def solution_for_peak(spark, d):
     """The chosen fit that claims each peak, if one does."""

@@ -84,10 +84,11 @@ def extract_intervals(spark, d):
     return v.select("scan_id", F.round(F.greatest(t - 5, F.lit(0)), 6).alias("t0"), F.round(t + 5, 6).alias("t1"), F.round(F.greatest(m - 2, F.lit(0)), 6).alias("low"), F.round(m + 3, 6).alias("high"))
 
 
-@query("""WITH a AS (SELECT scan_id, 'x' AS src, charge FROM v_scan WHERE scan_id % 2 = 0 UNION ALL SELECT scan_id, 'y', charge FROM v_scan WHERE scan_id % 3 = 0) SELECT scan_id, min(charge) AS charge, count(*) AS n_sources FROM a GROUP BY scan_id""")
+@query("""WITH a AS (SELECT scan_id, 'x' AS src, charge FROM v_scan WHERE ms_level = 1 OR charge < 3 UNION ALL SELECT scan_id, 'y', charge FROM v_scan WHERE ms_level = 2) SELECT scan_id, min(charge) AS charge, count(*) AS n_sources FROM a GROUP BY scan_id""")
 def index_merge(spark, d):
-    v = view(spark, d, "v_scan").select("scan_id", "charge")
-    return v.filter("scan_id % 2 = 0").unionByName(v.filter("scan_id % 3 = 0")).groupBy("scan_id").agg(F.min("charge").alias("charge"), F.count("*").alias("n_sources"))
+    """Indexes of two sources, survey scans with low charges and all product scans, as one."""
+    v = view(spark, d, "v_scan")
+    return v.filter("ms_level = 1 or charge < 3").unionByName(v.filter("ms_level = 2")).groupBy("scan_id").agg(F.min("charge").alias("charge"), F.count("*").alias("n_sources"))
 
 
 @query("""SELECT user_id, CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS mobility, count(*) AS n FROM events GROUP BY ALL""")

@@ -84,12 +84,12 @@ def get_scan_by_id(spark, d):
     return t.join(s, "scan_id", "left").select("target_id", F.col("found").alias("scan_id"), "scan_time", "ms_level")
 
 
-@query("WITH o AS (SELECT *, row_number() OVER (ORDER BY scan_time, scan_id) - 1 AS idx FROM v_scan), f AS (SELECT coalesce(max(idx) FILTER (ms_level = 1 AND scan_time <= 60), 0) AS first FROM o) SELECT scan_id, idx, ms_level FROM o, f WHERE idx >= first AND idx < first + 500")
+@query("WITH o AS (SELECT *, row_number() OVER (ORDER BY scan_time, scan_id) - 1 AS idx FROM v_scan), f AS (SELECT coalesce(max(idx) FILTER (ms_level = 1 AND scan_time <= 60), 0) AS first FROM o) SELECT scan_id, idx, ms_level FROM o, f WHERE idx >= first")
 def start_from_scan(spark, d):
-    """The scans from the MS1 at or before a time on: a page of the run."""
+    """The scans from the MS1 at or before a time on."""
     o = row_numbers(view(spark, d, "v_scan").select("scan_id", "scan_time", "ms_level"), ORDER, "idx").withColumn("idx", F.col("idx") - 1)
     first = o.agg(F.coalesce(F.max(F.when((F.col("ms_level") == 1) & (F.col("scan_time") <= 60), F.col("idx"))), F.lit(0).cast("long")).alias("first"))
-    return o.join(F.broadcast(first), (F.col("idx") >= F.col("first")) & (F.col("idx") < F.col("first") + 500)).select("scan_id", "idx", "ms_level")
+    return o.join(F.broadcast(first), F.col("idx") >= F.col("first")).select("scan_id", "idx", "ms_level")
 
 
 @query("WITH o AS (SELECT scan_time, lag(scan_time) OVER (ORDER BY scan_id) AS before FROM v_scan) SELECT bool_and(before IS NULL OR before <= scan_time) AS is_sorted, count(*) AS n FROM o")

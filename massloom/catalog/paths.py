@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -27,9 +28,14 @@ def all_paths(spark, d):
     """(scan_id, nodes, tag): every path from a peak that no step ends at to one that none starts from.
 
     Paths grow by one step a round, for all spectra at once; steps go up in
-    mass, so this ends.
+    mass, so this ends. Paths may grow in number with every step: a spectrum of
+    more than MOST_PATHS of them is refused before any is made.
     """
     st = materialize(steps(spark, d), "path-steps")
+    starts = path_counts(st).join(st.select("scan_id", F.col("b").alias("node")).distinct(), ["scan_id", "node"], "left_anti")
+    many = starts.groupBy("scan_id").agg(F.sum("n_paths").alias("n")).filter(F.col("n") > MOST_PATHS).limit(1).collect()
+    if many:
+        raise ValueError(f"spectrum {many[0].scan_id} has {many[0].n} paths, more than {MOST_PATHS}; count them instead")
     ends = st.select("scan_id", F.col("b").alias("a")).distinct()
     front = st.join(ends, ["scan_id", "a"], "left_anti").select("scan_id", F.array("a", "b").alias("nodes"), F.col("residue").alias("tag"))
     front, done = materialize(front, "path-front"), None
@@ -42,6 +48,41 @@ def all_paths(spark, d):
     return front.select("scan_id", "nodes", "tag") if done is None else done
 
 
+#: Paths of one spectrum that are enumerated; counts have no such bound.
+MOST_PATHS = 1_000_000
+
+
+def path_counts(edges):
+    """(scan_id, node, n_paths, longest): for every node with a step (a, b), a < b, the paths from it to where no step starts, and the steps of the longest.
+
+    Dynamic programming over each spectrum's stream of steps by falling ``a``:
+    what lies behind a step is known when it comes. No path is enumerated.
+    """
+
+    def kernel(batches):
+        scan, counts, longest = None, {}, {}
+
+        def told_of(scan):
+            if max(counts.values(), default=0) >= 1 << 63:
+                raise OverflowError(f"spectrum {scan} has 2**63 paths or more")
+            nodes = list(longest)
+            return pa.record_batch([pa.array([scan] * len(nodes), pa.int64()), pa.array(nodes, pa.int64()), pa.array([counts[n] for n in nodes], pa.int64()), pa.array([longest[n] for n in nodes], pa.int64())], ["scan_id", "node", "n_paths", "longest"])
+
+        for b in batches:
+            for s, a, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if s != scan:
+                    if longest:
+                        yield told_of(scan)
+                    scan, counts, longest = s, {}, {}
+                counts[a] = counts.get(a, 0) + counts.get(z, 1)
+                longest[a] = max(longest.get(a, 0), longest.get(z, 0) + 1)
+        if longest:
+            yield told_of(scan)
+
+    streams = edges.select("scan_id", "a", "b").repartition("scan_id").sortWithinPartitions("scan_id", F.desc("a"), "b")
+    return streams.mapInArrow(kernel, "scan_id long, node long, n_paths long, longest long")
+
+
 def told(nodes):
     return F.array_join(F.transform(nodes, lambda x: x.cast("string")), "-")
 
@@ -76,13 +117,16 @@ def graph_paths(spark, d):
 @query(f"{PATHS} SELECT scan_id, nodes[1] AS node, count(*) AS n_paths, CAST(max(len(nodes)) - 1 AS BIGINT) AS longest FROM path GROUP BY scan_id, nodes[1]")
 def paths_starting_at(spark, d):
     """How many paths start at each node, and the steps of the longest."""
-    return all_paths(spark, d).groupBy("scan_id", F.get("nodes", F.lit(0)).alias("node")).agg(F.count("*").alias("n_paths"), (F.max(F.size("nodes")) - 1).cast("long").alias("longest"))
+    st = materialize(steps(spark, d), "path-steps")
+    return path_counts(st).join(st.select("scan_id", F.col("b").alias("node")).distinct(), ["scan_id", "node"], "left_anti")
 
 
 @query(f"{PATHS} SELECT scan_id, nodes[-1] AS node, count(*) AS n_paths, CAST(max(len(nodes)) - 1 AS BIGINT) AS longest FROM path GROUP BY scan_id, nodes[-1]")
 def paths_ending_at(spark, d):
     """How many paths end at each node, and the steps of the longest."""
-    return all_paths(spark, d).groupBy("scan_id", F.element_at("nodes", -1).alias("node")).agg(F.count("*").alias("n_paths"), (F.max(F.size("nodes")) - 1).cast("long").alias("longest"))
+    st = materialize(steps(spark, d), "path-steps")
+    back = path_counts(st.select("scan_id", (-F.col("b")).alias("a"), (-F.col("a")).alias("b"))).withColumn("node", -F.col("node"))
+    return back.join(st.select("scan_id", F.col("a").alias("node")).distinct(), ["scan_id", "node"], "left_anti")
 
 
 CLOSED = f"{PATHS}, closed AS (SELECT * FROM path p WHERE NOT EXISTS (SELECT 1 FROM path o WHERE o.scan_id = p.scan_id AND len(o.nodes) > len(p.nodes) AND list_has_all(o.nodes, p.nodes)))"

@@ -116,9 +116,9 @@ def spectrum_description(spark, d):
     return view(spark, d, "v_peak").groupBy("scan_id").agg(F.round(F.min("mz"), 6).alias("lowest_mz"), F.round(F.max("mz"), 6).alias("highest_mz"), F.sum("intensity").alias("tic"), F.max("intensity").alias("base_intensity"))
 
 
-@query("""WITH r AS (SELECT scan_id, charge, mz, intensity, row_number() OVER (PARTITION BY scan_id, charge ORDER BY mz, intensity, ord, part) - 1 AS k FROM v_peak) SELECT scan_id, CAST(k AS BIGINT) AS position, sum(intensity) AS intensity, round(sum(mz * intensity) / sum(intensity), 4) AS mz FROM r WHERE k < 5 GROUP BY scan_id, k""")
+@query("""WITH r AS (SELECT scan_id, charge, mz, intensity, row_number() OVER (PARTITION BY scan_id, charge ORDER BY mz, intensity, ord, part) - 1 AS k FROM v_peak) SELECT scan_id, CAST(k AS BIGINT) AS position, sum(intensity) AS intensity, round(sum(mz * intensity) / sum(intensity) + 1e-8, 4) AS mz FROM r GROUP BY scan_id, k""")
 def sum_envelopes(spark, d):
     """Envelopes added position by position, m/z weighted by signal."""
     k = (F.row_number().over(W.partitionBy("scan_id", "charge").orderBy("mz", "intensity", "ord", "part")) - 1).cast("long")
-    r = view(spark, d, "v_peak").withColumn("position", k).filter("position < 5")
-    return r.groupBy("scan_id", "position").agg(F.sum("intensity").alias("intensity"), F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity"), 4).alias("mz"))
+    r = view(spark, d, "v_peak").withColumn("position", k)
+    return r.groupBy("scan_id", "position").agg(F.sum("intensity").alias("intensity"), F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity") + 1e-8, 4).alias("mz"))

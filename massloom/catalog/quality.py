@@ -99,8 +99,9 @@ def intensity_ratio_bucket(spark, d):
 
 # fixed values: residue masses of six amino acids
 RESIDUES = {"G": 57.02146, "A": 71.03711, "S": 87.03203, "P": 97.05276, "V": 99.06841, "T": 101.04768}
-GRAPH = f"""WITH c AS (SELECT unnest({list(RESIDUES)}) AS residue, unnest({list(RESIDUES.values())}) AS m), p AS (SELECT scan_id, mz, row_number() OVER (PARTITION BY scan_id ORDER BY mz, intensity, ord, part) AS n FROM v_peak),
-g AS (SELECT a.scan_id, a.n AS a, b.n AS b, residue FROM p a JOIN c ON true JOIN p b ON a.scan_id = b.scan_id AND abs(b.mz - (a.mz + m)) <= (a.mz + m) * 2e-5)"""
+GRAPH = f"""WITH c AS (SELECT unnest({list(RESIDUES)}) AS residue, unnest({list(RESIDUES.values())}) AS m), p AS MATERIALIZED (SELECT scan_id, mz, CAST(floor(mz * 10) AS BIGINT) AS cell, row_number() OVER (PARTITION BY scan_id ORDER BY mz, intensity, ord, part) AS n FROM v_peak),
+q AS (SELECT scan_id, n AS a, residue, mz + m AS want, unnest([CAST(floor((mz + m) * 10) AS BIGINT) - 1, CAST(floor((mz + m) * 10) AS BIGINT), CAST(floor((mz + m) * 10) AS BIGINT) + 1]) AS cell FROM p, c),
+g AS (SELECT q.scan_id, q.a, b.n AS b, residue FROM q JOIN p b ON q.scan_id = b.scan_id AND q.cell = b.cell AND abs(b.mz - want) <= want * 2e-5)"""
 
 
 def graph(spark, d):

@@ -92,7 +92,8 @@ def subsequence_lookup(spark, d):
     """An exact key if there is one, else the longest that contains what is asked."""
     t = view(spark, d, "v_target")
     k, q = t.select(F.col("name").alias("key")).distinct(), t.select(F.right(F.col("name"), F.lit(1)).alias("tail")).distinct()
-    pairs = q.join(F.broadcast(k), F.col("key").contains(F.col("tail")))  # names of kinds: their number does not grow
+    letters = k.withColumn("first", F.explode(F.array_distinct(F.split("key", ""))))  # what contains a text has its first letter
+    pairs = q.withColumn("first", F.left("tail", F.lit(1))).join(letters, "first").filter(F.col("key").contains(F.col("tail"))).select("tail", "key")
     r = F.row_number().over(W.partitionBy("tail").orderBy(F.when(F.col("key") == F.col("tail"), 0).otherwise(1), F.desc(F.length("key")), "key"))
     return pairs.withColumn("r", r).filter("r = 1").select("tail", "key")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from massloom.catalog import query
 from massloom.plans.store import shared_dir
-from massloom.plans.views import VIEWS
+from massloom.plans.views import VIEWS, view
 from massloom.streaming import scans as S
 
 
@@ -63,3 +63,11 @@ def stream_interleaved_groups(spark, d):
     s = stream(spark, d, "v_scan").select((F.col("scan_id") % 4).alias("run"), "scan_id", "ms_level", F.lit(None).cast("long").alias("precursor_id"))
     out = finished(S.interleaved_groups(s))
     return out.filter("precursor_id is not null").select("run", "precursor_id", F.size("products").cast("long").alias("n"))
+
+
+@query("""SELECT ms_level, charge, count(*) AS n, min(scan_id) AS first, max(scan_id) AS last, round(min(precursor_mz), 5) AS low, round(max(precursor_mz), 5) AS high FROM v_scan GROUP BY ms_level, charge""")
+def stream_index_refresh(spark, d):
+    """An index of scans kept up to date as files arrive one by one: each batch is merged into what the batches before left."""
+    parts = f"{shared_dir(spark)}/scans-{uuid.uuid4().hex}"
+    view(spark, d, "v_scan").select("scan_id", "ms_level", "charge", "precursor_mz").repartition(4, "scan_id").write.parquet(parts)
+    return S.refreshed_index(spark, parts)

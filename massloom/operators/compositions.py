@@ -7,9 +7,12 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from massloom.functions.mass import ISOTOPE_GAP, PROTON
-from massloom.operators.isotopes import isotopic_variants
+from massloom.operators.isotopes import isotopic_variants, peaks_of
+from massloom.operators.joins import range_join
 
 #: Compositions that may travel with every task.
 MOST_COMPOSITIONS = 100_000
@@ -29,6 +32,35 @@ def envelope_score(obs_mz, obs, theo_mz, theo, tolerance: float = 0.02) -> float
     return float((np.sqrt(theo) * accuracy * np.maximum(0, agree)).sum() * (1 - abs(2 * (o * np.log(o / t)).sum())))
 
 
+def composition_theory(compositions: list[tuple[str, dict[str, int]]], charges: Iterable[int], truncate: float = 0.95) -> list[tuple[int, str, int, int, float, float]]:
+    """(number, name, charge, k, m/z, share) of each isotope of each composition at each charge, up to ``truncate`` of the abundance."""
+    if len(compositions) > MOST_COMPOSITIONS:
+        raise ValueError(f"more than {MOST_COMPOSITIONS} compositions; give them in blocks and join the results")
+    out = []
+    for number, (name, c) in enumerate(compositions):
+        x, p = isotopic_variants(c, peaks_of(c))
+        keep = np.concatenate([[0.0], np.cumsum(p)[:-1]]) < truncate
+        x, p = x[keep], p[keep] / p[keep].sum()
+        out += [(number, name, z, k, float((x[k] + z * PROTON) / z), float(p[k])) for z in charges for k in range(len(x))]
+    return out
+
+
+def composition_members(peaks: DataFrame, theory: list[tuple], tolerance: float) -> DataFrame:
+    """One row for each peak of each fit of a composition that two peaks or more of a spectrum match: the members that the solvers in rounds take.
+
+    ``peaks`` has scan_id, n, mz, intensity and snr, ``theory`` is of
+    :func:`composition_theory`. All spectra are searched at once by a tolerance
+    join on m/z; the nearest peak within tolerance counts, the first on ties.
+    A fit's number is negative, so it never meets one of an averagine.
+    """
+    want = peaks.sparkSession.createDataFrame(theory, "number long, name string, charge int, k int, want double, weight double")
+    pairs = range_join(want, peaks.select("scan_id", "n", "mz", "intensity", "snr"), "want", "mz", tolerance)
+    near = F.min_by(F.struct("n", "mz", "intensity", "snr", "want", "weight"), F.struct(F.abs(F.col("mz") - F.col("want")), F.col("n")))
+    hit = pairs.groupBy("scan_id", "number", "name", "charge", "k").agg(near.alias("p")).select("scan_id", "number", "name", "charge", "p.*")
+    fit = -((F.col("scan_id") * MOST_COMPOSITIONS + F.col("number")) * 16 + F.col("charge")) - 1
+    return hit.withColumn("found", F.count("*").over(W.partitionBy("scan_id", "number", "charge"))).filter("found > 1").withColumn("fit", fit).drop("found")
+
+
 def fit_composition(mz, intensity, composition: dict[str, int], charge: int, tolerance: float = 2e-5, truncate: float = 0.95, shift: float = 0.0):
     """(score, used peak indices, first m/z, theoretical total) of one composition at one charge, or None.
 

@@ -94,6 +94,11 @@ def peaks_of(composition: dict[str, int]) -> int:
     return int(mean + 12 * spread**0.5) + 12
 
 
+def base_peak_offsets(unit: dict[str, float], max_mass: float, step: float = 100.0) -> list[int]:
+    """Neutrons from the first peak of a pattern to its largest, for each bin of masses: bin k stands for (k + 1) * step."""
+    return [int(np.argmax(isotopic_cluster(unit, (k + 1) * step, 1, 0.999)[1])) for k in range(int(max_mass // step) + 1)]
+
+
 def whole_pattern(unit: dict[str, float], mass: float) -> np.ndarray:
     """Abundances of all isotopic peaks at a mass."""
     composition = scale_averagine(unit, mass + PROTON, 1)

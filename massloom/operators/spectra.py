@@ -289,9 +289,8 @@ def iterative_clusters(scans: DataFrame, tolerance: float = 1e-5, similarities:
     name = F.lit(0).cast("long")
     rows = scans.withColumn("group", name)
     for s in similarities:
-        found = cluster_scans(rows, tolerance, s, ("group",)).groupBy("group", "chain", "cluster")
-        members = cluster_scans(rows, tolerance, s, ("group",))
-        first = found.agg(F.min("scan_id").alias("first"))
+        members = materialize(cluster_scans(rows, tolerance, s, ("group",)), "cluster-members")
+        first = members.groupBy("group", "chain", "cluster").agg(F.min("scan_id").alias("first"))
         named = members.join(first, ["group", "chain", "cluster"]).select("scan_id", F.col("first").alias("group"))
         rows = materialize(scans.join(named, "scan_id"), "clusters")
     return rows.select("scan_id", F.col("group").alias("cluster"))

@@ -32,6 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Folders written and not yet deleted, by session.
+WRITTEN: dict[str, SparkSession] = {}
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    WRITTEN.pop(folder, None)
+
+
+@atexit.register
+def clear() -> None:
+    """Delete every table that is still there: at the end of the driver, or before, once no result is read any more."""
+    for folder, spark in list(WRITTEN.items()):
+        try:
+            remove(spark, folder)
+        except Exception:  # the session has ended before
+            WRITTEN.pop(folder, None)
+
+
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it.
 
@@ -45,6 +65,7 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     try:
         for key, value in WHILE_WRITING.items():
             spark.conf.set(key, value)
+        WRITTEN[path] = spark
         df.write.parquet(path)
     finally:
         for key, value in before.items():
@@ -61,5 +82,4 @@ def discard(*tables: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             folder = file.rsplit("/", 1)[0]
             if bare(folder).startswith(root + "/"):
-                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                remove(spark, next((w for w in WRITTEN if bare(w) == bare(folder)), folder))
