@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from massloom.catalog import query
 from massloom.catalog.similarity import GROUPS, mass_groups
+from massloom.operators import hashing as H
 from massloom.operators.joins import best_match, range_join
 from massloom.operators.ordered import sessionize
 from massloom.plans.views import view
@@ -79,14 +80,25 @@ def lsh_buckets(spark, d):
     return hashed(spark, d).select("vec_id", "bucket")
 
 
-@query(f"{BUCKETS} SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS similarity FROM h a JOIN h b ON a.bucket = b.bucket AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.4")
+LIKE = 0.4
+
+
+def vectors(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query()
 def lsh_similar_pairs(spark, d):
-    """Vectors of one bucket whose cosine is high enough."""
-    h = hashed(spark, d)
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    pairs = h.toDF("a", "ea", "bucket").join(h.toDF("b", "eb", "bucket"), "bucket").filter("a < b")
-    s = pairs.select("a", "b", (dot(F.col("ea"), F.col("eb")) / (norm("ea") * norm("eb"))).alias("s"))
-    return s.filter("s >= 0.4").select("a", "b", F.round("s", 5).alias("similarity"))
+    """Vectors like each query vector, those of ids divisible by 50, found by sign hashing in as many tables as a recall of 0.99 needs."""
+    v = vectors(spark, d)
+    return H.hashed_search(v.filter("id % 50 = 0"), v, LIKE).withColumn("similarity", F.round("similarity", 5))
+
+
+@query(f"WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 5) AS similarity FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= {LIKE}")
+def similar_pairs(spark, d):
+    """The same without loss: query vectors in blocks against all rows."""
+    v = vectors(spark, d)
+    return H.block_search(v.filter("id % 50 = 0"), v, LIKE).withColumn("similarity", F.round("similarity", 5))
 
 
 @query(f"""{GROUPS}, m AS (SELECT s.cluster_id, s.precursor_mz, v.tic, row_number() OVER (PARTITION BY cluster_id ORDER BY v.tic DESC, s.scan_id) AS r FROM s JOIN v_scan v ON v.scan_id = s.scan_id) SELECT cluster_id, count(*) AS size, round(max(precursor_mz) FILTER (r = 1), 5) AS centre, round(coalesce(stddev_samp(precursor_mz), 0), 5) AS spread FROM m GROUP BY cluster_id HAVING count(*) > 1""")
