@@ -162,6 +162,16 @@ def solve_subgraphs(spark, d):
     return S.solve_with_subtraction(D.fit_members(p, CHARGES, TOLERANCE), ROUNDS).withColumn("signal", F.round(F.col("signal") + 1e-7, 2))
 
 
+@query(f"""{WITH}, r AS (SELECT scan_id, peak, fit, charge, score, count(*) OVER (PARTITION BY scan_id, peak) AS n, row_number() OVER (PARTITION BY scan_id, peak ORDER BY score DESC, fit) AS r FROM link) SELECT scan_id, peak, fit, charge, score, r AS place FROM r WHERE r <= greatest(least(n // 2, 100), 10)""")
+def explore_local(spark, d):
+    """The fits kept of those that use a peak: half of them, ten at least and a hundred at most, the best first."""
+    at = D.links(fits(spark, d))
+    w = W.partitionBy("scan_id", "peak")
+    ranked = at.withColumn("n", F.count("*").over(w)).withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "fit")).cast("long"))
+    kept = F.greatest(F.least(F.floor(F.col("n") / 2), F.lit(100)), F.lit(10))
+    return ranked.filter(F.col("place") <= kept).select("scan_id", "peak", "fit", "charge", "score", "place")
+
+
 #: A few sugars; the isotopes of each at each charge.
 KNOWN = [(f"hex{h}hexnac{n}", {"C": 6 * h + 8 * n, "H": 10 * h + 13 * n + 2, "N": n, "O": 5 * h + 5 * n + 1}) for h in range(1, 9) for n in range(1, 6)]
 THEORY, KNOWN_TOLERANCE = composition_theory(KNOWN, CHARGES), 2e-4
@@ -419,3 +429,27 @@ def mass_shift_support(spark, d):
     k = range_join(want, m.select("scan_id", "mass"), "want", "mass", 2e-4, ["scan_id"]).groupBy("fit").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0).cast("long"))
     return m.join(k, "fit", "left").select("fit", n.alias("supporters"), F.round(F.col("score") * (1 + 0.1 * n) + 1e-9, 5).alias("score"))
+
+
+#: Isotopes of a declared precursor where its survey scan has them, else signal 1; the window's half width.
+HALF = 1.5
+
+
+@query(f"""WITH {PEAKS}, {TARGETS}, k AS (SELECT pr.scan_id, pr.survey, pr.precursor_mz, pr.charge, i, precursor_mz + i * {ISOTOPE_GAP} / pr.charge AS want FROM pr, (SELECT unnest(range(0, 4)) AS i) WHERE survey IS NOT NULL),
+h AS (SELECT k.scan_id, i, p.intensity, row_number() OVER (PARTITION BY k.scan_id, i ORDER BY abs(p.mz - want), p.n) AS r FROM k JOIN pk p ON p.scan_id = k.survey AND abs(p.mz - want) <= want * {TOLERANCE}),
+e AS (SELECT k.scan_id, k.survey, precursor_mz, want, coalesce(h.intensity, 1.0) AS intensity, h.intensity IS NOT NULL AS real FROM k LEFT JOIN h ON h.scan_id = k.scan_id AND h.i = k.i AND h.r = 1),
+ow AS (SELECT scan_id, any_value(survey) AS survey, any_value(precursor_mz) AS precursor_mz, count(*) FILTER (real) AS n_found, coalesce(sum(intensity) FILTER (want BETWEEN precursor_mz - {HALF} AND precursor_mz + {HALF}), 0) AS own FROM e GROUP BY scan_id),
+tt AS (SELECT ow.scan_id, sum(p.intensity) AS total FROM ow JOIN pk p ON p.scan_id = ow.survey AND p.mz BETWEEN precursor_mz - {HALF} AND precursor_mz + {HALF} GROUP BY ow.scan_id)
+SELECT ow.scan_id, n_found, round(least(own / total, 1.0), 6) AS purity FROM ow JOIN tt ON tt.scan_id = ow.scan_id""")
+def default_envelope_purity(spark, d):
+    """Purity of a window by the declared precursor's own pattern: its isotopes as the survey scan has them, signal 1 where it has not."""
+    p = D.numbered_peaks(view(spark, d, "v_peak").select("scan_id", "mz", "intensity", "snr", "ord", "part"), "ord", "part").select(F.col("scan_id").alias("survey"), "n", "mz", "intensity")
+    t = product_scans(spark, d).dropna(subset=["survey"]).select("scan_id", "survey", "precursor_mz", "charge")
+    k = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("want", F.col("precursor_mz") + F.col("i") * F.lit(ISOTOPE_GAP) / F.col("charge"))
+    hits = range_join(k.select("scan_id", "survey", "i", "want"), p, "want", "mz", TOLERANCE, ["survey"])
+    near = hits.groupBy("scan_id", "i").agg(F.min_by("intensity", F.struct(F.abs(F.col("mz") - F.col("want")), F.col("n"))).alias("found"))
+    inside = F.col("want").between(F.col("precursor_mz") - HALF, F.col("precursor_mz") + HALF)
+    own = k.join(near, ["scan_id", "i"], "left").groupBy("scan_id").agg(F.count("found").alias("n_found"), F.coalesce(F.sum(F.when(inside, F.coalesce("found", F.lit(1.0)))), F.lit(0.0)).alias("own"))
+    spans = t.select("scan_id", "survey", (F.col("precursor_mz") - HALF).alias("from"), (F.col("precursor_mz") + HALF).alias("to"))
+    total = interval_join(spans, p.withColumn("end", F.col("mz")), ("from", "to"), ("mz", "end"), 2 * HALF, ["survey"]).groupBy("scan_id").agg(F.sum("intensity").alias("total"))
+    return own.join(total, "scan_id").select("scan_id", "n_found", F.round(F.least(F.col("own") / F.col("total"), F.lit(1.0)), 6).alias("purity"))

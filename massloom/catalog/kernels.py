@@ -119,6 +119,18 @@ def shape_fit(spark, d):
     return chromatograms(spark, d).groupBy("run").applyInArrow(kernel, "run long, n int, score double")
 
 
+@query()
+def adaptive_shape_fit(spark, d):
+    """Each run's daily chromatogram fitted by several shapes, cut at its valleys or peak by peak: the best of them, how well it does and how many peaks it has."""
+
+    def kernel(key, table):
+        rows = sorted(zip(table.column("day").to_pylist(), table.column("y").to_pylist(), strict=True))
+        kind, way, test, centres = profiles.adaptive_fit(np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows]), 1)
+        return pa.table({"run": [key[0].as_py()], "n": pa.array([len(rows)], pa.int32()), "shape": [kind], "way": [way], "line_test": [test], "peaks": pa.array([len(centres)], pa.int32())})
+
+    return chromatograms(spark, d).groupBy("run").applyInArrow(kernel, "run long, n int, shape string, way string, line_test double, peaks int")
+
+
 @query()
 def profile_split(spark, d):
     """Each run's daily chromatogram cut at its valleys."""

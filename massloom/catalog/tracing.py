@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from massloom.catalog import query
-from massloom.catalog.dependence import CHARGES, CHOSEN, TOLERANCE, product_scans
+from massloom.catalog.dependence import CHARGES, CHOSEN, TOLERANCE, WEIGHTED, product_scans
 from massloom.catalog.featuremaps import MAP, feature_map, feature_points, near_features
 from massloom.functions.mass import PROTON, neutral_mass
 from massloom.operators import dependence as D
@@ -163,6 +163,15 @@ def solved_frames(spark, d):
     return taken.join(span, "fit")
 
 
+@query(f"""WITH {FRAMES}, {WEIGHTED}, m AS (SELECT (th.scan_id * {D.PEAK_SLOTS} + mono) * {D.CHARGE_SLOTS} + charge AS fit, th.scan_id, d0, d1 FROM th JOIN pk ON pk.scan_id = th.scan_id AND pk.n = th.n WHERE weight >= 0.1)
+SELECT scan_id AS frame_id, fit, min(d0) AS start_drift, min(d1) AS end_drift FROM m GROUP BY scan_id, fit""")
+def fit_bounds(spark, d):
+    """Where a fit over features starts and ends: the earliest start and the earliest end of the members that hold a tenth of the pattern."""
+    f = frame_features(spark, d)
+    m = D.fit_members(f, CHARGES, TOLERANCE).filter("weight >= 0.1").select("scan_id", "fit", "n")
+    return m.join(f.select("scan_id", "n", "d0", "d1"), ["scan_id", "n"]).groupBy(F.col("scan_id").alias("frame_id"), "fit").agg(F.min("d0").alias("start_drift"), F.min("d1").alias("end_drift"))
+
+
 @query(f"WITH RECURSIVE {SOLVED_FRAMES} SELECT scan_id AS frame_id, round(mono_mz * charge - charge * {PROTON}, 4) AS neutral_mass, charge, n_peaks, signal, first_drift, last_drift, score FROM sd")
 def deconvolute_frames(spark, d):
     """Deconvoluted features of every frame: mass, charge, signal and span in drift time."""

@@ -105,12 +105,25 @@ def guess(kind: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array({"gaussian": [x[k], w, y[k]], "bigaussian": [x[k], w, w, y[k]], "skewed": [x[k], y[k], w, 0.1]}[kind])
 
 
-SHAPES = {"gaussian": gaussian, "bigaussian": bigaussian, "skewed": skewed_gaussian}
+def penalized_gaussian(x, p):
+    """The skewed Gaussian, put off where its width, its skew or its centre is extreme for the data."""
+    center, _, sigma, gamma = p
+    wide = sigma / 2 if abs(sigma) > 2 else 1.0
+    bent = gamma / 2 if abs(gamma) > 40 else 1.0
+    away = 1.0 if x[0] <= center <= x[-1] else center
+    return skewed_gaussian(x, p) * wide * bent * away
 
 
-def fit_shape(x: np.ndarray, y: np.ndarray, kind: str = "bigaussian", steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """(parameters, fitted values) by damped least squares with a numerical Jacobian."""
-    shape, p, damp = SHAPES[kind], guess(kind, x, y), 1e-2
+#: What is fitted, and what a fit is drawn with.
+SHAPES = {"gaussian": gaussian, "bigaussian": bigaussian, "skewed": skewed_gaussian, "penalized": penalized_gaussian}
+DRAWN = SHAPES | {"penalized": skewed_gaussian}
+
+
+def fit_shape(x: np.ndarray, y: np.ndarray, kind: str = "bigaussian", steps: int = 100, gain: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(parameters, fitted values) by damped least squares with a numerical Jacobian; fewer points than parameters keep the first guess."""
+    shape, p, damp = SHAPES[kind], guess("skewed" if kind == "penalized" else kind, x, y), 1e-2
+    if len(p) > len(x):
+        return p, DRAWN[kind](x, p)
     r = y - shape(x, p)
     cost = float(r @ r)
     for _ in range(steps):
@@ -124,7 +137,7 @@ def fit_shape(x: np.ndarray, y: np.ndarray, kind: str = "bigaussian", steps: int
         step = np.linalg.lstsq(a + damp * np.diag(np.diag(a) + 1e-12), jac.T @ r, rcond=None)[0]
         new = y - shape(x, p + step)
         if np.isfinite(new).all() and float(new @ new) < cost:
-            done = cost - float(new @ new) < 1e-10 * cost
+            done = cost - float(new @ new) < gain * cost
             p, r, cost, damp = p + step, new, float(new @ new), damp / 3
             if done:
                 break
@@ -132,7 +145,7 @@ def fit_shape(x: np.ndarray, y: np.ndarray, kind: str = "bigaussian", steps: int
             damp *= 4
             if damp > 1e10:
                 break
-    return p, shape(x, p)
+    return p, DRAWN[kind](x, p)
 
 
 def line_test(x: np.ndarray, y: np.ndarray, fitted: np.ndarray) -> float:
@@ -151,7 +164,7 @@ def shape_score(x: np.ndarray, y: np.ndarray, kind: str = "bigaussian", level: f
     return 1 - min(1.0, line_test(x, s, fitted))
 
 
-def multimodal_fit(x: np.ndarray, y: np.ndarray, most: int = 5, relative: float = 0.5, kind: str = "bigaussian") -> list[np.ndarray]:
+def multimodal_fit(x: np.ndarray, y: np.ndarray, most: int = 5, relative: float = 0.5, kind: str = "bigaussian", steps: int = 100, gain: float = 1e-10) -> list[np.ndarray]:
     """Fit the highest peak between its valleys, subtract it and go on with what is left, while that is high enough."""
     out, rest, top = [], y.astype(float).copy(), float(y.max())
     while len(out) < most and rest.max() > relative * top:
@@ -161,13 +174,58 @@ def multimodal_fit(x: np.ndarray, y: np.ndarray, most: int = 5, relative: float
         a, b = (int(left[-1]) + 1 if len(left) else 0), (k + int(right[0]) + 1 if len(right) else len(x))
         if b - a < 5:
             break
-        p, _ = fit_shape(x[a:b], rest[a:b], kind)
+        p, _ = fit_shape(x[a:b], rest[a:b], kind, steps, gain)
         out.append(p)
-        rest = np.maximum(rest - SHAPES[kind](x, p), 0)
+        rest = np.maximum(rest - DRAWN[kind](x, p), 0)
         rest[a:b] = 0
     return out
 
 
+def splitting_fit(x: np.ndarray, y: np.ndarray, kind: str = "bigaussian", most: int = 3, level: float = 1) -> list[tuple[int, int, np.ndarray]]:
+    """(from, to, parameters) of the pieces of a profile, cut at its deepest valleys and fitted each for itself.
+
+    A piece is cut again, ``most`` times at the most, while its two parts leave
+    smaller squared residuals than it does as a whole.
+    """
+    def residual(a: int, b: int, p: np.ndarray) -> float:
+        return float(((y[a:b] - DRAWN[kind](x[a:b], p)) ** 2).sum())
+
+    quick = lambda a, b: fit_shape(x[a:b], y[a:b], kind, 30, 1e-4)[0]
+    done, todo = [], [(0, len(x), quick(0, len(x)))]
+    while todo:
+        a, b, p = todo.pop()
+        cuts = valleys(x[a:b], y[a:b], 0.99, level) if b - a >= 6 and most else []
+        if cuts and 0 < cuts[0] < b - a - 1:
+            k = a + cuts[0] + 1
+            parts = [(a, k, quick(a, k)), (k, b, quick(k, b))]
+            if sum(residual(*part) for part in parts) < residual(a, b, p):
+                todo += parts
+                most -= 1
+                continue
+        done.append((a, b, p))
+    return sorted(done, key=lambda f: f[0])
+
+
+def adaptive_fit(x: np.ndarray, y: np.ndarray, level: float = 0.15, kinds: tuple[str, ...] = ("bigaussian", "penalized"), most: int = 3) -> tuple[str, str, float, list[float]]:
+    """(shape, way, line test, centres): of each shape, by cutting and by subtracting, the fit that leaves least beside a straight line.
+
+    Under five points nothing is fitted and the line test is 0.5.
+    """
+    if len(x) < 5:
+        return "", "", 0.5, []
+    s, found = smooth(x, y, level), []
+    for order, kind in enumerate(kinds):
+        cut = splitting_fit(x, s, kind, most, 0)
+        drawn = np.concatenate([DRAWN[kind](x[a:b], p) for a, b, p in cut])
+        found.append((round(line_test(x, s, drawn), 9), order, 0, kind, "cut", [p for _, _, p in cut]))
+        added = multimodal_fit(x, s, most + 1, 0.5, kind, 30, 1e-4)
+        if added:
+            drawn = sum(DRAWN[kind](x, p) for p in added)
+            found.append((round(line_test(x, s, drawn), 9), order, 1, kind, "subtract", added))
+    test, _, _, kind, way, parts = min(found, key=lambda f: f[:3])
+    return kind, way, test, sorted(float(p[0]) for p in parts)
+
+
 def reprofile(mz: np.ndarray, intensity: np.ndarray, fwhm: np.ndarray, dx: float = 0.005) -> tuple[np.ndarray, np.ndarray]:
     """Centroids back to a profile: a Gaussian for each on a common grid."""
     if not len(mz):

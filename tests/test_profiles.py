@@ -42,3 +42,24 @@ def test_reprofile_and_denoise():
     noise[100] = 500.0
     out = p.denoise(np.linspace(100, 110, 200), noise)
     assert out[100] > 400 and np.count_nonzero(out) == 1
+
+
+def test_adaptive_fit_finds_planted_peaks_and_their_number():
+    x = np.arange(0.0, 40.0, 0.5)
+    one = 100 * np.exp(-((x - 17) ** 2) / (2 * np.where(x < 17, 2.0, 4.0) ** 2))
+    two = 80 * np.exp(-((x - 10) ** 2) / 8) + 60 * np.exp(-((x - 27) ** 2) / 10)
+    kind, _, test, centres = p.adaptive_fit(x, one, 0)
+    assert len(centres) == 1 and abs(centres[0] - 17) < 0.5 and test < 0.01
+    _, _, test, centres = p.adaptive_fit(x, two, 0)
+    assert len(centres) == 2 and abs(centres[0] - 10) < 0.5 and abs(centres[1] - 27) < 0.5 and test < 0.01
+    assert p.adaptive_fit(x[:4], two[:4]) == ("", "", 0.5, [])
+    cut = p.splitting_fit(x, two, "gaussian", 3, 0)
+    assert len(cut) == 2 and cut[0][0] == 0 and cut[0][1] == cut[1][0] and cut[1][1] == len(x)
+    whole = p.splitting_fit(x, two, "gaussian", 0, 0)
+    assert len(whole) == 1
+
+
+def test_penalty_keeps_extreme_shapes_away():
+    x = np.linspace(0.0, 10.0, 60)
+    (center, _, sigma, gamma), _ = p.fit_shape(x, np.exp(-((x - 5) ** 2) / 2), "penalized")
+    assert 0 < center < 10 and abs(sigma) < 3 and abs(gamma) < 40
