@@ -209,9 +209,8 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     copies = classed.filter("doc_id <> rep").groupBy("doc_id").agg(F.count("*").alias("gone")).join(held, "doc_id").filter("gone = rows").select("doc_id")
 
     rows = every.select("doc_id", F.posexplode("kept").alias("pos", "v"))
-    values = every.agg(F.sum(F.size("kept"))).first()[0] or 0
-    lists = rows.groupBy("v").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).filter("c > 1")
-    live = materialize(join_counted(rows, lists, ["v"], values).select("v", "doc_id", "pos", "pivot"), "neardup-lists")
+    lists = rows.groupBy("v").agg(F.count("*").alias("len"), F.min("doc_id").alias("pivot")).filter("len > 1").drop("len")
+    live = materialize(rows.join(lists, "v").select("v", "doc_id", "pos", "pivot"), "neardup-lists")
     stars = live.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     stars = materialize(stars.join(copies.withColumnRenamed("doc_id", "b"), "b", "left_anti"), "neardup-stars")
     checked = similar_enough(stars, every, num, den)
@@ -220,19 +219,17 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
 
     # lists that still hold several components: members outside the largest meet all others
     searched = live.select("v", "doc_id", "pos").join(copies, "doc_id", "left_anti")
-    placed = searched.join(first, searched.doc_id == first.id, "left").select("v", "doc_id", "pos", F.coalesce("component", "doc_id").alias("comp"))
-    split = placed.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("v", "c")
-    unlike = join_counted(placed, split, ["v"], values).drop("c").join(every.select("doc_id", "n"), "doc_id")
-    unlike = materialize(unlike.select("v", "doc_id", "pos", "n", "comp"), "neardup-unlike")
-    sizes = unlike.groupBy("v", "comp").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "comp"))["comp"].alias("largest"), F.sum("m").alias("c"))
+    placed = searched.join(first, searched.doc_id == first.id, "left").select("v", "doc_id", "pos", F.coalesce("component", "doc_id").alias("c"))
+    split = placed.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("v")
+    open_lists = materialize(placed.join(split, "v").join(every.select("doc_id", "n"), "doc_id").select("v", "doc_id", "pos", "n", "c"), "neardup-open")
+    sizes = open_lists.groupBy("v", "c").agg(F.count("*").alias("m")).groupBy("v").agg(F.max(F.struct("m", "c"))["c"].alias("largest"), F.sum("m").alias("len"))
     # a long list is dealt over parts, and members meet those of like size only
-    deal = F.ceil(F.col("c") / LIST_PART).cast("int")
+    deal = F.ceil(F.col("len") / LIST_PART).cast("int")
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(den / num)) * (1 + 1e-9))).cast("int")
-    open_lists = join_counted(unlike, sizes, ["v"], values).withColumn("step", step)
-    open_lists = materialize(open_lists.withColumn("parts", deal).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).drop("c"), "neardup-open")
-    few = open_lists.filter("comp <> largest").select("v", F.col("doc_id").alias("x"), F.col("pos").alias("px"), F.col("n").alias("nx"), F.col("comp").alias("cx"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array(F.col("step") - 1, "step", F.col("step") + 1).alias("steps"))
-    few = few.withColumn("step", F.explode("steps")).drop("steps")
-    fits = (F.col("comp") != F.col("cx")) & (F.col("nx") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("nx") * den)
+    open_lists = open_lists.join(sizes, "v").withColumn("step", step).withColumn("deal", deal).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("deal")).cast("int")).drop("len")
+    few = open_lists.filter("c <> largest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))).withColumn("step", F.explode(F.array(F.col("step") - 1, "step", F.col("step") + 1)))
+    few = few.select("v", "part", "step", F.col("doc_id").alias("x"), F.col("pos").alias("px"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    fits = (F.col("c") != F.col("cx")) & (F.col("nx") * num <= F.col("n") * den) & (F.col("n") * num <= F.col("nx") * den)
     # in the list of the first value that two sets share, all they share is still ahead in both
     ahead = F.least(F.col("n") - F.col("pos"), F.col("nx") - F.col("px")) * (num + den) >= (F.col("n") + F.col("nx")) * num
     cross = few.join(open_lists, ["v", "part", "step"]).filter(fits & ahead).select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
@@ -241,7 +238,7 @@ def near_duplicates(docs: DataFrame, *, size: int = SHINGLE, num: int = NUM, den
     found = verify(more, docs, size, num, den)
 
     groups = connected_components(links.unionByName(found).unionByName(same), "a", "b")
-    discard(several, classed, live, stars, checked, links, unlike, open_lists, cross, more, found)
+    discard(several, classed, live, stars, checked, links, open_lists, cross, more, found)
     out = every.select("doc_id", "n").join(groups, every.doc_id == groups.id, "left")
     real = lambda c: F.when(c != NO_ID, c)
     group = F.coalesce("component", "doc_id")
