@@ -13,7 +13,8 @@ from massloom.plans.store import shared_dir
 from massloom.plans.views import view
 from massloom.sources.files import read_scans, scan_from_csv, write_scans
 from massloom.sources.processed import pack_deconvoluted, unpack_deconvoluted
-from massloom.sources.xml import locate_precursors
+from massloom.sources.mgf import read_processed_mgf, write_mgf
+from massloom.sources.xml import locate_precursors, write_mzxml
 
 
 def folder(spark, name):
@@ -43,6 +44,20 @@ def told(scans, *more):
     return scans.select(F.regexp_replace("id", "scan=", "").cast("long").alias("scan_id"), F.col("ms_level").cast("long").alias("ms_level"), F.round("scan_time", 4).alias("scan_time"), F.round("precursor.mz", 5).alias("precursor_mz"), F.col("precursor.charge").cast("long").alias("charge"), F.size("mz").cast("long").alias("n_peaks"), F.round(F.array_max("mz"), 5).alias("top_mz"), F.round(total("intensity"), 2).alias("tic"), *more)
 
 
+CHARGED = "SELECT p.scan_id, p.charge, count(*) AS n, round(max(p.mz * p.charge - p.charge * {m}), 5) AS heaviest, round(sum(intensity), 2) AS intensity FROM v_peak p JOIN v_peak_scan s ON s.scan_id = p.scan_id WHERE ms_level = 2 GROUP BY p.scan_id, p.charge".replace("{m}", str(PROTON))
+
+
+@query(CHARGED)
+def processed_mgf_roundtrip(spark, d):
+    """Deconvoluted product spectra written as MGF with a charge at each peak, and their masses read again."""
+    path = folder(spark, "processed.mgf")
+    p = view(spark, d, "v_peak").groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("mz", "intensity", "charge"))).alias("p"))
+    s = scan_table(spark, d).drop("mz", "intensity").join(p, F.col("index") == F.col("scan_id"))
+    write_mgf(s.select("*", F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"), F.col("p.charge").cast("array<int>").alias("charges")).drop("p", "scan_id"), path)
+    back = read_processed_mgf(spark, path).select(F.regexp_replace("id", "scan=", "").cast("long").alias("scan_id"), F.explode("peaks").alias("p")).select("scan_id", "p.*")
+    return back.groupBy("scan_id", "charge").agg(F.count("*").alias("n"), F.round(F.max("neutral_mass"), 5).alias("heaviest"), F.round(F.sum("intensity"), 2).alias("intensity"))
+
+
 PEAKS = "pk AS (SELECT scan_id, count(*) AS n_peaks, max(mz) AS top, sum(intensity) AS tic FROM v_peak GROUP BY scan_id)"
 TOLD = "s.scan_id, CAST(ms_level AS BIGINT) AS ms_level, round(scan_time, 4) AS scan_time, CASE WHEN ms_level = 2 THEN round(precursor_mz, 5) END AS precursor_mz, CASE WHEN ms_level = 2 THEN CAST(charge AS BIGINT) END AS charge, n_peaks, round(top, 5) AS top_mz, round(tic, 2) AS tic"
 
@@ -58,6 +73,14 @@ def mzml_roundtrip(spark, d):
     return told(read_scans(spark, path), *more)
 
 
+@query(f"WITH {PEAKS} SELECT {TOLD} FROM v_peak_scan s JOIN pk ON pk.scan_id = s.scan_id")
+def mzxml_roundtrip(spark, d):
+    """Spectra written as mzXML and read again, the format told from the files."""
+    path = folder(spark, "run.mzXML")
+    write_mzxml(scan_table(spark, d), path)
+    return told(read_scans(spark, path).withColumn("id", (F.col("id").cast("long") - 1).cast("string")))
+
+
 @query("""WITH o AS (SELECT *, max(CASE WHEN ms_level = 1 THEN scan_id END) OVER (ORDER BY scan_id ROWS UNBOUNDED PRECEDING) AS survey FROM v_peak_scan) SELECT scan_id, CASE WHEN survey IS NULL THEN NULL ELSE 'scan=' || survey END AS precursor_scan_id FROM o WHERE ms_level = 2 AND scan_id IN (SELECT scan_id FROM v_peak)""")
 def mzml_precursor_walk_back(spark, d):
     """Products that name no precursor scan get the last MS1 before them."""

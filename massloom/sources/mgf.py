@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massloom.functions.mass import neutral_mass
+
 NUMBER = r"[-+0-9.eE]+"
 KNOWN = ["TITLE", "PEPMASS", "CHARGE", "RTINSECONDS"]
 
@@ -48,9 +50,29 @@ def read_mgf(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_processed_mgf(spark: SparkSession, path: str) -> DataFrame:
+    """The scans of :func:`read_mgf` with ``peaks``, deconvoluted: neutral mass, charge and intensity, by mass.
+
+    Lines carry a charge after m/z and intensity, its sign before or after the
+    number; a line without one is left out, as no mass follows from it.
+    """
+    charges = F.expr(rf"regexp_extract_all(value, '(?m)^[ \\t]*({NUMBER})[ \\t]+({NUMBER})(?:[ \\t]+([+-]?[0-9]+[+-]?))?', 3)")
+    blocks = spark.read.option("lineSep", "END IONS").text(path).filter(F.col("value").contains("BEGIN IONS"))
+    told = blocks.select(param("TITLE").alias("id"), charges.alias("z"))
+    peak = lambda m, x: F.struct(m.alias("mz"), x["i"].alias("intensity"), parse_charge(x["z"]).alias("charge"))
+    scans = read_mgf(spark, path).join(told, "id")
+    rows = F.zip_with("mz", F.zip_with("intensity", "z", lambda i, z: F.struct(i.alias("i"), z.alias("z"))), peak)
+    real = F.filter(rows, lambda p: p["charge"].isNotNull() & (p["charge"] != 0))
+    mass = F.transform(real, lambda p: F.struct(neutral_mass(p["mz"], p["charge"]).alias("neutral_mass"), p["charge"].alias("charge"), p["intensity"].alias("intensity")))
+    return scans.withColumn("peaks", F.sort_array(mass)).drop("z")
+
+
 def write_mgf(scans: DataFrame, path: str) -> None:
-    """Write product scans as MGF text, a part file for each partition."""
-    lines = F.array_join(F.zip_with("mz", "intensity", lambda m, i: F.concat_ws(" ", m, i)), "\n")
+    """Write product scans as MGF text, a part file for each partition; a column ``charges`` adds each peak's charge to its line."""
+    line = F.zip_with("mz", "intensity", lambda m, i: F.concat_ws(" ", m, i))
+    if "charges" in scans.columns:
+        line = F.zip_with(line, "charges", lambda x, z: F.concat_ws(" ", x, F.concat(F.abs(z), F.when(z < 0, "-").otherwise("+"))))
+    lines = F.array_join(line, "\n")
     z = F.col("precursor.charge")
     head = F.concat_ws(
         "\n",

@@ -211,6 +211,31 @@ def write_mzml(scans: DataFrame, path: str) -> None:
     scans.select(columns).sortWithinPartitions("index").mapInPandas(kernel, "value string").write.mode("overwrite").text(path)
 
 
+def mzxml_element(scan: dict) -> str:
+    """One mzXML scan element: pairs as packed 64-bit numbers in network order."""
+    pairs = np.stack([np.asarray(scan["mz"], dtype=float), np.asarray(scan["intensity"], dtype=float)], axis=1).astype(">f8")
+    p, ion = scan.get("precursor"), ""
+    if p:
+        charge = f' precursorCharge="{int(p["charge"])}"' if pd.notna(p["charge"]) else ""
+        source = f" precursorScanNum={quoteattr(str(p['precursor_scan_id']))}" if p.get("precursor_scan_id") else ""
+        ion = f'<precursorMz precursorIntensity="{p["intensity"] or 0}"{charge}{source}>{p["mz"]!r}</precursorMz>'
+    head = f'num="{scan["index"] + 1}" msLevel="{scan["ms_level"]}" peaksCount="{len(pairs)}" polarity="{"-" if scan["polarity"] == -1 else "+"}" centroided="{int(not scan["is_profile"])}" retentionTime="PT{scan["scan_time"] * 60!r}S"'
+    return f'<scan {head}>{ion}<peaks precision="64" byteOrder="network" contentType="m/z-int" compressionType="zlib">{base64.b64encode(zlib.compress(pairs.tobytes())).decode()}</peaks></scan>'
+
+
+def write_mzxml(scans: DataFrame, path: str) -> None:
+    """Write scans as mzXML documents, one for each partition, in index order inside it."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ['<?xml version="1.0" encoding="utf-8"?>\n<mzXML><msRun>']})
+        for frame in frames:
+            yield pd.DataFrame({"value": [mzxml_element(r) for r in frame.to_dict("records")]})
+        yield pd.DataFrame({"value": ["</msRun></mzXML>"]})
+
+    rows = scans.select("index", "ms_level", "scan_time", "polarity", "is_profile", "mz", "intensity", "precursor").sortWithinPartitions("index")
+    rows.mapInPandas(kernel, "value string").write.mode("overwrite").text(path)
+
+
 def locate_precursors(scans: DataFrame) -> DataFrame:
     """The scans with each product's missing precursor scan filled in: the last MS1 scan before it by index."""
     from massloom.operators.ordered import previous_where
