@@ -226,8 +226,8 @@ def search_block(docs: DataFrame, ids: list, asked: list[np.ndarray], best: int,
     counted = materialize(term_counts(docs, vocabulary), "search-counts")
     n_docs, n_terms = (int(x or 0) for x in counted.agg(F.count(F.when(F.col("n") > 0, 1)), F.sum("n")).first())
     df = np.zeros(len(vocabulary), dtype=np.int64)
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # as many rows as the block has terms
-        df[r.t] = r["count"]
+    held = counted.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # as many rows as the block has terms
+    df[held.column(0).to_numpy()] = held.column(1).to_numpy()
     weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * int(n) + 1))) for n in df], dtype=np.int64)
     terms, weights = [], []
     for own in asked:
