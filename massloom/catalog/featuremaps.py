@@ -10,7 +10,7 @@ from massloom.catalog.features import HOURS, points
 from massloom.functions.mass import PROTON, neutral_mass
 from massloom.operators.graph import connected_components
 from massloom.operators.joins import best_match, interval_join, interval_join_2d, range_join
-from massloom.operators.ordered import sessionize
+from massloom.operators.ordered import resample, sessionize
 from massloom.plans.views import view
 
 #: Points with the feature they belong to, and the features with mean m/z, mass, charge and drift time.
@@ -330,3 +330,33 @@ def features_by_signal(spark, d):
     w = W.partitionBy("run").orderBy(F.desc("total"), "id")
     so_far = F.sum("total").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum("total").over(W.partitionBy("run"))
     return feature_map(spark, d).select("id", F.row_number().over(w).cast("long").alias("place"), F.round(so_far, 6).alias("share"))
+
+
+#: Features on a grid of one hour, by straight lines between their points.
+GRID = """ut AS (SELECT id, t, sum(intensity) AS y FROM q GROUP BY id, t), sg AS (SELECT *, lead(t) OVER w AS t2, lead(y) OVER w AS y2 FROM ut WINDOW w AS (PARTITION BY id ORDER BY t)),
+gr AS (SELECT *, unnest(range(CAST(ceil(t) AS BIGINT), CASE WHEN t2 IS NULL THEN CAST(floor(t) AS BIGINT) + 1 ELSE CAST(ceil(t2) AS BIGINT) END)) AS grid FROM sg),
+rs AS MATERIALIZED (SELECT id, grid, CASE WHEN t2 IS NULL THEN y ELSE y + (y2 - y) / (t2 - t) * (grid - t) END AS y FROM gr)"""
+
+
+def resampled(spark, d):
+    return resample(feature_points(spark, d).select("id", "t", "intensity"), ["id"], "t", "intensity", 1.0)
+
+
+@query(f"{WITH}, {GRID} SELECT id, count(*) AS n, min(grid) AS first, max(grid) AS last, round(sum(y) + 1e-9, 4) AS area FROM rs GROUP BY id")
+def interpolate_feature(spark, d):
+    """Each feature resampled on a grid of one hour: its points, span and area."""
+    return resampled(spark, d).groupBy("id").agg(F.count("*").alias("n"), F.min("grid").alias("first"), F.max("grid").alias("last"), F.round(F.sum("intensity") + 1e-9, 4).alias("area"))
+
+
+@query(f"""WITH {PAIRED}, {GRID}, rc AS (SELECT precursor, product, count(*) AS n, var_pop(x.y) AS vx, var_pop(z.y) AS vz, corr(x.y, z.y) AS r FROM pair JOIN rs x ON x.id = precursor JOIN rs z ON z.id = product AND z.grid = x.grid GROUP BY precursor, product)
+SELECT precursor, product, n, round(r, 5) AS score FROM rc WHERE n >= 3 AND vx > 1e-9 AND vz > 1e-9 AND r >= 0.5""")
+def resampled_correlation(spark, d):
+    """Precursors and products whose resampled chromatograms go together: correlation 0.5 or more over three common hours or more."""
+    f = feature_map(spark, d)
+    a = f.filter("channel = 'click'").select(F.col("id").alias("precursor"), "run", "s", "e", F.col("mass").alias("ma"), F.col("charge").alias("za"))
+    b = f.filter("channel <> 'click'").select(F.col("id").alias("product"), "run", F.col("s").alias("t"), F.col("e").alias("f"), F.col("mass").alias("mb"), F.col("charge").alias("zb"))
+    pairs = interval_join(a, b, ("s", "e"), ("t", "f"), 48.0, ["run"]).filter("mb <= ma and zb <= za").select("precursor", "product")
+    g = resampled(spark, d)
+    both = pairs.join(g.toDF("precursor", "grid", "x"), "precursor").join(g.toDF("product", "grid", "y"), ["product", "grid"])
+    r = both.groupBy("precursor", "product").agg(F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.corr("x", "y").alias("r"))
+    return r.filter("n >= 3 and vx > 1e-9 and vy > 1e-9 and r >= 0.5").select("precursor", "product", "n", F.round("r", 5).alias("score"))

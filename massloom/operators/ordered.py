@@ -108,6 +108,22 @@ def sliding_windows(rows: DataFrame, ordinal: str, width: int, slide: int) -> Da
     return rows.withColumn("window_id", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
 
 
+def resample(points: DataFrame, by: list[str], time: str, value: str, step: float) -> DataFrame:
+    """(by, grid, value) on a grid of ``step``: between neighbouring points of a group by a straight line, none outside its span.
+
+    Points of one time are added first. A group of one point has a grid point
+    only if it lies on the grid.
+    """
+    unique = points.groupBy(*by, F.col(time).alias("_t")).agg(F.sum(value).alias("_y"))
+    w = W.partitionBy(*by).orderBy("_t")
+    part = unique.withColumn("_t2", F.lead("_t").over(w)).withColumn("_y2", F.lead("_y").over(w))
+    first = F.ceil(F.col("_t") / step)
+    last = F.when(F.col("_t2").isNull(), F.floor(F.col("_t") / step)).otherwise(F.ceil(F.col("_t2") / step) - 1)
+    held = part.withColumn("_a", first).withColumn("_b", last).filter("_a <= _b").withColumn("grid", F.explode(F.sequence("_a", "_b")))
+    slope = (F.col("_y2") - F.col("_y")) / (F.col("_t2") - F.col("_t"))
+    return held.select(*by, "grid", F.when(F.col("_t2").isNull(), F.col("_y")).otherwise(F.col("_y") + slope * (F.col("grid") * step - F.col("_t"))).alias(value))
+
+
 def coalesce_spans(rows: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Merge overlapping intervals of each group: gaps and islands."""
     w = W.partitionBy(*by).orderBy(start, end).rowsBetween(W.unboundedPreceding, -1)

@@ -40,3 +40,11 @@ def test_blocks_are_several_and_empty_tables_pass(spark):
     df = spark.createDataFrame(data, "scan_id long, t double, ms_level int")
     assert ordered_blocks(df, ["t", "scan_id"]).select("_block").distinct().count() > 1
     assert row_numbers(df.limit(0), ["t"], "n").count() == 0
+
+
+def test_resampling_follows_straight_lines(spark):
+    from massloom.operators.ordered import resample
+
+    rows = [("a", 0.5, 1.0), ("a", 2.5, 5.0), ("a", 2.5, 1.0), ("a", 3.0, 0.0), ("b", 4.0, 7.0), ("c", 4.2, 7.0)]
+    got = {(r.k, r.grid): r.y for r in resample(spark.createDataFrame(rows, "k string, t double, y double"), ["k"], "t", "y", 1.0).collect()}
+    assert got == {("a", 1): 2.25, ("a", 2): 4.75, ("a", 3): 0.0, ("b", 4): 7.0}
