@@ -32,24 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-#: Folders written and not yet deleted, by session.
-WRITTEN: dict[str, SparkSession] = {}
+def written(spark: SparkSession) -> set[str]:
+    """Folders of this application that are written and not yet deleted; kept at its context, so that no function carries them along."""
+    return spark.sparkContext.__dict__.setdefault("massloom_tables", set())
 
 
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    WRITTEN.pop(folder, None)
+    written(spark).discard(folder)
 
 
 @atexit.register
 def clear() -> None:
     """Delete every table that is still there: at the end of the driver, or before, once no result is read any more."""
-    for folder, spark in list(WRITTEN.items()):
-        try:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:  # else the session has ended before
+        for folder in list(written(spark)):
             remove(spark, folder)
-        except Exception:  # the session has ended before
-            WRITTEN.pop(folder, None)
 
 
 def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
@@ -65,7 +65,7 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     try:
         for key, value in WHILE_WRITING.items():
             spark.conf.set(key, value)
-        WRITTEN[path] = spark
+        written(spark).add(path)
         df.write.parquet(path)
     finally:
         for key, value in before.items():
@@ -82,4 +82,4 @@ def discard(*tables: DataFrame) -> None:
         for file in df.inputFiles()[:1]:
             folder = file.rsplit("/", 1)[0]
             if bare(folder).startswith(root + "/"):
-                remove(spark, next((w for w in WRITTEN if bare(w) == bare(folder)), folder))
+                remove(spark, next((w for w in written(spark) if bare(w) == bare(folder)), folder))
