@@ -33,9 +33,9 @@ from massloom.plans.store import discard, materialize
 
 WINDOW = 20
 SEED = 5
-#: A bucket of so many packed strings fits in a task (about 10 MB with its
+#: A bucket of so many packed strings fits in a task (about 100 MB with its
 #: windows); a minimiser with more of them is grouped by string and by window.
-HOT = 5_000
+HOT = 50_000
 KEY = ["doc_id", "h"]
 
 
