@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 
 from massloom.catalog import query
 from massloom.catalog.features import HOURS, points
-from massloom.functions.mass import PROTON, neutral_mass
+from massloom.functions.mass import PROTON, neutral_mass, ratio
+from massloom.functions.scoring import correlation
 from massloom.operators.graph import connected_components
 from massloom.operators.joins import best_match, interval_join, interval_join_2d, range_join
 from massloom.operators.ordered import resample, sessionize
@@ -32,7 +33,7 @@ def feature_points(spark, d):
 
 def feature_map(spark, d):
     """(id, run, channel, s, e, mz, total, n, charge, drift, mass): one row for each feature."""
-    m = feature_points(spark, d).groupBy("id").agg(F.min("run").alias("run"), F.min("channel").alias("channel"), F.min("t").alias("s"), F.max("t").alias("e"), (F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity")).alias("mz"), F.sum("intensity").alias("total"), F.count("*").alias("n"))
+    m = feature_points(spark, d).groupBy("id").agg(F.min("run").alias("run"), F.min("channel").alias("channel"), F.min("t").alias("s"), F.max("t").alias("e"), ratio(F.sum(F.col("mz") * F.col("intensity")), F.sum("intensity")).alias("mz"), F.sum("intensity").alias("total"), F.count("*").alias("n"))
     m = m.withColumn("charge", 1 + F.col("id") % 3).withColumn("drift", F.col("id") % 50 / 10.0)
     return m.withColumn("mass", neutral_mass(F.col("mz"), F.col("charge")))
 
@@ -243,7 +244,7 @@ def correlated(spark, d, top=1500):
     pairs = interval_join(a, b, ("s", "e"), ("t", "f"), 48.0, ["run"]).filter("mb <= ma and zb <= za").select("precursor", "product", "total")
     h = nodes(spark, d).groupBy("id", "node").agg(F.sum("intensity").alias("i"))
     both = pairs.join(h.toDF("precursor", "node", "x"), "precursor").join(h.toDF("product", "node", "y"), ["product", "node"])
-    g = both.groupBy("precursor", "product").agg(F.min("total").alias("total"), F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    g = both.groupBy("precursor", "product").agg(F.min("total").alias("total"), F.count("*").alias("n"), correlation("x", "y").alias("r"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
     score = F.when((F.col("n") < 2) | (F.col("vx") == 0) | (F.col("vy") == 0), -1.0).otherwise(F.round("r", 6))
     rank = F.row_number().over(W.partitionBy("precursor").orderBy(F.desc("score"), "product"))
     return g.withColumn("score", score).filter("score >= 0.1").withColumn("rank", rank).filter(F.col("rank") <= top).select("precursor", "product", "n", "total", "score")
@@ -358,5 +359,5 @@ def resampled_correlation(spark, d):
     pairs = interval_join(a, b, ("s", "e"), ("t", "f"), 48.0, ["run"]).filter("mb <= ma and zb <= za").select("precursor", "product")
     g = resampled(spark, d)
     both = pairs.join(g.toDF("precursor", "grid", "x"), "precursor").join(g.toDF("product", "grid", "y"), ["product", "grid"])
-    r = both.groupBy("precursor", "product").agg(F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.corr("x", "y").alias("r"))
+    r = both.groupBy("precursor", "product").agg(F.count("*").alias("n"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), correlation("x", "y").alias("r"))
     return r.filter("n >= 3 and vx > 1e-9 and vy > 1e-9 and r >= 0.5").select("precursor", "product", "n", F.round("r", 5).alias("score"))

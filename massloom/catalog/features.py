@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from massloom.catalog import query
+from massloom.functions.mass import ratio
+from massloom.functions.scoring import correlation
 from massloom.operators.graph import connected_components
 from massloom.operators.joins import interval_join, interval_join_2d
 from massloom.operators.ordered import sessionize
@@ -51,7 +53,7 @@ def feature_spanning_time(spark, d):
 def feature_running_mz(spark, d):
     """Intensity-weighted mean m/z up to each point."""
     w = W.partitionBy("run").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return view(spark, d, "v_signal").select("event_id", F.round(F.sum(F.col("mz") * F.col("intensity")).over(w) / F.sum("intensity").over(w), 6).alias("running_mz"))
+    return view(spark, d, "v_signal").select("event_id", F.round(ratio(F.sum(F.col("mz") * F.col("intensity")).over(w), F.sum("intensity").over(w)), 6).alias("running_mz"))
 
 
 EDGES = f"""{SPLIT}, e AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.channel = b.channel AND a.id < b.id AND a.s <= b.e AND b.s <= a.e AND a.lo <= b.lo + 2 AND b.lo <= a.lo + 2)"""
@@ -108,7 +110,7 @@ def xic_correlation(spark, d):
     x = h.toDF("run_a", "day", "ia", "centre").withColumn("cell", F.explode(F.array(at - 1, at, at + 1))).withColumnRenamed("centre", "ca")
     y = h.toDF("run_b", "day", "ib", "centre").withColumn("cell", at).withColumnRenamed("centre", "cb")
     pairs = x.join(y, ["cell", "day"]).filter("run_a < run_b and abs(cb - ca) <= 2")
-    out = pairs.groupBy("run_a", "run_b").agg(F.count("*").alias("n"), F.round(F.corr("ia", "ib"), 5).alias("r"), F.var_pop("ia").alias("va"), F.var_pop("ib").alias("vb"))
+    out = pairs.groupBy("run_a", "run_b").agg(F.count("*").alias("n"), F.round(correlation("ia", "ib"), 5).alias("r"), F.var_pop("ia").alias("va"), F.var_pop("ib").alias("vb"))
     return out.filter("n >= 3 and va > 0 and vb > 0").select("run_a", "run_b", "n", "r")
 
 
