@@ -13,6 +13,7 @@ from massloom.operators import tracing as T
 from massloom.operators.graph import connected_components
 from massloom.operators.joins import nearest_join
 from massloom.operators.ordered import previous_where, sessionize
+from massloom.plans.store import materialize
 from massloom.plans.views import view
 
 
@@ -156,9 +157,7 @@ def frame_features(spark, d):
 def solved_frames(spark, d):
     """Isotopic series among each frame's features, none sharing one, with the drift times that they span."""
     f = frame_features(spark, d)
-    fits = D.isotopic_fits(f, CHARGES, TOLERANCE)
-    c = D.clusters(fits)
-    taken = c.join(D.greedy_disjoint(c).select("fit"), "fit")
+    taken = materialize(D.greedy_disjoint(D.isotopic_fits(f, CHARGES, TOLERANCE)), "taken")
     span = D.links(taken).select("scan_id", F.col("peak").alias("n"), "fit").join(f.select("scan_id", "n", "d0", "d1"), ["scan_id", "n"]).groupBy("fit").agg(F.min("d0").alias("first_drift"), F.max("d1").alias("last_drift"))
     return taken.join(span, "fit")
 

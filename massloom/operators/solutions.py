@@ -1,93 +1,79 @@
-"""Which of the fits that share peaks are kept: in rounds over links, with subtraction, in layers, and the heaviest path.
-
-A row is a link: one peak of one fit. All clusters of all spectra are solved
-at once: in each round a fit acts if it is the best of those left on every one
-of its peaks, which two windows tell. Fits that act in a round share no peak,
-and one that acts is the best of its cluster's rest wherever it reaches, so
-greedy and first-fit results equal those of going through a cluster by falling
-score. Both windows lie inside a spectrum, so one shuffle by ``scan_id`` serves
-a round. Rounds are cut through tables in the shared folder.
+"""Which of the fits that share peaks are kept: by falling score in layers, with subtraction, and the heaviest path.
+
+Fits of different spectra never share a peak, so the fits of one spectrum come
+together, some hundreds, are solved in one pass and leave: each of these is one
+shuffle by ``scan_id``, however many rounds a spectrum takes.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
-from massloom.functions.scoring import msdeconv_term
-from massloom.plans.store import materialize
 
-#: Rounds between two writes; rounds after which a solver gives up rather than go on.
-STEPS, MOST_ROUNDS = 4, 1000
+def laid(fits: DataFrame) -> DataFrame:
+    """The fits (scan_id, fit, peaks, score, ...) with ``cluster``, the smallest number of those that share peaks with one another, directly or not, and ``layer``.
 
+    Fits go by falling score, the lower number on ties, each into the first
+    layer where it shares no peak with one before. Layer 0 is the greedy solution.
+    """
+    schema = StructType(list(fits.schema.fields)).add("cluster", "long").add("layer", "integer")
 
-def of(key: str) -> W:
-    """The rows of a fit, or of a peak, of one spectrum."""
-    return W.partitionBy("scan_id", key)
+    def kernel(spectrum: pa.Table) -> pa.Table:
+        fit, peaks, score = (spectrum.column(c).to_pylist() for c in ("fit", "peaks", "score"))
+        group, owner, taken, layer = list(range(len(fit))), {}, {}, [0] * len(fit)
 
+        def find(i: int) -> int:
+            while group[i] != i:
+                group[i] = i = group[group[i]]
+            return i
 
-def acts(left: Column, score: Column) -> tuple[Column, Column]:
-    """(whether the row's fit, if ``left``, is the best left on its peak; the same for all of its rows that are left, from a column ``_own`` of the first)."""
-    rank = F.struct(score, -F.col("fit"))
-    own = left & (F.max(F.when(left, rank)).over(of("n")) == rank)
-    return own, left & F.min(F.when(left, F.col("_own"))).over(of("fit"))
+        for i in sorted(range(len(fit)), key=lambda i: fit[i]):  # roots are the smallest of their group
+            for p in peaks[i]:
+                a, b = find(i), find(owner.setdefault(p, i))
+                group[max(a, b, key=fit.__getitem__)] = min(a, b, key=fit.__getitem__)
+        for i in sorted(range(len(fit)), key=lambda i: (not math.isnan(score[i]), -score[i], fit[i])):
+            used = set().union(*(taken.get(p, ()) for p in peaks[i]))
+            layer[i] = next(k for k in range(len(used) + 1) if k not in used)
+            for p in peaks[i]:
+                taken.setdefault(p, set()).add(layer[i])
+        cluster = [fit[find(i)] for i in range(len(fit))]
+        return spectrum.append_column("cluster", pa.array(cluster, pa.int64())).append_column("layer", pa.array(layer, pa.int32()))
 
+    return fits.groupBy("scan_id").applyInArrow(kernel, schema)
 
-def in_rounds(rows: DataFrame, step, left: str, tag: str, most: int = MOST_ROUNDS) -> DataFrame:
-    """``step`` applied until no row is ``left``; every few steps the rows are written, and those that are done are not read again."""
-    now, done = rows, None
-    for _ in range(0, most, STEPS):
-        now = now.repartition("scan_id")
-        for _ in range(STEPS):
-            now = step(now)
-        table = materialize(now, tag)
-        ended = table.filter(f"not ({left})")
-        done = ended if done is None else done.unionByName(ended)
-        now = table.filter(left)
-        if now.isEmpty():
-            return done
-    raise RuntimeError(f"fits are left after {most} rounds")
 
+def of_links(rows: DataFrame) -> DataFrame:
+    """Fits from their links (scan_id, fit, n, score), one row for each peak."""
+    return rows.groupBy("scan_id", "fit").agg(F.collect_set("n").alias("peaks"), F.max("score").alias("score"))
 
-def greedy_rounds(rows: DataFrame) -> DataFrame:
-    """(scan_id, fit): fits by falling score, the lower number on ties, where no better one taken shares a peak.
-
-    ``rows`` has scan_id, fit, n (peak) and score. Each round takes the fits
-    that are the best left on all their peaks and drops their neighbours.
-    """
 
-    def step(now: DataFrame) -> DataFrame:
-        own, takes = acts(F.col("took").isNull(), F.col("score"))
-        seen = now.withColumn("_own", own).withColumn("_takes", takes).withColumn("_hit", F.max("_takes").over(of("n"))).withColumn("_gone", F.max("_hit").over(of("fit")))
-        took = F.coalesce("took", F.when(F.col("_takes"), True).when(F.col("_gone"), False))
-        return seen.select("scan_id", "fit", "n", "score", took.alias("took"))
+def layers(rows: DataFrame) -> DataFrame:
+    """(scan_id, fit, layer) of links (scan_id, fit, n, score): :func:`laid`."""
+    return laid(of_links(rows)).select("scan_id", "fit", "layer")
 
-    start = rows.select("scan_id", "fit", "n", "score", F.lit(None).cast("boolean").alias("took"))
-    return in_rounds(start, step, "took is null", "greedy").filter("took").select("scan_id", "fit").distinct()
 
+def greedy_rounds(rows: DataFrame) -> DataFrame:
+    """(scan_id, fit): fits by falling score, the lower number on ties, where no better one taken shares a peak; ``rows`` are links."""
+    return layers(rows).filter("layer = 0").select("scan_id", "fit")
 
-def layers(rows: DataFrame) -> DataFrame:
-    """(scan_id, fit, layer): fits by falling score, each in the first layer where it shares no peak with one before.
 
-    Layer 0 is the greedy solution. A fit is placed once all better fits on its
-    peaks are; the layers that it may not take travel with its links.
-    """
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
 
-    def step(now: DataFrame) -> DataFrame:
-        own, places = acts(F.col("layer").isNull(), F.col("score"))
-        used = F.array_distinct(F.flatten(F.collect_list("used").over(of("fit"))))
-        first = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
-        seen = now.withColumn("_own", own).withColumn("_first", F.when(places, first)).withColumn("_new", F.max("_first").over(of("n")))
-        more = F.when(F.col("_new").isNull(), F.col("used")).otherwise(F.array_append("used", F.col("_new")))
-        return seen.select("scan_id", "fit", "n", "score", more.alias("used"), F.coalesce("layer", "_first").alias("layer"))
 
-    start = rows.select("scan_id", "fit", "n", "score", F.array().cast("array<int>").alias("used"), F.lit(None).cast("int").alias("layer"))
-    return in_rounds(start, step, "layer is null", "layers").select("scan_id", "fit", "layer").distinct()
+def terms(mz: np.ndarray, obs: np.ndarray, snr: np.ndarray, want: np.ndarray, theo: np.ndarray) -> np.ndarray:
+    """:func:`massloom.functions.scoring.msdeconv_term` over arrays, for signals above 0."""
+    accuracy = np.where((error := np.abs(mz - want)) <= 0.02, 1 - error / 0.02, 0.0)
+    agreement = np.where(obs < theo, 1 - (theo - obs) / obs, np.sqrt(np.maximum(1 - (obs - theo) / obs, 0.0)))
+    return np.where(snr < 1, 0.0, np.sqrt(theo) * accuracy * np.maximum(agreement, 0.0))
 
 
 def solve_with_subtraction(members: DataFrame, rounds: int = 10, least: float = 0.0) -> DataFrame:
@@ -102,34 +88,43 @@ def solve_with_subtraction(members: DataFrame, rounds: int = 10, least: float =
     signal becomes 1 and it counts as missed from then on. At most ``rounds``
     rounds are made; what is left after them stays unsolved.
     """
-    kept = ["scan_id", "fit", "n", "want", "mz", "snr", "weight"]
-
-    def step(now: DataFrame, number: int) -> DataFrame:
-        live = F.col("live") & (F.col("intensity") > 1)
-        seen = now.withColumn("live", live).withColumn("_theory", F.col("weight") * F.sum(F.when(F.col("live"), F.col("intensity"))).over(of("fit")))
-        term = msdeconv_term(F.col("mz"), F.col("intensity"), F.col("snr"), F.col("want"), F.col("_theory"))
-        found, score = F.sum(F.col("live").cast("int")).over(of("fit")), F.round(F.sum(F.when(F.col("live"), term)).over(of("fit")) + 1e-9, 5)
-        seen = seen.withColumn("_found", found).withColumn("_score", score).withColumn("live", F.col("live") & (F.col("_found") > 1) & (F.col("_score") > least))
-        own, takes = acts(F.col("live"), F.col("_score"))
-        seen = seen.withColumn("_own", own).withColumn("_takes", takes).withColumn("_spent", F.max(F.when(F.col("_takes"), F.col("_theory"))).over(of("n")))
-        rest = F.col("intensity") - F.col("_spent")
-        after = F.when(F.col("_spent").isNull(), F.col("intensity")).when((rest < 0) | (F.col("_spent") > 0.7 * F.col("intensity")), 1.0).otherwise(F.round(rest, 6))
-        new = F.when(F.col("_takes"), F.struct(F.lit(number).alias("round"), F.col("_score").alias("score"), F.col("_theory").alias("theory")))
-        return seen.select(*kept, after.alias("intensity"), (F.col("live") & ~F.col("_takes")).alias("live"), F.coalesce("took", new).alias("took"))
-
-    took = F.lit(None).cast("struct<round: int, score: double, theory: double>")
-    now, out = members.select(*kept, "intensity", F.lit(True).alias("live"), took.alias("took")), None
-    for first in range(0, rounds, STEPS):
-        now = now.repartition("scan_id")
-        for number in range(first, min(first + STEPS, rounds)):
-            now = step(now, number)
-        table = materialize(now, "solve")
-        new = table.filter("took is not null").groupBy("scan_id", "fit").agg(F.max("took.round").alias("round"), F.max("took.score").alias("score"), F.sum("took.theory").alias("signal"), F.count("*").alias("n_peaks"))
-        out = new if out is None else out.unionByName(new)
-        now = table.filter("live")
-        if now.isEmpty():
-            break
-    return out
+    names = ["fit", "round", "score", "signal", "n_peaks"]
+
+    def kernel(spectrum: pa.Table) -> pa.Table:
+        scan, rows = spectrum.column("scan_id")[0].as_py(), spectrum.sort_by([("fit", "ascending"), ("want", "ascending")])
+        fit, n, want, mz, snr, weight, y = (rows.column(c).to_numpy() for c in ("fit", "n", "want", "mz", "snr", "weight", "intensity"))
+        out = []
+        for number in range(rounds):
+            live = y > 1
+            fit, n, want, mz, snr, weight, y = (c[live] for c in (fit, n, want, mz, snr, weight, y))
+            if not len(fit):
+                break
+            names_of, f = np.unique(fit, return_inverse=True)
+            found, theory = np.bincount(f), weight * np.bincount(f, y)[f]
+            several = found[f] > 1
+            score = half_up(np.bincount(f, np.where(several, terms(mz, y, snr, want, theory), 0.0)) + 1e-9, 5)
+            stays = several & (score[f] > least)
+            fit, n, want, mz, snr, weight, y, theory, f = (c[stays] for c in (fit, n, want, mz, snr, weight, y, theory, f))
+            place = np.empty(len(names_of), dtype=np.int64)
+            place[np.lexsort((names_of, -score))] = np.arange(len(names_of))
+            peaks, p = np.unique(n, return_inverse=True)
+            best = np.full(len(peaks), len(names_of))
+            np.minimum.at(best, p, place[f])
+            lost = np.bincount(f, best[p] != place[f], len(names_of)) > 0
+            takes = ~lost[f]
+            took = np.unique(f[takes])
+            out.append((names_of[took], np.full(len(took), number, dtype=np.int32), score[took], np.bincount(f, theory, len(names_of))[took], np.bincount(f, minlength=len(names_of))[took]))
+            spent = np.full(len(peaks), -1.0)
+            np.maximum.at(spent, p[takes], theory[takes])
+            less = spent[p]
+            rest = y - less
+            y = np.where(less < 0, y, np.where((rest < 0) | (less > 0.7 * y), 1.0, half_up(rest, 6)))
+            fit, n, want, mz, snr, weight, y = (c[~takes] for c in (fit, n, want, mz, snr, weight, y))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.array([], dtype=t) for t in (np.int64, np.int32, float, float, np.int64)]
+        return pa.table({"scan_id": np.full(len(columns[0]), scan, dtype=np.int64), **dict(zip(names, columns, strict=True))})
+
+    known = members.select("scan_id", "fit", "n", "want", "mz", F.col("snr").cast("double"), "weight", F.col("intensity").cast("double"))
+    return known.groupBy("scan_id").applyInArrow(kernel, "scan_id long, fit long, round int, score double, signal double, n_peaks long")
 
 
 def heaviest_paths(fits: DataFrame) -> DataFrame:
