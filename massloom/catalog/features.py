@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from massloom.catalog import query
 from massloom.functions.mass import ratio
 from massloom.functions.scoring import correlation
-from massloom.operators.graph import connected_components
+from massloom.operators.graph import connected_components, linking_edges
 from massloom.operators.joins import interval_join, interval_join_2d
 from massloom.operators.ordered import sessionize
 from massloom.plans.views import view
@@ -74,7 +74,10 @@ def feature_overlap_edges(spark, d):
 @query(EDGES.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT a, b FROM u UNION SELECT r.x, u.b FROM r JOIN u ON r.y = u.a)
 SELECT x AS id, least(x, min(y)) AS component FROM r GROUP BY x""")
 def feature_components(spark, d):
-    return connected_components(edges(spark, d), "a", "b")
+    """Features connected by overlaps, found over some of the edges that connect as all do."""
+    f = features(spark, d).select("channel", "id", F.col("lo").alias("value"), "s", "e")
+    e = linking_edges(f, F.floor(F.col("value") / 2), lambda x, i, y, j: y <= x + 2, lambda x, y: y <= x + 2, ["channel"])
+    return connected_components(e, "a", "b")
 
 
 @query("""WITH h AS (SELECT channel, run, date_trunc('day', ts) AS day, sum(intensity) AS i FROM v_signal GROUP BY ALL)

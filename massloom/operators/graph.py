@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.plans.store import discard, materialize
@@ -61,3 +65,57 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         raise RuntimeError(f"labels still move after {max_rounds} rounds")
     discard(both, hubs)
     return label.select(F.col("a").alias("id"), F.col("l").alias("component"))
+
+
+#: Cells of values whose members may be near those of a cell.
+CELLS = 3
+
+
+def linking_edges(features: DataFrame, cell: Column, near: Callable, may: Callable, by: list[str] | None = None, bridge: float = 0.0) -> DataFrame:
+    """(a, b): some of the pairs of features that are near in value and overlap in time, enough to connect what all of them connect.
+
+    ``features`` has id, value, s and e, and the ``by`` columns that both of a
+    pair share; ``bridge`` stretches the times. ``near(x, i, y, j)`` tells
+    whether values x <= y of ids i and j are near, ``may(x, y)`` whether they
+    could be under any ids; near values hold for closer ones of the same ids.
+    ``cell`` numbers the values so that all of one cell are near each other and
+    none is near one of three cells off.
+
+    All features of a cell that last at one time are near each other. So one
+    that starts then needs one link to its own cell and one to each other cell
+    that has a near one: links grow as the features do, where pairs grow as
+    their square. A cell goes by in order of start, what is held is what lasts.
+    """
+    by = by or []
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, lasting = None, []
+        for batch in batches:
+            pairs = []
+            for *g, off, i, v, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group:
+                    group, lasting = g, [[] for _ in range(CELLS)]  # for each cell off: [(value, id, end)], by value
+                for k, held in enumerate(lasting):
+                    if off and k:
+                        continue  # such links are made where one of the cells is the first
+                    up = k >= off  # the held ones are higher
+                    at = 0 if up else len(held) - 1
+                    while 0 <= at < len(held):
+                        w, j, end = held[at]
+                        if end + bridge < s:
+                            del held[at]
+                            at -= 0 if up else 1
+                            continue
+                        if k == off or (near(v, i, w, j) if up else near(w, j, v, i)):
+                            pairs.append((i, j))
+                            break
+                        if not (may(v, w) if up else may(w, v)):
+                            break
+                        at += 1 if up else -1
+                own = lasting[off]
+                own.insert(bisect_left(own, (v, i)), (v, i, e))
+            yield pa.record_batch([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+
+    spread = features.select(*by, cell.cast("long").alias("_cell"), "id", "value", "s", "e").dropna(subset=["_cell", "s", "e"])
+    spread = spread.withColumn("_off", F.explode(F.array(*map(F.lit, range(CELLS))))).select(*by, (F.col("_cell") - F.col("_off")).alias("_cell"), "_off", "id", "value", "s", "e")
+    return spread.repartition(*by, "_cell").sortWithinPartitions(*by, "_cell", "s", "id").mapInArrow(kernel, "a long, b long")

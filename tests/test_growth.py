@@ -59,3 +59,33 @@ def test_mean_similarity_of_a_group_makes_no_pairs(spark, tmp_path):
     (row,) = found.collect()
     assert row["size"] == 12 and abs(row.similarity - total / 66) < 1e-6
     assert "cell" not in plan(found)
+
+
+def test_few_links_connect_what_all_pairs_connect(spark):
+    import math as m
+    import random
+
+    from massloom.operators.graph import connected_components, linking_edges
+
+    rng, tol = random.Random(4), 0.02
+    rows = [(i, "xy"[i % 2], 100 * m.exp(rng.random() * 0.4), t := rng.randrange(60) / 1.0, t + rng.randrange(5)) for i in rng.sample(range(1000), 300)]
+    near = lambda x, i, y, j: y - x <= (x if i < j else y) * tol
+    root = {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i, g, v, s, e in rows:
+        for j, h, w, t, f in rows:
+            if i < j and g == h and s - 1 <= f and t - 1 <= e and (near(v, i, w, j) if v <= w else near(w, j, v, i)):
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(rows, "id long, kind string, value double, s double, e double")
+    links = linking_edges(df, F.floor(F.log("value") / (m.log(1 + tol) * (1 - 1e-9))), near, lambda x, y: y - x <= y * tol, ["kind"], 1.0)
+    got = {r.id: r.component for r in connected_components(links, "a", "b").collect()}
+    assert {r[0]: got.get(r[0], r[0]) for r in rows} == {r[0]: find(r[0]) for r in rows}
+    assert links.distinct().count() < 3 * len(rows) and pairs > links.distinct().count()
