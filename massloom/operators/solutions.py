@@ -105,6 +105,8 @@ def solve_with_subtraction(members: DataFrame, rounds: int = 10, least: float =
             score = half_up(np.bincount(f, np.where(several, terms(mz, y, snr, want, theory), 0.0)) + 1e-9, 5)
             stays = several & (score[f] > least)
             fit, n, want, mz, snr, weight, y, theory, f = (c[stays] for c in (fit, n, want, mz, snr, weight, y, theory, f))
+            if not len(fit):
+                break
             place = np.empty(len(names_of), dtype=np.int64)
             place[np.lexsort((names_of, -score))] = np.arange(len(names_of))
             peaks, p = np.unique(n, return_inverse=True)

@@ -89,3 +89,11 @@ def test_few_links_connect_what_all_pairs_connect(spark):
     got = {r.id: r.component for r in connected_components(links, "a", "b").collect()}
     assert {r[0]: got.get(r[0], r[0]) for r in rows} == {r[0]: find(r[0]) for r in rows}
     assert links.distinct().count() < 3 * len(rows) and pairs > links.distinct().count()
+
+
+def test_a_spectrum_whose_fits_all_drop_out_has_no_solution(spark):
+    from massloom.operators.solutions import solve_with_subtraction
+
+    rows = [(1, 7, n, 500.0 + n, 500.5 + n, 5.0, 40.0, 0.5) for n in range(2)]  # too far off to score
+    m = spark.createDataFrame(rows, "scan_id long, fit long, n long, want double, mz double, snr double, intensity double, weight double")
+    assert solve_with_subtraction(m).collect() == []
