@@ -107,41 +107,58 @@ def chromatograms(spark, d):
     return view(spark, d, "v_signal").groupBy("run", F.unix_date(F.to_date("ts")).alias("day")).agg(F.sum("intensity").alias("y"))
 
 
+def of_chromatograms(spark, d, kernel, schema):
+    """What a kernel makes of lists of chromatograms (run, days, signal), a table for each list.
+
+    A fit costs far more than its bytes tell, so chromatograms are dealt over
+    all shuffle partitions by number, which Spark does not put together again.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = chromatograms(spark, d).repartition(n, "run").groupBy("run").agg(F.sort_array(F.collect_list(F.struct("day", "y"))).alias("at"))
+
+    def batches(found):
+        for b in found:
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
+                held = [(r, np.array(x, dtype=float), np.array(y, dtype=float)) for r, x, y in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True)]
+                yield from kernel(held).to_batches()
+
+    return rows.select("run", "at.day", "at.y").mapInArrow(batches, schema)
+
+
 @query()
 def shape_fit(spark, d):
     """How well each run's daily chromatogram has the shape of a peak."""
 
-    def kernel(key, table):
-        rows = sorted(zip(table.column("day").to_pylist(), table.column("y").to_pylist(), strict=True))
-        x, y = np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows])
-        return pa.table({"run": [key[0].as_py()], "n": pa.array([len(x)], pa.int32()), "score": [profiles.shape_score(x, y, "gaussian", 1)]})
+    def kernel(held):
+        scores = profiles.shape_scores([(x, y) for _, x, y in held], "gaussian", 1)
+        return pa.table({"run": pa.array([r for r, _, _ in held], pa.int64()), "n": pa.array([len(x) for _, x, _ in held], pa.int32()), "score": pa.array(scores, pa.float64())})
 
-    return chromatograms(spark, d).groupBy("run").applyInArrow(kernel, "run long, n int, score double")
+    return of_chromatograms(spark, d, kernel, "run long, n int, score double")
 
 
 @query()
 def adaptive_shape_fit(spark, d):
     """Each run's daily chromatogram fitted by several shapes, cut at its valleys or peak by peak: the best of them, how well it does and how many peaks it has."""
 
-    def kernel(key, table):
-        rows = sorted(zip(table.column("day").to_pylist(), table.column("y").to_pylist(), strict=True))
-        kind, way, test, centres = profiles.adaptive_fit(np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows]), 1)
-        return pa.table({"run": [key[0].as_py()], "n": pa.array([len(rows)], pa.int32()), "shape": [kind], "way": [way], "line_test": [test], "peaks": pa.array([len(centres)], pa.int32())})
+    def kernel(held):
+        kind, way, test, centres = zip(*profiles.adaptive_fits([(x, y) for _, x, y in held], 1), strict=True)
+        columns = {"run": pa.array([r for r, _, _ in held], pa.int64()), "n": pa.array([len(x) for _, x, _ in held], pa.int32()), "shape": pa.array(kind, pa.string()), "way": pa.array(way, pa.string())}
+        return pa.table(columns | {"line_test": pa.array(test, pa.float64()), "peaks": pa.array(map(len, centres), pa.int32())})
 
-    return chromatograms(spark, d).groupBy("run").applyInArrow(kernel, "run long, n int, shape string, way string, line_test double, peaks int")
+    return of_chromatograms(spark, d, kernel, "run long, n int, shape string, way string, line_test double, peaks int")
 
 
 @query()
 def profile_split(spark, d):
     """Each run's daily chromatogram cut at its valleys."""
 
-    def kernel(key, table):
-        rows = sorted(zip(table.column("day").to_pylist(), table.column("y").to_pylist(), strict=True))
-        x, y = np.array([r[0] for r in rows], dtype=float), np.array([r[1] for r in rows])
-        cut = profiles.split_profile(x, y, 0.3)
-        return pa.table({"run": [key[0].as_py()] * len(cut), "part": pa.array(range(len(cut)), pa.int32()), "start": [float(a[0]) for a, _ in cut], "end": [float(a[-1]) for a, _ in cut], "total": [float(b.sum()) for _, b in cut]})
+    def kernel(held):
+        cut = [(r, i, float(a[0]), float(a[-1]), float(b.sum())) for r, x, y in held for i, (a, b) in enumerate(profiles.split_profile(x, y, 0.3))]
+        kinds = {"run": pa.int64(), "part": pa.int32(), "start": pa.float64(), "end": pa.float64(), "total": pa.float64()}
+        return pa.table({c: pa.array([row[k] for row in cut], t) for k, (c, t) in enumerate(kinds.items())})
 
-    return chromatograms(spark, d).groupBy("run").applyInArrow(kernel, "run long, part int, start double, end double, total double")
+    return of_chromatograms(spark, d, kernel, "run long, part int, start double, end double, total double")
 
 
 @query()

@@ -97,3 +97,30 @@ def test_a_spectrum_whose_fits_all_drop_out_has_no_solution(spark):
     rows = [(1, 7, n, 500.0 + n, 500.5 + n, 5.0, 40.0, 0.5) for n in range(2)]  # too far off to score
     m = spark.createDataFrame(rows, "scan_id long, fit long, n long, want double, mz double, snr double, intensity double, weight double")
     assert solve_with_subtraction(m).collect() == []
+
+
+def test_many_fits_made_side_by_side_are_what_each_is_alone():
+    import numpy as np
+
+    from massloom.operators import profiles
+
+    rng, x = np.random.default_rng(5), np.arange(30.0)
+    held = [(x[:n], 50 * np.exp(-((x[:n] - n / 2) ** 2) / 8) + rng.random(n) * 20) for n in (3, 5, 9, 17, 24, 30, 30)]
+    together = profiles.adaptive_fits(held, 1)
+    for (a, b), (kind, way, test, centres) in zip(held, together, strict=True):
+        alone = profiles.adaptive_fit(a, b, 1)
+        assert (kind, way, len(centres)) == (alone[0], alone[1], len(alone[3])) and math.isclose(test, alone[2], abs_tol=1e-6)
+    assert np.allclose(profiles.shape_scores(held, "gaussian", 1), [profiles.shape_score(a, b, "gaussian", 1) for a, b in held], atol=1e-6)
+    p = np.array([20.0, 60.0, 3.0, 0.5])
+    y = profiles.skewed_gaussian(x, p)
+    assert all(np.abs(profiles.skewed_gaussian(x, q) - y).max() < 1e-3 for q in profiles.fit_shapes([(x, y, "skewed", 100, 1e-12)] * 3))
+
+
+def test_costly_kernels_of_few_bytes_are_dealt_over_all_partitions(spark, tmp_path):
+    from massloom.catalog.kernels import adaptive_shape_fit, profile_split, shape_fit
+
+    spark.sql("select id as event_id, timestamp_seconds(1704067200 + id * 40000) as ts, id % 8 as user_id, 'view' as event_type, double(id % 7) as value from range(200)").write.parquet(f"{tmp_path}/events.parquet")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for query in (adaptive_shape_fit, shape_fit, profile_split):
+        found = query(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() == n and len({r.run for r in found.collect()}) == 8
