@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -22,14 +24,15 @@ def deconvolute_graph(spark, d):
 @query()
 def isotopic_cluster(spark, d):
     """Averagine patterns at each target's m/z and charge."""
-    t = view(spark, d, "v_target").select("target_id", "target_mass", F.explode(F.expr("sequence(1, 3)")).alias("charge")).repartition("target_id", "charge")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # by number, so that few bytes do not come to one task
+    t = view(spark, d, "v_target").select("target_id", "target_mass", F.explode(F.expr("sequence(1, 3)")).alias("charge")).repartition(n, "target_id", "charge")
 
     def kernel(batches):
-        unit = isotopes.AVERAGINES["peptide"]
+        unit, pattern = isotopes.AVERAGINES["peptide"], lru_cache(1 << 14)(isotopes.truncated_pattern)
         for b in batches:
             x, y = [], []
             for mz, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                m, p = isotopes.isotopic_cluster(unit, mz, z)
+                m, p = isotopes.isotopic_cluster(unit, mz, z, pattern=pattern)
                 x.append(m.tolist())
                 y.append(p.tolist())
             yield pa.record_batch([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64()))], ["target_id", "charge", "mz", "intensity"])

@@ -124,3 +124,20 @@ def test_costly_kernels_of_few_bytes_are_dealt_over_all_partitions(spark, tmp_pa
     for query in (adaptive_shape_fit, shape_fit, profile_split):
         found = query(spark, str(tmp_path))
         assert found.rdd.getNumPartitions() == n and len({r.run for r in found.collect()}) == 8
+
+
+def test_patterns_of_equal_atom_counts_are_made_once(spark, tmp_path):
+    from functools import lru_cache
+
+    from massloom.catalog.kernels import isotopic_cluster
+    from massloom.operators import isotopes
+
+    unit, pattern = isotopes.AVERAGINES["peptide"], lru_cache(None)(isotopes.truncated_pattern)
+    for k in range(300):
+        x, p = isotopes.isotopic_cluster(unit, 900 + k / 100, 1 + k % 3, pattern=pattern)
+        y, q = isotopes.isotopic_cluster(unit, 900 + k / 100, 1 + k % 3)
+        assert x.tolist() == y.tolist() and p.tolist() == q.tolist()
+    assert pattern.cache_info().misses < 60
+    spark.sql("select id as p_partkey, 'b' as p_brand, 900 + id / double(10) as p_retailprice, 1 as p_size from range(40)").write.parquet(f"{tmp_path}/part.parquet")
+    found = isotopic_cluster(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 120
