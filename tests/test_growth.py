@@ -141,3 +141,29 @@ def test_patterns_of_equal_atom_counts_are_made_once(spark, tmp_path):
     spark.sql("select id as p_partkey, 'b' as p_brand, 900 + id / double(10) as p_retailprice, 1 as p_size from range(40)").write.parquet(f"{tmp_path}/part.parquet")
     found = isotopic_cluster(spark, str(tmp_path))
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 120
+
+
+def test_pairs_of_spectra_are_compared_without_shuffling_matches(spark):
+    import random
+
+    from massloom.operators.pairing import matched_pairs
+
+    rng = random.Random(7)
+    rows = [(s, 500.0 + (37 * s) % 90, 100 + rng.randrange(40) * 7 + rng.choice([0.0, 0.004]) + (37 * s % 90 if k % 3 == 0 else 0), float(rng.randrange(9))) for s in range(14) for k in range(12)]
+    want: dict = {}
+    for a, ma, p, x in rows:
+        for b, mb, q, y in rows:
+            if a < b and abs(mb - ma) <= 50:
+                moved = p + mb - ma
+                kind = 0 if abs(q - p) <= p * 5e-5 else 1 if moved > 0 and abs(q - moved) <= moved * 5e-5 else None
+                if kind is not None:
+                    w = want.setdefault((a, b), [0, 0.0, 0, 0.0])
+                    w[2 * kind] += 1
+                    w[2 * kind + 1] += x * y
+    assert any(w[2] for w in want.values())
+    peaks = spark.createDataFrame(rows, "scan_id long, m double, mz double, i double")
+    for block in (1, 3, 100, None):
+        found = matched_pairs(peaks, 50.0, 5e-5, block)
+        got = {(r.a, r.b): [r.n_direct, r.direct, r.n_shifted, r.shifted] for r in found.collect()}
+        assert got == want
+    assert "_bin" not in plan(found)
