@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from massloom.catalog import query
 from massloom.catalog.dependence import CHARGES, CHOSEN, TOLERANCE, WEIGHTED, product_scans
-from massloom.catalog.featuremaps import MAP, feature_map, feature_points, near_features
+from massloom.catalog.featuremaps import MAP, feature_map, feature_points
 from massloom.functions.mass import PROTON, neutral_mass
 from massloom.operators import dependence as D
 from massloom.operators import tracing as T
@@ -121,12 +121,12 @@ def smooth(spark, d, edges, bridge):
     return g.join(first, "merged").withColumn("piece", F.col("chain") - F.col("first") + 1).drop("chain", "first")
 
 
-def near_links(spark, d, value, tolerance, bridge, by=()):
-    """Pairs of :func:`near_features`, as many as connect what all of them connect; the tolerance is of the pair's first id."""
-    f = feature_map(spark, d).select(*by, "id", F.col(value).alias("value"), "s", "e").filter("value > 0 and not isnan(value)")
+def near_links(spark, d, value, tolerance, bridge, by=(), also=None):
+    """Pairs of :func:`near_features`, as many as connect what all of them connect; the tolerance is of the pair's first id. ``also`` is a second value and how far it may differ."""
+    f = feature_map(spark, d).select(*by, "id", F.col(value).alias("value"), "s", "e", *([also[0]] if also else [])).filter("value > 0 and not isnan(value)")
     near = lambda x, i, y, j: y - x <= (x if i < j else y) * tolerance
     cell = F.floor(F.log("value") / (math.log(1 + tolerance) * (1 - 1e-9)))
-    return linking_edges(f, cell, near, lambda x, y: y - x <= y * tolerance, list(by), bridge)
+    return linking_edges(f, cell, near, lambda x, y: y - x <= y * tolerance, list(by), bridge, also)
 
 
 @query(smoothed("abs(b.mz - a.mz) <= a.mz * 2e-3", 6.0))
@@ -144,7 +144,7 @@ def gap_aware_mass_smooth(spark, d):
 @query(smoothed("a.charge = b.charge AND abs(b.mass - a.mass) <= a.mass * 2e-3 AND abs(a.drift - b.drift) <= 0.5", 6.0))
 def gap_aware_mobility_smooth(spark, d):
     """The same with drift times that are near."""
-    return smooth(spark, d, near_features(spark, d, "mass", 2e-3, 6.0, ["charge"]).filter(F.abs(F.col("da") - F.col("db")) <= 0.5), 6.0)
+    return smooth(spark, d, near_links(spark, d, "mass", 2e-3, 6.0, ["charge"], ("drift", 0.5)), 6.0)
 
 
 #: Features of each frame as the peaks of one list: points of near m/z over drift time, two or more.

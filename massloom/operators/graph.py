@@ -67,11 +67,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     return label.select(F.col("a").alias("id"), F.col("l").alias("component"))
 
 
-#: Cells of values whose members may be near those of a cell.
-CELLS = 3
+#: Cells of values whose members may be near those of a cell, and of pairs of values, each pair of cells once; the cell itself is the first.
+CELLS, CELLS_2 = [(0, 0), (1, 0), (2, 0)], [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1), (2, -1), (2, 0), (2, 1)]
 
 
-def linking_edges(features: DataFrame, cell: Column, near: Callable, may: Callable, by: list[str] | None = None, bridge: float = 0.0) -> DataFrame:
+def linking_edges(features: DataFrame, cell: Column, near: Callable, may: Callable, by: list[str] | None = None, bridge: float = 0.0, also: tuple[str, float] | None = None) -> DataFrame:
     """(a, b): some of the pairs of features that are near in value and overlap in time, enough to connect what all of them connect.
 
     ``features`` has id, value, s and e, and the ``by`` columns that both of a
@@ -79,43 +79,50 @@ def linking_edges(features: DataFrame, cell: Column, near: Callable, may: Callab
     whether values x <= y of ids i and j are near, ``may(x, y)`` whether they
     could be under any ids; near values hold for closer ones of the same ids.
     ``cell`` numbers the values so that all of one cell are near each other and
-    none is near one of three cells off.
+    none is near one of three cells off. ``also`` names a second value that may
+    differ by so much; its cells are as wide, and the pair has to be near in both.
 
     All features of a cell that last at one time are near each other. So one
     that starts then needs one link to its own cell and one to each other cell
     that has a near one: links grow as the features do, where pairs grow as
     their square. A cell goes by in order of start, what is held is what lasts.
     """
-    by = by or []
+    by, cells = by or [], CELLS_2 if also else CELLS
+    reach = also[1] if also else 0.0
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, lasting = None, []
         for batch in batches:
             pairs = []
-            for *g, off, i, v, s, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *g, off, i, v, s, e, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != group:
-                    group, lasting = g, [[] for _ in range(CELLS)]  # for each cell off: [(value, id, end)], by value
+                    group, lasting = g, [[] for _ in cells]  # for each cell off: [(value, id, end, second value)], by value
                 for k, held in enumerate(lasting):
                     if off and k:
                         continue  # such links are made where one of the cells is the first
-                    up = k >= off  # the held ones are higher
+                    up = k >= off  # the held ones are higher, but where only the second cell is another
+                    level = cells[k][0] == cells[off][0]
                     at = 0 if up else len(held) - 1
                     while 0 <= at < len(held):
-                        w, j, end = held[at]
+                        w, j, end, y = held[at]
                         if end + bridge < s:
                             del held[at]
                             at -= 0 if up else 1
                             continue
-                        if k == off or (near(v, i, w, j) if up else near(w, j, v, i)):
+                        if (level or (near(v, i, w, j) if up else near(w, j, v, i))) and abs(x - y) <= reach:
                             pairs.append((i, j))
                             break
-                        if not (may(v, w) if up else may(w, v)):
+                        if not level and not (may(v, w) if up else may(w, v)):
                             break
                         at += 1 if up else -1
                 own = lasting[off]
-                own.insert(bisect_left(own, (v, i)), (v, i, e))
+                own.insert(bisect_left(own, (v, i)), (v, i, e, x))
             yield pa.record_batch([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
 
-    spread = features.select(*by, cell.cast("long").alias("_cell"), "id", "value", "s", "e").dropna(subset=["_cell", "s", "e"])
-    spread = spread.withColumn("_off", F.explode(F.array(*map(F.lit, range(CELLS))))).select(*by, (F.col("_cell") - F.col("_off")).alias("_cell"), "_off", "id", "value", "s", "e")
-    return spread.repartition(*by, "_cell").sortWithinPartitions(*by, "_cell", "s", "id").mapInArrow(kernel, "a long, b long")
+    second = F.col(also[0]).cast("double") if also else F.lit(0.0)
+    cell_2 = F.floor(second / reach).cast("long") if also else F.lit(0).cast("long")
+    spread = features.select(*by, cell.cast("long").alias("_cell"), cell_2.alias("_cell2"), "id", "value", "s", "e", second.alias("_also")).dropna(subset=["_cell", "_cell2", "s", "e"])
+    offs = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, (i, j) in enumerate(cells)]))
+    spread = spread.withColumn("_off", offs).select(*by, (F.col("_cell") - F.col("_off.i")).alias("_cell"), (F.col("_cell2") - F.col("_off.j")).alias("_cell2"), F.col("_off.n").alias("_off"), "id", "value", "s", "e", "_also")
+    n = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return spread.repartition(n, *by, "_cell", "_cell2").sortWithinPartitions(*by, "_cell", "_cell2", "s", "id").mapInArrow(kernel, "a long, b long")

@@ -167,3 +167,32 @@ def test_pairs_of_spectra_are_compared_without_shuffling_matches(spark):
         got = {(r.a, r.b): [r.n_direct, r.direct, r.n_shifted, r.shifted] for r in found.collect()}
         assert got == want
     assert "_bin" not in plan(found)
+
+
+def test_few_links_connect_what_pairs_near_in_two_values_connect(spark):
+    import math as m
+    import random
+
+    from massloom.operators.graph import connected_components, linking_edges
+
+    rng, tol = random.Random(8), 0.02
+    rows = [(i, 100 * m.exp(rng.random() * 0.3), t := rng.randrange(80) / 1.0, t + rng.randrange(4), rng.randrange(50) / 10.0) for i in rng.sample(range(1000), 300)]
+    root = {r[0]: r[0] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i, v, s, e, x in rows:
+        for j, w, t, f, y in rows:
+            if i < j and s - 1 <= f and t - 1 <= e and abs(w - v) <= v * tol and abs(x - y) <= 0.5:
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(rows, "id long, value double, s double, e double, drift double")
+    near = lambda x, i, y, j: y - x <= (x if i < j else y) * tol
+    links = linking_edges(df, F.floor(F.log("value") / (m.log(1 + tol) * (1 - 1e-9))), near, lambda x, y: y - x <= y * tol, [], 1.0, ("drift", 0.5))
+    got = {r.id: r.component for r in connected_components(links, "a", "b").collect()}
+    assert pairs > 50 and {r[0]: got.get(r[0], r[0]) for r in rows} == {r[0]: find(r[0]) for r in rows}
