@@ -29,7 +29,7 @@ def ions(spark, d):
 def trace_mobility_features(spark, d):
     """Features of neutral mass, drift time and time: charge, means, span and number of their ions."""
     p = ions(spark, d)
-    f = T.trace_in_drift(p, 2e-5, 0.04).join(p, "id")
+    f = T.trace_in_drift(p, 2e-5, 0.04)
     mean = lambda c: F.sum(F.col(c) * F.col("intensity")) / F.sum("intensity")
     return f.groupBy("chain", "feature").agg(F.min("id").alias("id"), F.min("charge").alias("charge"), mean("mass").alias("mass"), mean("drift").alias("drift"), F.min("time").alias("start"), F.max("time").alias("end"), F.count("*").alias("n"), F.sum("intensity").alias("intensity")).drop("chain", "feature")
 
@@ -82,9 +82,8 @@ def demultiplex_fragments(spark, d):
     p = product_peaks(spark, d).dropna(subset=["survey"])
     gap = ~F.coalesce((F.col("mz") - F.col("_prev.mz")) / F.col("mz") <= 4e-5, F.lit(False))
     f = sessionize(p, ["survey"], ["mz", "scan_id", "ord", "part"], gap, "fragment")
-    kept = T.assign_to_atoms(f, T.window_atoms(windows(spark, d), 28.0), ["survey", "fragment"])
-    about = f.groupBy("survey", "fragment").agg(F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity") + 1e-8, 4).alias("mz"), F.count("*").alias("n"))
-    return kept.join(about, ["survey", "fragment"]).select("survey", "mz", "n", "atom_lo", "atom_hi")
+    about = f.groupBy("survey", "fragment").agg(F.round(F.sum(F.col("mz") * F.col("intensity")) / F.sum("intensity") + 1e-8, 4).alias("mz"), F.count("*").alias("n"), F.collect_set("window").alias("held"))
+    return T.atoms_of_held(about, T.window_atoms(windows(spark, d), 28.0), ["survey", "fragment"]).select("survey", "mz", "n", "atom_lo", "atom_hi")
 
 
 @query(f"""WITH {WINDOWED}, ga AS (SELECT *, CASE WHEN (mz - lag(mz) OVER w) / mz <= 4e-5 THEN 0 ELSE 1 END AS new FROM pp WINDOW w AS (PARTITION BY win ORDER BY mz, scan_id, ord, part)),

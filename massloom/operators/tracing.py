@@ -28,7 +28,7 @@ def chain_ids(rows: DataFrame, by: list[str], order: list, breaks: Column, name:
 
 
 def trace_in_drift(points: DataFrame, tolerance: float = 1e-5, drift: float = 0.1) -> DataFrame:
-    """(chain, id, feature): peaks (id, charge, mass, drift, time, intensity) assigned to features in time order.
+    """(chain, id, feature, charge, mass, drift, time, intensity): peaks (all but the first and third) assigned to features in time order.
 
     A peak joins the feature of its charge whose mean mass is nearest, within
     ``tolerance`` of the peak's, and whose mean drift time lies within
@@ -44,7 +44,7 @@ def trace_in_drift(points: DataFrame, tolerance: float = 1e-5, drift: float = 0.
     far = F.col("drift") - F.col("_prev.drift") > 2 * drift
     rows = chain_ids(rows, ["charge"], ["mass", "id"], apart, "c1")
     rows = chain_ids(rows, ["c1"], ["drift", "id"], far, "c2")
-    rows = chain_ids(rows, ["c2"], ["mass", "id"], apart, "chain").select("chain", "id", "mass", "drift", "time", "intensity")
+    rows = chain_ids(rows, ["c2"], ["mass", "id"], apart, "chain").select("chain", "id", "mass", "drift", "time", "intensity", "charge")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain, means, owner, drifts, total = None, [], [], [], []
@@ -75,9 +75,12 @@ def trace_in_drift(points: DataFrame, tolerance: float = 1e-5, drift: float = 0.
                 means.insert(i, mean)
                 owner.insert(i, f)
                 feature.append(f)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(feature, pa.int32())], ["chain", "id", "feature"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(feature, pa.int32()), *(b.column(k) for k in (6, 2, 3, 4, 5))], ["chain", "id", "feature", "charge", "mass", "drift", "time", "intensity"])
 
-    return rows.repartition("chain").sortWithinPartitions("chain", "time", "mass", "id").mapInArrow(kernel, "chain long, id long, feature int")
+    kinds = dict(rows.dtypes)
+    carried = ", ".join(f"{c} {kinds[c]}" for c in ("charge", "mass", "drift", "time", "intensity"))
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "chain").sortWithinPartitions("chain", "time", "mass", "id").mapInArrow(kernel, f"chain long, id long, feature int, {carried}")
 
 
 def merge_by_signal(features: DataFrame, tolerance: float = 1e-5, by: tuple[str, ...] = ()) -> DataFrame:
@@ -138,10 +141,18 @@ def assign_to_atoms(seen: DataFrame, atoms: DataFrame, key: list[str]) -> DataFr
     atom qualifies if all of its windows hold the fragment, and stays if no
     other that qualifies has all of its windows and more.
     """
-    held = seen.select(*key, "window").distinct()
-    members = atoms.select("atom_lo", "atom_hi", "windows", F.explode("windows").alias("window"))
-    able = held.join(members, "window").groupBy(*key, "atom_lo", "atom_hi", "windows").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("windows"))
-    able = able.select(*key, "atom_lo", "atom_hi", "windows")
-    wider = able.select(*key, F.col("windows").alias("other"), F.explode("windows").alias("first"))
-    covered = able.withColumn("first", F.col("windows")[0]).join(wider, [*key, "first"]).filter((F.size("other") > F.size("windows")) & (F.size(F.array_except("windows", "other")) == 0))
-    return able.join(covered.select(*key, "atom_lo", "atom_hi").distinct(), [*key, "atom_lo", "atom_hi"], "left_anti")
+    kept = atoms_of_held(seen.groupBy(*key).agg(F.collect_set("window").alias("held")), atoms, key)
+    return kept.select(*key, "atom_lo", "atom_hi", "windows")
+
+
+def atoms_of_held(fragments: DataFrame, atoms: DataFrame, key: list[str]) -> DataFrame:
+    """Each fragment, a row for each key with the windows ``held`` that hold it, once for each atom of :func:`assign_to_atoms`.
+
+    Atoms are looked up by their first window; those of a fragment are compared with each other in its row.
+    """
+    others = [c for c in fragments.columns if c not in [*key, "held"]]
+    able = fragments.withColumn("first", F.explode("held")).join(atoms.withColumn("first", F.col("windows")[0]), "first").filter(F.size(F.array_except("windows", "held")) == 0)
+    found = able.groupBy(*key).agg(*[F.first(c).alias(c) for c in others], F.collect_list(F.struct("atom_lo", "atom_hi", "windows")).alias("able"))
+    wider = lambda x: lambda y: (F.size(y["windows"]) > F.size(x["windows"])) & (F.size(F.array_except(x["windows"], y["windows"])) == 0)
+    kept = F.filter("able", lambda x: ~F.exists("able", wider(x)))
+    return found.withColumn("atom", F.explode(kept)).select(*key, *others, "atom.*")

@@ -71,3 +71,18 @@ def test_two_overlapping_windows_and_what_they_hold(spark):
     for r in T.assign_to_atoms(seen, atoms, ["fragment"]).collect():
         got.setdefault(r.fragment, set()).add(r.atom_lo)
     assert got == {"both": {420.0}, "left": {400.0}, "right": {428.0}, "far": {400.0, 500.0}, "all": {420.0, 500.0}}
+
+
+def test_points_of_one_id_keep_their_own_figures(spark):
+    points = [(1, 1, 500.0, 0.1, 1.0, 2.0), (1, 1, 700.0, 0.1, 2.0, 3.0), (2, 1, 500.001, 0.1, 3.0, 4.0)]
+    df = spark.createDataFrame(points, "id long, charge int, mass double, drift double, time double, intensity double")
+    found = T.trace_in_drift(df, 1e-5, 0.1)
+    assert sorted((r.id, r.charge, r.mass, r.drift, r.time, r.intensity) for r in found.collect()) == sorted(points)
+
+
+def test_atoms_of_a_fragment_need_no_second_look_at_its_peaks(spark):
+    atoms = spark.createDataFrame([(400.0, 420.0, [1]), (420.0, 428.0, [1, 2])], "atom_lo double, atom_hi double, windows array<long>")
+    held = spark.createDataFrame([("x", [1, 2], 7), ("y", [1], 8), ("z", [2], 9)], "fragment string, held array<long>, n int")
+    out = T.atoms_of_held(held, atoms, ["fragment"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+    assert sorted((r.fragment, r.n, r.atom_lo) for r in out.collect()) == [("x", 7, 420.0), ("y", 8, 400.0)]
