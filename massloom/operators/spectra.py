@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions.mass import ISOTOPE_GAP, PROTON
+from massloom.operators import leaders
 from massloom.operators.isotopes import AVERAGINES, whole_pattern
 from massloom.operators.ordered import sessionize
 from massloom.plans.store import materialize
@@ -180,6 +181,14 @@ def average_regular(profiles: DataFrame, key: str, values: str, parts: int) -> D
     return grid.select(key, "step", value.alias("v")).groupBy(key, "step").agg(F.avg("v").alias("intensity"))
 
 
+def number_chains(rows: DataFrame, by: list[str], order: list, breaks) -> DataFrame:
+    """The rows with the number of their ``chain`` in the order given; a chain never reaches over a change of the ``by`` columns."""
+    changed = F.lit(False)
+    for c in by:
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_prev.{c}"))
+    return sessionize(rows, [], [*by, *order], changed | F.coalesce(breaks, F.lit(False)), "chain")
+
+
 def in_chains(rows: DataFrame, by: list[str], order: list, breaks, then: list) -> DataFrame:
     """The rows numbered by chain in the order given, each chain whole in one partition and sorted by ``then``.
 
@@ -187,11 +196,7 @@ def in_chains(rows: DataFrame, by: list[str], order: list, breaks, then: list) -
     ranges of the whole order, so no task holds more than its range, however
     few values ``by`` has.
     """
-    changed = F.lit(False)
-    for c in by:
-        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_prev.{c}"))
-    chained = sessionize(rows, [], [*by, *order], changed | F.coalesce(breaks, F.lit(False)), "chain")
-    return chained.repartition("chain").sortWithinPartitions("chain", *then)
+    return number_chains(rows, by, order, breaks).repartition("chain").sortWithinPartitions("chain", *then)
 
 
 def trace_features(points: DataFrame, tolerance: float = 1e-5, by: tuple[str, ...] = ()) -> DataFrame:
@@ -242,43 +247,42 @@ def cluster_scans(scans: DataFrame, tolerance: float = 1e-5, similarity: float =
 
     Only scans of one chain of precursor masses, and of equal ``by`` columns,
     can meet; within a chain a scan is held against the clusters within
-    tolerance of its mass alone. Returns (by, chain, scan_id, cluster, similarity).
+    tolerance of its mass alone. Chains are found without the spectra, which
+    are shuffled once; one of more than LONG scans is cut into cells of mass.
+    Returns (by, chain, scan_id, cluster, similarity).
     """
-    rows = scans.select(*by, "scan_id", "mass", "tic", "bins", "values")
+    held = materialize(scans.select(*by, "scan_id", "mass", "tic", F.col("bins").cast("array<long>"), F.col("values").cast("array<double>"), F.monotonically_increasing_id().alias("_row")), "scans")
     gap = (F.col("_prev.mass") - F.col("mass")) / F.col("mass") > tolerance
-    chains = in_chains(rows, list(by), [F.desc("mass"), "scan_id"], gap, [F.desc("tic"), "scan_id"]).select(*by, "chain", "scan_id", "mass", "bins", "values")
+    chains = materialize(number_chains(held.select(*by, "scan_id", "mass", "_row"), list(by), [F.desc("mass"), "scan_id"], gap).select("_row", "mass", "chain"), "chains")
+    long = materialize(chains.groupBy("chain").agg(F.count("*").alias("n"), F.max("mass").alias("top")).filter(F.col("n") > leaders.LONG).drop("n"), "long-chains")
+    rows = held.join(chains.select("_row", "chain"), "_row")
+    short = rows.join(F.broadcast(long), "chain", "left_anti").select(*by, "chain", "scan_id", "mass", "tic", "bins", "values")
     k = len(by)
 
     def kernel(batches):
-        chain, masses, heads, made = None, [], [], 0
+        chain, first, made = None, None, 0
         for b in batches:
             clusters, scores = [], []
-            for c, mass, bins, values in zip(*(b.column(i).to_pylist() for i in (k, k + 2, k + 3, k + 4)), strict=True):
+            for c, mass, bins, values in zip(*(b.column(i).to_pylist() for i in (k, k + 2, k + 4, k + 5)), strict=True):
                 if c != chain:
-                    chain, masses, heads, made = c, [], [], 0
-                v = dict(zip(bins, values, strict=True))
-                norm = sum(x * x for x in v.values()) ** 0.5
-                best = None
-                i = bisect_left(masses, mass * (1 - 2 * tolerance))
-                while i < len(masses) and masses[i] <= mass * (1 + 2 * tolerance):
-                    number, head, size = heads[i]
-                    if abs(mass - masses[i]) <= masses[i] * tolerance and norm and size:
-                        s = sum(x * head.get(x_bin, 0.0) for x_bin, x in v.items()) / (norm * size)
-                        if s > similarity and (best is None or (-s, number) < best):
-                            best = (-s, number)
-                    i += 1
+                    chain, first, made = c, leaders.Leaders(tolerance, similarity), 0
+                v, norm = leaders.vector(bins, values)
+                best = min(first.like(mass, v, norm), default=None)
                 if best is None:
-                    i = bisect_left(masses, mass)
-                    masses.insert(i, mass)
-                    heads.insert(i, (made, v, norm))
                     best = (-1.0, made)
+                    first.add(mass, made, v, norm)
                     made += 1
                 clusters.append(best[1])
                 scores.append(-best[0])
             yield pa.record_batch([*b.columns[: k + 2], pa.array(clusters, pa.int32()), pa.array(scores, pa.float64())], [*by, "chain", "scan_id", "cluster", "similarity"])
 
     kinds = dict(scans.dtypes)
-    return chains.mapInArrow(kernel, ", ".join([*(f"{c} {kinds[c]}" for c in by), "chain long, scan_id long, cluster int, similarity double"]))
+    found = short.repartition("chain").sortWithinPartitions("chain", F.desc("tic"), "scan_id").mapInArrow(kernel, ", ".join([*(f"{c} {kinds[c]}" for c in by), "chain long, scan_id long, cluster int, similarity double"]))
+    if long.isEmpty():
+        return found
+    clusters = leaders.cluster_long(rows.join(F.broadcast(long), "chain"), tolerance, similarity)
+    named = held.select(*by, "scan_id", "_row").join(chains.select("_row", "chain"), "_row").join(clusters, "_row")
+    return found.unionByName(named.select(*by, "chain", "scan_id", "cluster", "similarity"))
 
 
 def iterative_clusters(scans: DataFrame, tolerance: float = 1e-5, similarities: tuple[float, ...] = (0.1, 0.4, 0.7)) -> DataFrame:
@@ -286,11 +290,11 @@ def iterative_clusters(scans: DataFrame, tolerance: float = 1e-5, similarities:
 
     ``cluster`` is the smallest scan_id of the members.
     """
-    name = F.lit(0).cast("long")
-    rows = scans.withColumn("group", name)
+    scans = materialize(scans, "spectra")
+    rows = scans.withColumn("group", F.lit(0).cast("long"))
     for s in similarities:
         members = materialize(cluster_scans(rows, tolerance, s, ("group",)), "cluster-members")
         first = members.groupBy("group", "chain", "cluster").agg(F.min("scan_id").alias("first"))
         named = members.join(first, ["group", "chain", "cluster"]).select("scan_id", F.col("first").alias("group"))
-        rows = materialize(scans.join(named, "scan_id"), "clusters")
-    return rows.select("scan_id", F.col("group").alias("cluster"))
+        rows = scans.join(named, "scan_id")
+    return named.select("scan_id", F.col("group").alias("cluster"))
