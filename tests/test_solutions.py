@@ -121,3 +121,21 @@ def test_subtraction_in_rounds_equals_a_plain_solver(spark):
     want = plain_rounds(members, 10)
     assert got.keys() == want.keys() and max(k for k, *_ in want.values()) >= 2
     assert all(got[f][0] == want[f][0] and got[f][2] == want[f][2] and abs(got[f][1] - want[f][1]) < 1e-4 for f in want)
+
+
+def test_product_scans_without_a_survey_are_deconvoluted_too(spark, tmp_path):
+    import duckdb
+
+    from massloom.catalog import ORACLE_SQL
+    from massloom.catalog.dependence import deconvolute_product_scan
+
+    # scans 1 and 2 come before the first survey, 5; that of scan 11, 10, has no peaks
+    peaks = [(s, 10 * s + k, k, k + 1, 50.0 * (500 - 100 + k * 1.00335 / z), 10.0 - k, 0.05) for s, z in ((1, 1), (2, 2), (5, 2), (6, 2), (11, 2)) for k in range(3)]
+    spark.createDataFrame(peaks, "l_suppkey long, l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_quantity double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(s, -1000.0) for s in (1, 2, 5, 6, 10, 11)], "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(map(tuple, deconvolute_product_scan(spark, str(tmp_path)).collect()))
+    assert {r[0] for r in got} == {1, 2, 6, 11} and {r[2] for r in got if r[0] == 2} == {2}
+    con = duckdb.connect()
+    for name in ("lineitem", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(con.execute(ORACLE_SQL["deconvolute_product_scan"]).fetchall()) == got
