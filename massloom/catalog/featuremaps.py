@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -9,7 +11,7 @@ from massloom.catalog import query
 from massloom.catalog.features import HOURS, points
 from massloom.functions.mass import PROTON, neutral_mass, ratio
 from massloom.functions.scoring import correlation
-from massloom.operators.graph import connected_components
+from massloom.operators.graph import linked_components, linking_edges
 from massloom.operators.joins import best_match, interval_join, interval_join_2d, range_join
 from massloom.operators.ordered import resample, sessionize
 from massloom.plans.views import view
@@ -141,6 +143,14 @@ def near_features(spark, d, value="mz", tolerance=5e-3, bridge=2.0, on=()):
     return pairs.filter((F.col("a") < F.col("b")) & (F.abs(F.col("vb") - F.col("va")) <= F.col("va") * tolerance))
 
 
+def near_links(spark, d, value, tolerance, bridge, by=(), also=None):
+    """Pairs of :func:`near_features`, as many as connect what all of them connect; the tolerance is of the pair's first id. ``also`` is a second value and how far it may differ."""
+    f = feature_map(spark, d).select(*by, "id", F.col(value).alias("value"), "s", "e", *([also[0]] if also else [])).filter("value > 0 and not isnan(value)")
+    near = lambda x, i, y, j: y - x <= (x if i < j else y) * tolerance
+    cell = F.floor(F.log("value") / (math.log(1 + tolerance) * (1 - 1e-9)))
+    return linking_edges(f, cell, near, lambda x, y: y - x <= y * tolerance, list(by), bridge, also)
+
+
 @query(f"WITH {EDGES}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) SELECT a AS id, count(*) AS degree, min(b) AS first, max(b) AS last FROM u GROUP BY a")
 def feature_adjacency(spark, d):
     """The rows of the feature graph's adjacency: the number of neighbours, the first and the last."""
@@ -153,7 +163,7 @@ def feature_adjacency(spark, d):
 SELECT coalesce(c.c, ft.id) AS merged, count(*) AS members, round(min(s), 4) AS start_time, round(max(e), 4) AS end_time, sum(n)::BIGINT AS n, round(sum(total), 3) AS total, round(sum(mz * total) / sum(total), 4) AS mz FROM ft LEFT JOIN c ON c.id = ft.id GROUP BY coalesce(c.c, ft.id)""")
 def smooth_overlaps(spark, d):
     """Features near in m/z and time become one, through the components of their graph."""
-    c = connected_components(near_features(spark, d).select("a", "b"), "a", "b").select("id", "component")
+    c = linked_components(near_links(spark, d, "mz", 5e-3, 2.0)).select("id", "component")
     f = feature_map(spark, d).join(c, "id", "left")
     out = f.groupBy(F.coalesce("component", "id").alias("merged")).agg(F.count("*").alias("members"), F.round(F.min("s"), 4).alias("start_time"), F.round(F.max("e"), 4).alias("end_time"), F.sum("n").alias("n"), F.round(F.sum("total"), 3).alias("total"), F.round(F.sum(F.col("mz") * F.col("total")) / F.sum("total"), 4).alias("mz"))
     return out
@@ -163,7 +173,7 @@ def smooth_overlaps(spark, d):
 SELECT c.c AS merged, {NODE} AS node, count(DISTINCT q.id) AS members, round(sum(intensity), 4) AS intensity FROM q JOIN c ON c.id = q.id GROUP BY c.c, {NODE}""")
 def feature_merge(spark, d):
     """The nodes of merged features: members of one time join their signal."""
-    c = connected_components(near_features(spark, d).select("a", "b"), "a", "b").select("id", F.col("component").alias("merged"))
+    c = linked_components(near_links(spark, d, "mz", 5e-3, 2.0)).select("id", F.col("component").alias("merged"))
     return nodes(spark, d).join(c, "id").groupBy("merged", "node").agg(F.countDistinct("id").alias("members"), F.round(F.sum("intensity"), 4).alias("intensity"))
 
 
@@ -200,7 +210,7 @@ def mobility_profile_edges(spark, d):
 SELECT coalesce(c.c, ft.id) AS merged, any_value(charge) AS charge, count(*) AS members, sum(n)::BIGINT AS n, round(sum(mass * total) / sum(total), 3) AS mass FROM ft LEFT JOIN c ON c.id = ft.id GROUP BY coalesce(c.c, ft.id)""")
 def mass_smooth_overlaps(spark, d):
     """Features of one charge near in neutral mass and time become one."""
-    c = connected_components(near_features(spark, d, "mass", on=["charge"]).select("a", "b"), "a", "b").select("id", "component")
+    c = linked_components(near_links(spark, d, "mass", 5e-3, 2.0, ["charge"])).select("id", "component")
     f = feature_map(spark, d).join(c, "id", "left")
     return f.groupBy(F.coalesce("component", "id").alias("merged")).agg(F.min("charge").alias("charge"), F.count("*").alias("members"), F.sum("n").alias("n"), F.round(F.sum(F.col("mass") * F.col("total")) / F.sum("total"), 3).alias("mass"))
 

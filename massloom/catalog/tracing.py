@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from massloom.catalog import query
 from massloom.catalog.dependence import CHARGES, CHOSEN, TOLERANCE, WEIGHTED, product_scans
-from massloom.catalog.featuremaps import MAP, feature_map, feature_points
+from massloom.catalog.featuremaps import MAP, feature_map, feature_points, near_links
 from massloom.functions.mass import PROTON, neutral_mass
 from massloom.operators import dependence as D
 from massloom.operators import tracing as T
-from massloom.operators.graph import connected_components, linking_edges
+from massloom.operators.graph import connected_components
 from massloom.operators.joins import nearest_join
 from massloom.operators.ordered import previous_where, sessionize
 from massloom.plans.store import materialize
@@ -120,14 +118,6 @@ def smooth(spark, d, edges, bridge):
     return g.join(first, "merged").withColumn("piece", F.col("chain") - F.col("first") + 1).drop("chain", "first")
 
 
-def near_links(spark, d, value, tolerance, bridge, by=(), also=None):
-    """Pairs of :func:`near_features`, as many as connect what all of them connect; the tolerance is of the pair's first id. ``also`` is a second value and how far it may differ."""
-    f = feature_map(spark, d).select(*by, "id", F.col(value).alias("value"), "s", "e", *([also[0]] if also else [])).filter("value > 0 and not isnan(value)")
-    near = lambda x, i, y, j: y - x <= (x if i < j else y) * tolerance
-    cell = F.floor(F.log("value") / (math.log(1 + tolerance) * (1 - 1e-9)))
-    return linking_edges(f, cell, near, lambda x, y: y - x <= y * tolerance, list(by), bridge, also)
-
-
 @query(smoothed("abs(b.mz - a.mz) <= a.mz * 2e-3", 6.0))
 def gap_aware_smooth(spark, d):
     """Features near in m/z joined over gaps of up to six hours, cut again where the gap is longer."""

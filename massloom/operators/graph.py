@@ -126,3 +126,44 @@ def linking_edges(features: DataFrame, cell: Column, near: Callable, may: Callab
     spread = spread.withColumn("_off", offs).select(*by, (F.col("_cell") - F.col("_off.i")).alias("_cell"), (F.col("_cell2") - F.col("_off.j")).alias("_cell2"), F.col("_off.n").alias("_off"), "id", "value", "s", "e", "_also")
     n = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return spread.repartition(n, *by, "_cell", "_cell2").sortWithinPartitions(*by, "_cell", "_cell2", "s", "id").mapInArrow(kernel, "a long, b long")
+
+
+#: Vertices that a task holds while it joins links.
+HELD = 1 << 19
+
+
+def linked_components(edges: DataFrame, held: int = HELD) -> DataFrame:
+    """What :func:`connected_components` returns, for links a, b of which those of one component mostly lie in the same partition.
+
+    A task joins what its links connect, ``held`` vertices at a time, and gives
+    each vertex the least one of its part. Rounds over tables then connect
+    those alone: few, where links were made cell by cell.
+    """
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(i):
+            while (j := up.setdefault(i, i)) != i:
+                up[i] = i = up[j]
+            return i
+
+        def parts():
+            return pa.record_batch([pa.array(list(up), pa.int64()), pa.array([root(i) for i in up], pa.int64())], ["id", "root"])
+
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = root(i), root(j)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) >= held:
+                yield parts()
+                up.clear()
+        if up:
+            yield parts()
+
+    parts = edges.select("a", "b").dropna().mapInArrow(kernel, "id long, root long")
+    of = materialize(parts.groupBy("id").agg(F.sort_array(F.collect_set("root")).alias("roots")), "cc-parts")
+    links = of.select(F.col("roots")[0].alias("a"), F.explode("roots").alias("b")).distinct()
+    label = connected_components(links, "a", "b").withColumnRenamed("id", "root")
+    return of.select("id", F.col("roots")[0].alias("root")).join(label, "root").select("id", "component")

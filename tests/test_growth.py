@@ -196,3 +196,25 @@ def test_few_links_connect_what_pairs_near_in_two_values_connect(spark):
     links = linking_edges(df, F.floor(F.log("value") / (m.log(1 + tol) * (1 - 1e-9))), near, lambda x, y: y - x <= y * tol, [], 1.0, ("drift", 0.5))
     got = {r.id: r.component for r in connected_components(links, "a", "b").collect()}
     assert pairs > 50 and {r[0]: got.get(r[0], r[0]) for r in rows} == {r[0]: find(r[0]) for r in rows}
+
+
+def test_links_joined_in_tasks_connect_what_rounds_over_tables_do(spark):
+    import random
+
+    from massloom.operators.graph import connected_components, linked_components
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + k, 1001 + k) for k in range(50)] + [(7, 7), (None, 3), (2000, 2000)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    want = {(r.id, r.component) for r in connected_components(df, "a", "b").collect()}
+    for held in (1, 40, 1 << 19):
+        assert {(r.id, r.component) for r in linked_components(df, held).collect()} == want
+    assert linked_components(df.filter("a < 0")).collect() == []
+
+
+def test_merged_features_make_no_pairs(spark, monkeypatch):
+    from massloom.catalog import featuremaps as M
+
+    monkeypatch.setattr(M, "near_features", lambda *a, **k: 1 / 0)
+    for query in (M.smooth_overlaps, M.feature_merge, M.mass_smooth_overlaps):
+        assert query(spark, "/root/testdata/sf0.001").count() > 0
