@@ -218,3 +218,33 @@ def test_merged_features_make_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(M, "near_features", lambda *a, **k: 1 / 0)
     for query in (M.smooth_overlaps, M.feature_merge, M.mass_smooth_overlaps):
         assert query(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_nearest_of_each_group_shuffles_points_and_no_pairs(spark):
+    import random
+
+    from massloom.operators.joins import nearest_by_group
+
+    rng, tol = random.Random(3), 1e-3
+    queries = [(k, 100.0 + rng.randrange(400) / 8) for k in range(60)] + [(None, 120.0), (90, 0.0), (91, None), (92, 1000.0), (93, 125.0)]
+    points = [(rng.randrange(5), 100.0 + rng.randrange(5000) / 100) for _ in range(900)] + [(None, 120.01), (7, 1000.0 + 1.0), (8, 1000.0), (7, 125.0625), (7, 124.9375), (9, None), (9, -1.0)]
+    want = set()
+    for q, v in queries:
+        near = [(g, x) for g, x in points if v and x is not None and abs(x - v) < v * tol]
+        for g in {g for g, _ in near}:
+            want.add((q, g, min((abs(x - v), x) for h, x in near if h == g)[1]))
+    q, p = spark.createDataFrame(queries, "query long, value double"), spark.createDataFrame(points, "group long, at double")
+    found = nearest_by_group(q, p.withColumn("shown", F.col("at")), tol)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    # at the very tolerance is no match; of two as near the lower counts
+    assert (92, 8, 1000.0) in want and (92, 7, 1001.0) not in want and (93, 7, 124.9375) in want
+    assert "Window" not in plan(found) and plan(found).index("MapInArrow") < plan(found).index("Exchange")
+
+
+def test_searched_features_are_ranked_once_for_each_value(spark):
+    from massloom.catalog import QUERIES
+
+    for name in ("feature_map_search", "mass_feature_map_search"):
+        found = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+        assert "Window [row_number() windowspecdefinition(target_id" not in found and "partial_min" in found
