@@ -248,3 +248,34 @@ def test_searched_features_are_ranked_once_for_each_value(spark):
     for name in ("feature_map_search", "mass_feature_map_search"):
         found = plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
         assert "Window [row_number() windowspecdefinition(target_id" not in found and "partial_min" in found
+
+
+def test_cosines_of_pairs_shuffle_spectra_and_no_matches(spark, monkeypatch):
+    import math as m
+    import random
+
+    from massloom.catalog import similarity as C
+    from massloom.operators.pairing import products, spectra_of
+
+    rng = random.Random(9)
+    rows = [(s, 500.0 + (37 * s) % 90, float(mz), None if rng.random() < 0.2 or s in (2, 3) else float(rng.randrange(9))) for s in range(14) for mz in rng.sample(range(-3, 25), 9)]
+    for tol, odd in ((0.0, None), (0.05, None), (0.0, m.inf), (0.0, 1e9)):
+        data = [(s, c, mz, odd if odd == m.inf and s == 5 else i) for s, c, mz, i in rows] + ([(s, 500.0 + (37 * s) % 90, odd + s, 1.0) for s in range(14)] if odd == 1e9 else [])
+        norm, want = {}, {}
+        for a, ma, p, x in data:
+            for b, mb, q, y in data:
+                if a <= b and abs(mb - ma) <= 50 and abs(q - p) <= p * tol:
+                    own = norm if a == b else want
+                    w = own.setdefault((a, b), None)
+                    if x is not None and y is not None:
+                        own[a, b] = (w or 0.0) + x * y
+        peaks = spark.createDataFrame(data, "scan_id long, m double, mz double, i double")
+        for block in (1, 3, 100, None):
+            found = products(spectra_of(peaks), 50.0, tol, True, block)
+            got = {(r.a, r.b): r.dot for r in found.collect()}
+            assert got.keys() == want.keys() and None in got.values()
+            assert all(got[k] == v or m.isnan(got[k]) and m.isnan(v) for k, v in want.items())
+    assert {(r.a, r.norm_a) for r in found.collect()} <= {(a, v or 0.0) for (a, _), v in norm.items()}
+    for query in (C.cosine_binned, C.cosine_ppm):
+        made = plan(query(spark, "/root/testdata/sf0.001"))
+        assert "cell" not in made and "_bin" not in made and "(a#" not in made.split("MapInArrow")[1]
