@@ -279,3 +279,33 @@ def test_cosines_of_pairs_shuffle_spectra_and_no_matches(spark, monkeypatch):
     for query in (C.cosine_binned, C.cosine_ppm):
         made = plan(query(spark, "/root/testdata/sf0.001"))
         assert "cell" not in made and "_bin" not in made and "(a#" not in made.split("MapInArrow")[1]
+
+
+def test_correlations_shuffle_series_and_no_common_places(spark):
+    import random
+
+    from massloom.operators.pairing import correlations, spectra_of
+
+    rng = random.Random(12)
+    rows = [(s, 100.0 + 37 * s % 11, float(p), float(rng.randrange(9))) for s in range(16) for p in rng.sample(range(9), 6)]
+    rows += [(20, 103.0, float(p), 5.0) for p in range(9)] + [(21, 103.0, float(p), 1e6 + 1e-3 * p) for p in range(9)] + [(22, 103.0, float(p), None if p == 2 else p % 4.0) for p in range(9)]
+    held, centre = {}, {r[0]: r[1] for r in rows}
+    for s, _, p, v in rows:
+        held.setdefault(s, {})[p] = v
+    want = {}
+    for a in held:
+        for b in held:
+            common = held[a].keys() & held[b].keys()
+            x, y = ([held[k][p] for p in common] for k in (a, b))
+            if a < b and abs(centre[a] - centre[b]) <= 2 and len(common) >= 3 and min(len(set(x) - {None}), len(set(y) - {None})) > 1:
+                x, y = zip(*((p, q) for p, q in zip(x, y, strict=True) if p is not None and q is not None), strict=True)
+                mx, my = sum(x) / len(x), sum(y) / len(y)
+                r = sum((p - mx) * (q - my) for p, q in zip(x, y, strict=True)) / math.sqrt(sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y))
+                want[a, b] = (len(common), r)
+    series = spectra_of(spark.createDataFrame(rows, "scan_id long, m double, mz double, i double"))
+    assert any(22 in k for k in want) and any(21 in k for k in want) and not any(20 in k for k in want)
+    for block in (1, None):
+        found = correlations(series, 2.0, 3, block)
+        got = {(r.a, r.b): (r.n, r.r) for r in found.collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - r) < 1e-6 for k, (n, r) in want.items())
+    assert "(a#" not in plan(found).split("MapInArrow")[1]
