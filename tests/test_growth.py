@@ -309,3 +309,11 @@ def test_correlations_shuffle_series_and_no_common_places(spark):
         got = {(r.a, r.b): (r.n, r.r) for r in found.collect()}
         assert got.keys() == want.keys() and all(got[k][0] == n and abs(got[k][1] - r) < 1e-6 for k, (n, r) in want.items())
     assert "(a#" not in plan(found).split("MapInArrow")[1]
+
+
+def test_common_nodes_are_counted_beside_the_pair(spark):
+    from massloom.catalog.featuremaps import feature_common_nodes
+
+    found = feature_common_nodes(spark, "/root/testdata/sf0.001")
+    made = plan(found)
+    assert "array_intersect" in made and "node#" not in made.split("array_intersect")[0]
